@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, mixing, neardup, packing, quality
+from . import embed_dedup, html_extract, langid, license_scan, lm_score, mixing, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -30,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,12 +47,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*cols)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.folder_for(spark)
+    packages = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(packages, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict:
-    named = [op2_license_scan, op3_minhash_neardup, op4_language_id, op6_bestfit_packing, op7_quality_rules, op10_source_mixing]
+    named = [op1_html_extract, op2_license_scan, op3_minhash_neardup, op4_language_id, op5_lm_score, op6_bestfit_packing, op7_quality_rules, op8_warc, op9_embedding_neardup, op10_source_mixing]
     return {f.__name__: f for f in named}
 
 
