@@ -1 +1,5 @@
-"""maskframe: dense-label compositing and auditing on Spark DataFrames."""
+"""maskframe: dense-label compositing and auditing on Spark DataFrames.
+
+Relations over samples, instances, mask scanlines, label bitmaps and pixel scanlines (see :mod:`maskframe.model`);
+every operator takes DataFrames and returns one, without actions on the way.
+"""
