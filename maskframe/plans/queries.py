@@ -601,3 +601,197 @@ def throughput_rank(c: Catalogue) -> DataFrame:
 @query("select b.batch, s.size, k.k_hi from (select unnest([2, 8, 32]) as batch) b cross join (select unnest([256, 512]) as size) s cross join (select unnest([5, 20]) as k_hi) k")
 def sweep_grid(c: Catalogue) -> DataFrame:
     return c.spark.createDataFrame([tuple(g.values()) for g in stats.grid(batch=[2, 8, 32], size=[256, 512], k_hi=[5, 20])], "batch int, size int, k_hi int")
+
+
+# ---- sources, exchange and whole pipelines
+
+
+def _annotations(c: Catalogue) -> tuple[DataFrame, DataFrame]:
+    """Orders as images and lines as annotations, in the form of the annotation files."""
+    images = c.samples.select(F.col("sample_id").alias("id"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.format_string("%d.png", "sample_id").alias("file_name"))
+    i = c.instances
+    ann = i.select((F.col("sample_id") * 100 + F.col("slot")).alias("id"), F.col("sample_id").alias("image_id"), F.col("label").alias("category_id"), F.array(*[F.col(v).cast("double") for v in ("x1", "y1")], (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")).alias("bbox"), (F.col("label") == 19).cast("int").alias("iscrowd"))
+    return images, ann
+
+
+@query(sql("select sample_id, slot, label, slot as instance_id, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from inst", "inst"))
+def coco_detection(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.detection(*_annotations(c))[1].withColumn("instance_id", F.col("instance_id").cast("long"))
+
+
+@query("select o_orderkey as sample_id from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def coco_annotated_images(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.detection(*_annotations(c))[0].select("sample_id")
+
+
+@query(sql("select sample_id * 100 + slot as ann_id, label as class_id, greatest(0, (4 - least(4, x2 - x1)) // 2) as dst_x, ((x2 - x1) - least(4, x2 - x1)) // 2 as src_x, least(4, y2 - y1) as take_y from inst where label <> 19 and (x2 - x1) * (y2 - y1) >= 9", "inst"))
+def crop_plan_bank(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.crop_plan(*_annotations(c), (4, 4), 9).select("ann_id", "class_id", "dst_x", "src_x", "take_y")
+
+
+@query(sql("select sample_id, sample_id * 100 + slot as seg_id, label, label < 14 as is_thing, case when label < 14 then sum((label < 14)::int) over (partition by sample_id order by slot) else 0 end::bigint as instance_id from inst", "inst"))
+def coco_panoptic_segments(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    seg = F.struct((F.col("sample_id") * 100 + F.col("slot")).alias("id"), F.col("label").alias("category_id"), F.col("slot"))
+    one = c.instances.groupBy(F.col("sample_id").alias("image_id")).agg(F.array_sort(F.collect_list(seg)).alias("segments_info"))
+    cats = c.spark.range(20).select("id", (F.col("id") < td.THINGS).cast("int").alias("isthing"))
+    return coco.segments(one, cats)
+
+
+@query(sql("select sample_id, slot, sum(bit_count(bits))::bigint as area, count(*) as n_rows, bit_xor(bits * (y + 1)) as mix from mrows group by 1, 2", "mrows"))
+def rle_decode(c: Catalogue) -> DataFrame:
+    """Rectangles to column-major counts and back to scanlines."""
+    from ..functions import rle
+
+    i = c.instances.where("x2 > x1 and y2 > y1")
+    h, size = F.lit(16), F.col("y2") - F.col("y1")
+    runs = F.flatten(F.transform(F.sequence(F.col("x1"), F.col("x2") - 1), lambda x: F.array(F.when(x == F.col("x1"), x * 16 + F.col("y1")).otherwise(h - size), size)))
+    out = rle.decode(i.select("sample_id", "slot", F.lit(16).cast("long").alias("h"), runs.alias("counts")))
+    return out.groupBy("sample_id", "slot").agg(F.sum(F.bit_count("bits")).alias("area"), F.count("*").alias("n_rows"), F.bit_xor(F.col("bits") * (F.col("y") + 1)).alias("mix"))
+
+
+@query(sql("select sample_id, slot, (x2 - x1) * (y2 - y1) as area from inst", "inst"))
+def polygon_area(c: Catalogue) -> DataFrame:
+    from ..functions import rle
+
+    i = c.instances
+    poly = F.array(*[F.col(v).cast("double") for v in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")])
+    p = rle.polygons(i.select((F.col("sample_id") * 100 + F.col("slot")).alias("id"), F.lit(16).alias("h"), F.lit(16).alias("w"), F.array(poly).alias("polygons")))
+    return p.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("area")).select(F.floor(F.col("id") / 100).alias("sample_id"), (F.col("id") % 100).alias("slot"), "area")
+
+
+@query("select d.doc_id, d.source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def subset_semi(c: Catalogue) -> DataFrame:
+    return c.table("documents").select("doc_id", "source").join(c.table("labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("select d.doc_id as image_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def subset_missing_anti(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.missing(c.table("documents").select(F.col("doc_id").alias("image_id")), c.table("labels").select(F.col("doc_id").alias("id")))
+
+
+_SUBSET = f"(select image_id from (select distinct o_custkey as image_id from orders) order by {u('subset9', 'image_id')}, image_id limit 100)"
+
+
+@query(f"select image_id from {_SUBSET}")
+def subset_sample(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.subset(c.table("orders").select(F.col("o_custkey").alias("image_id")), 100, 9)
+
+
+@query(f"select substr(sha256(string_agg(image_id::varchar, ',' order by image_id)), 1, 16) as fingerprint from {_SUBSET}")
+def subset_fingerprint(c: Catalogue) -> DataFrame:
+    from ..sources import coco
+
+    return coco.fingerprint(coco.subset(c.table("orders").select(F.col("o_custkey").alias("image_id")), 100, 9))
+
+
+@query("select vec_id as idx, vec_id // 4096 as shard_id, lpad(vec_id::varchar, 8, '0') as member_name, label::bigint as class_id from embeddings")
+def bank_shard_index(c: Catalogue) -> DataFrame:
+    from ..sources import bank
+
+    return bank.shard_index(_bank(c)).withColumn("shard_id", F.col("shard_id").cast("long"))
+
+
+def _records(c: Catalogue) -> DataFrame:
+    byte = lambda k: F.unhex(F.lpad(F.hex(k % 256), 2, "0"))
+    plane = lambda n: F.concat(*[byte(F.col("idx") + i) for i in range(n)])
+    return _bank(c).select("idx", "class_id", plane(12).alias("image"), plane(4).alias("alpha"), F.lit(None).cast("binary").alias("embedding_raw"))
+
+
+@query("select vec_id as idx, label::bigint as class_id, 24 as size, list_sum(list_transform(range(0, 12), lambda i: (vec_id + i) % 256))::bigint as image_sum from embeddings")
+def record_pack_unpack(c: Catalogue) -> DataFrame:
+    from ..sources import bank
+
+    packed = bank.pack(_records(c))
+    out = bank.unpack(packed.withColumnRenamed("record", "record"), 2, 2).join(packed.select("idx", F.octet_length("record").alias("size")), "idx")
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.conv(F.hex(F.substring("image", i, F.lit(1))), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.select("idx", "class_id", "size", total.alias("image_sum"))
+
+
+@query("select vec_id as idx, 'record_length' as rule from embeddings where vec_id % 10 = 0")
+def record_violations(c: Catalogue) -> DataFrame:
+    from ..sources import bank
+
+    short = bank.pack(_records(c)).withColumn("record", F.when(F.col("idx") % 10 == 0, F.expr("substring(record, 1, 20)")).otherwise(F.col("record")))
+    return bank.record_violations(short, 2, 2)
+
+
+@query(sql("select sample_id, slot, label, x1 / 14.0::double as x, round((least(x2, 14) - x1) / 14.0::double, 6) as width from inst where x1 < 14", "inst").replace("x1 / 14.0::double as x", "round(x1 / 14.0::double, 6) as x"))
+def viewer_detections(c: Catalogue) -> DataFrame:
+    from ..sources import export
+
+    return export.detections(c.instances, 14, 16).select("sample_id", "slot", "label", r6("x", "x"), r6("width", "width"))
+
+
+@query(sql("select s.sample_id, s.class_id, count(*) as area from sempix s where not exists (select 1 from pixels p where p.sample_id = s.sample_id and p.y = s.y and p.x = s.x and p.label < 14) group by 1, 2", "sempix", "pixels"))
+def stuff_segmentation(c: Catalogue) -> DataFrame:
+    from ..sources import export
+
+    z = c.rows.where(F.col("label") < td.THINGS).groupBy("sample_id", "y").agg(F.bit_or("bits").alias("z"))
+    return composite.histogram(export.stuff_only(c.semantic, z))
+
+
+@query(sql("select sample_id, label as semantic, case when label < 14 then slot + 1 else 0 end as panoptic, count(*) as area from (select sample_id, y, x, arg_max(label, slot) as label, max(slot) as slot from pixels group by 1, 2, 3) group by 1, 2, 3", "pixels"))
+def hf_last_wins(c: Catalogue) -> DataFrame:
+    from ..sources import export
+
+    return export.last_wins(c.rows, F.col("label") < td.THINGS).groupBy("sample_id", "semantic", "panoptic").agg(F.sum(F.bit_count("bits")).alias("area"))
+
+
+@query(sql("select sample_id, string_agg(label::varchar, ',' order by slot) as labels from inst where slot < 20 group by 1", "inst"))
+def hf_batch(c: Catalogue) -> DataFrame:
+    from ..sources import export
+
+    b = export.model_batch(containers.padded(c.samples, c.instances.select("sample_id", "slot", "label"), 20))
+    return b.select("sample_id", F.array_join("class_labels", ",").alias("labels"))
+
+
+@query("select o_orderkey as path from (select o_orderkey, 'data/' || o_orderkey || case when o_orderkey % 3 = 0 then '.PT' else '.txt' end as p from orders) where lower(p) like '%.pt' and p not like 'data/1%'")
+def binary_guard(c: Catalogue) -> DataFrame:
+    from ..sources import export
+
+    p = c.ids.select("sample_id", F.concat(F.lit("data/"), F.col("sample_id").cast("string"), F.when(F.col("sample_id") % 3 == 0, ".PT").otherwise(".txt")).alias("path"))
+    return export.forbidden_files(p, [".pt", ".bin"], ["data/1"]).select(F.col("sample_id").alias("path"))
+
+
+@query(f"select k as sample_id, i as slot, i + 1 as label, i * 32 + cast(floor((cast('0x' || substr(sha256('x' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 17) as bigint) as x1, cast(floor((cast('0x' || substr(sha256('y' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 49) as bigint) as y1 from (select unnest(range(0, 64)) as k), (select unnest(range(0, 2)) as i)")
+def synthetic_squares(c: Catalogue) -> DataFrame:
+    from ..sources import synthetic
+
+    return synthetic.make(c.spark, 5, 64)[1].select("sample_id", "slot", "label", "x1", "y1")
+
+
+@query(sql("select sample_id, slot, label, sum(bit_count(bits))::bigint as area from merged group by 1, 2, 3", "merged"))
+def e2e_instance_preset(c: Catalogue) -> DataFrame:
+    from . import pipeline, presets
+
+    config = presets.Paste(placement.Placement(k_range=(1, 3)), min_residual_area_frac=0.1, slots=24)
+    out = pipeline.augment(c.samples, c.instances, c.rows, config, 16, 16)
+    return out.instances.groupBy("sample_id", "slot", "label").agg(F.sum(F.bit_count("bits")).alias("area"))
+
+
+@query(sql("select a.sample_id, case when g.class_id is not null and p.x is not null then b.class_id else a.class_id end as class_id, count(*) as area from semafter a join sempix b using (sample_id, y, x) left join pastepix p using (sample_id, y, x) left join gone g on g.sample_id = b.sample_id and g.class_id = b.class_id where (case when g.class_id is not null and p.x is not null then b.class_id else a.class_id end) is not null group by 1, 2", "semafter", "sempix", "pastepix", "gone"))
+def e2e_panoptic_preset(c: Catalogue) -> DataFrame:
+    from . import pipeline, presets
+
+    config = presets.Paste(placement.Placement(k_range=(1, 3)), tau_stuff_frac=0.5, slots=24)
+    out = pipeline.augment(c.samples, c.instances, c.rows, config, 16, 16, c.semantic, c.stuff)
+    return composite.histogram(out.semantic)
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
+def step_counts(c: Catalogue) -> DataFrame:
+    from ..streaming import steps
+
+    return steps.step_counts(c.table("events")).select("start", "event_type", "n", r6("mean", "mean"))
