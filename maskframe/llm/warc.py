@@ -99,7 +99,7 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     n = min(size, 22 + 65535)
     tail = read(size - n, n)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != n:
+    while at >= 0 and (at + 22 > n or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != n):
         at = tail.rfind(b"PK\x05\x06", 0, at)  # the signature may occur in a comment
     if at < 0:
         raise ValueError("no end of central directory")
