@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from .. import bits
 from .composite import tight_boxes
 
-ZERO = F.lit
-
-
 def report(name: str, ids: DataFrame, bad: DataFrame) -> DataFrame:
     """A report for every sample of ``ids``; ``bad`` has (sample_id, n_bad) of those that break the rule."""
     return ids.select("sample_id").join(bad.select("sample_id", F.col("n_bad").cast("long").alias("n_bad")), "sample_id", "left").select("sample_id", F.lit(name).alias("name"), (F.coalesce("n_bad", F.lit(0)) == 0).alias("ok"), F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"))

@@ -33,14 +33,16 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-PRESENT = {"image": F.lit(True), "instance": F.col("sample_id") % 7 != 0, "panoptic": F.col("sample_id") % 3 == 0, "semantic": F.col("sample_id") % 2 == 0, "depth": F.col("sample_id") % 5 < 2, "normals": F.col("sample_id") % 5 == 0}
+def present() -> dict:
+    return {"image": F.lit(True), "instance": F.col("sample_id") % 7 != 0, "panoptic": F.col("sample_id") % 3 == 0, "semantic": F.col("sample_id") % 2 == 0, "depth": F.col("sample_id") % 5 < 2, "normals": F.col("sample_id") % 5 == 0}
+
 
 # ---- containers
 
 
 @query("select o_orderkey as sample_id, 1 + (o_orderkey % 7 <> 0)::int + (o_orderkey % 3 = 0)::int + (o_orderkey % 2 = 0)::int + (o_orderkey % 5 < 2)::int + (o_orderkey % 5 = 0)::int as n_layers, concat_ws(',', 'image', case when o_orderkey % 7 <> 0 then 'instance' end, case when o_orderkey % 3 = 0 then 'panoptic' end, case when o_orderkey % 2 = 0 then 'semantic' end, case when o_orderkey % 5 < 2 then 'depth' end, case when o_orderkey % 5 = 0 then 'normals' end) as layers from orders")
 def active_layers(c: Catalogue) -> DataFrame:
-    return model.active_layers(c.ids, PRESENT).select("sample_id", F.size("layers").alias("n_layers"), F.array_join("layers", ",").alias("layers"))
+    return model.active_layers(c.ids, present()).select("sample_id", F.size("layers").alias("n_layers"), F.array_join("layers", ",").alias("layers"))
 
 
 @query(sql("select i.sample_id, i.slot, coalesce(s.label, 0) as label, coalesce(s.x1, 0) as x1, coalesce(s.y2, 0) as y2, s.slot is not null as valid from (select sample_id, unnest(range(0, 20)) as slot from samp) i left join inst s using (sample_id, slot)", "samp", "inst"))
