@@ -3,8 +3,10 @@
 Each distinct shingle set gets ``TREES`` short signatures. Every tree is one sorted order of these signatures; neighbours there
 share a longest common prefix. A region of the order - the rows under one prefix - is as deep as it must be to hold at most
 ``REGION`` rows, so crowded parts are compared under long prefixes and sparse parts under short ones. Candidates are confirmed
-on full sets. A first round confirms each row's best neighbours only and contracts what they link; a second round confirms
-what is still between different components, so a large group of copies never costs all of its pairs.
+on full sets. A first round takes a few orders and only a spanning forest of each region's candidates, and contracts what is
+confirmed; the second takes all orders and, in each region, the rows with a candidate in another component: their sets come
+together once and all of their pairs between components are counted in one product. So a large group of copies is never
+written out as pairs, and no pair is passed over unless its ends are connected already.
 """
 
 from __future__ import annotations
@@ -14,17 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, bytes_of, connected, cut, n_parts, slices
 
-TREES, DEPTH, SKETCH = 16, 8, 48
+TREES, DEPTH, SKETCH = 16, 8, 64
 REGION = 64
-#: Partners of a row that the first round confirms in each region.
-BEST = 1
-#: Estimates this far below the threshold are five standard errors off.
-MARGIN = 0.29
+#: Orders that the first round takes.
+FIRST = 3
+#: Estimates this far below the threshold are more than four standard errors off.
+MARGIN = 0.21
 #: Ids up to this number (8 bytes each) may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 400_000
 
@@ -124,8 +127,28 @@ def likely(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, leas
     return (est >= least - MARGIN) & (small >= least * large - 1e-9), est
 
 
+def forest(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> list[int]:
+    """The candidates that a spanning forest takes, the likeliest first."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for k in np.argsort(-est, kind="stable").tolist():
+        a, b = top(int(i[k])), top(int(j[k]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
 def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b) candidates of one stretch of the sorted orders, and (a, null) for rows with more partners than were confirmed."""
+    """Of one stretch of the sorted orders, in the first round (a, b): a spanning forest of the candidates; later (group, rep):
+    the rows of each region that have a candidate in another component."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
@@ -133,51 +156,59 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
     wide = lambda c, k, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(-1, k)
     tree, rep, n, comp = (t.column(c).to_numpy() for c in ("tree", "rep", "n", "comp"))
     keys, sketch = wide("key", DEPTH, ">u2"), wide("sketch", SKETCH, np.uint8)
-    found, more = [], []
+    found = []
+    group = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
-    def confirm(i: np.ndarray, j: np.ndarray) -> None:
+    def candidates(i: np.ndarray, j: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok, est = likely(sketch, n, i, j, least)
-        ok &= (rep[i][:, None] != rep[j][None, :]) & (comp[i][:, None] != comp[j][None, :])
-        if not ok.any():
-            return
-        if not first:
+        ok &= comp[i][:, None] != comp[j][None, :]
+        if best:  # each row's likeliest partner
+            top = np.where(ok, est, -1.0).argmax(1)
+            x = np.flatnonzero(ok[np.arange(len(i)), top])
+            y = top[x]
+        else:
             x, y = np.nonzero(ok)
-            found.append(np.column_stack([rep[i[x]], rep[j[y]]]))
-            return
-        est = np.where(ok, est, -1.0)
-        order = np.argsort(-est, axis=1, kind="stable")[:, :BEST]
-        for k in range(order.shape[1]):
-            x = np.flatnonzero(np.take_along_axis(est, order[:, k : k + 1], 1)[:, 0] >= 0)
-            found.append(np.column_stack([rep[i[x]], rep[j[order[x, k]]]]))
-        more.append(rep[i[ok.sum(1) > BEST]])
+        return i[x], j[y], est[x, y]
 
     for a, z, crowded in regions(tree, keys):
         rows = np.arange(a, z)
         if not crowded:
-            confirm(rows, rows)
+            i, j, est = candidates(rows, rows)
+            keep = i < j
+            i, j, est = i[keep], j[keep], est[keep]
         elif first:
-            for s in range(a, z, REGION):
-                confirm(np.arange(s, min(s + REGION, z)), np.arange(max(a, s - REGION // 2), min(s + REGION + REGION // 2, z)))
-            more.append(rep[rows])
+            got = [candidates(np.arange(s, min(s + REGION, z)), np.arange(max(a, s - REGION // 2), min(s + REGION + REGION // 2, z)), True) for s in range(a, z, REGION)]
+            i, j, est = (np.concatenate(x) for x in zip(*got))
         else:  # what is not in the largest component, against all rows: the exact way for crowded regions
             names, at, size = np.unique(comp[rows], return_inverse=True, return_counts=True)
             rest = rows[at != size.argmax()]
-            for s in range(0, len(rest), REGION):
-                for u in range(a, z, 1024):
-                    confirm(rest[s : s + REGION], np.arange(u, min(u + 1024, z)))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], left])), pa.array(np.concatenate([pairs[:, 1], left]), mask=np.arange(len(pairs) + len(left)) >= len(pairs))], names=["a", "b"])
+            for u in range(a, z, 1024):
+                got = [candidates(rest[s : s + REGION], np.arange(u, min(u + 1024, z))) for s in range(0, len(rest), REGION)]
+                some = np.unique(np.concatenate([x for g in got for x in g[:2]])) if got else rows[:0]
+                if len(some):
+                    found.append(np.column_stack([np.full(len(some), group), rep[some]]))
+                    group += 1
+            continue
+        if not len(i):
+            continue
+        if first:
+            keep = forest(i, j, est)
+            found.append(np.sort(np.column_stack([rep[i[keep]], rep[j[keep]]]), axis=1))
+        else:
+            some = np.unique(np.concatenate([i, j]))
+            found.append(np.column_stack([np.full(len(some), group), rep[some]]))
+            group += 1
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def neighbours(classes: DataFrame, least: float, first: bool) -> DataFrame:
     spark = classes.sparkSession
-    rows = classes.select("rep", "n", "comp", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = classes.select("rep", "n", "comp", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit((FIRST if first else TREES) - 1))).alias("tree"))
     rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep", "n", "comp", "sketch")
     # Ranges of the orders: a large group of copies is cut into as many stretches as it fills.
     placed = rows.repartitionByRange(n_parts(spark), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return cut(placed.mapInArrow(lambda it: near(it, least, first), "a long, b long"))
+    return cut(placed.mapInArrow(lambda it: near(it, least, first), "a long, b long").distinct())
 
 
 def some_docs(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -186,9 +217,8 @@ def some_docs(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, on full sets."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, s): the full sets of the documents ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words()
@@ -196,7 +226,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int
             got = [shingles(raw, width, table).tobytes() for raw in bytes_of(b.column("_t"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], names=["id", "s"])
 
-    full = some_docs(docs.select(F.col(key).alias("id"), F.col(text).alias("_t")), ids, "id").mapInArrow(sets, "id long, s binary").where(F.length("s") > 0)
+    return some_docs(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_t")), ids, "id").mapInArrow(sets, "id long, s binary").where(F.length("s") > 0)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union, on full sets."""
+    full = sets_of(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), key, text, width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,6 +249,63 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
+def linked_across(sets: list[np.ndarray], comp: np.ndarray, percent: int, columns: int = 4096) -> np.ndarray:
+    """A spanning forest (two columns of indices) of the links between rows of different components.
+
+    Intersections are counted as one product of incidence matrices, a stretch of their columns at a time; hashes that one
+    row has alone are left out before. Rows of the largest component aren't compared with each other.
+    """
+    names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(at != count.argmax())
+    n = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), n)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    some = times[code] > 1
+    row, code = row[some], number[code[some]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    inter = np.zeros((len(rest), len(sets)), np.float64)
+    for c in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        lo, hi = np.searchsorted(code, [c, c + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[row[lo:hi], code[lo:hi] - c] = 1
+        inter += x[rest] @ x.T
+    i, j = np.nonzero((100 * inter >= percent * (n[rest][:, None] + n[None, :] - inter)) & (comp[rest][:, None] != comp[None, :]))
+    i = rest[i]
+    keep = forest(i, j, np.zeros(len(i)))
+    return np.column_stack([i[keep], j[keep]])
+
+
+def across(docs: DataFrame, members: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links between different components within the groups (a: group, b: row)."""
+    full = sets_of(docs, cut(members.select(F.col("b").alias("id")).distinct()), key, text, width)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(t: pa.Table) -> pa.RecordBatch:
+            rep = t.column("b").to_numpy()
+            links = linked_across([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")], t.column("comp").to_numpy(), percent)
+            return pa.RecordBatch.from_arrays([pa.array(rep[links[:, 0]]), pa.array(rep[links[:, 1]])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("a").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for s, e in zip(edges, edges[1:]):
+                if held and held[0].column("a")[0].as_py() != int(g[s]):
+                    yield told(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(s, e - s))
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    rows = members.join(classes.select(F.col("rep").alias("b"), "comp"), "b").join(full.select(F.col("id").alias("b"), "s"), "b")
+    placed = rows.select("a", "b", "comp", "s").repartition(n_parts(docs.sparkSession), "a").sortWithinPartitions("a")
+    return cut(placed.mapInArrow(check, "a long, b long").distinct())
+
+
 def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
     found = connected(links).select(F.col("id").alias("rep"), "component")
     return classes.drop("comp").join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -231,13 +323,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # Equal sets are one class; its rows meet in partial minima, not as pairs.
     classes = signed.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("comp", F.col("rep")))
-    found = neighbours(classes, percent / 100, True)
-    links = confirmed(docs, found.where("b is not null").distinct(), key, text, width, percent)
-    pending = found.where("b is null").select(F.col("a").alias("rep")).distinct()
-    again = cut(with_components(classes.join(pending, "rep", "left_semi"), links))
-    if not again.isEmpty():
-        rest = neighbours(again, percent / 100, False).distinct()
-        links = links.unionByName(confirmed(docs, rest, key, text, width, percent))
+    links = confirmed(docs, neighbours(classes, percent / 100, True), key, text, width, percent)
+    contracted = cut(with_components(classes, links))
+    links = links.unionByName(across(docs, neighbours(contracted, percent / 100, False), contracted, key, text, width, percent))
     done = cut(connected(links))
     where = classes.select("sid", "rep").join(done.withColumnRenamed("id", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     # A document whose rows differ belongs to all of their classes: the least component holds.
@@ -249,5 +337,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all their columns, whose document is the first of its group."""
     gone = cut(near_duplicates(docs, key, text, **options).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct())
-    ids = gone.select(F.col("id").alias("_gone"))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(key) == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    ids = gone.select(F.col("id").alias(name))
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(key) == F.col(name), "left_anti")
