@@ -41,10 +41,15 @@ def last(bits: Column) -> Column:
     return F.when(bits != 0, F.length(F.bin(bits)) - 1)
 
 
-def gather(bits: Column, source: list[Column]) -> Column:
-    """A row whose pixel x is pixel ``source[x]`` of ``bits``; null sources are clear. Unrolled, so it stays in one stage's code."""
-    put = lambda x, s: F.call_function("shiftleft", F.when(s.isNull(), F.lit(0).cast("long")).otherwise(at(bits, s)), F.lit(x))
-    return reduce(lambda a, b: a.bitwiseOR(b), [put(x, s) for x, s in enumerate(source)])
+#: A source column that no row has: the sign bit is never set.
+OUTSIDE = 63
+
+
+def gather(bits: Column, columns: Column, width: int) -> Column:
+    """A row whose pixel x is pixel ``columns[x]`` of ``bits``; :data:`OUTSIDE` is clear. Unrolled and without branches."""
+    one = F.lit(1).cast("long")
+    put = lambda x: F.call_function("shiftleft", F.call_function("shiftright", bits, F.get(columns, F.lit(x))).bitwiseAND(one), F.lit(x))
+    return reduce(lambda a, b: a.bitwiseOR(b), [put(x) for x in range(width)])
 
 
 def where(flags: list[Column]) -> Column:

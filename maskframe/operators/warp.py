@@ -18,9 +18,10 @@ def source_col(x: int) -> Column:
     return F.when(F.col("hflip"), F.col("wv") - 1 - sx).otherwise(sx)
 
 
-def nearest_col(x: int, width: int) -> Column:
-    s = F.rint(source_col(x))
-    return F.when((s >= 0) & (s <= width - 1), s)
+def nearest_columns(df: DataFrame, w: int) -> DataFrame:
+    """Adds ``cols``: for each target column the source column, found once a placement and not once a row."""
+    near = [F.rint(source_col(x)) for x in range(w)]
+    return df.withColumn("_near", F.array(*near)).withColumn("cols", F.transform("_near", lambda s: F.when((s >= 0) & (s <= w - 1), s.cast("int")).otherwise(F.lit(bits.OUTSIDE)))).drop("_near")
 
 
 def boxes(slots: DataFrame) -> DataFrame:
@@ -40,49 +41,44 @@ def rows_between(top: Column, bottom: Column, height: int) -> Column:
 
 def masks(slots: DataFrame, rows: DataFrame, h: int, w: int) -> DataFrame:
     """(sample_id, slot, label, instance_id, y, bits) of valid paste slots, nearest neighbour, clear outside the source."""
-    at = slots.where("paste_valid").withColumn("y", F.explode(rows_between(F.col("y1"), F.col("y2"), h))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
+    at = nearest_columns(slots.where("paste_valid"), w).withColumn("y", F.explode(rows_between(F.col("y1"), F.col("y2"), h))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
     src = rows.select(F.col("sample_id").alias("src_id"), "slot", F.col("y").alias("sy"), F.col("bits").alias("src_bits"))
-    out = at.join(src, ["src_id", "slot", "sy"]).withColumn("bits", bits.gather(F.col("src_bits"), [nearest_col(x, w) for x in range(w)]))
+    out = at.join(src, ["src_id", "slot", "sy"]).withColumn("bits", bits.gather(F.col("src_bits"), F.col("cols"), w))
     return out.where("bits <> 0").select("sample_id", "slot", "label", "instance_id", "y", "bits")
 
 
 def label_bits(placed: DataFrame, labels: DataFrame, h: int, w: int) -> DataFrame:
     """A label layer of the source, one bitmap per scanline and class, seen from the target."""
-    at = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
+    at = nearest_columns(placed, w).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
     src = labels.select(F.col("sample_id").alias("src_id"), F.col("y").alias("sy"), "class_id", F.col("bits").alias("src_bits"))
-    out = at.join(src, ["src_id", "sy"]).withColumn("bits", bits.gather(F.col("src_bits"), [nearest_col(x, w) for x in range(w)]))
+    out = at.join(src, ["src_id", "sy"]).withColumn("bits", bits.gather(F.col("src_bits"), F.col("cols"), w))
     return out.where("bits <> 0").select("sample_id", "y", "class_id", "bits")
 
 
 def gate_bits(placed: DataFrame, valid: DataFrame, h: int, w: int) -> DataFrame:
     """A validity bitmap (sample_id, y, ok) of the source seen from the target; outside is invalid."""
-    at = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
+    at = nearest_columns(placed, w).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("sy", F.rint(source_row(F.col("y"))).cast("int"))
     src = valid.select(F.col("sample_id").alias("src_id"), F.col("y").alias("sy"), F.col("ok").alias("src_ok"))
     out = at.join(src, ["src_id", "sy"], "left")
-    return out.select("sample_id", "y", bits.gather(F.coalesce("src_ok", F.lit(0).cast("long")), [nearest_col(x, w) for x in range(w)]).alias("ok"))
+    return out.select("sample_id", "y", bits.gather(F.coalesce("src_ok", F.lit(0).cast("long")), F.col("cols"), w).alias("ok"))
 
 
 def bilinear(placed: DataFrame, pixels: DataFrame, h: int, w: int, vals: str = "vals", by: tuple[str, ...] = ("ch",)) -> DataFrame:
     """(sample_id, y, by..., vals): four taps, each zero outside the source."""
-    at = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("sy", source_row(F.col("y"))).withColumn("y0", F.floor("sy").cast("int")).withColumn("fy", F.col("sy") - F.col("y0"))
+    spot = placed.withColumn("sx", F.array(*[source_col(x) for x in range(w)])).withColumn("x0", F.transform("sx", lambda s: F.floor(s).cast("int")))
+    at = spot.select("sample_id", "src_id", "ty", "scale", "sx", "x0", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).withColumn("sy", source_row(F.col("y"))).withColumn("y0", F.floor("sy").cast("int")).withColumn("fy", F.col("sy") - F.col("y0"))
     # Both rows of a target row meet in one aggregate; a row without either on the canvas is all zeros.
     near = at.withColumn("tap", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ry", F.col("y0") + F.col("tap"))
     src = pixels.select(F.col("sample_id").alias("src_id"), F.col("y").alias("ry"), *by, F.col(vals).alias("row"))
     got = near.where((F.col("ry") >= 0) & (F.col("ry") < h)).join(src, ["src_id", "ry"])
     keep = ("sample_id", "y", *by)
-    some = got.groupBy(*keep).agg(*[F.first(c).alias(c) for c in ("scale", "tx", "hflip", "wv", "fy")], F.max(F.when(F.col("tap") == 0, F.col("row"))).alias("r0"), F.max(F.when(F.col("tap") == 1, F.col("row"))).alias("r1"))
-
-    def tap(row: str, i: Column) -> Column:
-        return F.when(F.col(row).isNotNull() & (i >= 0) & (i < w), F.element_at(row, F.greatest(F.lit(1), F.least(F.lit(w), i + 1)).cast("int"))).otherwise(F.lit(0.0))
-
-    def pixel(x: int) -> Column:
-        sx = source_col(x)
-        x0 = F.floor(sx)
-        fx = sx - x0
-        line = lambda r: (1 - fx) * tap(r, x0) + fx * tap(r, x0 + 1)
-        return (1 - F.col("fy")) * line("r0") + F.col("fy") * line("r1")
-
-    return some.select(*keep, F.array(*[pixel(x) for x in range(w)]).alias("vals"))
+    # Along a row first: every tap is one interpolated row, so the aggregate only has two rows to weigh.
+    tap = lambda i: F.coalesce(F.when(i >= 0, F.get("row", i)), F.lit(0.0))
+    line = F.zip_with("sx", "x0", lambda s, i: (1 - (s - i)) * tap(i) + (s - i) * tap(i + 1))
+    got = got.select(*keep, "tap", "fy", line.alias("line"))
+    some = got.groupBy(*keep).agg(F.first("fy").alias("fy"), F.max(F.when(F.col("tap") == 0, F.col("line"))).alias("r0"), F.max(F.when(F.col("tap") == 1, F.col("line"))).alias("r1"))
+    zero = F.array_repeat(F.lit(0.0), w)
+    return some.select(*keep, F.zip_with(F.coalesce("r0", zero), F.coalesce("r1", zero), lambda a, b: (1 - F.col("fy")) * a + F.col("fy") * b).alias("vals"))
 
 
 def normals_flip(rows: DataFrame, ch: str = "ch", vals: str = "vals") -> DataFrame:
