@@ -67,16 +67,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(a, b - a)
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges (16 bytes each) up to this number are joined up in one task; more of them in rounds over all tasks.
+TASK_EDGES = 1_000_000
+
+
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all the edges (u, v) of one task."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    ids, at = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
+    root = union_find(len(ids), at.reshape(2, -1).T)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
+
+
+def connected(edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """Components of an undirected graph: (id, component), the smallest id reachable.
 
-    Alternates large-star and small-star contraction, natively and with partial minima, so that a vertex of any degree
-    is one aggregate and a join that adaptive execution can split. Each round is checkpointed. ``edges`` has the long
-    columns ``a`` and ``b``; loops, repeats and either order are accepted. Only ids that have an edge are returned.
+    A counted, small number of edges is one task's union-find. Beyond it large-star and small-star contraction alternate,
+    natively and with partial minima, so that a vertex of any degree is one aggregate and a join that adaptive execution can
+    split; each round is checkpointed. Both give the same rows. ``edges`` has the long columns ``a`` and ``b``; loops,
+    repeats and either order are accepted. Only ids that have an edge are returned.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if edges.count() <= task_edges:
+        return edges.coalesce(1).mapInArrow(joined_up, "id long, component long")
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))

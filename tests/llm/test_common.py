@@ -17,8 +17,9 @@ def test_components_are_those_of_a_search(spark):
     for a, b in edges:
         p, q = top(a), top(b)
         root[max(p, q)] = min(p, q)
-    got = {r["id"]: r["component"] for r in common.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: top(x) for a, b in edges for x in (a, b) if a != b}
+    for task_edges in (common.TASK_EDGES, 0):  # both ways
+        got = {r["id"]: r["component"] for r in common.connected(spark.createDataFrame(edges, "a long, b long"), task_edges=task_edges).collect()}
+        assert got == {x: top(x) for a, b in edges for x in (a, b) if a != b}
     assert common.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
