@@ -144,3 +144,35 @@ def summary(*reports: DataFrame) -> DataFrame:
 def outcomes(*reports: DataFrame) -> DataFrame:
     """(sample_id, ok): whether a sample passed all its checks."""
     return reduce(DataFrame.unionByName, reports).groupBy("sample_id").agg(F.bool_and("ok").alias("ok"))
+
+
+#: Which layers a check needs on both sides, and whether it needs the audit of the paste.
+GATES: dict[str, tuple[frozenset[str], bool]] = {
+    "semantic.single_class_per_pixel": (frozenset({"semantic"}), False),
+    "semantic.ignore_preserved": (frozenset({"semantic"}), False),
+    "instance.no_same_class_overlap": (frozenset({"instance"}), False),
+    "instance.identity_preserved": (frozenset({"instance"}), False),
+    "instance.bbox_recomputed_from_mask": (frozenset({"instance"}), True),
+    "instance.target_masks_subtract_paste_union": (frozenset({"instance"}), True),
+    "instance.small_area_dropped": (frozenset({"instance"}), True),
+    "panoptic.pixel_bijection": (frozenset({"panoptic", "instance"}), False),
+    "panoptic.fresh_instance_ids": (frozenset({"panoptic"}), True),
+    "panoptic.thing_stuff_consistent": (frozenset({"panoptic", "semantic"}), True),
+    "panoptic.stuff_area_threshold": (frozenset({"panoptic", "semantic"}), True),
+    "depth.monotonicity": (frozenset({"depth"}), True),
+    "depth.validity_join": (frozenset({"depth"}), True),
+    "normals.camera_frame_convention": (frozenset({"normals"}), False),
+    "normals.unit_norm_on_valid": (frozenset({"normals"}), False),
+}
+
+
+def applicable(layers: set[str], audit: bool) -> list[str]:
+    """The checks that run for layers active on both sides."""
+    return [name for name, (need, with_audit) in GATES.items() if need <= layers and (audit or not with_audit)]
+
+
+def per_sample(reports: DataFrame, layers: DataFrame, audit: bool = True) -> DataFrame:
+    """Reports of the checks that apply to each sample; ``layers`` has (sample_id, layers)."""
+    gates = [F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in sorted(need)]).alias("need")) for n, (need, w) in GATES.items() if audit or not w]
+    want = layers.select("sample_id", "layers", F.explode(F.array(*gates)).alias("g")).where(F.size(F.array_except("g.need", "layers")) == 0).select("sample_id", "g.name")
+    return reports.join(want, ["sample_id", "name"], "left_semi")

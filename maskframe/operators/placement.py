@@ -37,6 +37,18 @@ def offdiagonal(samp: DataFrame, seed: int = 0) -> DataFrame:
     return samp.withColumn("src_pos", F.when(F.col("n") > 1, F.pmod(F.col("pos") + 1 + step, F.col("n"))).cast("long"))
 
 
+def cyclic(samp: DataFrame) -> DataFrame:
+    """Adds ``src_pos``: the next sample of the batch, the first after the last; null where a sample is alone."""
+    return samp.withColumn("src_pos", F.when(F.col("n") > 1, F.pmod(F.col("pos") + 1, F.col("n"))).cast("long"))
+
+
+def random_subset(inst: DataFrame, seed: int = 0) -> DataFrame:
+    """(sample_id, slot): the distinct ones of as many draws with replacement as a sample has instances."""
+    n = inst.groupBy("sample_id").agg(F.count("*").alias("m"))
+    d = n.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return d.select("sample_id", F.floor(rng.uniform(f"subset{seed}", "sample_id", "draw") * F.col("m")).cast("long").alias("slot")).distinct()
+
+
 def scale_draw(c: Placement, *key: str) -> Column:
     lo, hi = c.scale
     return F.lit(lo) + rng.uniform(f"scale{c.seed}", *key) * F.lit(hi - lo)

@@ -24,6 +24,12 @@ def crop_plan(sized: DataFrame, th: int, tw: int, seed: int = 0) -> DataFrame:
     return c.withColumn("fill_rows", F.lit(th) - F.col("ch")).withColumn("fill_cols", F.lit(tw) - F.col("cw"))
 
 
+def large_scale_jitter(samp: DataFrame, size: int | tuple[int, int], low: float = 0.1, high: float = 2.0, seed: int = 0) -> DataFrame:
+    """Resize and crop in one plan; one number is a square."""
+    th, tw = (size, size) if isinstance(size, int) else size
+    return crop_plan(resize_plan(samp, low, high, th, tw, seed), th, tw, seed)
+
+
 #: What a crop beyond the image is filled with, by layer.
 CROP_FILL = {"image": 0, "padding": 1, "instance": 0, "semantic": 255, "panoptic": 255}
 #: What padding to a multiple fills with, by layer; the image reflects instead where it can.

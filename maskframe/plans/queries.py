@@ -148,6 +148,16 @@ def source_offdiagonal(c: Catalogue) -> DataFrame:
     return c.placements.select("sample_id", "src_id", (F.col("sample_id") != F.col("src_id")).alias("other"))
 
 
+@query(sql("select sample_id, case when n > 1 then (pos + 1) % n end as src_pos from samp", "samp"))
+def source_cyclic(c: Catalogue) -> DataFrame:
+    return placement.cyclic(c.samples).select("sample_id", "src_pos")
+
+
+@query(sql(f"select distinct sample_id, cast(floor({u('subset0', "sample_id || '|' || d")} * m) as bigint) as slot from (select sample_id, m, unnest(range(0, m)) as d from (select sample_id, count(*) as m from inst group by 1))", "inst"))
+def source_random_subset(c: Catalogue) -> DataFrame:
+    return placement.random_subset(c.instances)
+
+
 @query(sql("select sample_id, round(scale, 6) as scale from drawn", "drawn"))
 def scale_draw(c: Catalogue) -> DataFrame:
     return c.placements.select("sample_id", r6("scale", "scale"))
@@ -553,6 +563,14 @@ def invariant_summary(c: Catalogue) -> DataFrame:
     return checks.summary(*[globals()[n](c) for n in _SUMMARY])
 
 
+@query("with l as (select o_orderkey as sample_id, o_orderkey % 7 <> 0 as i, o_orderkey % 3 = 0 as p, o_orderkey % 2 = 0 as s, o_orderkey % 5 = 0 as n from orders) select sample_id, (i::int + s::int + n::int + (i and p)::int)::bigint as n_checks from (select sample_id, i, p, s, n from l) where i or s or n")
+def checks_per_sample(c: Catalogue) -> DataFrame:
+    """How many of four of the checks apply to each sample by its layers."""
+    names = ["semantic.single_class_per_pixel", "instance.no_same_class_overlap", "panoptic.pixel_bijection", "normals.unit_norm_on_valid"]
+    reports = c.ids.select("sample_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    return checks.per_sample(reports, model.active_layers(c.ids, present()).select("sample_id", "layers"), False).groupBy("sample_id").agg(F.count("*").alias("n_checks"))
+
+
 # ---- statistics
 
 

@@ -96,3 +96,17 @@ def missing(wanted: DataFrame, images: DataFrame) -> DataFrame:
 def fingerprint(ids: DataFrame, column: str = "image_id") -> DataFrame:
     """The first 16 digits of the SHA-256 of the sorted ids, comma-joined: one row. Meant for a chosen subset, not a corpus."""
     return ids.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(column)), ","), 256), 1, 16).alias("fingerprint"))
+
+
+def source_of(local: str | None, repository: str | None) -> tuple[str, str]:
+    """Exactly one of a local folder and a repository name; downloading the latter is left to the caller."""
+    if (local is None) == (repository is None):
+        raise ValueError("name either a local folder or a repository")
+    return ("local", local) if local is not None else ("repository", repository)
+
+
+def enough(samples: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` samples by id; fewer are an error."""
+    if samples.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} samples")
+    return samples.orderBy("sample_id").limit(n)

@@ -132,6 +132,21 @@ def test_checks_fire(spark):
     assert got == {1: False, 2: True}
 
 
+def test_checks_apply_by_layer():
+    every = {"image", "instance", "panoptic", "semantic", "depth", "normals"}
+    assert len(checks.applicable(every, True)) == 15 and len(checks.applicable(every, False)) == 7
+    assert checks.applicable({"image"}, True) == []
+
+
+def test_sources_are_named_once(spark):
+    assert coco.source_of("here", None) == ("local", "here")
+    for bad in ((None, None), ("a", "b")):
+        with pytest.raises(ValueError):
+            coco.source_of(*bad)
+    with pytest.raises(ValueError):
+        coco.enough(spark.range(2).withColumnRenamed("id", "sample_id"), 3)
+
+
 def test_ks(spark):
     a, b = spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "v int"), spark.createDataFrame([(x,) for x in (3, 4, 5, 6)], "v int")
     assert stats.ks_distance(a, b, "v").first()[0] == 0.5
