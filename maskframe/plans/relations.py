@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import bits
 from ..operators import composite, placement, warp
 from ..sources import testdata as td
+from ..workers import reach
 
 
 class Catalogue:
@@ -18,7 +19,7 @@ class Catalogue:
     W = H = td.SIZE
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: placement.Placement | None = None):
-        self.spark, self.dir, self.config = spark, sf_dir, config or placement.Placement(k_range=(1, 3))
+        self.spark, self.dir, self.config = reach(spark), sf_dir, config or placement.Placement(k_range=(1, 3))
 
     def table(self, name: str) -> DataFrame:
         return td.table(self.spark, self.dir, name)
