@@ -24,6 +24,8 @@ from .common import LOWER_AZ, bytes_of, connected, cut, n_parts, slices
 
 TREES, DEPTH, SKETCH = 16, 8, 64
 REGION = 64
+#: Sketches that are compared at most in a region of which one component holds three quarters.
+MOST_WORK = 4_000_000
 #: Orders that the first round takes.
 FIRST = 3
 #: Estimates this far below the threshold are more than four standard errors off.
@@ -96,8 +98,12 @@ def set_ids(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(sign, f"doc_id {kind}, n long, sid binary, sig binary, sketch binary")
 
 
-def regions(tree: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """(first, end, crowded) of the regions of sorted rows; crowded: more than ``REGION`` rows under a whole signature."""
+def regions(tree: np.ndarray, keys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[int, int, bool]]:
+    """(first, end, crowded) of the regions of sorted rows; crowded: more than ``REGION`` rows.
+
+    A region goes deeper while it is crowded, to whole signatures at most. With ``comp`` it stops where at least three
+    quarters of it are one component: then only the rest is compared, and a shallow region loses fewer of its pairs.
+    """
     n = len(tree)
     if n < 2:
         return
@@ -111,6 +117,11 @@ def regions(tree: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bool
         if d and z - a <= REGION:
             yield a, z, False
             continue
+        if d and comp is not None:
+            rest = z - a - np.unique(comp[a:z], return_counts=True)[1].max()
+            if 4 * rest <= z - a and rest * (z - a) <= MOST_WORK:
+                yield a, z, True
+                continue
         if d == keys.shape[1]:
             yield a, z, True
             continue
@@ -170,7 +181,7 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
             x, y = np.nonzero(ok)
         return i[x], j[y], est[x, y]
 
-    for a, z, crowded in regions(tree, keys):
+    for a, z, crowded in regions(tree, keys, None if first else comp):
         rows = np.arange(a, z)
         if not crowded:
             i, j, est = candidates(rows, rows)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import reach
 from . import embed_dedup, html_extract, langid, license_scan, lm_score, mixing, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than there are cores (a single small file) is dealt out once."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
