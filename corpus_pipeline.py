@@ -42,7 +42,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")  # also lets the workers reach the package
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}"
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"
