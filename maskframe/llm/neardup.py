@@ -2,7 +2,8 @@
 
 Each distinct shingle set gets ``TREES`` short signatures. Every tree is one sorted order of these signatures; neighbours there
 share a longest common prefix. A region of the order - the rows under one prefix - is as deep as it must be to hold at most
-``REGION`` rows, so crowded parts are compared under long prefixes and sparse parts under short ones. Candidates are confirmed
+``REGION`` rows, but never deeper than ``DEPTH`` values: what is still crowded there is compared in full, in blocks against
+blocks. So the number of orders bounds the share of missed pairs whatever the size of the crowd. Candidates are confirmed
 on full sets. A first round takes a few orders and only a spanning forest of each region's candidates, and contracts what is
 confirmed; the second takes all orders and, in each region, the rows with a candidate in another component: their sets come
 together once and all of their pairs between components are counted in one product. So a large group of copies is never
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, bytes_of, connected, cut, n_parts, slices
 
-TREES, DEPTH, SKETCH = 16, 8, 64
+#: A pair at similarity 0.8 meets in none of the orders with probability (1 - 0.8 ** DEPTH) ** TREES at most: 8e-5.
+TREES, DEPTH, SKETCH = 18, 4, 64
 REGION = 64
-#: Sketches that are compared at most in a region of which one component holds three quarters.
-MOST_WORK = 4_000_000
-#: Orders that the first round takes.
-FIRST = 3
+#: Rows of a side of the blocks in which a crowded region is compared.
+SIDE = 1024
+#: Orders that the first round takes, and their values: it only has to find enough links, so it may go deeper.
+FIRST, FIRST_DEPTH = 3, 8
 #: Estimates this far below the threshold are more than four standard errors off.
 MARGIN = 0.21
 #: Ids up to this number (8 bytes each) may be broadcast; beyond it the join shuffles.
@@ -91,18 +93,17 @@ def set_ids(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 v = signature(s) if len(s) else None
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(v.tobytes() if len(s) else None)
-                sk.append(v.astype(np.uint8)[: 2 * SKETCH : 2].tobytes() if len(s) else None)
+                sk.append(v.astype(np.uint8)[:SKETCH].tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (sid, sig, sk))], names=["doc_id", "n", "sid", "sig", "sketch"])
 
     kind = docs.select(F.col(key)).dtypes[0][1]
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(sign, f"doc_id {kind}, n long, sid binary, sig binary, sketch binary")
 
 
-def regions(tree: np.ndarray, keys: np.ndarray, comp: np.ndarray | None = None) -> Iterator[tuple[int, int, bool]]:
+def regions(tree: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bool]]:
     """(first, end, crowded) of the regions of sorted rows; crowded: more than ``REGION`` rows.
 
-    A region goes deeper while it is crowded, to whole signatures at most. With ``comp`` it stops where at least three
-    quarters of it are one component: then only the rest is compared, and a shallow region loses fewer of its pairs.
+    A region goes deeper while it is crowded, to whole keys at most.
     """
     n = len(tree)
     if n < 2:
@@ -117,11 +118,6 @@ def regions(tree: np.ndarray, keys: np.ndarray, comp: np.ndarray | None = None)
         if d and z - a <= REGION:
             yield a, z, False
             continue
-        if d and comp is not None:
-            rest = z - a - np.unique(comp[a:z], return_counts=True)[1].max()
-            if 4 * rest <= z - a and rest * (z - a) <= MOST_WORK:
-                yield a, z, True
-                continue
         if d == keys.shape[1]:
             yield a, z, True
             continue
@@ -133,7 +129,9 @@ def regions(tree: np.ndarray, keys: np.ndarray, comp: np.ndarray | None = None)
 
 def likely(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of rows ``i`` against rows ``j``: whether they may reach the threshold, and the estimate."""
-    est = (sketch[i][:, None, :] == sketch[j][None, :, :]).sum(2) / sketch.shape[1]
+    # Equal bytes are counted eight at a time, then across the bytes of a word.
+    same = (sketch[i][:, None, :] == sketch[j][None, :, :]).view(np.uint64).sum(2)
+    est = ((same * np.uint64(0x0101010101010101)) >> np.uint64(56)) / sketch.shape[1]
     small, large = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
     return (est >= least - MARGIN) & (small >= least * large - 1e-9), est
 
@@ -166,7 +164,7 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
     t = pa.Table.from_batches(parts)
     wide = lambda c, k, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(-1, k)
     tree, rep, n, comp = (t.column(c).to_numpy() for c in ("tree", "rep", "n", "comp"))
-    keys, sketch = wide("key", DEPTH, ">u2"), wide("sketch", SKETCH, np.uint8)
+    keys, sketch = wide("key", FIRST_DEPTH if first else DEPTH, ">u2"), wide("sketch", SKETCH, np.uint8)
     found = []
     group = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
@@ -181,7 +179,7 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
             x, y = np.nonzero(ok)
         return i[x], j[y], est[x, y]
 
-    for a, z, crowded in regions(tree, keys, None if first else comp):
+    for a, z, crowded in regions(tree, keys):
         rows = np.arange(a, z)
         if not crowded:
             i, j, est = candidates(rows, rows)
@@ -190,15 +188,17 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
         elif first:
             got = [candidates(np.arange(s, min(s + REGION, z)), np.arange(max(a, s - REGION // 2), min(s + REGION + REGION // 2, z)), True) for s in range(a, z, REGION)]
             i, j, est = (np.concatenate(x) for x in zip(*got))
-        else:  # what is not in the largest component, against all rows: the exact way for crowded regions
-            names, at, size = np.unique(comp[rows], return_inverse=True, return_counts=True)
-            rest = rows[at != size.argmax()]
-            for u in range(a, z, 1024):
-                got = [candidates(rest[s : s + REGION], np.arange(u, min(u + 1024, z))) for s in range(0, len(rest), REGION)]
-                some = np.unique(np.concatenate([x for g in got for x in g[:2]])) if got else rows[:0]
-                if len(some):
-                    found.append(np.column_stack([np.full(len(some), group), rep[some]]))
-                    group += 1
+        else:  # all pairs but those within the largest component, in blocks against blocks: the exact way for crowded regions
+            _, at, size = np.unique(comp[rows], return_inverse=True, return_counts=True)
+            large = at == size.argmax()
+            rest, every = rows[~large], np.concatenate([rows[~large], rows[large]])
+            for s in range(0, len(rest), SIDE):
+                for u in range(s, len(every), SIDE):
+                    got = [candidates(rest[v : min(v + REGION, s + SIDE)], every[u : u + SIDE]) for v in range(s, min(s + SIDE, len(rest)), REGION)]
+                    some = np.unique(np.concatenate([x for g in got for x in g[:2]]))
+                    if len(some):
+                        found.append(np.column_stack([np.full(len(some), group), rep[some]]))
+                        group += 1
             continue
         if not len(i):
             continue
@@ -216,7 +216,8 @@ def near(batches: Iterator[pa.RecordBatch], least: float, first: bool) -> Iterat
 def neighbours(classes: DataFrame, least: float, first: bool) -> DataFrame:
     spark = classes.sparkSession
     rows = classes.select("rep", "n", "comp", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit((FIRST if first else TREES) - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep", "n", "comp", "sketch")
+    wide = 2 * (FIRST_DEPTH if first else DEPTH)
+    rows = rows.select("tree", F.expr(f"substring(sig, tree * {wide} + 1, {wide})").alias("key"), "rep", "n", "comp", "sketch")
     # Ranges of the orders: a large group of copies is cut into as many stretches as it fills.
     placed = rows.repartitionByRange(n_parts(spark), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     return cut(placed.mapInArrow(lambda it: near(it, least, first), "a long, b long").distinct())

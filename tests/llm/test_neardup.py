@@ -90,3 +90,27 @@ def test_regions_are_as_deep_as_they_must():
     assert list(neardup.regions(np.zeros(4, np.int64), keys)) in ([(2, 4, False), (0, 2, False)], [(0, 2, False), (2, 4, False)])
     many = np.zeros((neardup.REGION + 1, 2), ">u2")
     assert list(neardup.regions(np.zeros(len(many), np.int64), many)) == [(0, len(many), True)]
+
+
+def test_pairs_in_a_crowd_are_not_lost_with_depth(spark):
+    """600 documents share a passage (similarity 0.75); each has one partner at just over 0.8."""
+    assert (1 - 0.8**neardup.DEPTH) ** neardup.TREES <= 1e-4
+    passage = [f"p{i}" for i in range(300)]
+    data = []
+    for i in range(600):
+        own = [f"pair{i // 2}_{k}" for k in range(12)] + [f"own{i}_{k}" for k in range(38)]
+        data.append((i, " ".join(passage + own), "en", "s0", 1))
+    got = neardup.near_duplicates(frame(spark, data), width=1, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(600)}
+
+
+def test_a_crowded_region_is_compared_in_full():
+    import pyarrow as pa
+
+    n = neardup.SIDE + 200
+    cols = {"tree": np.zeros(n, np.int64), "rep": np.arange(n), "n": np.full(n, 9), "comp": np.arange(n)}
+    sketch = np.random.default_rng(5).integers(0, 256, (n, neardup.SKETCH), np.uint8)
+    sketch[n - 1] = sketch[0]
+    batch = pa.RecordBatch.from_pydict({**cols, "key": [bytes(2 * neardup.DEPTH)] * n, "sketch": [x.tobytes() for x in sketch]})
+    (got,) = neardup.near(iter([batch]), 0.8, False)
+    assert got.column("b").to_pylist() == [0, n - 1]
