@@ -1,7 +1,8 @@
 """Language identification: script ranges narrow the candidates, then Viterbi over per-word scores labels spans.
 
 A word's score in a language is its log probability under a character model of that language (four-character windows backed
-off to shorter ones). Switching between languages within a text costs a fixed penalty, so stray words don't break a span.
+off to shorter ones). Runs of letters without white space are cut at changes of script and into bounded pieces, each a word of its
+own, so that texts of scripts without spaces are learned and scored to their end. Switching between languages within a text costs a fixed penalty, so stray words don't break a span.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from .common import held_out, slices, texts_of
 FIT_ROWS = 12_000
 ORDER = 4
 PENALTY = 8.0
+#: Letters of a word at most, and in scripts that put no spaces between words; longer runs are several words.
+PIECE, UNSPACED_PIECE, UNSPACED = 64, 8, frozenset({"han", "kana", "thai", "lao"})
+#: Words scored at once, and words of a language held at once while counting.
+SCORED, COUNTED = 50_000, 200_000
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_/\\"
 _BASE = np.int64(1_000_003)
 #: First code points of blocks that tell scripts apart (Unicode block ranges), by name.
-SCRIPTS = [(0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "indic"), (0x0E00, "thai"), (0x0E80, "lao"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
+SCRIPTS = [(0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "indic"), (0x0E00, "thai"), (0x0E80, "lao"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
 
 
 @lru_cache(4096)
@@ -52,6 +57,33 @@ def letters(word: str) -> str:
     return "".join(c for c in word.lower() if c.isalpha() or unicodedata.category(c)[0] == "M")
 
 
+def script_of(word: str) -> str:
+    """The script of the first letter that has a known one."""
+    first = script(word[0])
+    return first if first not in ("", "other") else next((s for s in map(script, word) if s not in ("", "other")), first)
+
+
+def pieces(plain: str) -> list[str]:
+    """What ``letters`` gave as consecutive words of one script and bounded length; nothing is left out."""
+    if len(plain) <= PIECE and plain.isascii():
+        return [plain] if plain else []
+    runs, start, now = [], 0, ""
+    for i, c in enumerate(plain):
+        s = script(c)
+        # Marks and letters of unlisted scripts stay with what is before them.
+        if s and s != "other" and s != now:
+            if now:
+                runs.append((start, i, now))
+                start = i
+            now = s
+    runs.append((start, len(plain), now))
+    out = []
+    for a, z, name in runs:
+        step = UNSPACED_PIECE if name in UNSPACED else PIECE
+        out += [plain[i : min(i + step, z)] for i in range(a, z, step)]
+    return out
+
+
 def grams(word: str) -> list[str]:
     padded = f"^{word}$"
     return [padded[max(0, i - k + 1) : i + 1] for i in range(1, len(padded)) for k in range(1, ORDER + 1) if i - k + 1 >= 0]
@@ -99,7 +131,7 @@ class Model:
             found[todo[hit]] = True
         out[~found] = self.least
         total = np.add.reduceat(out, starts, axis=0)
-        for i, s in enumerate([script(w[0]) for w in plain] if any(not ok.all() for ok in self.scripts.values()) else []):
+        for i, s in enumerate(map(script_of, plain) if any(not ok.all() for ok in self.scripts.values()) else []):
             ok = self.scripts.get(s)
             if ok is not None and not ok.all() and ok.any():
                 total[i][~ok] -= 50.0
@@ -111,18 +143,26 @@ def counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
+        totals: dict[str, Counter] = {}
+
+        def settle(lg: str) -> None:
+            total = totals.setdefault(lg, Counter())
+            for w, n in found.pop(lg).items():
+                for g in grams(w):
+                    total[g] += n
+                total["@" + script_of(w)] += n
+
         for b in slices(batches, text):
             for t, lg in zip(texts_of(b.column(text)), b.column(lang).to_pylist()):
                 c = found.setdefault(lg, Counter())
                 for w, n in Counter(t.split()).items():
-                    if w := letters(w)[:64]:
-                        c[w] += n
-        for lg, words in found.items():
-            total: Counter = Counter()
-            for w, n in words.items():
-                for g in grams(w):
-                    total[g] += n
-                total["@" + script(w[0])] += n
+                    for piece in pieces(letters(w)):
+                        c[piece] += n
+                if len(c) > COUNTED:
+                    settle(lg)
+        for lg in list(found):
+            settle(lg)
+        for lg, total in totals.items():
             keys = list(total)
             for i in range(0, len(keys), 50_000):
                 part = keys[i : i + 50_000]
@@ -209,15 +249,17 @@ class Labeller:
         self.model = model
 
     def labelled(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text the scores and the labels of its words that have a letter."""
+        """Per text the scores and the labels of its words (``pieces``) that have a letter."""
         index: dict[str, int] = {}
         places = [np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)) for words in map(str.split, texts)]
-        plain = [letters(w)[:256] for w in index]
-        some = np.array([bool(w) for w in plain], bool)
-        number = np.cumsum(some) - 1
-        table = self.model.words([w for w in plain if w])
+        split = [pieces(letters(w)) for w in index]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        start = np.cumsum(count) - count
+        plain = [p for ps in split for p in ps]
+        table = np.concatenate([self.model.words(plain[i : i + SCORED]) for i in range(0, max(1, len(plain)), SCORED)])
         for at in places:
-            s = table[number[at[some[at]]]]
+            n = count[at]
+            s = table[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             yield s, viterbi(s)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:

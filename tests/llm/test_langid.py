@@ -64,3 +64,27 @@ def test_rejects_and_empties(spark):
     assert not {1000, 1001, 1002} & {r["doc_id"] for r in kept.collect()}
     assert langid.identify(frame(spark, [])).count() == 0
     assert {r["lang_pred"] for r in langid.identify(frame(spark, [(1, "abc", None, None, 1)])).collect()} == {"und"}
+
+
+def test_runs_without_spaces_are_learned_and_scored_to_their_end(spark):
+    """Two languages of one script whose documents are single runs; what tells them apart comes after 64 and 256 letters."""
+    shared, own = "一丁七万丈三上下", {"p": "木本札术朱朴机杀", "q": "水永求汁汗江池汝"}
+
+    def run(alphabet, seed, n):
+        r = random.Random(seed)
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    train = [(i, run(shared, i, 64) + run(own[lg], f"{lg}{i}", 300), lg, "s", 1) for i, lg in enumerate("pq" * 20)]
+    train += [(100 + i, text("aa", i), "aa", "s", 1) for i in range(20)]
+    lab = langid.Labeller(langid.fit(frame(spark, train)))
+    ((lang, share),) = lab.label([run(own["p"], 1, 320) + run(own["q"], 2, 1280)])
+    assert lang == "q" and abs(share - 0.8) < 0.02
+    assert [s[2] for s in lab.spans(run(own["p"], 3, 320) + text("aa", 9, 1) + run(own["q"], 4, 320))] in (["p", "aa", "q"], ["p", "q"])
+
+
+def test_pieces_leave_nothing_out():
+    assert langid.pieces("") == [] and langid.pieces("straße") == ["straße"] and langid.pieces("a" * 45) == ["a" * 45]
+    for w in ("a" * 1000, "漢" * 700 + "abc" + "ก" * 30, "人々" * 9, "да" + "x" * 80):
+        got = langid.pieces(w)
+        assert "".join(got) == w and max(map(len, got)) <= langid.PIECE
+        assert all(len({langid.script(c) for c in p} - {"", "other"}) == 1 for p in got)
