@@ -66,3 +66,14 @@ def test_evolution_never_loses_a_piece_nor_gets_worse(seed):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
+
+
+def test_added_tokens_get_the_ids_of_the_unchanged_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "plain  text"]
+    want = [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = packing.pack(frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)]), tokenizer_path()).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
