@@ -1,110 +1,109 @@
-"""LM scoring with a probabilistic suffix tree over words.
-
-Symbols of the tree are the frequent words, the end of a text and one class of all other words; within that class a word has its
-discounted share, and words never met in training share what the discounts leave (one class, as in the base). Contexts are the
-last one or two symbols. A context is kept if it is frequent enough to bound the tree and if its next-symbol distribution diverges
-from that of its suffix; distributions are smoothed with the suffix's, and the longest kept suffix of what came before
-predicts the next symbol.
-
-One pass over the texts leaves, per chunk of documents, their word sequences and the chunk's distinct words dealt by hash into
-word buckets. Buckets meet their counts from all chunks, so neither a word's rows nor the vocabulary ever lie in one place.
+"""LM scoring with a probabilistic suffix tree over all words.
+
+A context is the last one, two or three words (the place before a text included). It is kept if it was met at least twice in
+training, if the context that it extends was kept, and if its next-word distribution diverges from that of its suffix: its left-out
+log likelihood ratio against the suffix must be positive by a margin. Distributions are smoothed by absolute discounting with
+that of the suffix, down to the words' own shares; the longest kept suffix of what came before predicts the next word. So
+the tree grows with the corpus: no share, rank or number bounds it.
+
+The tree is never gathered. Texts are read once into chunk files in the shared folder. For each depth a chunk sends the distinct
+(context, next word) pairs that it needs, with its own training counts, to buckets of the contexts' hashes; a bucket merges the
+counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. A context met more
+than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
+contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 32).
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, bytes_of, cut, held_out, slices
-
-#: Least share of the training tokens of a symbol and of a context: there are at most 1 / P_MIN of either at each depth, so
-#: the tree, which is gathered and broadcast, has at most 2 / P_MIN**2 probabilities.
-P_MIN = 1 / 2048
-#: Weight of the suffix's distribution in smoothing, and the divergence (nats a token, times tokens) that keeps a context, per
-#: symbol that follows it.
-PRIOR, DIVERGE = 50.0, 1.0
-CHUNK_BYTES = 16 << 20
-END = b""
-
-
-@dataclass
-class Tree:
-    """Next-symbol log10 probabilities: ``one[previous, next]`` and ``two[row of the last two, next]``."""
-
-    symbols: dict  # word -> symbol; other words are ``other``, the place before a text ``other + 1``
-    other: int
-    tokens: int
-    one: np.ndarray
-    pairs: np.ndarray  # codes previous-but-one * (other + 2) + previous of the kept contexts of two, sorted
-    two: np.ndarray
-    discount: float
-    rest: int  # training tokens and types outside the frequent words
-    types: int
-
-    def within(self, counts: np.ndarray) -> np.ndarray:
-        """log10 share of words with these training counts in the class of other words."""
-        seen = np.log10(np.maximum(counts - self.discount, 1e-9) / max(self.rest, 1))
-        return np.where(counts > 0, seen, math.log10(max(self.discount * self.types, 0.5) / max(self.rest, 1)) if self.rest else 0.0)
-
-    def chain(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol of a run of texts that begin at ``starts``."""
-        a, b = before(s, starts, self.other + 1)
-        code = a.astype(np.int64) * (self.other + 2) + b
-        if not len(self.pairs):
-            return self.one[b, s]
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == code, self.two[at, s], self.one[b, s])
-
-
-def before(s: np.ndarray, starts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last but one and the last symbol before each symbol; ``start`` in front of a text."""
-    last = np.empty_like(s)
-    last[1:] = s[:-1]
-    last[starts] = start
-    more = np.empty_like(s)
-    more[1:] = last[:-1]
-    more[starts] = start
-    return more, last
-
-
-def bagged(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Per chunk one row with its word sequences (bucket -1), and one per bucket with its distinct words and training counts."""
+from .common import LOWER_AZ, bytes_of, cut, held_out, shared_dir, slices
+
+#: Longest context; what absolute discounting takes from each count; left-out gain (nats) that keeps a context; least count.
+DEPTH, DISCOUNT, MARGIN, SUPPORT = 3, 0.75, 1.0, 2
+#: Bytes of text of a chunk, and of text that one bucket answers for.
+CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 6 << 20
+#: A context met more often than this is dealt over several buckets; there are at most ``HOT_ROWS`` such contexts a depth.
+HOT, HOT_ROWS = 1 << 18, 1 << 20
+_U = np.uint64
+_P, _Q, _START = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_48, _32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(29))
+
+
+# ---- arrays on the wire: byte planes, compressed
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        body = zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes()) if len(a) else b""
+        out.append(f"{a.dtype.str},{len(a)},{len(body)};".encode() + body)
+    return b"".join(out)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    out, p = [], 0
+    while p < len(raw):
+        z = raw.index(b";", p)
+        kind, n, size = raw[p:z].decode().split(",")
+        body = raw[z + 1 : z + 1 + int(size)]
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8) if int(n) else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(-1, int(n)).T).view(np.dtype(kind)).reshape(-1) if int(n) else np.zeros(0, np.dtype(kind)))
+        p = z + 1 + int(size)
+    return out
+
+
+# ---- chunks
+
+
+def file_system(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def chunked(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
+    """Writes the texts as chunk files; (chunk, path, tokens, train_tokens, train_docs). Only files of finished tasks are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        names = ["chunk", "bucket", "words", "counts", "ids", "held", "ends", "index", "n_train"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+        system, base = file_system(folder)
+        ctx = TaskContext.get()
+        chunk = (ctx.partitionId() if ctx else 0) << 32
+        local: dict = {}
+        texts, ids, held, known, size = [], [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            words = sorted(local, key=local.get)
-            train = np.zeros(len(words), np.int64)
-            for s, h in zip(texts, held):
-                if not h:
-                    train += np.bincount(s, minlength=len(words))
-            deal = np.array([xxhash.xxh64_intdigest(w, 5) % buckets for w in words], np.int64)
-            rows = [(chunk, -1, b" ".join(words), None, ids, held, [len(s) for s in texts], np.concatenate(texts).tobytes(), int(train.sum()))]
-            order = np.argsort(deal, kind="stable")
-            edges = np.flatnonzero(np.diff(np.r_[-1, deal[order]]))
-            for a, z in zip(edges, [*edges[1:], len(order)]):
-                at = order[a:z]
-                rows.append((chunk, int(deal[at[0]]), b" ".join([words[i] for i in at]), train[at].tobytes(), None, None, None, at.astype(np.uint32).tobytes(), None))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
+            ends = np.array([len(s) for s in texts], np.int64)
+            out = np.array(held, bool)
+            blob = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), out, ends, np.concatenate(texts), words)
+            path = f"{base}/chunk-{chunk:016d}-{uuid.uuid4().hex[:12]}"
+            system.create_dir(base, recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(blob)
+            cols = [[chunk], [path], [int(ends.sum())], [int(ends[~out].sum())], [int((~out).sum())]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["chunk", "path", "tokens", "train_tokens", "train_docs"])
 
-        local: dict = {}
-        texts, ids, held, size = [], [], [], 0
         for b in slices(batches, "_t"):
             for doc, out, raw in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), bytes_of(b.column("_t"))):
                 words = raw.translate(LOWER_AZ).split()
-                words.append(END)
+                words.append(b"")
                 texts.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.uint32, len(words)))
                 ids.append(doc), held.append(out)
                 size += len(raw)
@@ -115,141 +114,232 @@ def bagged(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         if ids:
             yield closed()
 
-    schema = "chunk long, bucket int, words binary, counts binary, ids array<long>, held array<boolean>, ends array<int>, index binary, n_train long"
-    return docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, 7).alias("held_out"), F.col(text).alias("_t")).mapInArrow(run, schema)
-
-
-def merged(t: pa.Table) -> tuple[dict[bytes, int], list[list[bytes]]]:
-    """A bucket's words with their training counts, and the words of each of its rows in order."""
-    total: dict[bytes, int] = {}
-    lists = []
-    for words, counts in zip(t.column("words"), t.column("counts")):
-        got = words.as_py().split(b" ")  # the end is the empty word
-        lists.append(got)
-        for w, n in zip(got, np.frombuffer(counts.as_buffer(), np.int64).tolist()):
-            total[w] = total.get(w, 0) + n
-    return total, lists
-
-
-def symbols_of(words: bytes, index: np.ndarray, symbols: dict, other: int) -> np.ndarray:
-    """The symbols of a chunk's sequences."""
-    local = words.split(b" ")
-    return np.fromiter((symbols.get(w, other) for w in local), np.int32, len(local))[index]
-
-
-def ngrams(bags: DataFrame, symbols: dict, other: int, contexts: np.ndarray | None) -> DataFrame:
-    """(code, n) of the pairs of symbols in training, or of what follows the ``contexts`` of two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for words, index, ends, held in zip(*(b.column(c) for c in ("words", "index", "ends", "held"))):
-                s = symbols_of(words.as_py(), np.frombuffer(index.as_buffer(), np.uint32), symbols, other)
-                ends = ends.values.to_numpy()
-                starts = np.cumsum(np.r_[0, ends[:-1]])
-                train = np.repeat(~held.values.to_numpy(zero_copy_only=False), ends)
-                more, last = before(s, starts, other + 1)
-                if contexts is None:
-                    code = last.astype(np.int64) * (other + 2) + s
-                else:
-                    pair = more.astype(np.int64) * (other + 2) + last
-                    at = np.minimum(np.searchsorted(contexts, pair), max(0, len(contexts) - 1))
-                    train &= contexts[at] == pair
-                    code = at * (other + 2) + s
-                codes, n = np.unique(code[train], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-    return bags.select("words", "index", "ends", "held").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def fitted(every: DataFrame) -> tuple[Tree, int]:
-    """The tree, and the number of distinct training tokens."""
-    bags, words = every.where("bucket < 0"), every.where("bucket >= 0").select("bucket", "words", "counts")
-    tokens = bags.agg(F.sum("n_train")).first()[0] or 0
-    least = max(2.0, P_MIN * tokens)
-
-    def count(t: pa.Table) -> pa.Table:
-        total, _ = merged(t)
-        sums: Counter = Counter()
-        often = [(w, n) for w, n in total.items() if n >= least]
-        for w, n in total.items():
-            if n:
-                sums["distinct"] += 1
-                if n < least:
-                    sums["rest"] += n
-                    sums["types"] += 1
-                    sums["once"] += n == 1
-                    sums["twice"] += n == 2
-        return pa.table({"what": pa.array(["word"] * len(often) + [*sums], pa.string()), "word": pa.array([w for w, _ in often] + [None] * len(sums), pa.binary()), "n": pa.array([n for _, n in often] + [*sums.values()], pa.int64())})
-
-    got = words.groupBy("bucket").applyInArrow(count, "what string, word binary, n long").groupBy("what", "word").agg(F.sum("n").alias("n")).collect()
-    sums = Counter({r["what"]: r["n"] for r in got if r["word"] is None})
-    often = sorted({bytes(r["word"]) for r in got if r["word"] is not None} | {END})
-    symbols, other = {w: i for i, w in enumerate(often)}, len(often)
-    k, size = other + 1, other + 2
-    # At most 1 / P_MIN symbols: their pairs, and what follows at most 1 / P_MIN contexts of two, may be gathered.
-    pair = np.zeros((size, size))
-    rows = ngrams(bags, symbols, other, None).toPandas()
-    pair.flat[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    pair = pair[:, :k]
-    root = (pair.sum(0) + 1) / (pair.sum() + k)
-
-    def smoothed(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = n.sum(1, keepdims=True)
-        p = (n + PRIOR * lower) / (total + PRIOR)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(n > 0, n * np.log(n / np.maximum(total, 1) / lower), 0).sum(1)
-        kept = (total[:, 0] >= least) & (gain >= DIVERGE * (n > 0).sum(1))
-        return p, kept
-
-    p, kept = smoothed(pair, np.broadcast_to(root, pair.shape))
-    one = np.where(kept[:, None], p, root)
-    a, b = np.nonzero(pair >= least)
-    codes = np.sort(a.astype(np.int64) * size + b)  # contexts of two: pairs that are frequent
-    rows = ngrams(bags, symbols, other, codes).toPandas() if len(codes) else None
-    two = np.zeros((len(codes), size))
-    if rows is not None:
-        two.flat[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    p, kept = smoothed(two[:, :k], one[codes % size]) if len(codes) else (two[:, :k], np.zeros(0, bool))
-    d = min(0.95, max(0.05, sums["once"] / max(1, sums["once"] + 2 * sums["twice"])))
-    return Tree(symbols, other, tokens, np.log10(one), codes[kept], np.log10(np.maximum(p[kept], 1e-300)), d, sums["rest"], sums["types"]), sums["distinct"]
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    schema = "chunk long, path string, tokens long, train_tokens long, train_docs long"
+    return cut(docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, 7).alias("held_out"), F.col(text).alias("_t")).mapInArrow(run, schema))
+
+
+class Chunk:
+    """One chunk's tokens, and what the answers so far say of each of them."""
+
+    def __init__(self, raw: bytes):
+        self.ids, self.real, self.held, self.ends, self.index, self.words = unpacked(raw)
+        self.start = np.cumsum(self.ends) - self.ends
+        n = len(self.index)
+        self.h = self.words[self.index]
+        self.at = np.arange(n) - np.repeat(self.start, self.ends)
+        self.train = np.repeat(~self.held, self.ends)
+        #: Natural log probability and training count so far; count of the context, and whether the last context was kept.
+        self.logp = self.seen = self.whole = self.kept = None
+
+    def context(self, depth: int) -> np.ndarray:
+        """Hashes of the last ``depth`` words before each token; ``_START`` stands before a text."""
+        before = np.full(len(self.h), _START, np.uint64)
+        out = np.full(len(self.h), _U(depth), np.uint64)
+        for k in range(1, depth + 1):
+            before[k:] = self.h[:-k] if k < len(self.h) else before[k:]
+            out = mix(out * _P + np.where(self.at >= k, before, _START))
+        return out
+
+    def asked(self, depth: int) -> np.ndarray:
+        """The tokens whose context of this depth may be in the tree."""
+        if not depth:
+            return np.arange(len(self.h))
+        first = self.at == 0
+        whole = np.zeros(len(self.h), np.int64)
+        whole[1:] = self.seen[:-1]
+        if depth == 1:
+            whole[first] = self.train_docs
+            ok = np.ones(len(self.h), bool)
+        else:
+            ok = self.kept & (self.at >= depth - 1)
+            whole[first] = 0
+        self.whole = whole
+        return np.flatnonzero(ok & (whole >= SUPPORT))
+
+    def request(self, depth: int, buckets: int, hot: int) -> tuple:
+        """What this depth asks: rows sorted by bucket and context, their inverse, and the arrays of each bucket."""
+        some = self.asked(depth)
+        if depth:
+            ctx = self.context(depth)[some] & _48
+            gram = mix(ctx * _Q + self.h[some])
+            whole = self.whole[some]
+            parts = -(-whole // hot)
+            piece = np.where(parts > 1, (gram >> _U(40)) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
+            bucket = (mix(ctx + piece * _P) % _U(buckets)).astype(np.int64) + np.where(parts > 1, buckets, 0)
+        else:
+            ctx = gram = self.h
+            whole, bucket = None, (self.h % _U(buckets)).astype(np.int64)
+        _, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        count = np.bincount(inverse, self.train[some], len(first)).astype(np.uint32)
+        order = np.lexsort((ctx[first], bucket[first]))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        first = first[order]
+        return some, rank[inverse], bucket[first], ctx[first], gram[first], count[order], None if whole is None else whole[first], None if not depth else self.logp[some][first]
+
+    def told(self, depth: int, buckets: int, hot: int, answers: dict[int, list], hot_kept: dict) -> None:
+        """Takes in the answers of a depth: ``answers`` maps a bucket to its arrays."""
+        some, inverse, bucket, ctx, _, _, _, _ = self.request(depth, buckets, hot)
+        edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
+        count = np.concatenate([answers[int(bucket[a])][0] for a in edges]).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
+        if not depth:
+            self.seen = count[inverse]
+            self.logp = np.log((self.seen + 1) / (self.tokens + self.types + 1))
+            self.base = self.logp / np.log(10)
+            self.known = self.seen > 0
+            self.kept = np.ones(len(self.h), bool)
+            return
+        starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(ctx) != 0)]) if len(bucket) else np.zeros(0, np.int64)
+        kinds = np.concatenate([answers[int(bucket[a])][1] for a in edges]).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
+        for i in np.flatnonzero(bucket[starts] >= buckets):  # hot contexts: the sums of their parts decide
+            kinds[i] = hot_kept.get(int(ctx[starts[i]]), 0)
+        kinds = np.repeat(kinds, np.diff(np.r_[starts, len(bucket)]))[inverse]
+        c, whole = count[inverse], self.whole[some]
+        seen, kept = np.zeros_like(self.seen), np.zeros(len(self.h), bool)
+        seen[some] = c
+        ok = kinds > 0  # the number of next words of a context that is kept; 0 if it is not
+        at = some[ok]
+        low = np.exp(self.logp[at])
+        self.logp[at] = np.log(np.maximum(c[ok] - DISCOUNT, 0) / whole[ok] + DISCOUNT * kinds[ok] / whole[ok] * low)
+        kept[at] = True
+        self.seen, self.kept = seen, kept
+
+
+def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[list[bytes], list[tuple[int, float, int]]]:
+    """The answers to a bucket's requests in their order, and of hot contexts (context, gain, next words) in this bucket."""
+    parts = [unpacked(p) for p in payloads]
+    if not depth:
+        grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
+        cuts = np.cumsum([0] + [len(p[0]) for p in parts])
+        return [packed(total[inverse[a:z]]) for a, z in zip(cuts, cuts[1:])], [(0, 0.0, int((total > 0).sum()))]
+    ctx, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    runs = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    row = np.repeat(at, runs)
+    keys, first, inverse = np.unique(row.astype(np.uint64) << _U(32) | np.concatenate([p[2] for p in parts]).astype(np.uint64), return_index=True, return_inverse=True)
+    row = row[first]
+    total = np.bincount(inverse, np.concatenate([p[3] for p in parts]), len(keys))
+    low = np.exp(np.concatenate([p[4] for p in parts])[first] / -8.0)
+    whole, kinds = np.bincount(row, total, len(ctx)), np.bincount(row, total > 0, len(ctx))
+    if parted:  # next words are dealt by hash, so each part has about as many
+        whole_all = np.zeros(len(ctx))
+        whole_all[at] = np.concatenate([p[5] for p in parts])
+        kinds_all = kinds * np.ceil(whole_all / hot)
+    else:
+        kinds_all, whole_all = kinds, whole
+    # Each occurrence is predicted from the others of its context, and compared with the suffix.
+    left = np.maximum(whole_all[row] - 1, 1)
+    p = np.maximum(total - 1 - DISCOUNT, 0) / left + DISCOUNT * kinds_all[row] / left * low
+    gain = np.bincount(row, total * np.log(np.maximum(p, 1e-300) / low), len(ctx))
+    kept = np.where((whole_all >= SUPPORT) & (gain > MARGIN), kinds, 0).astype(np.uint32)
+    out, a, g = [], 0, 0
+    for p in parts:
+        n = int(p[1].sum())
+        out.append(packed(total[inverse[a : a + n]].astype(np.int64), kept[at[g : g + len(p[0])]]))
+        a, g = a + n, g + len(p[0])
+    return out, [(int(c), float(x), int(k)) for c, x, k in zip(ctx, gain, kinds)] if parted else []
+
+
+# ---- exchanges
+
+
+def payload(depth: int, rows: slice, ctx, gram, count, whole, logp, hot: bool) -> bytes:
+    """A bucket's part of a request: contexts, their numbers of pairs, next words, counts, and probabilities by the suffix in eighths of a nat."""
+    c = ctx[rows]
+    if not depth:
+        return packed(c, count[rows])
+    starts = np.flatnonzero(np.r_[True, np.diff(c) != 0])
+    runs = np.diff(np.r_[starts, len(c)]).astype(np.uint32)
+    low = np.clip(np.rint(-logp[rows] * 8), 0, 255).astype(np.uint8)
+    arrays = [c[starts], runs, (gram[rows] & _32).astype(np.uint32), count[rows], low]
+    return packed(*arrays, *([whole[rows][starts].astype(np.int64)] if hot else []))
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """One row a document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    A null or empty text is the end alone; repeated rows are scored each (and counted each, in training); an empty table
-    gives none; other columns are ignored. Ids are integers. White space between words carries no probability.
+    A null or empty text is the end alone; repeated rows are scored each (and counted each, in training); a null id stays
+    null; an empty table gives none; other columns are ignored. Ids are integers. White space carries no probability.
     """
     spark = docs.sparkSession
-    buckets = int(min(16384, max(8, 4 * docs.select(text).rdd.getNumPartitions())))
-    every = cut(bagged(docs, key, text, buckets))
-    tree, distinct = fitted(every)
-    tokens = tree.tokens
-    spread = spark.sparkContext.broadcast(tree)
-
-    def answer(t: pa.Table) -> pa.Table:
-        total, lists = merged(t)
-        rows = [np.fromiter(map(total.__getitem__, x), np.int64, len(x)).tobytes() for x in lists]
-        return pa.table({"chunk": t.column("chunk"), "index": t.column("index"), "c": pa.array(rows, pa.binary())})
-
-    answers = every.where("bucket >= 0").select("chunk", "bucket", "words", "counts", "index").groupBy("bucket").applyInArrow(answer, "chunk long, index binary, c binary")
+    folder = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, -(-int(size) // BUCKET_BYTES))
+    chunks = chunked(docs, key, text, folder)
+    tokens, train_docs = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
+    # So many occurrences a part that there are never more than HOT_ROWS hot contexts.
+    hot = max(hot, int(tokens) // HOT_ROWS)
+    facts = {"tokens": int(tokens), "train_docs": int(train_docs), "types": 0}
+    spread = spark.sparkContext.broadcast
+    answer_schema = "chunk long, depth int, bucket int, payload binary"
+    replies: list[DataFrame] = []
+    kept_hot: list = []
+
+    def loaded(path: str, right: pa.Table | None, upto: int, facts: dict, tables: list) -> Chunk:
+        """A chunk with the answers of the depths before ``upto`` taken in."""
+        system, _ = file_system(folder)
+        with system.open_input_file(path) as f:
+            c = Chunk(f.read())
+        c.tokens, c.types, c.train_docs = facts["tokens"], facts["types"], facts["train_docs"]
+        by: dict = {}
+        for d, b, p in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "payload"))) if right is not None else ():
+            by.setdefault(d, {})[b] = unpacked(p)
+        for d in range(upto):
+            c.told(d, buckets, hot, by.get(d, {}), tables[d].value if d else {})
+        return c
+
+    def with_replies(f, schema: str) -> DataFrame:
+        if not replies:
+            return chunks.select("chunk", "path").repartition(max(1, chunks.count()), "chunk").mapInArrow(lambda it: (x for b in it for p in b.column("path").to_pylist() for x in f(p, None, b).to_batches()), schema)
+        every = replies[0]
+        for r in replies[1:]:
+            every = every.unionByName(r)
+
+        def one(left: pa.Table, right: pa.Table) -> pa.Table:
+            return f(left.column("path")[0].as_py(), right, left)
+
+        return chunks.select("chunk", "path").groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(one, schema)
+
+    def asking(d: int, now: dict, tables: list):
+        def ask(path: str, right: pa.Table | None, left) -> pa.Table:
+            c = loaded(path, right, d, now, tables)
+            chunk = left.column("chunk").to_pylist()[left.column("path").to_pylist().index(path)]
+            _, _, bucket, ctx, gram, count, whole, logp = c.request(d, buckets, hot)
+            edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
+            rows = [(chunk, int(bucket[a]), payload(d, slice(a, z), ctx, gram, count, whole, logp, bucket[a] >= buckets)) for a, z in zip(edges, [*edges[1:], len(bucket)])]
+            cols = list(zip(*rows)) or [[], [], []]
+            return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int32()), "payload": pa.array(cols[2], pa.binary())})
+
+        return ask
+
+    def answering(d: int):
+        def answer(t: pa.Table) -> pa.Table:
+            t = t.sort_by("chunk")  # floating sums don't depend on the order of arrival
+            bucket = t.column("bucket")[0].as_py()
+            out, told = merged(t.column("payload").to_pylist(), d, bucket >= buckets, hot)
+            n, m = len(out), len(told)
+            return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), *[None] * m], pa.int64()), "depth": pa.array([d] * (n + m), pa.int32()), "bucket": pa.array([bucket] * (n + m), pa.int32()), "payload": pa.array([*out, *[None] * m], pa.binary()), "ctx": pa.array([None] * n + [x[0] for x in told], pa.int64()), "gain": pa.array([None] * n + [x[1] for x in told], pa.float64()), "kinds": pa.array([None] * n + [x[2] for x in told], pa.int64())})
+
+        return answer
+
+    for d in range(depth + 1):
+        asked = with_replies(asking(d, dict(facts), list(kept_hot)), "chunk long, bucket int, payload binary")
+        got = cut(asked.groupBy("bucket").applyInArrow(answering(d), answer_schema + ", ctx long, gain double, kinds long"))
+        sums = got.where("chunk is null").groupBy("ctx").agg(F.sum("gain").alias("gain"), F.sum("kinds").alias("kinds"))
+        if d == 0:
+            facts["types"] = int(sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
+            kept_hot.append(None)
+        else:
+            # At most HOT_ROWS contexts are hot, 16 bytes each.
+            kept_hot.append(spread({r["ctx"]: r["kinds"] for r in sums.where(F.col("gain") > MARGIN).select("ctx", "kinds").collect()}))
+        replies.append(got.where("chunk is not null").select("chunk", "depth", "bucket", "payload"))
+
+    now, tables = dict(facts), list(kept_hot)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = spread.value
-        c = np.zeros(sum(len(x.as_buffer()) for x in right.column("index")) // 4, np.int64)
-        for i, x in zip(right.column("index"), right.column("c")):
-            c[np.frombuffer(i.as_buffer(), np.uint32)] = np.frombuffer(x.as_buffer(), np.int64)
-        base, within = np.log10((c + 1) / (tokens + distinct + 1)), tree.within(c)
-        out = []
-        for r in left.to_pylist():
-            index = np.frombuffer(r["index"], np.uint32)
-            start = np.cumsum([0, *r["ends"][:-1]])
-            s = symbols_of(r["words"], index, tree.symbols, tree.other)
-            p = tree.chain(s, start) + np.where(s == tree.other, within[index], 0.0)
-            sums = [np.add.reduceat(v, start) for v in ((c[index] > 0).astype(np.int64), base[index], p)]
-            out.append(pa.table({"doc_id": pa.array(r["ids"], pa.int64()), "held_out": pa.array(r["held"], pa.bool_()), "n_tokens": pa.array(r["ends"], pa.int64()), "n_known": pa.array(sums[0]), "train_tokens": pa.array([tokens] * len(start), pa.int64()), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])}))
-        return pa.concat_tables(out)
-
-    bags = every.where("bucket < 0").select("chunk", "words", "ids", "held", "ends", "index")
-    return bags.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
+    def scored(path: str, right: pa.Table | None, _left) -> pa.Table:
+        c = loaded(path, right, depth + 1, now, tables)
+        known, base, p = (np.add.reduceat(v, c.start) for v in (c.known.astype(np.int64), c.base, c.logp / np.log(10)))
+        return pa.table({"doc_id": pa.array(c.ids, mask=~c.real), "held_out": pa.array(c.held), "n_tokens": pa.array(c.ends), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(c.ids), now["tokens"], np.int64)), "base_score": pa.array(base), "score": pa.array(p)})
+
+    return with_replies(scored, schema)

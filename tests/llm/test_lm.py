@@ -4,7 +4,7 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
+import pytest
 
 from maskframe.llm import lm_score as M
 
@@ -24,7 +24,7 @@ def data(n=150):
     for i in range(n):
         w = []
         for _ in range(r.randrange(5, 60)):
-            w += r.choice([["the", "Cat"], ["of", "a"], [f"x{r.randrange(500)}"], ["the", "cat", "sat"], ["é漢"]])
+            w += r.choice([["the", "Cat"], ["of", "a"], [f"x{r.randrange(500)}"], ["the", "cat", "sat"], ["é漢"], ["u", "v", "w", "then"], ["t", "v", "w", "else"]])
         out.append((i, " ".join(w), "en", "s", 1))
     return out + EDGES
 
@@ -46,23 +46,84 @@ def test_base_and_score(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_next_symbols_are_distributions(spark):
-    tree, distinct = M.fitted(M.bagged(frame(spark, data()), "doc_id", "text", 8))
-    assert np.allclose((10**tree.one).sum(1), 1) and (not len(tree.two) or np.allclose((10.0**tree.two).sum(1), 1))
-    assert len(tree.pairs)  # "the cat" and the like are kept as contexts of two
-    rest = [w for w, n in Counter(t for x in data() if not out_of(x[0]) for t in tokens(x[1])).items() if w.encode() not in tree.symbols]
-    counts = Counter(t for x in data() if not out_of(x[0]) for t in tokens(x[1]))
-    seen = sum(10 ** float(tree.within(np.array([counts[w]]))[0]) for w in rest)
-    assert abs(seen + 10 ** float(tree.within(np.array([0]))[0]) - 1) < 0.02
-    assert distinct == len(counts)
-
-
-def test_longest_kept_suffix_is_used():
-    one = np.log10(np.full((4, 3), 1 / 3))
-    two = np.log10(np.array([[0.8, 0.1, 0.1]]))
-    t = M.Tree({}, 2, 10, one, np.array([0 * 4 + 1]), two, 0.5, 1, 1)
-    p = t.chain(np.array([0, 1, 0, 2, 0]), np.array([0, 3]))
-    assert np.allclose(10**p, [1 / 3, 1 / 3, 0.8, 1 / 3, 1 / 3])
+START = object()
+
+
+def contexts(t, i, depth):
+    """The last ``depth`` words before place ``i``, the start among them at most once; None if there aren't so many."""
+    before = [START, *t[:i]]
+    return tuple(before[-depth:]) if len(before) >= depth else None
+
+
+class Plain:
+    """The tree by dictionaries: counts of all training texts, contexts kept by their left-out gain over the suffix."""
+
+    def __init__(self, texts):
+        self.words = Counter(w for t in texts for w in t)
+        self.n, self.types = sum(self.words.values()), len(self.words)
+        self.next = {}
+        for t in texts:
+            for i, w in enumerate(t):
+                for k in range(1, M.DEPTH + 1):
+                    if c := contexts(t, i, k):
+                        self.next.setdefault(c, Counter())[w] += 1
+        self.kept = {}
+        for k in range(1, M.DEPTH + 1):
+            for c in [c for c in self.next if len(c) == k]:
+                self.kept[c] = (k == 1 or self.kept.get(c[1:], False)) and self.gain(c) > M.MARGIN
+
+    def p(self, w, context):
+        if not context:
+            return (self.words[w] + 1) / (self.n + self.types + 1)
+        low = self.p(w, context[1:])
+        if not self.kept.get(context):
+            return low
+        c = self.next[context]
+        whole = sum(c.values())
+        return max(c[w] - M.DISCOUNT, 0) / whole + M.DISCOUNT * len(c) / whole * low
+
+    def gain(self, context):
+        c = self.next[context]
+        whole, out = sum(c.values()), 0.0
+        if whole < M.SUPPORT:
+            return -1.0
+        for w, n in c.items():
+            # The suffix's probability travels in eighths of a nat.
+            low = math.exp(-round(-math.log(self.p(w, context[1:])) * 8) / 8)
+            out += n * math.log((max(n - 1 - M.DISCOUNT, 0) / (whole - 1) + M.DISCOUNT * len(c) / (whole - 1) * low) / low)
+        return out
+
+    def score(self, t):
+        return sum(math.log10(self.p(w, next((c for k in range(M.DEPTH, 0, -1) if (c := contexts(t, i, k)) and self.kept.get(c)), ()))) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 40])
+def test_same_as_dictionaries(spark, monkeypatch, hot):
+    monkeypatch.setattr(M, "BUCKET_BYTES", 4000)
+    d = data()
+    tree = Plain([tokens(x[1]) for x in d if not out_of(x[0])])
+    assert max(map(len, [c for c, ok in tree.kept.items() if ok])) == M.DEPTH
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in M.score(frame(spark, d), hot=hot).collect())
+    want = sorted((x[0] or 0, tree.score(tokens(x[1]))) for x in d)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    far = [abs(a - b) for (_, a), (_, b) in zip(got, want)]
+    if hot > 1000:
+        assert max(far) < 1e-6
+    else:  # a hot context's next words are counted per part, so a test near its margin may turn
+        assert sum(far) < 0.02 * abs(sum(s for _, s in want))
+
+
+def test_kept_contexts_predict_distributions():
+    tree = Plain([tokens(x[1]) for x in data() if not out_of(x[0])])
+    some = [c for c, ok in tree.kept.items() if ok]
+    for c in some[:5] + some[-5:]:
+        assert abs(sum(tree.p(w, c) for w in tree.words) + tree.p("never met", c) - 1) < 1e-9
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    d = data(80)
+    rows = lambda n: sorted((str(r["doc_id"]), round(r["score"], 9)) for r in M.score(frame(spark, d).repartition(n)).collect())
+    assert rows(1) == rows(7)
 
 
 def test_tables_without_training(spark):
