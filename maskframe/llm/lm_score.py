@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -31,7 +32,7 @@ from .common import LOWER_AZ, bytes_of, cut, held_out, shared_dir, slices
 #: Longest context; what absolute discounting takes from each count; left-out gain (nats) that keeps a context; least count.
 DEPTH, DISCOUNT, MARGIN, SUPPORT = 3, 0.75, 1.0, 2
 #: Bytes of text of a chunk, and of text that one bucket answers for.
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 6 << 20
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: A context met more often than this is dealt over several buckets; there are at most ``HOT_ROWS`` such contexts a depth.
 HOT, HOT_ROWS = 1 << 18, 1 << 20
 _U = np.uint64
@@ -118,124 +119,138 @@ def chunked(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
     return cut(docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, 7).alias("held_out"), F.col(text).alias("_t")).mapInArrow(run, schema))
 
 
+class Request:
+    """What a chunk asks at one depth: its distinct (context, next word) pairs, sorted by bucket and context."""
+
+    def __init__(self, some: np.ndarray, code: np.ndarray, bucket: np.ndarray, ctx: np.ndarray, gram: np.ndarray | None, count: np.ndarray, whole: np.ndarray | None, logp: np.ndarray | None):
+        self.some, self.code, self.bucket, self.ctx, self.gram, self.count, self.whole, self.logp = some, code, bucket, ctx, gram, count, whole, logp
+        self.edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
+        #: Where another context, or another part of a hot one, begins.
+        self.starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(ctx) != 0)]) if len(bucket) else np.zeros(0, np.int64)
+
+    def payloads(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, arrays): contexts, their numbers of pairs, next words, counts, probabilities by the suffix in eighths of a nat."""
+        for a, z in zip(self.edges, [*self.edges[1:], len(self.bucket)]):
+            bucket = int(self.bucket[a])
+            if self.gram is None:
+                yield bucket, packed(self.ctx[a:z], self.count[a:z])
+                continue
+            starts = self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, z)]
+            low = np.clip(np.rint(self.logp[a:z] * -8), 0, 255).astype(np.uint8)
+            arrays = [self.ctx[starts], np.diff(np.r_[starts, z]).astype(np.uint32), (self.gram[a:z] & _32).astype(np.uint32), self.count[a:z], low]
+            yield bucket, packed(*arrays, *([self.whole[starts]] if bucket >= buckets else []))
+
+
+def range_of(h48: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets as ranges of hashes, so that rows sorted by hash are sorted by bucket."""
+    return (((h48 >> _U(16)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
 class Chunk:
     """One chunk's tokens, and what the answers so far say of each of them."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, tokens: int, types: int, train_docs: int):
         self.ids, self.real, self.held, self.ends, self.index, self.words = unpacked(raw)
+        self.tokens, self.types, self.train_docs = tokens, types, train_docs
         self.start = np.cumsum(self.ends) - self.ends
-        n = len(self.index)
-        self.h = self.words[self.index]
-        self.at = np.arange(n) - np.repeat(self.start, self.ends)
+        self.at = np.arange(len(self.index), dtype=np.int64) - np.repeat(self.start, self.ends)
         self.train = np.repeat(~self.held, self.ends)
-        #: Natural log probability and training count so far; count of the context, and whether the last context was kept.
-        self.logp = self.seen = self.whole = self.kept = None
+        #: Per token: natural log probability; number, training count and keeping of the pair of the last depth (number -1: not asked).
+        self.logp = self.code = self.seen = self.kept = None
 
-    def context(self, depth: int) -> np.ndarray:
-        """Hashes of the last ``depth`` words before each token; ``_START`` stands before a text."""
-        before = np.full(len(self.h), _START, np.uint64)
-        out = np.full(len(self.h), _U(depth), np.uint64)
+    def contexts(self, places: np.ndarray, depth: int) -> np.ndarray:
+        """48-bit hashes of the last ``depth`` words before places; ``_START`` stands before a text."""
+        out = np.full(len(places), _U(depth), np.uint64)
         for k in range(1, depth + 1):
-            before[k:] = self.h[:-k] if k < len(self.h) else before[k:]
-            out = mix(out * _P + np.where(self.at >= k, before, _START))
-        return out
+            far = self.at[places] >= k
+            out = mix(out * _P + np.where(far, self.words[self.index[np.where(far, places - k, 0)]], _START))
+        return out & _48
 
-    def asked(self, depth: int) -> np.ndarray:
-        """The tokens whose context of this depth may be in the tree."""
+    def request(self, depth: int, buckets: int, hot: int) -> Request:
+        n = len(self.index)
         if not depth:
-            return np.arange(len(self.h))
+            key = self.words & _48
+            order = np.argsort(key, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            count = np.bincount(self.index[self.train], minlength=len(self.words)).astype(np.uint32)
+            return Request(np.arange(n), rank[self.index], range_of(key[order], buckets), self.words[order], None, count[order], None, None)
+        # A context is the pair of the depth before that ends right before the token.
         first = self.at == 0
-        whole = np.zeros(len(self.h), np.int64)
-        whole[1:] = self.seen[:-1]
-        if depth == 1:
-            whole[first] = self.train_docs
-            ok = np.ones(len(self.h), bool)
-        else:
-            ok = self.kept & (self.at >= depth - 1)
-            whole[first] = 0
-        self.whole = whole
-        return np.flatnonzero(ok & (whole >= SUPPORT))
-
-    def request(self, depth: int, buckets: int, hot: int) -> tuple:
-        """What this depth asks: rows sorted by bucket and context, their inverse, and the arrays of each bucket."""
-        some = self.asked(depth)
-        if depth:
-            ctx = self.context(depth)[some] & _48
-            gram = mix(ctx * _Q + self.h[some])
-            whole = self.whole[some]
-            parts = -(-whole // hot)
-            piece = np.where(parts > 1, (gram >> _U(40)) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
-            bucket = (mix(ctx + piece * _P) % _U(buckets)).astype(np.int64) + np.where(parts > 1, buckets, 0)
-        else:
-            ctx = gram = self.h
-            whole, bucket = None, (self.h % _U(buckets)).astype(np.int64)
-        _, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        count = np.bincount(inverse, self.train[some], len(first)).astype(np.uint32)
-        order = np.lexsort((ctx[first], bucket[first]))
+        before, whole = np.empty(n, np.int64), np.empty(n, np.int64)
+        before[1:], whole[1:] = self.code[:-1], self.seen[:-1]
+        before[first], whole[first] = (len(self.words), self.train_docs) if depth == 1 else (-1, 0)
+        some = np.flatnonzero(self.kept & (before >= 0) & (whole >= SUPPORT))
+        code, _ = pd.factorize(before[some] * len(self.words) + self.index[some])
+        new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0) if len(code) else np.zeros(0, np.int64)
+        count = np.bincount(code[self.train[some]], minlength=len(new)).astype(np.uint32)
+        places, whole = some[new], whole[some[new]]
+        ctx = self.contexts(places, depth)
+        gram = mix(ctx * _Q + self.words[self.index[places]])
+        parts = -(-whole // hot)
+        over = parts > 1
+        piece = np.where(over, (gram >> _U(40)) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
+        spot = np.where(over, mix(ctx + piece * _P) & _48, ctx)
+        order = np.argsort(spot | (over.astype(np.uint64) << _U(48)), kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        first = first[order]
-        return some, rank[inverse], bucket[first], ctx[first], gram[first], count[order], None if whole is None else whole[first], None if not depth else self.logp[some][first]
+        bucket = range_of(spot, buckets) + np.where(over, buckets, 0)
+        return Request(some, rank[code], bucket[order], ctx[order], gram[order], count[order], whole[order], self.logp[places][order])
 
     def told(self, depth: int, buckets: int, hot: int, answers: dict[int, list], hot_kept: dict) -> None:
         """Takes in the answers of a depth: ``answers`` maps a bucket to its arrays."""
-        some, inverse, bucket, ctx, _, _, _, _ = self.request(depth, buckets, hot)
-        edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
-        count = np.concatenate([answers[int(bucket[a])][0] for a in edges]).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
+        r = self.request(depth, buckets, hot)
+        join = lambda i: np.concatenate([answers[int(r.bucket[a])][i] for a in r.edges]).astype(np.int64) if len(r.edges) else np.zeros(0, np.int64)
+        count, n = join(0), len(self.index)
         if not depth:
-            self.seen = count[inverse]
+            self.code, self.seen, self.kept = self.index.astype(np.int64), count[r.code], np.ones(n, bool)
             self.logp = np.log((self.seen + 1) / (self.tokens + self.types + 1))
-            self.base = self.logp / np.log(10)
-            self.known = self.seen > 0
-            self.kept = np.ones(len(self.h), bool)
+            self.known, self.base = self.seen > 0, self.logp / np.log(10)
             return
-        starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(ctx) != 0)]) if len(bucket) else np.zeros(0, np.int64)
-        kinds = np.concatenate([answers[int(bucket[a])][1] for a in edges]).astype(np.int64) if len(edges) else np.zeros(0, np.int64)
-        for i in np.flatnonzero(bucket[starts] >= buckets):  # hot contexts: the sums of their parts decide
-            kinds[i] = hot_kept.get(int(ctx[starts[i]]), 0)
-        kinds = np.repeat(kinds, np.diff(np.r_[starts, len(bucket)]))[inverse]
-        c, whole = count[inverse], self.whole[some]
-        seen, kept = np.zeros_like(self.seen), np.zeros(len(self.h), bool)
-        seen[some] = c
-        ok = kinds > 0  # the number of next words of a context that is kept; 0 if it is not
-        at = some[ok]
-        low = np.exp(self.logp[at])
-        self.logp[at] = np.log(np.maximum(c[ok] - DISCOUNT, 0) / whole[ok] + DISCOUNT * kinds[ok] / whole[ok] * low)
-        kept[at] = True
-        self.seen, self.kept = seen, kept
+        kinds = join(1)
+        for i in np.flatnonzero(r.bucket[r.starts] >= buckets):  # hot contexts: the sums of their parts decide
+            kinds[i] = hot_kept.get(int(r.ctx[r.starts[i]]), 0)
+        kinds = np.repeat(kinds, np.diff(np.r_[r.starts, len(r.bucket)]))
+        # The number of next words of a context that is kept; 0 if it is not.
+        share = np.maximum(count - DISCOUNT, 0) / np.maximum(r.whole, 1), DISCOUNT * kinds / np.maximum(r.whole, 1)
+        ok = kinds[r.code] > 0
+        at, c = r.some[ok], r.code[ok]
+        self.logp[at] = np.log(share[0][c] + share[1][c] * np.exp(self.logp[at]))
+        self.code, self.seen, self.kept = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        self.code[r.some], self.seen[r.some] = r.code, count[r.code]
+        self.kept[at] = True
 
 
 def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[list[bytes], list[tuple[int, float, int]]]:
     """The answers to a bucket's requests in their order, and of hot contexts (context, gain, next words) in this bucket."""
     parts = [unpacked(p) for p in payloads]
+    column = lambda i: np.concatenate([p[i] for p in parts])
     if not depth:
-        grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
+        code, words = pd.factorize(column(0))
+        total = np.bincount(code, column(1), len(words)).astype(np.int64)
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
-        return [packed(total[inverse[a:z]]) for a, z in zip(cuts, cuts[1:])], [(0, 0.0, int((total > 0).sum()))]
-    ctx, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    runs = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    row = np.repeat(at, runs)
-    keys, first, inverse = np.unique(row.astype(np.uint64) << _U(32) | np.concatenate([p[2] for p in parts]).astype(np.uint64), return_index=True, return_inverse=True)
-    row = row[first]
-    total = np.bincount(inverse, np.concatenate([p[3] for p in parts]), len(keys))
-    low = np.exp(np.concatenate([p[4] for p in parts])[first] / -8.0)
+        return [packed(total[code[a:z]]) for a, z in zip(cuts, cuts[1:])], [(0, 0.0, int((total > 0).sum()))]
+    at, ctx = pd.factorize(column(0))
+    row = np.repeat(at, column(1))
+    code, keys = pd.factorize(row.astype(np.uint64) << _U(32) | column(2).astype(np.uint64))
+    new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0)
+    row, low = row[new], np.exp(column(4)[new] / -8.0)
+    total = np.bincount(code, column(3), len(keys))
     whole, kinds = np.bincount(row, total, len(ctx)), np.bincount(row, total > 0, len(ctx))
+    whole_all, kinds_all = whole, kinds
     if parted:  # next words are dealt by hash, so each part has about as many
         whole_all = np.zeros(len(ctx))
-        whole_all[at] = np.concatenate([p[5] for p in parts])
+        whole_all[at] = column(5)
         kinds_all = kinds * np.ceil(whole_all / hot)
-    else:
-        kinds_all, whole_all = kinds, whole
     # Each occurrence is predicted from the others of its context, and compared with the suffix.
     left = np.maximum(whole_all[row] - 1, 1)
     p = np.maximum(total - 1 - DISCOUNT, 0) / left + DISCOUNT * kinds_all[row] / left * low
     gain = np.bincount(row, total * np.log(np.maximum(p, 1e-300) / low), len(ctx))
     kept = np.where((whole_all >= SUPPORT) & (gain > MARGIN), kinds, 0).astype(np.uint32)
-    out, a, g = [], 0, 0
+    total, out, a, g = total.astype(np.uint32 if total.max(initial=0) < 2**32 else np.uint64), [], 0, 0
     for p in parts:
         n = int(p[1].sum())
-        out.append(packed(total[inverse[a : a + n]].astype(np.int64), kept[at[g : g + len(p[0])]]))
+        out.append(packed(total[code[a : a + n]], kept[at[g : g + len(p[0])]]))
         a, g = a + n, g + len(p[0])
     return out, [(int(c), float(x), int(k)) for c, x, k in zip(ctx, gain, kinds)] if parted else []
 
@@ -243,18 +258,6 @@ def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[l
 # ---- exchanges
 
 
-def payload(depth: int, rows: slice, ctx, gram, count, whole, logp, hot: bool) -> bytes:
-    """A bucket's part of a request: contexts, their numbers of pairs, next words, counts, and probabilities by the suffix in eighths of a nat."""
-    c = ctx[rows]
-    if not depth:
-        return packed(c, count[rows])
-    starts = np.flatnonzero(np.r_[True, np.diff(c) != 0])
-    runs = np.diff(np.r_[starts, len(c)]).astype(np.uint32)
-    low = np.clip(np.rint(-logp[rows] * 8), 0, 255).astype(np.uint8)
-    arrays = [c[starts], runs, (gram[rows] & _32).astype(np.uint32), count[rows], low]
-    return packed(*arrays, *([whole[rows][starts].astype(np.int64)] if hot else []))
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """One row a document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -279,8 +282,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         """A chunk with the answers of the depths before ``upto`` taken in."""
         system, _ = file_system(folder)
         with system.open_input_file(path) as f:
-            c = Chunk(f.read())
-        c.tokens, c.types, c.train_docs = facts["tokens"], facts["types"], facts["train_docs"]
+            c = Chunk(f.read(), **facts)
         by: dict = {}
         for d, b, p in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "payload"))) if right is not None else ():
             by.setdefault(d, {})[b] = unpacked(p)
@@ -304,11 +306,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         def ask(path: str, right: pa.Table | None, left) -> pa.Table:
             c = loaded(path, right, d, now, tables)
             chunk = left.column("chunk").to_pylist()[left.column("path").to_pylist().index(path)]
-            _, _, bucket, ctx, gram, count, whole, logp = c.request(d, buckets, hot)
-            edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
-            rows = [(chunk, int(bucket[a]), payload(d, slice(a, z), ctx, gram, count, whole, logp, bucket[a] >= buckets)) for a, z in zip(edges, [*edges[1:], len(bucket)])]
-            cols = list(zip(*rows)) or [[], [], []]
-            return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int32()), "payload": pa.array(cols[2], pa.binary())})
+            cols = list(zip(*c.request(d, buckets, hot).payloads(buckets))) or [[], []]
+            return pa.table({"chunk": pa.array([chunk] * len(cols[0]), pa.int64()), "bucket": pa.array(cols[0], pa.int32()), "payload": pa.array(cols[1], pa.binary())})
 
         return ask
 
