@@ -74,6 +74,22 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(est - true) <= bound).all()
 
 
+def test_hamming_distances_stay_within_the_bound():
+    r, d, least = np.random.default_rng(2), 64, 0.95
+    bits, tables = E.layout(500_000, least)
+    n = bits * tables
+    o = r.normal(size=(5000, d))
+    o /= np.linalg.norm(o, axis=1)[:, None]
+    e = r.normal(size=o.shape)
+    e -= (e * o).sum(1)[:, None] * o
+    q = least * o + math.sqrt(1 - least**2) * e / np.linalg.norm(e, axis=1)[:, None]
+    turn = np.hstack([E.rotation(d, s) for s in range(-(-n // d))])[:, :n]
+    far, p = ((o @ turn > 0) != (q @ turn > 0)).sum(1), math.acos(least) / math.pi
+    spread = math.sqrt(n * p * (1 - p))
+    assert abs(far.mean() - n * p) < 0.1 * spread and far.std() < 1.05 * spread
+    assert far.max() <= n * p + E.SIGMAS * spread
+
+
 def test_layout_misses_next_to_nothing():
     for n in (2, 100, 10_000, 10**7, 10**9):
         bits, tables = E.layout(n, 0.95)
