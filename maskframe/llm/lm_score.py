@@ -1,7 +1,7 @@
 """LM scoring with a probabilistic suffix tree over all words.
 
 A context is the last one, two or three words (the place before a text included). It is kept if it was met at least twice in
-training, if the context that it extends was kept, and if its next-word distribution diverges from that of its suffix: its left-out
+training, if the context that it extends was kept and has more than one next word, and if its next-word distribution diverges from that of its suffix: its left-out
 log likelihood ratio against the suffix must be positive by a margin. Distributions are smoothed by absolute discounting with
 that of the suffix, down to the words' own shares; the longest kept suffix of what came before predicts the next word. So
 the tree grows with the corpus: no share, rank or number bounds it.
@@ -10,7 +10,7 @@ The tree is never gathered. Texts are read once into chunk files in the shared f
 (context, next word) pairs that it needs, with its own training counts, to buckets of the contexts' hashes; a bucket merges the
 counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. A context met more
 than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
-contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 32).
+contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16 or 32).
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ DEPTH, DISCOUNT, MARGIN, SUPPORT = 3, 0.75, 1.0, 2
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: A context met more often than this is dealt over several buckets; there are at most ``HOT_ROWS`` such contexts a depth.
 HOT, HOT_ROWS = 1 << 18, 1 << 20
+#: Contexts met up to this often tell their next words apart by 16 bits, others by 32.
+NARROW = 256
 _U = np.uint64
 _P, _Q, _START = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _48, _32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
@@ -129,7 +131,8 @@ class Request:
         self.starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(ctx) != 0)]) if len(bucket) else np.zeros(0, np.int64)
 
     def payloads(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """(bucket, arrays): contexts, their numbers of pairs, next words, counts, probabilities by the suffix in eighths of a nat."""
+        """(bucket, arrays): contexts as gaps, their numbers of pairs, which of them are rare, the next words of rare and other ones,
+        counts, probabilities by the suffix in eighths of a nat."""
         for a, z in zip(self.edges, [*self.edges[1:], len(self.bucket)]):
             bucket = int(self.bucket[a])
             if self.gram is None:
@@ -137,7 +140,8 @@ class Request:
                 continue
             starts = self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, z)]
             low = np.clip(np.rint(self.logp[a:z] * -8), 0, 255).astype(np.uint8)
-            arrays = [self.ctx[starts], np.diff(np.r_[starts, z]).astype(np.uint32), (self.gram[a:z] & _32).astype(np.uint32), self.count[a:z], low]
+            runs, gram, narrow = np.diff(np.r_[starts, z]).astype(np.uint32), self.gram[a:z], self.whole[a:z] <= NARROW
+            arrays = [np.diff(self.ctx[starts], prepend=_U(0)), runs, np.packbits(self.whole[starts] <= NARROW), gram[narrow].astype(np.uint16), (gram[~narrow] & _32).astype(np.uint32), self.count[a:z], low]
             yield bucket, packed(*arrays, *([self.whole[starts]] if bucket >= buckets else []))
 
 
@@ -155,8 +159,9 @@ class Chunk:
         self.start = np.cumsum(self.ends) - self.ends
         self.at = np.arange(len(self.index), dtype=np.int64) - np.repeat(self.start, self.ends)
         self.train = np.repeat(~self.held, self.ends)
-        #: Per token: natural log probability; number, training count and keeping of the pair of the last depth (number -1: not asked).
-        self.logp = self.code = self.seen = self.kept = None
+        #: Per token: natural log probability; number and training count of the pair of the last depth (number -1: not asked),
+        #: and the number of next words of its context if that is kept, else 0.
+        self.logp = self.code = self.seen = self.kinds = None
 
     def contexts(self, places: np.ndarray, depth: int) -> np.ndarray:
         """48-bit hashes of the last ``depth`` words before places; ``_START`` stands before a text."""
@@ -180,7 +185,11 @@ class Chunk:
         before, whole = np.empty(n, np.int64), np.empty(n, np.int64)
         before[1:], whole[1:] = self.code[:-1], self.seen[:-1]
         before[first], whole[first] = (len(self.words), self.train_docs) if depth == 1 else (-1, 0)
-        some = np.flatnonzero(self.kept & (before >= 0) & (whole >= SUPPORT))
+        known = (before >= 0) & (whole >= SUPPORT)
+        some = np.flatnonzero((self.kinds > 1) & known)
+        # What always follows a context's suffix always follows the context: the longer pair is as frequent as the context itself.
+        sure = np.flatnonzero((self.kinds == 1) & known & (self.seen > 0))
+        self.sure = sure, before[sure], whole[sure]
         code, _ = pd.factorize(before[some] * len(self.words) + self.index[some])
         new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0) if len(code) else np.zeros(0, np.int64)
         count = np.bincount(code[self.train[some]], minlength=len(new)).astype(np.uint32)
@@ -203,7 +212,7 @@ class Chunk:
         join = lambda i: np.concatenate([answers[int(r.bucket[a])][i] for a in r.edges]).astype(np.int64) if len(r.edges) else np.zeros(0, np.int64)
         count, n = join(0), len(self.index)
         if not depth:
-            self.code, self.seen, self.kept = self.index.astype(np.int64), count[r.code], np.ones(n, bool)
+            self.code, self.seen, self.kinds = self.index.astype(np.int64), count[r.code], np.full(n, 2, np.int32)
             self.logp = np.log((self.seen + 1) / (self.tokens + self.types + 1))
             self.known, self.base = self.seen > 0, self.logp / np.log(10)
             return
@@ -216,9 +225,10 @@ class Chunk:
         ok = kinds[r.code] > 0
         at, c = r.some[ok], r.code[ok]
         self.logp[at] = np.log(share[0][c] + share[1][c] * np.exp(self.logp[at]))
-        self.code, self.seen, self.kept = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        self.code[r.some], self.seen[r.some] = r.code, count[r.code]
-        self.kept[at] = True
+        sure, before, whole = self.sure
+        self.code, self.seen, self.kinds = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.code[sure], self.seen[sure] = len(r.bucket) + before, whole
+        self.code[r.some], self.seen[r.some], self.kinds[at] = r.code, count[r.code], kinds[c]
 
 
 def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[list[bytes], list[tuple[int, float, int]]]:
@@ -230,6 +240,11 @@ def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[l
         total = np.bincount(code, column(1), len(words)).astype(np.int64)
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
         return [packed(total[code[a:z]]) for a, z in zip(cuts, cuts[1:])], [(0, 0.0, int((total > 0).sum()))]
+    for p in parts:
+        narrow = np.repeat(np.unpackbits(p[2], count=len(p[0])).astype(bool), p[1])
+        gram = np.empty(len(narrow), np.uint32)
+        gram[narrow], gram[~narrow] = p[3], p[4]
+        p[0], p[2:5] = np.cumsum(p[0], dtype=np.uint64), [gram]
     at, ctx = pd.factorize(column(0))
     row = np.repeat(at, column(1))
     code, keys = pd.factorize(row.astype(np.uint64) << _U(32) | column(2).astype(np.uint64))

@@ -70,7 +70,7 @@ class Plain:
         self.kept = {}
         for k in range(1, M.DEPTH + 1):
             for c in [c for c in self.next if len(c) == k]:
-                self.kept[c] = (k == 1 or self.kept.get(c[1:], False)) and self.gain(c) > M.MARGIN
+                self.kept[c] = (k == 1 or self.kept.get(c[1:], False) and len(self.next[c[1:]]) > 1) and self.gain(c) > M.MARGIN
 
     def p(self, w, context):
         if not context:
