@@ -187,9 +187,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts: dict[str, np.ndarray] = {}
     for r in got:
         counts.setdefault(r["gram"], np.zeros(len(langs)))[where[r["lang"]]] += r["n"]
-    for g in [g for g in counts if g[0] == "@"]:
-        c = counts.pop(g)
-        m.scripts[g[1:]] = c > 0.01 * c.sum()
+    scripts = {g[1:]: counts.pop(g) for g in [g for g in counts if g[0] == "@"]}
+    words = np.sum(list(scripts.values()), axis=0)
+    for name, c in scripts.items():
+        m.scripts[name] = c > 0.01 * words  # of the language's own words, however few they are
     uni = np.sum([c for g, c in counts.items() if len(g) == 1], axis=0)
     chars = sum(len(g) == 1 for g in counts)
     context: dict[str, np.ndarray] = {}
@@ -262,44 +263,56 @@ class Labeller:
             s = table[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             yield s, viterbi(s)
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(first letter word, end, language) of the spans of a text, words without a letter not counted."""
-        ((_, labels),) = self.labelled([text])
+    def stretches(self, labels: np.ndarray) -> list[tuple[int, int, str]]:
+        """(first word, end, language) of the stretches of one label; words without a letter are not counted."""
         edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
         return [(a, b, self.model.langs[labels[a]]) for a, b in zip(edges, edges[1:]) if b > a]
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        """The language of most words of each text, and their share; ``und`` without a letter or without a model."""
+    def told(self, texts: list[str]) -> Iterator[tuple[str, float, np.ndarray]]:
+        """The language of most words of each text, their share, and the words' labels; ``und`` without a letter or without a model."""
         if not self.model.langs:
-            return [("und", 0.0)] * len(texts)
-        out = []
+            yield from [("und", 0.0, np.zeros(0, np.int64))] * len(texts)
+            return
         for s, labels in self.labelled(texts):
             if not len(s):
-                out.append(("und", 0.0))
+                yield "und", 0.0, labels
                 continue
             n = np.bincount(labels, minlength=len(self.model.langs))
             total = s.sum(0)
             best = max(range(len(n)), key=lambda i: (n[i], total[i]))
-            out.append((self.model.langs[best], float(n[best] / n.sum())))
-        return out
+            yield self.model.langs[best], float(n[best] / n.sum()), labels
+
+    def label(self, texts: list[str]) -> list[tuple[str, float]]:
+        return [t[:2] for t in self.told(texts)]
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        ((_, _, labels),) = self.told([text])
+        return self.stretches(labels)
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
-    """One row a document: ``doc_id, held_out, lang_pred, score, n_spans``.
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None, spans: bool = True) -> DataFrame:
+    """One row a document: ``doc_id, held_out, lang_pred, score``, and ``spans`` (first word, end, language) unless they aren't wanted.
 
     ``lang`` is read only to fit; null texts and texts without a letter are ``und`` with score 0; ties fall to the higher
     total score; repeated rows are labelled each; an empty table gives none; other columns are ignored.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model or fit(docs, key, text, lang))
+    span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(spread.value)
         for b in slices(batches, "_t"):
-            got = lab.label(texts_of(b.column("_t")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            got = list(lab.told(texts_of(b.column("_t"))))
+            cols = [b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            names = ["doc_id", "held_out", "lang_pred", "score"]
+            if spans:
+                cols.append(pa.array([[dict(zip(("first_word", "end_word", "lang"), x)) for x in lab.stretches(g[2])] for g in got], span))
+                names.append("spans")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.select(F.col(key)).dtypes[0][1]
-    return docs.select(F.col(key).alias("doc_id"), held_out(key, 4).alias("held_out"), F.col(text).alias("_t")).mapInArrow(label, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double" + ", spans array<struct<first_word:long,end_word:long,lang:string>>" * spans
+    return docs.select(F.col(key).alias("doc_id"), held_out(key, 4).alias("held_out"), F.col(text).alias("_t")).mapInArrow(label, schema)
 
 
 def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:

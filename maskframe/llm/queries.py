@@ -35,7 +35,7 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents"), spans=False)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
