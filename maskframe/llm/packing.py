@@ -2,12 +2,15 @@
 
 Pieces are dealt by hash into blocks of bounded size. Each block evolves on several islands, each a task of its own: crossover
 injects whole well-filled bins of one parent into another, drops the bins that share a piece with them, and best-fits the
-displaced pieces. After an epoch every island's elite migrates to the next island of its block, and evolution goes on.
+displaced pieces. After an epoch every island's elite migrates to the next island of its block, and evolution goes on. Fewer bins
+are fitter, then fuller ones, so that what room is left gathers in few bins. Bins that are not well filled are taken apart and
+dealt into new blocks, over which the same is done, until one block holds all of them.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +25,10 @@ from .common import cut, slices, texts_of
 CAPACITY = 2048
 #: Pieces a block; the islands of a block and how long they evolve.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3000, 2, 2, 4, 4
+#: Bins filled less than this are packed again in a next round; rounds end when one block holds all.
+WELL_FILLED, ROUNDS = 0.97, 12
+#: White space from this length on goes to the slower encoder, which has no recursion in its patterns.
+LONG_SPACE = 4096
 
 
 @lru_cache(2)
@@ -47,6 +54,24 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t: x["id"] for t, x in added.items()})
 
 
+@lru_cache(2)
+def plain_encoder(path: str):
+    """The tokenizers file read by its own library."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """A text's ids; those of very long runs of white space, on which the fast encoder's patterns overflow, by the library itself."""
+    if _SPACE.search(text):
+        return plain_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode(text, allowed_special="all")
+
+
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids: all full but for a shorter first one."""
     if n <= capacity:
@@ -81,7 +106,7 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
 
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """A child: ``a`` with whole well-filled bins of ``b`` in place of those that share a piece with them."""
-    full = [x for x in b if sum(lengths[i] for i in x) >= 0.97 * capacity]
+    full = [x for x in b if sum(lengths[i] for i in x) >= WELL_FILLED * capacity]
     if not full:
         full = b
     want = [full[i] for i in rng.permutation(len(full))[: max(1, len(full) // 3)]]
@@ -118,7 +143,8 @@ def evolve(lengths: list[int], migrants: list[list[list[int]]], seed: int, capac
         people.append(seedling(lengths, capacity, rng, plain=not people))
     people.sort(key=key)
     for _ in range(generations):
-        if len(people[0]) <= lower:
+        # Nothing is left to gain when all bins but one are full.
+        if len(people[0]) <= lower and sum(sum(lengths[x] for x in b) < capacity for b in people[0]) <= 1:
             break
         i, j = 0, int(rng.integers(1, len(people)))
         children = [crossover(people[i], people[j], lengths, capacity, rng), crossover(people[j], people[i], lengths, capacity, rng)]
@@ -145,11 +171,11 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "_t"):
             at, out = [], []
             for row, t in enumerate(texts_of(b.column("_t"))):
-                ids = np.array(enc.encode(t, allowed_special="all"), "<u4").tobytes() + end
+                ids = np.array(ids_of(tokenizer, t), "<u4").tobytes() + end
                 for piece, (start, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     at.append(row)
                     out.append((piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
@@ -167,23 +193,41 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     of their block; an empty table gives none; other columns are ignored. ``tokenizer`` is a file of byte-level BPE.
     """
     every = cut(tokenized(docs, tokenizer, key, text, capacity).withColumn("row", F.monotonically_increasing_id()))
-    alone = every.where(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    some = every.where(F.col("length") < capacity)
-    blocks = max(1, -(-some.count() // block))
+    done = every.where(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    some, left = every.where(F.col("length") < capacity), -1
+    for turn in range(ROUNDS):
+        n = some.count()
+        blocks = -(-n // block)
+        if not n:
+            break
+        placed = cut(packed(some.select("row", "doc_id", "piece", "start", "length", "ids_crc32"), blocks, capacity, islands, epochs, seed, turn))
+        # The last round keeps all its bins: one block holds them, or dealing them anew would free none.
+        last = blocks == 1 or n == left or turn == ROUNDS - 1
+        well = F.lit(last) | (F.col("fill") >= int(WELL_FILLED * capacity))
+        done = done.unionByName(placed.where(well).drop("row", "fill"))
+        if last:
+            break
+        some, left = placed.where(~well), n
+    return done
+
+
+def packed(some: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, seed: int, turn: int) -> DataFrame:
+    """The pieces with ``sequence_id``, ``offset`` and the ``fill`` of their bin, dealt into ``blocks`` and evolved."""
+    spark = some.sparkSession
     item = F.struct("row", "doc_id", "piece", "start", "length", "ids_crc32")
-    # The hash deals pieces evenly, so a block's array stays near ``block`` items at every input size.
-    dealt = cut(some.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(item)).alias("items")))
+    # The hash deals pieces evenly, so a block's array stays near its size at every input size.
+    dealt = cut(some.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + turn), "row"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(item)).alias("items")))
     lengths = F.transform("items", lambda x: x["length"].cast("int")).alias("lengths")
     on_islands = dealt.select("block", lengths, F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast("array<array<int>>").alias("migrants"))
     schema = "block long, island int, label array<int>, n int, fit double"
-    spread = max(1, min(blocks * islands, max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    spread = max(1, min(blocks * islands, max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def epoch(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in b.to_pylist():
                     n = r["lengths"]
-                    bins = evolve(n, [grouped(m) for m in r["migrants"] or []], hash((seed, k, r["block"], r["island"])) & 0x7FFFFFFF, capacity)
+                    bins = evolve(n, [grouped(m) for m in r["migrants"] or []], zlib.crc32(f"{seed}|{turn}|{k}|{r['block']}|{r['island']}".encode()), capacity)
                     size, fit = fitness(bins, n, capacity)
                     yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["island"]], pa.int32()), pa.array([labels(bins, len(n))], pa.list_(pa.int32())), pa.array([size], pa.int32()), pa.array([fit])], names=["block", "island", "label", "n", "fit"])
 
@@ -207,9 +251,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 base = np.maximum.accumulate(np.where(first, ends - n[order], 0))
                 offset = np.empty(len(n), np.int64)
                 offset[order] = ends - n[order] - base
-                seq = (np.int64(blk.as_py()) << np.int64(24)) + label.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([v.field("doc_id"), v.field("piece"), v.field("start"), v.field("length"), v.field("ids_crc32"), pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                seq = (np.int64(turn) << np.int64(56)) + (np.int64(blk.as_py()) << np.int64(24)) + label.astype(np.int64)
+                fill = np.bincount(label, n).astype(np.int64)[label]
+                names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([*(v.field(x) for x in names), pa.array(seq), pa.array(offset), pa.array(fill)], names=[*names, "sequence_id", "offset", "fill"])
 
-    kind = dict(every.dtypes)["doc_id"]
-    placed = dealt.join(best, "block").select("block", "items", "label").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.unionByName(alone)
+    kind = dict(some.dtypes)["doc_id"]
+    return dealt.join(best, "block").select("block", "items", "label").mapInArrow(place, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")

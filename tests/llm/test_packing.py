@@ -14,14 +14,42 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_encoder_gives_the_ids_of_the_file():
-    texts = ["", "Hello, world!  It's 12 o'clock\n\n", "Über 漢字 🙂 <|endoftext|> x", " \t lead", "a" * 3000]
-    enc = packing.encoder(tokenizer_path())
-    assert [enc.encode_ordinary(t) + [0] for t in texts] == ids_of(texts)
+def test_ids_are_those_of_the_file():
+    texts = ["", "Hello, world!  It's 12 o'clock\n\n", "Über 漢字 🙂 <|endoftext|> x", " \t lead", "a" * 3000, " " * 20_000 + "x", "x\n" + "\n \t" * 9000, "\u3000" * 5000]
+    r = np.random.default_rng(0)
+    texts += ["".join(map(chr, r.integers(32, 0x2FFF, 40))) for _ in range(200)]
+    assert [packing.ids_of(tokenizer_path(), t) + [0] for t in texts] == ids_of(texts)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\r\n"])
+def test_a_million_blanks_are_encoded(blank):
+    text = "a" + blank * 1_000_000 + "b"
+    assert packing.ids_of(tokenizer_path(), text) + [0] == ids_of([text])[0]
+
+
+def test_crossover_beats_best_fit():
+    """Sizes of a third of a bin or so: best fit leaves room that the evolved packings don't."""
+    better = 0
+    for seed in range(10):
+        n = np.random.default_rng(seed).integers(30, 52, 120).tolist()
+        plain = packing.seedling(n, 100, np.random.default_rng(seed), True)
+        bins = packing.evolve(n, [], seed, 100, generations=30, population=10)
+        assert len(bins) <= len(plain)
+        better += len(bins) < len(plain)
+    assert better >= 6
+
+
+def test_underfilled_bins_of_all_blocks_are_packed_together(spark):
+    data = [(i, "w " * (200 + 37 * (i % 11)), "en", "s", 1) for i in range(400)]
+    got = packing.pack(frame(spark, data), tokenizer_path(), block=40).collect()
+    total = sum(r["length"] for r in got)
+    alone = packing.pack(frame(spark, data), tokenizer_path(), block=10**6).collect()
+    n = lambda rows: len({r["sequence_id"] for r in rows})
+    assert -(-total // packing.CAPACITY) <= n(got) <= n(alone) + 2
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in alone)
 
 
 def test_every_id_is_placed_once(spark):
