@@ -8,6 +8,8 @@ headers and reads records by range; nothing is extracted.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zipfile
@@ -160,29 +162,67 @@ def number(urn: str) -> int | None:
     return int(inner) if inner not in ("", "None") else None
 
 
+#: Names of members that hold records and of indexes, whatever their folders.
+RECORDS, INDEXES = re.compile(r"\.warc(\.gz)?$", re.I), re.compile(r"\.(cdxj?|idx)$", re.I)
+
+
+def places(read, found: dict[str, tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records of each member, by the package's indexes; a member that no index names is walked."""
+    out: dict[str, list[tuple[int, int]]] = {name: [] for name in found if RECORDS.search(name)}
+    only = next(iter(out)) if len(out) == 1 else None
+    for name in filter(INDEXES.search, found):
+        for line in read(*place(read, found[name])).decode().splitlines():
+            if "{" in line:  # a line of JSON fields after its key
+                fields = json.loads(line[line.index("{") :])
+                at, n, file = int(fields["offset"]), int(fields["length"]), fields.get("filename")
+                member = next((m for m in out if file and m.rsplit("/", 1)[-1] == file.rsplit("/", 1)[-1]), only)
+            else:
+                (at, n), member = map(int, line.rsplit(" ", 2)[1:]), only
+            if member is not None:
+                out[member].append((at, n))
+    for member, some in out.items():
+        out[member] = sorted(some) if some else list(walked(read, *place(read, found[member])))
+    return out
+
+
+def walked(read, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the gzip members of a stretch, found by reading it through in ranges."""
+    at = 0
+    while at < size:
+        z, n, p = zlib.decompressobj(31), 0, at
+        while not z.eof and p < size:
+            data = read(start + p, min(FETCH, size - p))
+            z.decompress(data)
+            n += len(data) - len(z.unused_data)
+            p += len(data)
+        if not z.eof:
+            raise ValueError("a record is cut off")
+        yield at, n
+        at += n
+
+
 def records(read, size: int) -> Iterator[tuple]:
     """(page, url, payload or None, length, digest, kind, refers_to) of every record, fetched by ranges of the index."""
     found = members(read, size)
-    start, _ = place(read, found[DATA])
-    at, n = place(read, found[INDEX])
-    lines = [tuple(map(int, x.rsplit(" ", 2)[1:])) for x in read(at, n).decode().splitlines()]
-    i = 0
-    while i < len(lines):
-        j = i + 1
-        while j < len(lines) and lines[j][0] + lines[j][1] - lines[i][0] <= FETCH:
-            j += 1
-        data = read(start + lines[i][0], lines[j - 1][0] + lines[j - 1][1] - lines[i][0])
-        for offset, length in lines[i:j]:
-            o = offset - lines[i][0]
-            fields, block = parsed(data[o : o + length])
-            http, _, payload = block.partition(b"\r\n\r\n")
-            full = int(http.rsplit(b"Content-Length: ", 1)[1])
-            digest = fields["warc-payload-digest"].removeprefix("sha1:")
-            revisit = fields["warc-type"] == "revisit"
-            if not revisit and (len(payload) != full or hashlib.sha1(payload).hexdigest() != digest):
-                raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
-            yield number(fields["warc-record-id"]), fields.get("warc-target-uri"), None if revisit else payload, full, digest, fields["warc-type"], number(fields["warc-refers-to"]) if revisit else None
-        i = j
+    for member, lines in places(read, found).items():
+        start, _ = place(read, found[member])
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and lines[j][0] + lines[j][1] - lines[i][0] <= FETCH:
+                j += 1
+            data = read(start + lines[i][0], lines[j - 1][0] + lines[j - 1][1] - lines[i][0])
+            for offset, length in lines[i:j]:
+                o = offset - lines[i][0]
+                fields, block = parsed(data[o : o + length])
+                http, _, payload = block.partition(b"\r\n\r\n")
+                full = int(http.rsplit(b"Content-Length: ", 1)[1])
+                digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                revisit = fields["warc-type"] == "revisit"
+                if not revisit and (len(payload) != full or hashlib.sha1(payload).hexdigest() != digest):
+                    raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
+                yield number(fields["warc-record-id"]), fields.get("warc-target-uri"), None if revisit else payload, full, digest, fields["warc-type"], number(fields["warc-refers-to"]) if revisit else None
+            i = j
 
 
 # ---- on tables

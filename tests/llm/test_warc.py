@@ -99,3 +99,28 @@ def test_damage_is_found():
         list(warc.records(Counting(bytes(bad)), len(bad)))
     with pytest.raises(ValueError):
         warc.members(Counting(b"no archive"), 10)
+
+
+@pytest.mark.parametrize("index", ["none", "plain", "json"])
+def test_members_of_any_name(index):
+    raws = []
+    for i in range(30):
+        body = f"body {i}".encode() * (i + 1)
+        raws.append(warc.record(i, f"http://x/{i}", body, hashlib.sha1(body).hexdigest(), None, False))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for k, part in enumerate((raws[:20], raws[20:])):
+            z.writestr(f"some/where/rec-{k}.warc.gz", b"".join(part))
+        if index == "json":
+            lines = []
+            for k, part in enumerate((raws[:20], raws[20:])):
+                at = 0
+                for r in part:
+                    lines.append(f'x) 2020 {{"offset": "{at}", "length": {len(r)}, "filename": "rec-{k}.warc.gz"}}')
+                    at += len(r)
+            z.writestr("indexes/main.cdxj", "\n".join(lines))
+        if index == "plain":
+            z.writestr("a.cdx", "")
+    data = out.getvalue()
+    assert sorted(r[0] for r in warc.records(Counting(data), len(data))) == list(range(30))
