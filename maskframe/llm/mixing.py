@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, numbered
 
-#: Words of budget that the dynamic programme fits exactly; larger remainders are first reduced by whole documents.
-DP_BUDGET = 1 << 15
+#: Steps of the dynamic programme between two states that are kept; those between are made anew on the way back.
+KEPT_STEPS = 64
 #: Documents of one source and length that are ranked together.
 BUCKET = 256
+#: Rows of the plan (one a source and length) up to this number may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: str) -> F.Column:
@@ -30,11 +32,11 @@ def word_count(text: str) -> F.Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each size to take so that their words come as near to ``budget`` from below as found.
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size to take so that their words come as near to ``budget`` from below as can be.
 
-    ``sizes`` distinct and positive, ``counts`` how many there are. Exact once the proportional part and, for budgets
-    beyond ``dp_budget``, whole documents from the longest down have brought the remainder within the programme's range.
+    ``sizes`` distinct and positive, ``counts`` how many there are. Every size gives its proportional share first; the
+    remainder, less than one document of each size, is fitted exactly.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -45,13 +47,6 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_
     # Python's integers: a count times a budget may pass 2**63.
     take[:] = [int(c) * int(budget) // total for c in counts]
     left = int(budget) - int((take * sizes).sum())
-    order = np.argsort(-sizes)
-    for i in order:
-        if left <= dp_budget:
-            break
-        more = min(int(counts[i] - take[i]), (left - dp_budget) // int(sizes[i]) + 1, left // int(sizes[i]))
-        take[i] += more
-        left -= more * int(sizes[i])
     spare = counts - take
     items = []  # (index, multiplicity) in powers of two: the bounded knapsack as a 0/1 one
     for i in np.flatnonzero((spare > 0) & (sizes <= left)):
@@ -60,22 +55,28 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_
             items.append((int(i), min(k, n)))
             n -= k
             k *= 2
-    # Sums that can be reached, as bits of one integer; a prefix of the items is kept that already reaches the budget.
-    mask, reach, used = (1 << (left + 1)) - 1, 1, []
-    states = [reach]
-    for i, k in sorted(items, key=lambda x: (-int(sizes[x[0]]) * x[1], x[0])):
-        nxt = (reach | reach << int(sizes[i]) * k) & mask
+    items.sort(key=lambda x: (-int(sizes[x[0]]) * x[1], x[0]))
+    # Sums that can be reached, as bits of one integer, until the budget itself can be.
+    mask, reach, used, kept = (1 << (left + 1)) - 1, 1, [], [1]
+    step = lambda r, item: (r | r << int(sizes[item[0]]) * item[1]) & mask
+    for item in items:
+        nxt = step(reach, item)
         if nxt != reach:
-            used.append((i, k))
-            states.append(nxt)
+            used.append(item)
             reach = nxt
+            if len(used) % KEPT_STEPS == 0:
+                kept.append(reach)
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
-    for (i, k), prev in zip(reversed(used), reversed(states[:-1])):
-        if not prev >> at & 1:
-            take[i] += k
-            at -= int(sizes[i]) * k
+    for first in range((len(used) - 1) // KEPT_STEPS * KEPT_STEPS, -1, -KEPT_STEPS):
+        states = [kept[first // KEPT_STEPS]]
+        for item in used[first : first + KEPT_STEPS]:
+            states.append(step(states[-1], item))
+        for item, before in zip(reversed(used[first : first + KEPT_STEPS]), reversed(states[:-1])):
+            if not before >> at & 1:
+                take[item[0]] += item[1]
+                at -= int(sizes[item[0]]) * item[1]
     return take
 
 
@@ -114,15 +115,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     return ranked.select("source", "source_size", F.least("_cap", F.col("_w") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: ``doc_id, size, source, source_size, target, taken, copies``.
+def planned(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """The plan: (source, size, source_size, target, base, k, n, last_h, last_id, ties), one row a source and length.
 
-    Sources in code point order, null last, weigh ``weights`` in turn. Null and blank texts have size 0 and are never
-    taken; an empty table gives none; repeated rows are documents of their own; ties of the seeded hash fall to the
-    smaller key. ``taken`` is ``copies`` times ``size`` and at most ``most`` times it. Other columns are ignored, but for
-    those named in ``extra``, which are passed on.
+    ``base`` copies go to every document and one more to ``k`` of the ``n``: to those whose (hash, id) comes before
+    (``last_h``, ``last_id``), and to ``ties`` of those that have just that. ``sized`` has (doc_id, source, size).
     """
-    sized = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *[F.col(c).alias(f"x_{c}") for c in extra]))
     per_source = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")).select("source", "source_size", F.col("source").isNull().alias("_null"), F.coalesce(F.encode(F.col("source").cast("string"), "UTF-8"), F.lit(b"")).alias("_order")))
     goal = cut(source_targets(per_source, weights, most))
     counts = sized.groupBy("source", "size").agg(F.count("*").alias("n")).alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.source", "size", "n", "source_size", "target")
@@ -139,30 +137,70 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         return one[["source", "size", "n", "source_size", "target", "base", "k"]]
 
     # One row a length and source: as many as there are lengths, whatever the number of documents.
-    planned = cut(counts.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, base long, k long"))
-    at = sized.alias("d").join(planned.alias("p"), (F.col("d.source").eqNullSafe(F.col("p.source"))) & (F.col("d.size") == F.col("p.size"))).select("d.*", "n", "source_size", "target", "base", "k")
-    whole = at.where("k = 0 or k = n").withColumn("more", F.when(F.col("k") > 0, 1).otherwise(0))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    part = at.where("k > 0 and k < n").withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.ceil(F.col("n") / BUCKET)))
-    part = cut(part)
+    rows = cut(counts.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, base long, k long"))
+    part = rows.where("k > 0 and k < n").select("source", "size", "n", "k")
+    on = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
+    few = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+    some = sized.alias("d").join(few.alias("p"), on("d", "p")).select("d.doc_id", "d.source", "d.size", "n", "k").withColumn("h", seeded(seed, "doc_id"))
+    # Ranks within small stretches of the hash, so that one frequent length never fills a task.
+    some = cut(some.withColumn("bucket", F.floor(F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63)) * F.ceil(F.col("n") / BUCKET)).cast("long")))
     keys = ("source", "size", "bucket")
-    filled = part.groupBy(*keys).agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = part.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")))
-    part = rank.alias("r").join(filled.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.size") == F.col("f.size")) & (F.col("r.bucket") == F.col("f.bucket"))).select(*[f"r.{c}" for c in at.columns], F.when(F.col("rn") + F.col("before") <= F.col("k"), 1).otherwise(0).alias("more"))
-    every = whole.unionByName(part)
-    copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[f"x_{c}" for c in extra])
+    filled = some.groupBy(*keys).agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.partitionBy("source", "size").orderBy("bucket")))
+    edge = filled.alias("f").join(few.alias("p"), on("f", "p")).where("upto >= k and upto - m < k").select("f.source", "f.size", "f.bucket", (F.col("k") - F.col("upto") + F.col("m")).alias("need"))
+    # Only the stretch in which the k-th document lies is ranked.
+    near = some.alias("d").join(edge.alias("e"), on("d", "e") & (F.col("d.bucket") == F.col("e.bucket"))).select("d.source", "d.size", "d.h", "d.doc_id", "need")
+    w = Window.partitionBy("source", "size").orderBy(F.shiftrightunsigned("h", 1), "h", F.col("doc_id").asc_nulls_first())
+    ranked = near.withColumn("rn", F.row_number().over(w))
+    last = ranked.where("rn = need").select("source", "size", F.col("h").alias("last_h"), F.col("doc_id").alias("last_id"), "need")
+    ties = ranked.alias("r").join(last.alias("l"), on("r", "l") & (F.col("r.h") == F.col("l.last_h")) & F.col("r.doc_id").eqNullSafe(F.col("l.last_id")) & (F.col("r.rn") <= F.col("l.need"))).groupBy("l.source", "l.size", "last_h", "last_id").agg(F.count("*").alias("ties"))
+    return cut(rows.alias("p").join(ties.alias("t"), on("p", "t"), "left").select("p.*", "last_h", "last_id", "ties"))
+
+
+def seeded(seed: int, key: str) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col(key))
+
+
+def decided(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (with ``_k``, ``_s``, ``_n``: key, source, size) and ``_copies``. Rows stay where they are if the plan is small;
+    only rows of one key that share the last place are told apart by a window."""
+    few = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    p = few.select(*[F.col(c).alias(f"_p_{c}") for c in plan.columns])
+    h = F.when(F.col("_p_last_h").isNotNull(), seeded(seed, "_k"))
+    j = rows.join(p, F.col("_s").eqNullSafe(F.col("_p_source")) & (F.col("_n") == F.col("_p_size"))).withColumn("_h", h)
+    before = lambda c: F.shiftrightunsigned(c, 1)
+    same_h = F.col("_h") == F.col("_p_last_h")
+    earlier_id = F.col("_p_last_id").isNotNull() & (F.col("_k").isNull() | (F.col("_k") < F.col("_p_last_id")))
+    earlier = (before("_h") < before("_p_last_h")) | (before("_h") == before("_p_last_h")) & (F.col("_h") < F.col("_p_last_h")) | same_h & earlier_id
+    j = j.withColumn("_at", F.col("_p_last_h").isNotNull() & same_h & F.col("_k").eqNullSafe(F.col("_p_last_id")))
+    more = F.when(F.col("_p_k") == 0, 0).when(F.col("_p_k") == F.col("_p_n"), 1).when(earlier, 1).otherwise(0)
+    at = Window.partitionBy("_s", "_n", "_k").orderBy(F.lit(0))
+    sure = j.where(~F.col("_at")).withColumn("_more", more)
+    last = j.where("_at").withColumn("_more", (F.row_number().over(at) <= F.col("_p_ties")).cast("int"))
+    every = sure.unionByName(last)
+    return every.withColumn("_copies", F.when(F.col("_n") > 0, F.col("_p_base") + F.col("_more")).otherwise(F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+    """One row a document: ``doc_id, size, source, source_size, target, taken, copies``.
+
+    Sources in code point order, null last, weigh ``weights`` in turn. Null and blank texts have size 0 and are never
+    taken; an empty table gives none; repeated rows are documents of their own; ties of the seeded hash fall to the
+    smaller key. ``taken`` is ``copies`` times ``size`` and at most ``most`` times it. Other columns are ignored.
+    """
+    sized = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    plan = planned(sized, weights, most, seed)
+    at = decided(sized.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n")), plan, seed)
+    return at.select(F.col("_k").alias("doc_id"), F.col("_s").alias("source"), F.col("_n").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_n") * F.col("_copies")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (not at all for 0), all columns as they were.
 
-    Rows that repeat a key are told apart by source, size and text.
+    Whole rows are joined with the plan, not shuffled. Of rows that repeat a key and of which only some are taken, it isn't
+    said which.
     """
-    cols = docs.columns
-    taken = mix(docs, key, text, source, **options)
-    rows = docs.select(F.struct(*cols).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), word_count(text).alias("_n"), F.xxhash64(text).alias("_h"))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_s", "_n", "_h")))
-    taken = taken.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "copies")))
-    at = rows.join(taken.select("doc_id", "_j", "copies"), F.col("_k").eqNullSafe(F.col("doc_id")) & (F.col("_i") == F.col("_j")))
-    return at.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    sized = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    plan = planned(sized, weights, most, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), word_count(text).alias("_n"))
+    at = decided(rows, plan, seed)
+    return at.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

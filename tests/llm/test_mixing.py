@@ -32,6 +32,25 @@ def test_large_budgets_stay_near():
     assert (take <= counts).all() and 0 <= 900_001 - int((take * sizes).sum()) < 1000
 
 
+def test_large_remainders_are_fitted_exactly():
+    """Beyond any small budget: the remainder after the proportional part against all sums that its spare documents reach."""
+    r = np.random.default_rng(6)
+    for _ in range(5):
+        sizes = np.unique(r.integers(5_000, 60_000, 40)) * 2
+        counts = r.integers(1, 3, len(sizes))
+        budget = int((sizes * counts).sum() * 0.45) | 1
+        take = mixing.fit(sizes, counts, budget)
+        base = np.array([int(c) * budget // int((sizes * counts).sum()) for c in counts])
+        left, sums = budget - int((base * sizes).sum()), {0}
+        for s, c in zip(sizes.tolist(), (counts - base).tolist()):
+            for _ in range(c):
+                sums |= {x + s for x in sums if x + s <= left}
+                if len(sums) > 400_000:
+                    break
+        got = int(((take - base) * sizes).sum())
+        assert (take >= base).all() and (take <= counts).all() and got <= left and got >= max(sums)
+
+
 def test_targets_share_all_and_stop_at_the_cap():
     t = mixing.targets([10, 1, 100], [1, 2, 3], 3)
     assert t[1] == 3 and abs(sum(t) - 111) < 1e-9 and abs(t[2] / t[0] - 3) < 1e-9 or t[0] == 30
