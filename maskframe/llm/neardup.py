@@ -27,7 +27,7 @@ from .common import LOWER_AZ, bytes_of, connected, cut, n_parts, slices
 TREES, DEPTH, SKETCH = 18, 4, 64
 REGION = 64
 #: Rows of a side of the blocks in which a crowded region is compared.
-SIDE = 1024
+SIDE = 512
 #: Orders that the first round takes, and their values: it only has to find enough links, so it may go deeper.
 FIRST, FIRST_DEPTH = 3, 8
 #: Estimates this far below the threshold are more than four standard errors off.
