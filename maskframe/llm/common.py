@@ -7,9 +7,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract: space and the controls from tab to return.
@@ -19,10 +18,13 @@ LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, local sessions (tests) get one of their own;
+    a cluster without it is an error, since its executors share no temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -120,12 +122,12 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     placed = cut(df.repartitionByRange(n_parts(spark), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    start, at = {}, 0
+    start, at = [], 0
     for part in sorted(counts):
-        start[part], at = at, at + counts[part]
-    offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else None
-    rank = F.col("_row") + (F.element_at(offsets, F.col("_part")) if offsets is not None else F.lit(0))
-    return placed.withColumn("rank", rank.cast("long")).drop("_part", "_row")
+        start.append((part, at))
+        at += counts[part]
+    offsets = F.broadcast(spark.createDataFrame(start, "_part int, _start long"))  # one row a partition
+    return placed.join(offsets, "_part").withColumn("rank", (F.col("_row") + F.col("_start")).cast("long")).drop("_part", "_row", "_start")
 
 
 def union_find(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -143,14 +145,3 @@ def union_find(n: int, pairs: np.ndarray) -> np.ndarray:
     for i in range(n):
         root[i] = root[root[i]]
     return np.array(root, np.int64)
-
-
-def frame(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v, schema.field(k).type) for k, v in columns.items()}, schema=schema)
-
-
-def as_pandas(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame.from_records(rows, columns=names)
-
-
-__all__ = ["ASCII_SPACE", "LOWER_AZ", "Window", "as_pandas", "bytes_of", "connected", "cut", "frame", "held_out", "n_parts", "numbered", "shared_dir", "slices", "texts_of", "union_find"]
