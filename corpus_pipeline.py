@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maskframe.llm import langid, mixing, neardup, packing, quality
@@ -43,7 +45,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")  # also lets the workers reach the package
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}"
+    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"  # every run has a folder of its own
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
