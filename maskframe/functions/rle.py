@@ -21,17 +21,57 @@ def intervals(df: DataFrame, counts: str = "counts") -> DataFrame:
 
 
 def decode(df: DataFrame, h: str = "h", counts: str = "counts") -> DataFrame:
-    """(keys, y, bits): scanlines of uncompressed column-major counts.
+    """(keys, y, k, bits): scanlines of uncompressed column-major counts.
 
-    A run crosses columns; each column it touches contributes one vertical piece, and a scanline collects the columns that
-    cover it.
+    A run is at most three rectangles: the rest of its first column, whole columns, the beginning of its last column.
     """
     keys = [c for c in df.columns if c != counts]
     r = intervals(df, counts)
-    col = r.withColumn("x", F.explode(F.sequence(F.floor(F.col("start") / F.col(h)), F.floor((F.col("stop") - 1) / F.col(h)))))
-    piece = col.withColumn("a", F.greatest(F.col("start"), F.col("x") * F.col(h)) - F.col("x") * F.col(h)).withColumn("z", F.least(F.col("stop"), (F.col("x") + 1) * F.col(h)) - F.col("x") * F.col(h))
-    line = piece.withColumn("y", F.explode(F.sequence(F.col("a").cast("int"), F.col("z").cast("int") - 1)))
-    return line.groupBy(*keys, "y").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").cast("int"))).alias("bits"))
+    size = F.col(h)
+    x1, x2 = F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size)
+    y1, y2 = F.col("start") - x1 * size, F.col("stop") - x2 * size
+    box = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("x2"), c.alias("y1"), d.alias("y2"))
+    whole = box(F.when(y1 == 0, x1).otherwise(x1 + 1), F.when(y2 == size, x2 + 1).otherwise(x2), F.lit(0).cast("long"), size.cast("long"))
+    parts = F.when(x1 == x2, F.array(box(x1, x1 + 1, y1, y2))).otherwise(F.array(box(x1, x1 + 1, y1, F.when(y1 == 0, y1).otherwise(size)), whole, box(x2, x2 + 1, F.lit(0).cast("long"), F.when(y2 == size, F.lit(0)).otherwise(y2))))
+    some = r.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.*").where("x2 > x1 and y2 > y1")
+    line = some.withColumn("y", F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)))
+    return bits.spread(line, F.col("x1"), F.col("x2"), *keys, "y").groupBy(*keys, "y", "k").agg(F.bit_or("bits").alias("bits"))
+
+
+def uncompressed(df: DataFrame, text: str = "counts") -> DataFrame:
+    """``df`` with its compressed string as an array of counts, natively; see :func:`uncompress`."""
+    state = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("s"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        c = F.ascii(ch) - 48
+        v = acc["v"].bitwiseOR(F.call_function("shiftleft", c.bitwiseAND(F.lit(31)).cast("long"), acc["s"]))
+        s = acc["s"] + 5
+        whole = v - F.when(c.bitwiseAND(F.lit(16)) != 0, F.call_function("shiftleft", F.lit(1).cast("long"), s)).otherwise(F.lit(0).cast("long"))
+        n = F.size(acc["out"])
+        whole = whole + F.when(n > 2, F.element_at(acc["out"], F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+        more = c.bitwiseAND(F.lit(32)) != 0
+        return F.when(more, F.struct(acc["out"].alias("out"), v.alias("v"), s.alias("s"))).otherwise(F.struct(F.concat(acc["out"], F.array(whole)).alias("out"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("s")))
+
+    return df.withColumn(text, F.aggregate(F.split(text, ""), state, lambda acc, ch: F.when(ch == "", acc).otherwise(step(acc, ch)), lambda acc: acc["out"]))
+
+
+def compressed(df: DataFrame, counts: str = "counts") -> DataFrame:
+    """``df`` with its counts as a compressed string: the third and later as differences, in groups of five bits from character 48 on."""
+    all_ = F.col(counts)
+
+    def group(x: Column, j: Column) -> Column:
+        return F.call_function("shiftright", x, j * 5).bitwiseAND(F.lit(31).cast("long"))
+
+    def ends(x: Column, j: Column) -> Column:
+        sign = F.when(group(x, j).bitwiseAND(F.lit(16).cast("long")) != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.call_function("shiftright", x, (j + 1) * 5) == sign
+
+    def chars(v: Column, i: Column) -> Column:
+        x = v.cast("long") - F.when(i > 2, F.element_at(all_, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0)).cast("long")
+        n = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: ends(x, j)), True).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.char(group(x, j) + F.when(j < n - 1, 32).otherwise(0) + 48)), "")
+
+    return df.withColumn(counts, F.array_join(F.transform(all_, chars), ""))
 
 
 def areas(df: DataFrame, counts: str = "counts") -> DataFrame:
@@ -89,19 +129,19 @@ def mask_of(seg: dict | list, h: int, w: int) -> np.ndarray:
 
 
 def polygons(df: DataFrame) -> DataFrame:
-    """(id, y, bits) of ``id, h, w, polygons`` (arrays of flat coordinates), by batches of rows. Up to 62 pixels wide."""
+    """(id, y, k, bits) of ``id, h, w, polygons`` (arrays of flat coordinates), by batches of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "y", "k", "bits"]
         for b in batches:
-            out: list[tuple[int, int, int]] = []
             for r in b.to_pylist():
                 m = mask_of(r["polygons"] or [], r["h"], r["w"])
-                value = m @ (1 << np.arange(r["w"], dtype=np.int64))
-                out += [(r["id"], int(y), int(value[y])) for y in np.flatnonzero(value)]
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["id", "y", "bits"])
+                n = bits.n_words(r["w"])
+                value = np.pad(m, ((0, 0), (0, n * bits.WORD - r["w"]))).reshape(r["h"], n, bits.WORD) @ (1 << np.arange(bits.WORD, dtype=np.int64))
+                y, k = np.nonzero(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), r["id"], np.int64)), pa.array(y, pa.int32()), pa.array(k, pa.int32()), pa.array(value[y, k])], names=names)
 
-    return df.select("id", "h", "w", "polygons").mapInArrow(run, "id long, y int, bits long")
+    return df.select("id", "h", "w", "polygons").mapInArrow(run, "id long, y int, k int, bits long")
 
 
 def segment_id(r, g, b):

@@ -12,10 +12,10 @@ IGNORE_INDEX, MAX_INSTANCES = 255, 256
 
 SAMPLES = "batch_id long, pos long, n long, sample_id long, h int, w int, hv int, wv int"
 INSTANCES = "sample_id long, slot long, label long, instance_id long, x1 double, y1 double, x2 double, y2 double, valid boolean"
-#: Bit x of ``bits`` is pixel (x, y); empty rows are not stored. Canvases up to 62 pixels wide.
-MASK_ROWS = "sample_id long, slot long, y int, bits long"
-#: A label layer as one bitmap per scanline and class.
-LABEL_BITS = "sample_id long, y int, class_id long, bits long"
+#: Bit x of word ``k`` is pixel (k * bits.WORD + x, y); empty words are not stored.
+MASK_ROWS = "sample_id long, slot long, y int, k int, bits long"
+#: A label layer as one bitmap per scanline word and class.
+LABEL_BITS = "sample_id long, y int, k int, class_id long, bits long"
 PIXEL_ROWS = "sample_id long, y int, ch int, vals array<double>"
 BANK = "idx long, class_id long, image binary, alpha binary, embedding array<float>"
 LAYERS = ("image", "instance", "panoptic", "semantic", "depth", "normals")

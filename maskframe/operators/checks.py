@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import bits
 from .composite import tight_boxes
 
+
 def report(name: str, ids: DataFrame, bad: DataFrame) -> DataFrame:
     """A report for every sample of ``ids``; ``bad`` has (sample_id, n_bad) of those that break the rule."""
     return ids.select("sample_id").join(bad.select("sample_id", F.col("n_bad").cast("long").alias("n_bad")), "sample_id", "left").select("sample_id", F.lit(name).alias("name"), (F.coalesce("n_bad", F.lit(0)) == 0).alias("ok"), F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"))
@@ -24,10 +25,13 @@ def identity(ids: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
 
     Masks are compared by the rows both have: contained means that as many rows meet, each without a pixel outside.
     """
-    a = after.where("bits <> 0").select("sample_id", F.col("slot").alias("a"), F.col("label").alias("la"), "y", F.col("bits").alias("ab"))
+    before, after = bits.keyed(before), bits.keyed(after)
+    # A word may have several rows, so words are put together before they are counted.
+    after = after.groupBy("sample_id", "slot", "label", "y", "k").agg(F.bit_or("bits").alias("bits"))
+    a = after.where("bits <> 0").select("sample_id", F.col("slot").alias("a"), F.col("label").alias("la"), "y", "k", F.col("bits").alias("ab"))
     rows = a.groupBy("sample_id", "a").agg(F.count("*").alias("rows"))
-    b = before.select("sample_id", F.col("slot").alias("b"), F.col("label").alias("lb"), "y", F.col("bits").alias("bb"))
-    meet = a.join(b, ["sample_id", "y"]).where(bits.without(F.col("ab"), F.col("bb")) == 0).groupBy("sample_id", "a", "b", "la", "lb").agg(F.count("*").alias("met"))
+    b = before.select("sample_id", F.col("slot").alias("b"), F.col("label").alias("lb"), "y", "k", F.col("bits").alias("bb"))
+    meet = a.join(b, bits.LINE).where(bits.without(F.col("ab"), F.col("bb")) == 0).groupBy("sample_id", "a", "b", "la", "lb").agg(F.count("*").alias("met"))
     within = meet.join(rows, ["sample_id", "a"]).where("met = rows")
     per = within.groupBy("sample_id", "a").agg(F.bool_or(F.col("la") == F.col("lb")).alias("same"))
     return report("instance.identity_preserved", ids, counted(per, ~F.col("same")))
@@ -35,7 +39,7 @@ def identity(ids: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
 
 def subtracts_union(ids: DataFrame, masks: DataFrame, paste: DataFrame) -> DataFrame:
     """No mask lies on both sides of the union of the pastes."""
-    j = masks.join(paste, ["sample_id", "y"], "left").withColumn("paste", F.coalesce("paste", F.lit(0).cast("long")))
+    j = bits.keyed(masks).join(bits.keyed(paste), bits.LINE, "left").withColumn("paste", F.coalesce("paste", F.lit(0).cast("long")))
     per = j.groupBy("sample_id", "slot").agg(F.bool_or(F.col("bits").bitwiseAND(F.col("paste")) != 0).alias("i"), F.bool_or(bits.without(F.col("bits"), F.col("paste")) != 0).alias("o"))
     return report("instance.target_masks_subtract_paste_union", ids, counted(per, F.col("i") & F.col("o")))
 
@@ -55,7 +59,8 @@ def no_small(ids: DataFrame, areas: DataFrame, tau: Column | int) -> DataFrame:
 
 def no_overlap(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """Masks of a class don't overlap: their areas add up to the area of their union."""
-    per = rows.groupBy("sample_id", "label", "y").agg((F.sum(F.bit_count("bits")) - F.bit_count(F.bit_or("bits"))).alias("over"))
+    per = bits.keyed(rows).groupBy("sample_id", "label", "y", "k").agg((F.sum(F.bit_count("bits")) - F.bit_count(F.bit_or("bits"))).alias("over"))
+    per = per.groupBy("sample_id", "label", "y").agg(F.max("over").alias("over"))
     return report("instance.no_same_class_overlap", ids, per.groupBy("sample_id").agg(F.sum((F.col("over") > 0).cast("long")).alias("n_bad")))
 
 
@@ -64,18 +69,18 @@ def thing_stuff(ids: DataFrame, semantic: DataFrame, things: DataFrame, is_thing
 
     ``things`` has (sample_id, y, z): the pixels with an instance.
     """
-    j = semantic.where(F.col("class_id") != ignore).join(things, ["sample_id", "y"], "left").withColumn("z", F.coalesce("z", F.lit(0).cast("long")))
+    j = bits.keyed(semantic).where(F.col("class_id") != ignore).join(bits.keyed(things), bits.LINE, "left").withColumn("z", F.coalesce("z", F.lit(0).cast("long")))
     wrong = F.when(is_thing, bits.without(F.col("bits"), F.col("z"))).otherwise(F.col("bits").bitwiseAND(F.col("z")))
     return report("panoptic.thing_stuff_consistent", ids, j.groupBy("sample_id").agg(F.sum(F.bit_count(wrong)).alias("n_bad")))
 
 
 def bijection(ids: DataFrame, things: DataFrame, rows: DataFrame) -> DataFrame:
     """Every pixel with an instance lies in exactly one mask: none uncovered, none covered twice."""
-    per = rows.groupBy("sample_id", "y").agg(F.bit_or("bits").alias("any"), F.bit_xor("bits").alias("odd"), F.sum(F.bit_count("bits")).alias("sum"))
-    j = things.join(per, ["sample_id", "y"], "left")
+    per = bits.keyed(rows).groupBy(*bits.LINE).agg(F.bit_or("bits").alias("any"), F.sum(F.bit_count("bits")).alias("sum"))
+    j = bits.keyed(things).join(per, bits.LINE, "left")
     any_ = F.coalesce("any", F.lit(0).cast("long"))
-    bad = F.bit_count(bits.without(F.col("z"), any_)) + F.when(F.col("sum") > F.bit_count(any_), 1).otherwise(0)
-    return report("panoptic.pixel_bijection", ids, j.groupBy("sample_id").agg(F.sum(bad).alias("n_bad")))
+    per = j.groupBy("sample_id", "y").agg(F.sum(F.bit_count(bits.without(F.col("z"), any_))).alias("bare"), F.max(F.when(F.col("sum") > F.bit_count(any_), 1).otherwise(0)).alias("twice"))
+    return report("panoptic.pixel_bijection", ids, per.groupBy("sample_id").agg(F.sum(F.col("bare") + F.col("twice")).alias("n_bad")))
 
 
 def fresh_ids(ids: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -93,21 +98,23 @@ def stuff_area(ids: DataFrame, before: DataFrame, after: DataFrame, stuff: Colum
 
 def single_class(ids: DataFrame, semantic: DataFrame) -> DataFrame:
     """One class a pixel: the classes' bitmaps don't overlap."""
-    per = semantic.groupBy("sample_id", "y").agg((F.sum(F.bit_count("bits")) - F.bit_count(F.bit_or("bits"))).alias("over"))
+    per = bits.keyed(semantic).groupBy(*bits.LINE).agg((F.sum(F.bit_count("bits")) - F.bit_count(F.bit_or("bits"))).alias("over"))
     return report("semantic.single_class_per_pixel", ids, per.groupBy("sample_id").agg(F.sum("over").alias("n_bad")))
 
 
 def ignore_kept(ids: DataFrame, before: DataFrame, after: DataFrame, ignore: int = 255) -> DataFrame:
     """Ignored pixels stay ignored."""
-    b = before.where(F.col("class_id") == ignore).select("sample_id", "y", F.col("bits").alias("b"))
-    a = after.where(F.col("class_id") == ignore).select("sample_id", "y", F.col("bits").alias("a"))
-    j = b.join(a, ["sample_id", "y"], "left")
+    b = bits.keyed(before).where(F.col("class_id") == ignore).select(*bits.LINE, F.col("bits").alias("b"))
+    a = bits.keyed(after).where(F.col("class_id") == ignore).select(*bits.LINE, F.col("bits").alias("a"))
+    j = b.join(a, bits.LINE, "left")
     return report("semantic.ignore_preserved", ids, j.groupBy("sample_id").agg(F.sum(F.bit_count(bits.without(F.col("b"), F.coalesce("a", F.lit(0).cast("long"))))).alias("n_bad")))
 
 
 def depth_monotone(ids: DataFrame, lines: DataFrame, w: int) -> DataFrame:
     """Inside the effective mask the depth is the smaller of both. ``lines``: sample_id, y, mask, src, tgt, out."""
-    wrong = bits.where([F.element_at("out", x + 1) != F.least(F.element_at("src", x + 1), F.element_at("tgt", x + 1)) for x in range(w)])
+    from_ = F.col("k") * bits.WORD if "k" in lines.columns else F.lit(0)
+    spot = lambda c, x: F.get(c, from_ + x)
+    wrong = bits.where(min(w, bits.WORD), lambda x: F.coalesce(spot("out", x) != F.least(spot("src", x), spot("tgt", x)), F.lit(False)))
     return report("depth.monotonicity", ids, lines.groupBy("sample_id").agg(F.sum(F.bit_count(wrong.bitwiseAND(F.col("mask")))).alias("n_bad")))
 
 

@@ -9,27 +9,38 @@ from .. import bits
 
 
 def union(warped: DataFrame) -> DataFrame:
-    """(sample_id, y, paste): OR of the warped masks; rows without any are absent."""
-    return warped.groupBy("sample_id", "y").agg(F.bit_or("bits").alias("paste"))
+    """(sample_id, y, k, paste): OR of the warped masks; words without any are absent."""
+    return bits.keyed(warped).groupBy(*bits.LINE).agg(F.bit_or("bits").alias("paste"))
 
 
-def effective(paste: Column, src: Column, tgt: Column, tgt_ok: Column, src_pad: Column | None, w: int) -> Column:
-    """The paste mask after the depth test: nearer than the target, or the target's depth is invalid; source padding never pastes."""
-    nearer = bits.where([F.element_at(src, x + 1) < F.element_at(tgt, x + 1) for x in range(w)])
+def effective(paste: Column, src: Column, tgt: Column, tgt_ok: Column, src_pad: Column | None, w: int, k: Column | None = None) -> Column:
+    """The paste mask (a word) after the depth test: nearer than the target, or the target's depth is invalid; source padding never pastes.
+
+    ``src`` and ``tgt`` are whole scanlines, ``k`` the number of the word.
+    """
+    from_ = F.lit(0) if k is None else k * bits.WORD
+    spot = lambda vals, x: F.get(vals, from_ + x)
+    nearer = bits.where(min(w, bits.WORD), lambda x: F.coalesce(spot(src, x) < spot(tgt, x), F.lit(False)))
     m = paste.bitwiseAND(nearer.bitwiseOR(F.bitwise_not(tgt_ok)))
     return m if src_pad is None else bits.without(m, src_pad)
 
 
 def select_values(mask: Column, src: Column, tgt: Column, w: int) -> Column:
-    """Source values where the mask is set, target values elsewhere."""
-    return F.array(*[F.when(bits.at(mask, F.lit(x)) == 1, F.element_at(src, x + 1)).otherwise(F.element_at(tgt, x + 1)) for x in range(w)])
+    """Source values where the mask is set, target values elsewhere. ``mask``: one word, or the words of a scanline (:func:`bits.lines`)."""
+    return F.transform(tgt, lambda v, x: F.when(bits.at(mask, x) == 1, F.get(src, x)).otherwise(v))
+
+
+def select_line(mask: Column, src: Column, tgt: Column) -> Column:
+    """As :func:`select_values`, for scanlines of any width: ``mask`` has the words of :func:`bits.lines`."""
+    return F.transform(tgt, lambda v, x: F.when(bits.pixel(mask, x), F.get(src, x)).otherwise(v))
 
 
 def select_labels(target: DataFrame, source: DataFrame, mask: DataFrame) -> DataFrame:
     """A label layer after the paste: target bitmaps outside the mask, the source's inside; one aggregate joins the two."""
-    old = target.join(mask, ["sample_id", "y"], "left").select("sample_id", "y", "class_id", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long"))).alias("bits"))
-    new = source.join(mask, ["sample_id", "y"]).select("sample_id", "y", "class_id", F.col("bits").bitwiseAND(F.col("paste")).alias("bits"))
-    return old.unionByName(new).where("bits <> 0").groupBy("sample_id", "y", "class_id").agg(F.bit_or("bits").alias("bits"))
+    target, source, mask = map(bits.keyed, (target, source, mask))
+    old = target.join(mask, bits.LINE, "left").select(*bits.LINE, "class_id", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long"))).alias("bits"))
+    new = source.join(mask, bits.LINE).select(*bits.LINE, "class_id", F.col("bits").bitwiseAND(F.col("paste")).alias("bits"))
+    return old.unionByName(new).where("bits <> 0").groupBy(*bits.LINE, "class_id").agg(F.bit_or("bits").alias("bits"))
 
 
 def depth_valid(paste: Column, src_ok: Column, tgt_ok: Column) -> Column:
@@ -39,12 +50,12 @@ def depth_valid(paste: Column, src_ok: Column, tgt_ok: Column) -> Column:
 
 def survivors(rows: DataFrame, paste: DataFrame) -> DataFrame:
     """Target masks less what was pasted; rows that vanish keep bits 0, so that areas count them."""
-    return rows.join(paste, ["sample_id", "y"], "left").withColumn("bits", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long")))).drop("paste")
+    return bits.keyed(rows).join(bits.keyed(paste), bits.LINE, "left").withColumn("bits", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long")))).drop("paste")
 
 
 def survivor_area(rows: DataFrame, paste: DataFrame) -> DataFrame:
     """(sample_id, slot, label, before, after): areas of the target masks, both sums over one partitioning."""
-    left = rows.join(paste, ["sample_id", "y"], "left").withColumn("rest", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long"))))
+    left = bits.keyed(rows).join(bits.keyed(paste), bits.LINE, "left").withColumn("rest", bits.without(F.col("bits"), F.coalesce("paste", F.lit(0).cast("long"))))
     return left.groupBy("sample_id", "slot", "label").agg(F.sum(F.bit_count("bits")).alias("before"), F.sum(F.bit_count("rest")).alias("after"))
 
 
@@ -69,7 +80,8 @@ def merge_slots(kept: DataFrame, pasted: DataFrame, slots: int) -> DataFrame:
 
 def visible(rows: DataFrame) -> DataFrame:
     """Mask rows of which only what later slots don't cover is left: the last mask wins."""
-    later = Window.partitionBy("sample_id", "y").orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = bits.keyed(rows)
+    later = Window.partitionBy(*bits.LINE).orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("bits", bits.without(F.col("bits"), F.coalesce(F.bit_or("bits").over(later), F.lit(0).cast("long"))))
 
 
@@ -78,10 +90,12 @@ def label_layer(lines: DataFrame, rows: DataFrame, default: Column, w: int) -> D
 
     ``lines`` has a row for every scanline (sample_id, y); ``default`` is a column of it.
     """
-    own = visible(rows).where("bits <> 0").groupBy("sample_id", "y", F.col("label").alias("class_id")).agg(F.bit_or("bits").alias("bits"))
-    any_ = rows.groupBy("sample_id", "y").agg(F.bit_or("bits").alias("any"))
-    rest = lines.join(any_, ["sample_id", "y"], "left").select("sample_id", "y", default.alias("class_id"), bits.without(bits.full(w), F.coalesce("any", F.lit(0).cast("long"))).alias("bits"))
-    return own.unionByName(rest.where("bits <> 0")).groupBy("sample_id", "y", "class_id").agg(F.bit_or("bits").alias("bits"))
+    rows = bits.keyed(rows)
+    own = visible(rows).where("bits <> 0").groupBy(*bits.LINE, F.col("label").alias("class_id")).agg(F.bit_or("bits").alias("bits"))
+    any_ = rows.groupBy(*bits.LINE).agg(F.bit_or("bits").alias("any"))
+    every = lines.withColumn("k", F.explode(bits.numbers(w)) if w > bits.WORD else F.lit(0))
+    rest = every.join(any_, bits.LINE, "left").select(*bits.LINE, default.alias("class_id"), bits.without(bits.full(w, F.col("k")), F.coalesce("any", F.lit(0).cast("long"))).alias("bits"))
+    return own.unionByName(rest.where("bits <> 0")).groupBy(*bits.LINE, "class_id").agg(F.bit_or("bits").alias("bits"))
 
 
 def histogram(labels: DataFrame) -> DataFrame:
@@ -95,14 +109,16 @@ def collapsed(before: DataFrame, after: DataFrame, stuff: Column, tau: float) ->
 
 
 def revert_rows(labels: DataFrame, gone: DataFrame, paste: DataFrame) -> DataFrame:
-    """(sample_id, y, revert): pixels of the paste mask whose class before the paste collapsed."""
-    return labels.join(gone.select("sample_id", "class_id"), ["sample_id", "class_id"], "left_semi").groupBy("sample_id", "y").agg(F.bit_or("bits").alias("own")).join(paste, ["sample_id", "y"]).select("sample_id", "y", F.col("own").bitwiseAND(F.col("paste")).alias("revert")).where("revert <> 0")
+    """(sample_id, y, k, revert): pixels of the paste mask whose class before the paste collapsed."""
+    own = bits.keyed(labels).join(gone.select("sample_id", "class_id"), ["sample_id", "class_id"], "left_semi").groupBy(*bits.LINE).agg(F.bit_or("bits").alias("own"))
+    return own.join(bits.keyed(paste), bits.LINE).select(*bits.LINE, F.col("own").bitwiseAND(F.col("paste")).alias("revert")).where("revert <> 0")
 
 
 def tight_boxes(rows: DataFrame, *by: str) -> DataFrame:
     """Tight boxes with inclusive maxima, of the masks that have a pixel."""
-    some = rows.where("bits <> 0").groupBy(*by).agg(F.min("y").alias("y1"), F.max("y").alias("y2"), F.bit_or("bits").alias("any"), F.sum(F.bit_count("bits")).alias("area"))
-    return some.select(*by, bits.first(F.col("any")).alias("x1"), "y1", bits.last(F.col("any")).alias("x2"), "y2", "area")
+    word = F.col("k") * bits.WORD
+    some = bits.keyed(rows).where("bits <> 0").groupBy(*by).agg(F.min(word + bits.first(F.col("bits"))).alias("x1"), F.min("y").alias("y1"), F.max(word + bits.last(F.col("bits"))).alias("x2"), F.max("y").alias("y2"), F.sum(F.bit_count("bits")).alias("area"))
+    return some.select(*by, "x1", "y1", "x2", "y2", "area")
 
 
 def fresh_ids(before: DataFrame, pasted: DataFrame) -> DataFrame:

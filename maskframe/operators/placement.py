@@ -108,8 +108,10 @@ def valid_extent(padding: DataFrame, width: int) -> DataFrame:
     """(sample_id, hv, wv) from padding bitmaps (sample_id, y, pad): rows and columns that hold a pixel that isn't padding."""
     from .. import bits
 
-    live = bits.without(bits.full(width), F.col("pad"))
-    return padding.groupBy("sample_id").agg(F.sum((live != 0).cast("int")).alias("hv"), F.bit_count(F.bit_or(live)).alias("wv"))
+    # Columns that are live in some line, and lines that have a live pixel in some word.
+    live = bits.keyed(padding).withColumn("live", bits.without(bits.full(width, F.col("k")), F.col("pad"))).where("live <> 0")
+    wide = live.groupBy("sample_id", "k").agg(F.bit_or("live").alias("any"), F.collect_set("y").alias("ys"))
+    return padding.select("sample_id").distinct().join(wide, "sample_id", "left").groupBy("sample_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ys")))).alias("hv"), F.coalesce(F.sum(F.bit_count("any")), F.lit(0)).cast("int").alias("wv"))
 
 
 def bank_place(targets: DataFrame, bank: DataFrame, n_bank: int, crop: tuple[int, int], c: Placement = Placement()) -> DataFrame:

@@ -37,10 +37,19 @@ PAD_FILL = {"image": 0, "instance": 0, "semantic": 255, "panoptic": 255, "depth"
 
 
 def crop_masks(rows: DataFrame, plan: DataFrame, tw: int, th: int) -> DataFrame:
-    """Mask rows inside the crop: rows shift by ``top``, bits by ``left``, what lies beyond is cut; fill is clear."""
-    j = rows.join(plan.select("sample_id", "top", "left"), "sample_id").withColumn("y", (F.col("y") - F.col("top")).cast("int")).where((F.col("y") >= 0) & (F.col("y") < th))
-    moved = F.call_function("shiftright", F.col("bits"), F.col("left").cast("int")).bitwiseAND(bits.full(tw))
-    return j.withColumn("bits", moved).drop("top", "left").where("bits <> 0")
+    """Mask rows inside the crop: rows shift by ``top``, pixels by ``left``, what lies beyond is cut; fill is clear.
+
+    A source word falls into two target words at most; rows of one word are disjoint.
+    """
+    j = bits.keyed(rows).join(plan.select("sample_id", "top", "left"), "sample_id").withColumn("y", (F.col("y") - F.col("top")).cast("int")).where((F.col("y") >= 0) & (F.col("y") < th))
+    spot = F.col("k") * bits.WORD - F.col("left")
+    first, shift = F.floor(spot / bits.WORD).cast("int"), F.pmod(spot, F.lit(bits.WORD)).cast("int")
+    low = F.call_function("shiftleft", F.col("bits"), shift).bitwiseAND(bits.full(bits.WORD))
+    high = F.call_function("shiftright", F.col("bits"), F.lit(bits.WORD) - shift)
+    two = F.array(F.struct(first.alias("k"), low.alias("bits")), F.struct((first + 1).alias("k"), high.alias("bits")))
+    keep = [c for c in j.columns if c not in ("k", "bits", "top", "left")]
+    out = j.select(*keep, F.explode(two).alias("w")).select(*keep, "w.k", "w.bits").where((F.col("k") >= 0) & (F.col("k") < bits.n_words(tw)))
+    return out.withColumn("bits", F.col("bits").bitwiseAND(bits.full(tw, F.col("k")))).where("bits <> 0")
 
 
 def crop_values(vals: Column, left: Column, tw: int, fill: float) -> Column:
@@ -78,4 +87,4 @@ def pad_values(vals: Column, w: int, pad: int) -> Column:
     """A scanline with ``pad`` pixels more: reflected, or zero where there aren't enough to reflect."""
     if pad >= w:
         return F.concat(vals, F.array_repeat(F.lit(0.0), pad))
-    return F.concat(vals, F.array(*[F.element_at(vals, w - 2 - i + 1) for i in range(pad)])) if pad else vals
+    return F.concat(vals, F.reverse(F.slice(vals, w - pad, pad))) if pad else vals

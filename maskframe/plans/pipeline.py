@@ -14,8 +14,8 @@ from .presets import Paste
 
 @dataclass
 class Outcome:
-    instances: DataFrame  # sample_id, slot, label, instance_id, y, bits
-    paste: DataFrame  # sample_id, y, paste
+    instances: DataFrame  # sample_id, slot, label, instance_id, y, k, bits
+    paste: DataFrame  # sample_id, y, k, paste
     semantic: DataFrame | None
     slots: DataFrame
 
@@ -36,14 +36,14 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
         if config.tau_stuff_frac is not None and stuff is not None:
             gone = composite.collapsed(composite.histogram(semantic), composite.histogram(after), stuff, config.tau_stuff_frac)
             revert = composite.revert_rows(semantic, gone, paste)
-            back = lambda df, c: df.join(revert, ["sample_id", "y"], "left").withColumn(c, bits.without(F.col(c), F.coalesce("revert", F.lit(0).cast("long")))).drop("revert").where(f"{c} <> 0")
-            restored = semantic.join(revert, ["sample_id", "y"]).select("sample_id", "y", "class_id", F.col("bits").bitwiseAND(F.col("revert")).alias("bits"))
-            after = back(after, "bits").unionByName(restored.where("bits <> 0")).groupBy("sample_id", "y", "class_id").agg(F.bit_or("bits").alias("bits"))
+            back = lambda df, c: df.join(revert, bits.LINE, "left").withColumn(c, bits.without(F.col(c), F.coalesce("revert", F.lit(0).cast("long")))).drop("revert").where(f"{c} <> 0")
+            restored = bits.keyed(semantic).join(revert, bits.LINE).select(*bits.LINE, "class_id", F.col("bits").bitwiseAND(F.col("revert")).alias("bits"))
+            after = back(after, "bits").unionByName(restored.where("bits <> 0")).groupBy(*bits.LINE, "class_id").agg(F.bit_or("bits").alias("bits"))
             warped, paste = back(warped, "bits"), back(paste, "paste")
     areas = composite.survivor_area(rows, paste)
     kept = composite.kept_targets(areas, config.min_residual_area_frac)
     moves = composite.merge_slots(kept, warped.select("sample_id", "slot").distinct(), config.slots)
     old = composite.survivors(rows.withColumn("instance_id", F.col("slot")), paste).join(kept.select("sample_id", "slot"), ["sample_id", "slot"], "left_semi")
     new = warped.withColumnRenamed("slot", "src_slot").join(moves, ["sample_id", "src_slot"])
-    cols = ["sample_id", "slot", "label", "instance_id", "y", "bits"]
+    cols = ["sample_id", "slot", "label", "instance_id", "y", "k", "bits"]
     return Outcome(old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0"), paste, after, slots)

@@ -21,7 +21,7 @@ def query(oracle: str | None = None):
     """Registers a function of a :class:`Catalogue` under its name."""
 
     def put(f: Callable[[Catalogue], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: one_word(f(Catalogue(spark, sf_dir)))
         if oracle:
             ORACLES[f.__name__] = oracle
         return f
@@ -29,6 +29,11 @@ def query(oracle: str | None = None):
     return put
 
 
+def one_word(df: DataFrame) -> DataFrame:
+    """The catalogue's canvases have one word a scanline, so its number is left out of scanlines."""
+    return df.drop("k") if "y" in df.columns else df
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 

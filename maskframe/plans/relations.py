@@ -88,7 +88,7 @@ class Catalogue:
         """(sample_id, slot, label, instance_id, y, bits): surviving targets and merged pastes."""
         old = composite.survivors(self.rows.withColumn("instance_id", F.col("slot")), self.paste).join(self.kept.select("sample_id", "slot"), ["sample_id", "slot"], "left_semi")
         new = self.warped.withColumnRenamed("slot", "src_slot").join(self.moves, ["sample_id", "src_slot"])
-        cols = ["sample_id", "slot", "label", "instance_id", "y", "bits"]
+        cols = ["sample_id", "slot", "label", "instance_id", "y", "k", "bits"]
         return old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0")
 
     @cached_property
@@ -97,7 +97,7 @@ class Catalogue:
         base = composite.label_layer(self.lines, self.rows, (F.col("sample_id") % 6 + td.THINGS), self.W)
         top = F.when((F.col("y") == 0) & (F.col("sample_id") % 4 == 0), F.lit(3).cast("long")).otherwise(F.lit(0).cast("long"))
         seen = base.withColumn("bits", bits.without(F.col("bits"), top)).where("bits <> 0")
-        ignored = self.lines.where((F.col("y") == 0) & (F.col("sample_id") % 4 == 0)).select("sample_id", "y", F.lit(255).cast("long").alias("class_id"), F.lit(3).cast("long").alias("bits"))
+        ignored = self.lines.where((F.col("y") == 0) & (F.col("sample_id") % 4 == 0)).select("sample_id", "y", F.lit(0).alias("k"), F.lit(255).cast("long").alias("class_id"), F.lit(3).cast("long").alias("bits"))
         return seen.unionByName(ignored)
 
     @cached_property

@@ -33,8 +33,8 @@ def detections(inst: DataFrame, w: Column | int, h: Column | int) -> DataFrame:
 
 def stuff_only(semantic: DataFrame, things: DataFrame) -> DataFrame:
     """Class bitmaps of the pixels without an instance."""
-    j = semantic.join(things, ["sample_id", "y"], "left")
-    return j.select("sample_id", "y", "class_id", bits.without(F.col("bits"), F.coalesce("z", F.lit(0).cast("long"))).alias("bits")).where("bits <> 0")
+    j = bits.keyed(semantic).join(bits.keyed(things), bits.LINE, "left")
+    return j.select(*bits.LINE, "class_id", bits.without(F.col("bits"), F.coalesce("z", F.lit(0).cast("long"))).alias("bits")).where("bits <> 0")
 
 
 def last_wins(masks: DataFrame, is_thing: Column) -> DataFrame:
@@ -45,7 +45,7 @@ def last_wins(masks: DataFrame, is_thing: Column) -> DataFrame:
     from ..operators.composite import visible
 
     v = visible(masks).where("bits <> 0")
-    return v.select("sample_id", "y", F.col("label").alias("semantic"), F.when(is_thing, F.col("slot") + 1).otherwise(0).alias("panoptic"), "bits").groupBy("sample_id", "y", "semantic", "panoptic").agg(F.bit_or("bits").alias("bits"))
+    return v.select(*bits.LINE, F.col("label").alias("semantic"), F.when(is_thing, F.col("slot") + 1).otherwise(0).alias("panoptic"), "bits").groupBy(*bits.LINE, "semantic", "panoptic").agg(F.bit_or("bits").alias("bits"))
 
 
 def model_batch(pad: DataFrame) -> DataFrame:
