@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import bits
-from ..operators import composite, placement, warp
+from ..operators import composite, harmonize, layers, placement, warp
 from .presets import Paste
 
 
@@ -47,3 +47,37 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
     new = warped.withColumnRenamed("slot", "src_slot").join(moves, ["sample_id", "src_slot"])
     cols = ["sample_id", "slot", "label", "instance_id", "y", "k", "bits"]
     return Outcome(old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0"), paste, after, slots)
+
+
+def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste, sources: DataFrame | None = None, stuff: frozenset[int] = frozenset()) -> DataFrame:
+    """Every layer of every sample after the whole augmentation (:data:`layers.OUT`), instances dropped and merged.
+
+    ``samples`` has the layers and instances of :data:`layers.ROWS`; ``placed`` and ``slots`` come from
+    :func:`placement.place`, or :func:`placement.bank_place` with ``sources``, rows of the same form that only serve as sources.
+    Placements and the slots to paste are small; each image is shuffled once, to its batch.
+    """
+    chosen = slots.where("paste_valid").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("pasted"))
+    gate = harmonize.gate(config.harmonize.prob, "sample_id", seed=config.placement.seed)
+    where = placed.join(chosen, "sample_id", "left").select("sample_id", "src_id", "scale", "hflip", "ty", "tx", F.col("wv").cast("int").alias("wv"), "pasted", gate.alias("harmonized"))
+    rows = samples.join(where, "sample_id", "left").withColumn("target", F.lit(True)).select(*[c.split()[0] for c in layers.ROWS.replace(layers.INSTANCE, "x").split(", ")])
+    if sources is not None:
+        rows = rows.unionByName(sources.withColumn("target", F.lit(False)), allowMissingColumns=True)
+    done = layers.pasted(rows, stuff, config.tau_stuff_frac, config.harmonize.mode)
+    return layers.merged(done, config.slots, config.min_residual_area_frac)
+
+
+def bank_sources(targets: DataFrame, crops: DataFrame, h: int, w: int) -> DataFrame:
+    """The crops that targets were given (``idx``), as sources of their batches: one instance, the crop's alpha, slot 0.
+
+    Crops have planes of bytes (``image``, ``alpha``) of ``h`` by ``w``; their ids are negative, so that they are no sample's.
+    """
+    pick = targets.select("batch_id", "idx").distinct().join(crops, "idx")
+    bit = F.transform(F.sequence(F.lit(1), F.lit(h * w)), lambda i: F.when(F.conv(F.hex(F.substring("alpha", i, F.lit(1))), 16, 10).cast("int") > 0, "1").otherwise("0"))
+    text = F.rpad(F.array_join(bit, ""), -(-h * w // 8) * 8, "0")
+    packed = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(-(-h * w // 8) - 1)), lambda i: F.lpad(F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("class_id").alias("label"), F.lit(0).cast("long").alias("instance_id"), packed.alias("mask")))
+    return pick.select("batch_id", crop_id(F.col("idx")).alias("sample_id"), F.lit(h).alias("h"), F.lit(w).alias("w"), "image", one.alias("instances"))
+
+
+def crop_id(idx: Column) -> Column:
+    return -1 - idx

@@ -820,3 +820,9 @@ def step_counts(c: Catalogue) -> DataFrame:
     from ..streaming import steps
 
     return steps.step_counts(c.table("events")).select("start", "event_type", "n", r6("mean", "mean"))
+
+
+from . import wide  # noqa: E402
+
+QUERIES |= wide.QUERIES
+ORACLES |= wide.ORACLES

@@ -6,6 +6,10 @@ operator meets real joins and aggregates whose results can be told exactly. Canv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +70,58 @@ def depth_rows(rows: DataFrame) -> DataFrame:
 def padding_bits(hv: Column, wv: Column, y: Column) -> Column:
     """Pixels of a scanline that are padding: all below the valid rows, else those beyond the valid columns."""
     return F.when(y >= hv, bits.full(SIZE)).otherwise(bits.without(bits.full(SIZE), bits.full(wv)))
+
+
+# ---- wide canvases: suppliers are samples, their customers (fifteen each) instances
+
+PER_WIDE = 15
+
+
+def wide_samples(spark: SparkSession, sf_dir: str, w: int, h: int) -> DataFrame:
+    o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("sample_id"), F.floor(F.col("s_suppkey") / BATCH).cast("long").alias("batch_id"))
+    win = Window.partitionBy("batch_id")
+    k = F.col("sample_id")
+    return o.select("batch_id", (F.row_number().over(win.orderBy("sample_id")) - 1).cast("long").alias("pos"), F.count("*").over(win).alias("n"), "sample_id", F.lit(h).alias("h"), F.lit(w).alias("w"), (h - k % 3).cast("int").alias("hv"), (w - k % 2).cast("int").alias("wv"))
+
+
+def wide_instances(spark: SparkSession, sf_dir: str, w: int, h: int) -> DataFrame:
+    c = F.col("c_custkey").cast("long")
+    bw, bh = 8 + c * 13 % (w // 4), 6 + c * 7 % (h // 4)
+    one = table(spark, sf_dir, "customer").select(F.floor(c / PER_WIDE).alias("sample_id"), (c % PER_WIDE).alias("slot"), (c % 20).alias("label"), (c * 37 % (w - bw)).alias("x1"), (c * 53 % (h - bh)).alias("y1"), bw.alias("bw"), bh.alias("bh"))
+    return one.select("sample_id", "slot", "label", "x1", "y1", (F.col("x1") + F.col("bw")).alias("x2"), (F.col("y1") + F.col("bh")).alias("y2"), F.col("slot").alias("instance_id"))
+
+
+def wide_rows(inst: DataFrame) -> DataFrame:
+    """Scanline words of the rectangles."""
+    line = inst.select("sample_id", "slot", "label", "x1", "x2", F.explode(F.sequence(F.col("y1").cast("int"), (F.col("y2") - 1).cast("int"))).alias("y"))
+    return bits.spread(line, F.col("x1"), F.col("x2"), "sample_id", "slot", "label", "y")
+
+
+def wide_layers(samp: DataFrame, inst: DataFrame) -> DataFrame:
+    """Samples with all layers and packed masks, each a whole-number pattern of the keys."""
+    from ..operators import layers
+
+    boxes = inst.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("slot", "label", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    names = ["batch_id", "sample_id", "h", "w", "hv", "wv"]
+    kinds = [("batch_id", pa.int64()), ("sample_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), *((n, pa.binary()) for n in (*layers.LAYERS, *layers.BITS)), ("instances", pa.list_(pa.struct([("slot", pa.int64()), ("label", pa.int64()), ("instance_id", pa.int64()), ("mask", pa.binary())])))]
+
+    def draw(r: dict) -> dict:
+        k, h, w = r["sample_id"], r["h"], r["w"]
+        y, x = np.arange(h)[:, None], np.arange(w)[None, :]
+        sem, pan, every = np.full((h, w), k % 6 + THINGS), np.zeros((h, w), int), []
+        for b in r["boxes"] or []:
+            m = (y >= b["y1"]) & (y < b["y2"]) & (x >= b["x1"]) & (x < b["x2"])
+            sem[m], pan[m] = b["label"], b["slot"] + 1 if b["label"] < THINGS else 0
+            every.append({"slot": b["slot"], "label": b["label"], "instance_id": b["slot"], "mask": layers.packed(m)})
+        sign = np.where((k + y + 0 * x) % 2 == 0, 1.0, -1.0)
+        own = {"image": np.stack([(k * 31 + y * 7 + x * 13 + c * 29) % 256 for c in range(3)]), "semantic": sem, "panoptic": pan, "depth": 1 + (k * 17 + y * 3 + x * 5) % 97 / 10, "normals": np.stack([0.6 * sign, 0 * sign, 0.8 * np.abs(sign)])}
+        flat = {n: np.ascontiguousarray(v, layers.LAYERS[n][0]).tobytes() for n, v in own.items()}
+        return {"batch_id": r["batch_id"], "sample_id": k, "h": h, "w": w, **flat, "depth_ok": layers.packed((k + y * 3 + x * 7) % 11 != 0), "padding": layers.packed((y >= r["hv"]) | (x + 0 * y >= r["wv"])), "instances": every}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_pylist([draw(r)], schema=pa.schema(kinds))
+
+    schema = f"batch_id long, sample_id long, h int, w int, {layers.PLANES}, instances array<{layers.INSTANCE}>"
+    return samp.select(*names).join(boxes, "sample_id", "left").select(*names, "boxes").mapInArrow(run, schema)
