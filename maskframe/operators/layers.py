@@ -7,7 +7,7 @@ because sources are members of their target's batch: each image travels once. La
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +17,23 @@ from pyspark.sql import functions as F
 from . import harmonize
 
 #: Layer to (type, channels); what ends in ``_ok`` and padding are packed bits. Scanlines follow each other, channels outermost.
-LAYERS = {"image": ("u1", 3), "semantic": ("<i2", 1), "panoptic": ("<i4", 1), "depth": ("<f8", 1), "normals": ("<f8", 3)}
+LAYERS = {"image": ("u1", 3), "semantic": ("<i2", 1), "panoptic": ("<i4", 1), "depth": ("<f4", 1), "normals": ("<f4", 3)}
 BITS = ("depth_ok", "padding")
 PLANES = ", ".join(f"{n} binary" for n in (*LAYERS, *BITS))
 INSTANCE = "struct<slot:long,label:long,instance_id:long,mask:binary>"
 #: A sample with its layers and instances; targets also have their placement: source, where it goes, and the slots to paste.
 ROWS = f"batch_id long, sample_id long, h int, w int, {PLANES}, instances array<{INSTANCE}>, src_id long, scale double, hflip boolean, ty double, tx double, wv int, pasted array<long>, harmonized boolean, target boolean"
-OUT = f"sample_id long, h int, w int, {PLANES}, paste binary, instances array<struct<slot:long,label:long,instance_id:long,pasted:boolean,before:long,after:long,mask:binary>>"
+OUT = f"sample_id long, h int, w int, {PLANES}, paste binary, instances array<struct<slot:long,label:long,instance_id:long,pasted:boolean,before:long,after:long,mask:binary>>, totals map<string,double>"
 
 
 _INST = [("slot", pa.int64()), ("label", pa.int64()), ("instance_id", pa.int64()), ("pasted", pa.bool_()), ("before", pa.int64()), ("after", pa.int64()), ("mask", pa.binary())]
-OUT_ARROW = pa.schema([("sample_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), *((n, pa.binary()) for n in (*LAYERS, *BITS, "paste")), ("instances", pa.list_(pa.struct(_INST)))])
+OUT_ARROW = pa.schema([("sample_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), *((n, pa.binary()) for n in (*LAYERS, *BITS, "paste")), ("instances", pa.list_(pa.struct(_INST))), ("totals", pa.map_(pa.string(), pa.float64()))])
 
 
 def plane(raw: bytes, name: str, h: int, w: int) -> np.ndarray:
+    """A layer's values; real ones are floats or doubles, whichever their bytes are."""
     kind, ch = LAYERS[name]
-    return np.frombuffer(raw, kind).reshape(ch, h, w)
+    return np.frombuffer(raw, "<f8" if kind == "<f4" and len(raw) == 8 * ch * h * w else kind).reshape(ch, h, w)
 
 
 def unpacked(raw: bytes, h: int, w: int) -> np.ndarray:
@@ -51,14 +52,15 @@ class Map:
         self.x = r["wv"] - 1 - x if r["hflip"] else x
         self.shape, self.flip = (sh, sw), r["hflip"]
         ny, nx = np.rint(self.y).astype(int), np.rint(self.x).astype(int)
-        self.rows, self.cols = np.flatnonzero((ny >= 0) & (ny < sh)), np.flatnonzero((nx >= 0) & (nx < sw))
-        self.at = np.ix_(ny[self.rows], nx[self.cols])
-        self.size = (h, w)
-
-    def nearest(self, src: np.ndarray, fill=0) -> np.ndarray:
-        out = np.full((*src.shape[:-2], *self.size), fill, src.dtype)
-        if len(self.rows) and len(self.cols):
-            out[..., self.rows[:, None], self.cols[None, :]] = src[(..., *self.at)]
+        rows, cols = (np.flatnonzero((i >= 0) & (i < n)) for i, n in ((ny, sh), (nx, sw)))
+        # Both are stretches, since the map is monotone.
+        self.ys, self.xs = (slice(i[0], i[-1] + 1) if len(i) else slice(0, 0) for i in (rows, cols))
+        self.ny, self.nx, self.size = ny[self.ys], nx[self.xs], (h, w)
+
+    def nearest(self, src: np.ndarray) -> np.ndarray:
+        """Zero outside the source."""
+        out = np.zeros((*src.shape[:-2], *self.size), src.dtype)
+        out[..., self.ys, self.xs] = src.take(self.ny, axis=-2).take(self.nx, axis=-1)
         return out
 
     def bilinear(self, src: np.ndarray, ys: slice = slice(None), xs: slice = slice(None)) -> np.ndarray:
@@ -159,7 +161,7 @@ def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode:
     one = lambda i, pasted, mask, before: {"slot": i["slot"], "label": i["label"], "instance_id": i["instance_id"], "pasted": pasted, "before": int(before), "after": int(mask.sum()), "mask": packed(mask)}
     every = [one(i, False, masks[i["slot"]] & ~union, masks[i["slot"]].sum()) for i in t["instances"] or []]
     every += [one(i, True, warped[i["slot"]], warped[i["slot"]].sum()) for i in s["instances"] or [] if i["slot"] in warped and warped[i["slot"]].any()]
-    flat = {n: x if x is None or isinstance(x, bytes) else packed(x) if n in BITS else np.ascontiguousarray(x, LAYERS[n][0]).tobytes() for n, x in out.items()}
+    flat = {n: x if x is None or isinstance(x, bytes) else packed(x) if n in BITS else np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else LAYERS[n][0]).tobytes() for n, x in out.items()}
     return {"sample_id": t["sample_id"], "h": h, "w": w, **flat, "paste": packed(union), "instances": every}
 
 
@@ -170,21 +172,43 @@ def alone(t: dict) -> dict:
     return {"sample_id": t["sample_id"], "h": h, "w": w, **{n: t[n] for n in (*LAYERS, *BITS)}, "paste": packed(np.zeros((h, w), bool)), "instances": [i | {"pasted": False, "before": a, "after": a} for i, a in zip(t["instances"] or [], area)]}
 
 
-def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband") -> DataFrame:
+def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste")) -> DataFrame:
     """:data:`OUT` for every target among :data:`ROWS`; rows that are no targets only serve as sources.
 
-    A row whose source is missing in its batch stays as it is.
+    ``load`` fills in a row's layers and masks where its batch is composed, so that pixels are never shuffled: rows then hold
+    what it needs, a path or keys. Layers that aren't kept are composed (the image decides nothing, the others do) but come out
+    null. A row whose source is missing in its batch stays as it is.
     """
 
     def batch(t: pa.Table) -> pa.Table:
         every = t.to_pylist()
+        if load is not None:
+            every = [load(r) for r in every]
         by = {r["sample_id"]: r for r in every}
         out = [paste_one(r, by[r["src_id"]], stuff, tau, mode) if r["src_id"] in by else alone(r) for r in every if r["target"]]
+        for r in out:
+            r["totals"] = totals(r)
+            r.update(dict.fromkeys(n for n in (*LAYERS, *BITS, "paste") if n not in keep))
         return pa.Table.from_pylist(out, schema=OUT_ARROW)
 
+    if load is not None:
+        # Rows of keys are few bytes, but their batches are much work: as many tasks as there are, not as the bytes ask for.
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
     return rows.groupBy("batch_id").applyInArrow(batch, OUT)
 
 
+def totals(r: dict) -> list[tuple[str, float]]:
+    """Sums of each layer's values, weighted by place: to compare outcomes by."""
+    h, w = r["h"], r["w"]
+    weight = (1 + (np.arange(h)[:, None] * 3 + np.arange(w)[None, :]) % 7).astype(float)
+    out = []
+    for name in (*LAYERS, *BITS, "paste"):
+        if r[name] is not None:
+            x = plane(r[name], name, h, w) if name in LAYERS else unpacked(r[name], h, w)[None]
+            out.append((name, math.fsum(float(np.einsum("ij,ij->", c, weight)) * (k + 1) for k, c in enumerate(x.astype(float, copy=False)))))
+    return out
+
+
 def padded(rows: DataFrame, p: int, ignore: int = 255) -> DataFrame:
     """Every canvas brought to multiples of ``p`` at the bottom and right, each layer with its own fill; the image reflects if it can."""
     if p <= 0:
@@ -248,19 +272,5 @@ def mask_words(instances: DataFrame) -> DataFrame:
 
 
 def digests(out: DataFrame) -> DataFrame:
-    """(sample_id, layer, total): weighted sums of each layer's values by place, to compare outcomes by."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                h, w = r["h"], r["w"]
-                for name in (*LAYERS, *BITS, "paste"):
-                    if r[name] is None:
-                        continue
-                    x = plane(r[name], name, h, w).astype(float) if name in LAYERS else unpacked(r[name], h, w)[None].astype(float)
-                    weight = 1 + (np.arange(h)[:, None] * 3 + np.arange(w)[None, :]) % 7
-                    rows.append({"sample_id": r["sample_id"], "layer": name, "total": math.fsum((c * weight).sum() * (k + 1) for k, c in enumerate(x))})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("sample_id", pa.int64()), ("layer", pa.string()), ("total", pa.float64())]))
-
-    cols = ["sample_id", "h", "w", *LAYERS, *BITS, "paste"]
-    return out.select(*cols).mapInArrow(run, "sample_id long, layer string, total double")
+    """(sample_id, layer, total) of :func:`totals`."""
+    return out.select("sample_id", F.explode("totals")).select("sample_id", F.col("key").alias("layer"), F.col("value").alias("total"))

@@ -49,20 +49,21 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
     return Outcome(old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0"), paste, after, slots)
 
 
-def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste, sources: DataFrame | None = None, stuff: frozenset[int] = frozenset()) -> DataFrame:
+def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste, sources: DataFrame | None = None, stuff: frozenset[int] = frozenset(), **options) -> DataFrame:
     """Every layer of every sample after the whole augmentation (:data:`layers.OUT`), instances dropped and merged.
 
     ``samples`` has the layers and instances of :data:`layers.ROWS`; ``placed`` and ``slots`` come from
     :func:`placement.place`, or :func:`placement.bank_place` with ``sources``, rows of the same form that only serve as sources.
-    Placements and the slots to paste are small; each image is shuffled once, to its batch.
+    Placements and the slots to paste are small; each image is shuffled once, to its batch, or not at all: with ``load`` among the
+    ``options`` of :func:`layers.pasted`, rows without layers get them there.
     """
     chosen = slots.where("paste_valid").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("pasted"))
     gate = harmonize.gate(config.harmonize.prob, "sample_id", seed=config.placement.seed)
     where = placed.join(chosen, "sample_id", "left").select("sample_id", "src_id", "scale", "hflip", "ty", "tx", F.col("wv").cast("int").alias("wv"), "pasted", gate.alias("harmonized"))
-    rows = samples.join(where, "sample_id", "left").withColumn("target", F.lit(True)).select(*[c.split()[0] for c in layers.ROWS.replace(layers.INSTANCE, "x").split(", ")])
+    rows = samples.join(where, "sample_id", "left").withColumn("target", F.lit(True))
     if sources is not None:
         rows = rows.unionByName(sources.withColumn("target", F.lit(False)), allowMissingColumns=True)
-    done = layers.pasted(rows, stuff, config.tau_stuff_frac, config.harmonize.mode)
+    done = layers.pasted(rows, stuff, config.tau_stuff_frac, config.harmonize.mode, **options)
     return layers.merged(done, config.slots, config.min_residual_area_frac)
 
 

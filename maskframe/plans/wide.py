@@ -28,9 +28,9 @@ class Wide:
         self.placed, self.slots = placement.place(self.samples, self.instances, config or placement.Placement(k_range=(1, 5)))
         self.warped = warp.masks(self.slots, self.rows, h, w)
 
-    def layers(self, **paste) -> DataFrame:
-        config = presets.Paste(placement.Placement(k_range=(1, 5)), slots=24, **paste)
-        return pipeline.whole(td.wide_layers(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)))
+    def layers(self, *keep: str, config: presets.Paste | None = None, **paste) -> DataFrame:
+        config = config or presets.Paste(placement.Placement(k_range=(1, 5)), slots=24, **paste)
+        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep)
 
 
 def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
@@ -172,7 +172,7 @@ def _layer(select: str) -> tuple:
 
 
 def _totals(c: Wide, *names: str) -> DataFrame:
-    out = layers.digests(c.layers(min_residual_area_frac=0.1).select("sample_id", "h", "w", *[(F.col(n) if n in names else F.lit(None).cast("binary")).alias(n) for n in (*layers.LAYERS, *layers.BITS, "paste")]))
+    out = layers.digests(c.layers(min_residual_area_frac=0.1)).where(F.col("layer").isin(*names))
     return out.select("sample_id", "layer", F.round("total", 3).alias("total"))
 
 

@@ -6,10 +6,7 @@ operator meets real joins and aggregates whose results can be told exactly. Canv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,31 +94,28 @@ def wide_rows(inst: DataFrame) -> DataFrame:
     return bits.spread(line, F.col("x1"), F.col("x2"), "sample_id", "slot", "label", "y")
 
 
-def wide_layers(samp: DataFrame, inst: DataFrame) -> DataFrame:
-    """Samples with all layers and packed masks, each a whole-number pattern of the keys."""
+def wide_boxes(samp: DataFrame, inst: DataFrame) -> DataFrame:
+    """Samples with their boxes: what :func:`draw_layers` needs of each."""
+    boxes = inst.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("slot", "label", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    return samp.select("batch_id", "sample_id", "h", "w", F.struct("hv", "wv").alias("valid")).join(boxes, "sample_id", "left")
+
+
+def draw_layers(r: dict) -> dict:
+    """A row of :func:`wide_boxes` with all its layers and packed masks, each a whole-number pattern of the keys.
+
+    Depth and normals are doubles on small canvases, where SQL compares them, else floats.
+    """
     from ..operators import layers
 
-    boxes = inst.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("slot", "label", "x1", "y1", "x2", "y2"))).alias("boxes"))
-    names = ["batch_id", "sample_id", "h", "w", "hv", "wv"]
-    kinds = [("batch_id", pa.int64()), ("sample_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), *((n, pa.binary()) for n in (*layers.LAYERS, *layers.BITS)), ("instances", pa.list_(pa.struct([("slot", pa.int64()), ("label", pa.int64()), ("instance_id", pa.int64()), ("mask", pa.binary())])))]
-
-    def draw(r: dict) -> dict:
-        k, h, w = r["sample_id"], r["h"], r["w"]
-        y, x = np.arange(h)[:, None], np.arange(w)[None, :]
-        sem, pan, every = np.full((h, w), k % 6 + THINGS), np.zeros((h, w), int), []
-        for b in r["boxes"] or []:
-            m = (y >= b["y1"]) & (y < b["y2"]) & (x >= b["x1"]) & (x < b["x2"])
-            sem[m], pan[m] = b["label"], b["slot"] + 1 if b["label"] < THINGS else 0
-            every.append({"slot": b["slot"], "label": b["label"], "instance_id": b["slot"], "mask": layers.packed(m)})
-        sign = np.where((k + y + 0 * x) % 2 == 0, 1.0, -1.0)
-        own = {"image": np.stack([(k * 31 + y * 7 + x * 13 + c * 29) % 256 for c in range(3)]), "semantic": sem, "panoptic": pan, "depth": 1 + (k * 17 + y * 3 + x * 5) % 97 / 10, "normals": np.stack([0.6 * sign, 0 * sign, 0.8 * np.abs(sign)])}
-        flat = {n: np.ascontiguousarray(v, layers.LAYERS[n][0]).tobytes() for n, v in own.items()}
-        return {"batch_id": r["batch_id"], "sample_id": k, "h": h, "w": w, **flat, "depth_ok": layers.packed((k + y * 3 + x * 7) % 11 != 0), "padding": layers.packed((y >= r["hv"]) | (x + 0 * y >= r["wv"])), "instances": every}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_pylist([draw(r)], schema=pa.schema(kinds))
-
-    schema = f"batch_id long, sample_id long, h int, w int, {layers.PLANES}, instances array<{layers.INSTANCE}>"
-    return samp.select(*names).join(boxes, "sample_id", "left").select(*names, "boxes").mapInArrow(run, schema)
+    k, h, w, real = r["sample_id"], r["h"], r["w"], "<f8" if r["h"] * r["w"] < 10_000 else "<f4"
+    y, x = np.arange(h, dtype=np.int32)[:, None], np.arange(w, dtype=np.int32)[None, :]
+    sem, pan, every = np.full((h, w), k % 6 + THINGS, np.int16), np.zeros((h, w), np.int32), []
+    for b in r["boxes"] or []:
+        part = slice(b["y1"], b["y2"]), slice(b["x1"], b["x2"])
+        sem[part], pan[part] = b["label"], b["slot"] + 1 if b["label"] < THINGS else 0
+        m = np.zeros((h, w), bool)
+        m[part] = True
+        every.append({"slot": b["slot"], "label": b["label"], "instance_id": b["slot"], "mask": layers.packed(m)})
+    sign = np.where((k + y) % 2 == 0, 1.0, -1.0) * np.ones((1, w))
+    own = {"image": np.stack([(k * 31 + y * 7 + x * 13 + c * 29) % 256 for c in range(3)]).astype(np.uint8), "semantic": sem, "panoptic": pan, "depth": (1 + (k * 17 + y * 3 + x * 5) % 97 / 10).astype(real), "normals": np.stack([0.6 * sign, 0 * sign, 0.8 * np.abs(sign)]).astype(real)}
+    return r | {n: v.tobytes() for n, v in own.items()} | {"depth_ok": layers.packed((k + y * 3 + x * 7) % 11 != 0), "padding": layers.packed((y >= r["valid"]["hv"]) | (x >= r["valid"]["wv"])), "instances": every}
