@@ -1,5 +1,9 @@
-"""maskframe: dense-label compositing and auditing on Spark DataFrames.
+"""Compositing and auditing of dense-label image datasets with PySpark."""
 
-Relations over samples, instances, mask scanlines, label bitmaps and pixel scanlines (see :mod:`maskframe.model`);
-every operator takes DataFrames and returns one, without actions on the way.
-"""
+from .operators.layers import disagreements, merged, pasted
+from .operators.placement import Placement, bank_place, place
+from .operators.sampling import draws, loader, repeat_factors, stage
+from .plans.pipeline import augment, whole
+from .plans.presets import Harmonize, Paste, Sampler, Survivors, get, names, register, taxonomy
+
+__all__ = ["Harmonize", "Paste", "Placement", "Sampler", "Survivors", "augment", "bank_place", "disagreements", "draws", "get", "loader", "merged", "names", "pasted", "place", "register", "repeat_factors", "stage", "taxonomy", "whole"]

@@ -44,6 +44,17 @@ def packed(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
 
+def disagreements(rows: DataFrame) -> DataFrame:
+    """(sample_id, rule): targets whose source has another size, or lacks a layer that the target has. ``rows`` as for :func:`pasted`."""
+    from ..model import violations
+
+    names = [n for n in (*LAYERS, *BITS) if n in rows.columns]
+    src = rows.select("batch_id", F.col("sample_id").alias("src_id"), F.struct("h", "w", *[F.col(n).isNotNull().alias(n) for n in names]).alias("s"))
+    j = rows.where("target and src_id is not null").join(src, ["batch_id", "src_id"], "left")
+    rules = {"source_in_batch": F.col("s").isNotNull(), "one_size": (F.col("h") == F.col("s.h")) & (F.col("w") == F.col("s.w"))}
+    return violations(j, rules | {f"source_has_{n}": F.col(n).isNull() | F.col(f"s.{n}") for n in names}, "sample_id")
+
+
 class Map:
     """The inverse map of one placement onto a canvas: source rows and columns of the target's, which are separable."""
 

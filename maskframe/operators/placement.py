@@ -68,6 +68,17 @@ def aligned_scale_draw(c: Placement, h: int, w: int, *key: str) -> Column:
     return rng.integer(f"scale{c.seed}", first, last, *key) * F.lit(q)
 
 
+def aligned_scale(c: Placement) -> Column:
+    """As :func:`aligned_scale_draw`, by each canvas's own size (``h``, ``w``); without a scale in the range it is an error."""
+    # The largest divisor of the patch that divides both sides times what of them divides further: gcd(h, w) by Euclid's steps.
+    pair = F.struct(F.col("h").cast("long").alias("a"), F.col("w").cast("long").alias("b"))
+    g = F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.greatest(p["b"], F.lit(1).cast("long"))).alias("b"))), lambda p: p["a"])
+    q = F.lit(float(c.patch)) / g
+    first, last = F.greatest(F.ceil(F.lit(c.scale[0]) / q), F.lit(1).cast("long")), F.floor(F.lit(c.scale[1]) / q)
+    drawn = rng.integer(f"scale{c.seed}", first, last, "sample_id") * q
+    return F.when(last < first, F.raise_error(F.lit("no scale in the range is aligned with the patches")).cast("double")).otherwise(drawn)
+
+
 def flipped_right(x1: Column, x2: Column, wv: Column, hflip: Column) -> Column:
     """The right edge as it counts for placing: mirrored about the valid width under a flip."""
     return F.when(hflip, wv - 1 - x1).otherwise(x2)
@@ -82,11 +93,7 @@ def place(samp: DataFrame, inst: DataFrame, c: Placement = Placement(), eligible
     drawn = offdiagonal(samp, c.seed).where("src_pos is not null").select("batch_id", "pos", "sample_id", "src_pos", "h", "w")
     view = samp.select("batch_id", F.col("pos").alias("src_pos"), F.col("sample_id").alias("src_id"), "hv", "wv")
     drawn = drawn.join(view, ["batch_id", "src_pos"])
-    size = samp.select("h", "w")
-    scale = scale_draw(c, "sample_id")
-    if c.patch:
-        h, w = size.first()
-        scale = aligned_scale_draw(c, h, w, "sample_id")
+    scale = aligned_scale(c) if c.patch else scale_draw(c, "sample_id")
     drawn = drawn.withColumn("scale", scale).withColumn("hflip", rng.uniform(f"flip{c.seed}", "sample_id") < c.hflip).withColumn("do_paste", rng.uniform(f"paste{c.seed}", "sample_id") < c.paste).withColumn("kmax", rng.integer(f"k{c.seed}", c.k_range[0], c.k_range[1], "sample_id"))
     ok = eligible if eligible is not None else F.lit(True)
     src = inst.select(F.col("sample_id").alias("src_id"), "slot", "label", "instance_id", "x1", "y1", "x2", "y2", ok.alias("eligible"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches of the range of values in which running shares are found apart.
+STRETCHES = 1024
+
 
 def paste_stats(before: DataFrame, after: DataFrame, paste: DataFrame, pixels: int) -> DataFrame:
     """(sample_id, n_pasted, paste_area_frac): new instance ids, and the share of the canvas that was pasted over."""
@@ -17,9 +20,18 @@ def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """The two-sample distance sup |Fa - Fb|, ties included: counts per distinct value, then running shares."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("a")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("a")))
     per = both.groupBy("v").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
-    run, whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("na").over(run) / F.sum("na").over(whole) - F.sum("nb").over(run) / F.sum("nb").over(whole))
-    return per.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    whole = per.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))  # one row
+    # Running sums within stretches of the range; before each stretch go the totals of those below it, at most STRETCHES rows.
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (STRETCHES - 1))).otherwise(0).cast("long")
+    part = per.crossJoin(F.broadcast(whole)).withColumn("step", step)
+    sums = part.groupBy("step").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
+    all_ = sums.agg(F.collect_list(F.struct("step", "sa", "sb")).alias("all"))
+    run = Window.partitionBy("step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    below = lambda c: F.aggregate(F.filter("all", lambda s: s["step"] < F.col("step")), F.lit(0).cast("long"), lambda t, s: t + s[c])
+    base = sums.select("step").crossJoin(F.broadcast(all_)).select("step", below("sa").alias("ba"), below("sb").alias("bb"))
+    j = part.withColumn("ra", F.sum("na").over(run)).withColumn("rb", F.sum("nb").over(run)).join(F.broadcast(base), "step")
+    gap = F.abs((F.col("ra") + F.col("ba")) / F.col("ta") - (F.col("rb") + F.col("bb")) / F.col("tb"))
+    return j.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
 
 
 def quartiles(times: DataFrame, value: str, *by: str) -> DataFrame:

@@ -33,6 +33,37 @@ class Paste:
     slots: int = 32
 
 
+@dataclass(frozen=True)
+class Sampler:
+    """How crops are drawn from a bank: class weights by ``t``, and what a step draws."""
+
+    base_seed: int = 0xC0FFEE
+    t: float = 1e-3
+    samples_per_step: int = 1
+    steps: int = 1
+    epoch: int = 0
+    rank: int = 0
+
+    def __post_init__(self) -> None:
+        if self.t <= 0 or self.samples_per_step < 1 or self.steps < 1:
+            raise ValueError("the threshold and the numbers of draws must be positive")
+
+
+@dataclass(frozen=True)
+class Survivors:
+    """What the per-sample kernel keeps: a least area, and the share of it that may be lost."""
+
+    min_area: int = 50
+    max_gone: float = 0.99
+
+
+def taxonomy(spark):
+    """(class_id, kind) of the panoptic preset: things first, then background."""
+    from pyspark.sql import functions as F
+
+    return spark.range(THINGS + STUFF).select(F.col("id").alias("class_id"), F.when(F.col("id") < THINGS, "thing").otherwise("stuff").alias("kind"))
+
+
 _PRESETS: dict[str, Paste] = {}
 
 

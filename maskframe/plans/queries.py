@@ -563,7 +563,7 @@ def check_frame(c: Catalogue) -> DataFrame:
 _SUMMARY = ("check_subtract", "check_small", "check_overlap", "check_single_class", "check_stuff_area", "check_depth_join")
 
 
-@query()
+@query("select name, count(*) as n, sum(ok::int)::bigint as n_ok, sum(n_bad)::bigint as n_bad from (" + " union all ".join(f"select * from ({ORACLES[n]})" for n in _SUMMARY) + ") group by 1")
 def invariant_summary(c: Catalogue) -> DataFrame:
     return checks.summary(*[globals()[n](c) for n in _SUMMARY])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,3 +211,66 @@ _ONE = taps(75, 50, "1.0::double")
 @query(*_layer(_sum("normals", f"case when inside then (case when hflip then -1 else 1 end) * 0.6::double * {_SIGN} + 3 * 0.8::double * {_ONE} else 0.6::double * (case when (sample_id + y) % 2 = 0 then 1 else -1 end) + 3 * 0.8::double end")))
 def layer_normals(c: Wide) -> DataFrame:
     return _totals(c, "normals")
+
+
+@query(512, 512, "select s.sample_id, count(k.slot) as n_kept, sum(k.after)::bigint as area from samp s join kept k using (sample_id) group by 1".replace("kept k", "(select * from areas where after >= 0.1::double * before) k"), "samp", "areas")
+def residual_wide(c: Wide) -> DataFrame:
+    """Targets that keep a tenth of their area, from whole samples."""
+    out = c.layers(min_residual_area_frac=0.1).select("sample_id", F.explode("instances").alias("i")).where("not i.pasted")
+    return out.groupBy("sample_id").agg(F.count("*").alias("n_kept"), F.sum("i.after").alias("area"))
+
+
+@query(512, 512)
+def preset_instance_512(c: Wide) -> DataFrame:
+    """The named instance preset over whole samples: every layer's total and the merged instances' area a sample."""
+    p = presets.get("coco-instance")
+    wide = Wide(c.spark, c.dir, c.w, c.h, p.placement)
+    out = wide.layers(config=p)
+    return out.select("sample_id", F.size("instances").alias("n"), F.round(F.element_at("totals", F.lit("image")), 0).alias("image"), F.round(F.element_at("totals", F.lit("depth")), 0).alias("depth"))
+
+
+@query(75, 50)
+def preset_panoptic_harmonized(c: Wide) -> DataFrame:
+    """The named panoptic preset with every paste blended by multiple bands."""
+    p = replace(presets.get("coco-panoptic"), harmonize=presets.Harmonize(prob=1.0), things=None)
+    wide = Wide(c.spark, c.dir, c.w, c.h, p.placement)
+    out = wide.layers(config=p)
+    return out.select("sample_id", F.size("instances").alias("n"), F.round(F.element_at("totals", F.lit("image")), 0).alias("image"), F.element_at("totals", F.lit("semantic")).alias("semantic"))
+
+
+_CROP = 8
+
+
+def _crops(c: Wide) -> DataFrame:
+    """Crops of eight by eight pixels, one a vector; image and alpha are patterns of the index."""
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    idx = F.col("idx")
+    e = c.spark.read.parquet(f"{c.dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("idx"), F.col("label").cast("long").alias("class_id"))
+    image = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * _CROP * _CROP - 1)), lambda i: byte((idx * 5 + i * 3) % 256)), ""))
+    alpha = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_CROP * _CROP - 1)), lambda i: F.when((idx + i) % 4 != 0, "FF").otherwise("00")), ""))
+    return e.select("idx", "class_id", image.alias("image"), alpha.alias("alpha"))
+
+
+_BANK_AT = f"select s.sample_id, b.vec_id as idx, b.label as class_id, hflip, scale, {u('ty0', 's.sample_id')} * greatest(0, 50 - 8 * scale) as ty, {u('tx0', 's.sample_id')} * greatest(0, 75 - 8 * scale) as tx from (select *, 0.5::double + {u('scale0')} * 1.5::double as scale, {u('flip0')} < 0.5 as hflip, cast(floor({u('bank0')} * (select count(*) from embeddings)) as bigint) as pick from samp) s join embeddings b on b.vec_id = s.pick"
+
+
+@query(75, 50, f"select sample_id, idx, class_id, count(*) as area, sum(x)::bigint as sx, sum(y)::bigint as sy from (select *, cast(round_even((y - ty) / scale, 0) as bigint) as ny, cast(round_even(case when hflip then 7 - (x - tx) / scale else (x - tx) / scale end, 0) as bigint) as nx from ({_BANK_AT}) cross join (select unnest(range(0, 50)) as y) cross join (select unnest(range(0, 75)) as x)) where ny between 0 and 7 and nx between 0 and 7 and (idx + ny * 8 + nx) % 4 <> 0 group by 1, 2, 3", "samp")
+def bank_paste(c: Wide) -> DataFrame:
+    """Crops of a bank pasted onto whole samples: where the pasted instance lies."""
+    crops, config = _crops(c), presets.Paste(slots=64)
+    spot = placement.bank_place(c.samples, crops.select("idx", "class_id"), crops.count(), (_CROP, _CROP), config.placement)
+    at = spot.withColumn("src_id", pipeline.crop_id(F.col("idx"))).withColumn("wv", F.lit(_CROP)).withColumn("slot", F.lit(0).cast("long"))
+    sources = pipeline.bank_sources(at, crops, _CROP, _CROP).withColumn("boxes", F.lit(None).cast("array<struct<slot:long,label:long,x1:long,y1:long,x2:long,y2:long>>"))
+    targets = td.wide_boxes(c.samples, c.instances)
+    out = pipeline.whole(targets, at, at, config, sources, load=draw_targets).select("sample_id", F.explode("instances").alias("i")).where("i.pasted")
+    words = out.select("sample_id", F.col("i.label").alias("class_id"), "i.mask").join(at.select("sample_id", "idx"), "sample_id")
+    bit = lambda x: F.conv(F.hex(F.substring("mask", F.floor(x / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    px = words.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(c.w * c.h - 1)))).where(F.call_function("shiftright", bit(F.col("p")), (7 - F.col("p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return px.groupBy("sample_id", "idx", "class_id").agg(F.count("*").alias("area"), F.sum(F.col("p") % c.w).alias("sx"), F.sum(F.floor(F.col("p") / c.w)).alias("sy"))
+
+
+def draw_targets(r: dict) -> dict:
+    """Layers of targets; crops bring their own."""
+    if not r["target"]:
+        return r | {n: r.get(n) for n in (*layers.LAYERS, *layers.BITS)}
+    return td.draw_layers(r)

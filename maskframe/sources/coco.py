@@ -1,6 +1,7 @@
 """COCO-style annotation files: detection, panoptic, and crops for an instance bank.
 
-A file is one JSON document; Spark reads it as a row and explodes its lists, everything after that is relational.
+A file is one JSON document; Spark reads it as a row and explodes its lists, everything after that is relational. So one task
+parses a whole file: annotation files beyond a few GB should be converted to JSON lines once (:func:`read_lines`).
 """
 
 from __future__ import annotations
@@ -8,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..numbering import ranked
+
+#: Ids that are numbered together.
+SPAN = 100_000
+
 #: The fields of the annotation format that are read.
 DETECTION = "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,iscrowd:int,area:double,segmentation:string>>, categories array<struct<id:long,name:string,isthing:int>>"
 PANOPTIC = "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<image_id:long,file_name:string,segments_info:array<struct<id:long,category_id:long,iscrowd:int,area:long>>>>, categories array<struct<id:long,name:string,isthing:int>>"
@@ -17,6 +23,12 @@ def read(spark: SparkSession, path: str, schema: str = DETECTION) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_lines(spark: SparkSession, path: str, name: str, schema: str = DETECTION) -> DataFrame:
+    """One list of an annotation file (``images``, ``annotations``, ``categories``) from JSON lines, split among tasks."""
+    one = spark.createDataFrame([], schema).schema[name].dataType.elementType
+    return spark.read.schema(one).json(path)
+
+
 def listed(doc: DataFrame, name: str) -> DataFrame:
     return doc.select(F.explode(name).alias("r")).select("r.*")
 
@@ -36,8 +48,9 @@ def detection(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, Dat
 
 def batched(samples: DataFrame, batch: int) -> DataFrame:
     """Samples in id order, ``batch`` of them together; nothing is shuffled into another order."""
-    n = F.row_number().over(Window.orderBy("sample_id")) - 1
-    return samples.withColumn("batch_id", F.floor(n / batch).cast("long")).withColumn("pos", (n % batch).cast("long"))
+    n = F.col("_rank")
+    some = ranked(samples, "sample_id", F.floor(F.col("sample_id") / SPAN), name="_rank")
+    return some.withColumn("batch_id", F.floor(n / batch).cast("long")).withColumn("pos", (n % batch).cast("long")).drop("_rank")
 
 
 def segments(annotations: DataFrame, categories: DataFrame) -> DataFrame:
