@@ -40,3 +40,22 @@ def test_contract():
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
     assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
     assert neardup.TREES and quality.FIT_ROWS
+
+
+def tables(spark, folder, data, labels=((1, 1, 0),), clash=False):
+    frame(spark, data, clash=clash).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_runs_keep_their_rows(spark, tmp_path):
+    """A second run in the same session leaves the first one's files alone; clashing columns are carried along."""
+    folder = tables(spark, tmp_path, rows(60) + EDGES, clash=True)
+    first = corpus_pipeline.run(spark, folder)
+    second = corpus_pipeline.run(spark, folder)
+    key = lambda df: sorted((str(r["doc_id"]), r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert key(first) == key(second) != []
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
