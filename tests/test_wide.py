@@ -201,3 +201,30 @@ def test_public_names():
     import maskframe
 
     assert sorted(maskframe.__all__) == maskframe.__all__ and all(hasattr(maskframe, n) for n in maskframe.__all__)
+
+
+def test_banks_by_index_and_without_a_hash(spark):
+    from maskframe.sources import bank
+
+    crops = spark.createDataFrame([(0, b"a"), (3, b"b")], "idx long, image binary")
+    assert bytes(bank.crop_at(crops, 3)["image"]) == b"b"
+    with pytest.raises(IndexError):
+        bank.crop_at(crops, 1)
+    meta = {"format": "parquet", "format_version": bank.FORMAT_VERSION}
+    assert bank.opened(meta) == meta and bank.opened(bank.stamped(meta))
+    for bad in (bank.stamped(meta) | {"num_crops": 1}, meta | {"format_version": 9}):
+        with pytest.raises(ValueError):
+            bank.opened(bad)
+    with pytest.raises(ValueError):
+        bank.opened(meta, "shards")
+
+
+def test_loader_needs_whole_batches(spark):
+    from maskframe.operators import sampling
+
+    crops = spark.createDataFrame([(i, i % 3, bytes([0, 51, 255]), bytes([0, 7, 255])) for i in range(40)], "idx long, class_id long, image binary, alpha binary")
+    with pytest.raises(ValueError):
+        sampling.loader(spark, crops, 3, 4, 5, 19, 2)
+    got = sampling.staged_pixels(sampling.loader(spark, crops.select("idx", "class_id"), 3, 4, 5, 20, 2), crops).collect()
+    assert sorted({(r["batch"], r["pos"], r["slot"]) for r in got}) == [(b, p, k) for b in range(2) for p in range(4) for k in range(5)]
+    assert all(r["image"] == [0, 51 / 255, 1] and r["alpha"] == [0, 1, 1] for r in got)
