@@ -183,12 +183,12 @@ def alone(t: dict) -> dict:
     return {"sample_id": t["sample_id"], "h": h, "w": w, **{n: t[n] for n in (*LAYERS, *BITS)}, "paste": packed(np.zeros((h, w), bool)), "instances": [i | {"pasted": False, "before": a, "after": a} for i, a in zip(t["instances"] or [], area)]}
 
 
-def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste")) -> DataFrame:
+def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste"), sums: bool = True) -> DataFrame:
     """:data:`OUT` for every target among :data:`ROWS`; rows that are no targets only serve as sources.
 
     ``load`` fills in a row's layers and masks where its batch is composed, so that pixels are never shuffled: rows then hold
-    what it needs, a path or keys. Layers that aren't kept are composed (the image decides nothing, the others do) but come out
-    null. A row whose source is missing in its batch stays as it is.
+    what it needs, a path or keys. Layers that aren't kept are composed but come out null; ``sums`` adds their :func:`totals`. A
+    row whose source is missing in its batch stays as it is.
     """
 
     def batch(t: pa.Table) -> pa.Table:
@@ -198,13 +198,13 @@ def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | No
         by = {r["sample_id"]: r for r in every}
         out = [paste_one(r, by[r["src_id"]], stuff, tau, mode) if r["src_id"] in by else alone(r) for r in every if r["target"]]
         for r in out:
-            r["totals"] = totals(r)
+            r["totals"] = totals(r) if sums else None
             r.update(dict.fromkeys(n for n in (*LAYERS, *BITS, "paste") if n not in keep))
         return pa.Table.from_pylist(out, schema=OUT_ARROW)
 
     if load is not None:
-        # Rows of keys are few bytes, but their batches are much work: as many tasks as there are, not as the bytes ask for.
-        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
+        # Rows of keys are few bytes, but their batches are much work: many small tasks, not as few as the bytes ask for.
+        rows = rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
     return rows.groupBy("batch_id").applyInArrow(batch, OUT)
 
 

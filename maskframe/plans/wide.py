@@ -29,9 +29,9 @@ class Wide:
         self.placed, self.slots = placement.place(self.samples, self.instances, config or placement.Placement(k_range=(1, 5)))
         self.warped = warp.masks(self.slots, self.rows, h, w)
 
-    def layers(self, *keep: str, config: presets.Paste | None = None, **paste) -> DataFrame:
+    def layers(self, *keep: str, config: presets.Paste | None = None, sums: bool = True, **paste) -> DataFrame:
         config = config or presets.Paste(placement.Placement(k_range=(1, 5)), slots=24, **paste)
-        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep)
+        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep, sums=sums)
 
 
 def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
@@ -164,7 +164,7 @@ def e2e_wide_masks(c: Wide) -> DataFrame:
 @query(512, 512, _MERGED, "kept", "pasted", "free")
 def e2e_wide_layers(c: Wide) -> DataFrame:
     """The same rows from whole samples with all their layers: one group a batch."""
-    out = c.layers(min_residual_area_frac=0.1).select("sample_id", F.explode("instances").alias("i"))
+    out = c.layers(min_residual_area_frac=0.1, sums=False).select("sample_id", F.explode("instances").alias("i"))
     return out.select("sample_id", "i.slot", "i.label", F.col("i.after").alias("area"))
 
 

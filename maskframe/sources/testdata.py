@@ -116,6 +116,11 @@ def draw_layers(r: dict) -> dict:
         m = np.zeros((h, w), bool)
         m[part] = True
         every.append({"slot": b["slot"], "label": b["label"], "instance_id": b["slot"], "mask": layers.packed(m)})
-    sign = np.where((k + y) % 2 == 0, 1.0, -1.0) * np.ones((1, w))
-    own = {"image": np.stack([(k * 31 + y * 7 + x * 13 + c * 29) % 256 for c in range(3)]).astype(np.uint8), "semantic": sem, "panoptic": pan, "depth": (1 + (k * 17 + y * 3 + x * 5) % 97 / 10).astype(real), "normals": np.stack([0.6 * sign, 0 * sign, 0.8 * np.abs(sign)]).astype(real)}
+    sign = np.where((k + y) % 2 == 0, 1.0, -1.0).astype(real)
+    normals = np.zeros((3, h, w), real)
+    normals[0], normals[2] = sign * 0.6, 0.8
+    # Bytes wrap around by themselves.
+    byte = lambda v: np.asarray(v % 256, np.uint8)
+    image = byte(k * 31) + byte(y * 7) + byte(x * 13) + byte(np.arange(3) * 29)[:, None, None]
+    own = {"image": image, "semantic": sem, "panoptic": pan, "depth": 1 + ((k * 17 + y * 3 + x * 5) % 97).astype(real) / 10, "normals": normals}
     return r | {n: v.tobytes() for n, v in own.items()} | {"depth_ok": layers.packed((k + y * 3 + x * 7) % 11 != 0), "padding": layers.packed((y >= r["valid"]["hv"]) | (x >= r["valid"]["wv"])), "instances": every}
