@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workers import reach
-from . import embed_dedup, html_extract, langid, license_scan, lm_score, mixing, neardup, packing, quality, warc
+from . import bpe, embed_dedup, fim, html_extract, langid, license_scan, lm_score, mixing, neardup, packing, quality, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def ranks_path() -> str:
+    """The default of the rank file: the installed public vocabulary for many languages."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks_path())
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_html_extract, op2_license_scan, op3_minhash_neardup, op4_language_id, op5_lm_score, op6_bestfit_packing, op7_quality_rules, op8_warc, op9_embedding_neardup, op10_source_mixing]
+    named = [op1_html_extract, op2_license_scan, op3_minhash_neardup, op4_language_id, op5_lm_score, op6_bestfit_packing, op7_quality_rules, op8_warc, op9_embedding_neardup, op10_source_mixing, op11_byte_bpe, op12_spelling_variants, op13_fill_in_middle]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_fill_in_middle": fim.SQL}
