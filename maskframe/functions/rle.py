@@ -2,76 +2,143 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import bits
 
 
-def intervals(df: DataFrame, counts: str = "counts") -> DataFrame:
-    """Adds ``start`` and ``stop``: the runs of set pixels in column-major order, one row a run. Uncompressed counts begin with clear ones."""
-    run = df.select("*", F.posexplode(counts).alias("i", "len"))
-    keys = [c for c in df.columns if c != counts]
-    stop = F.sum("len").over(Window.partitionBy(*keys).orderBy("i"))
-    return run.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("len")).where((F.col("i") % 2 == 1) & (F.col("len") > 0)).drop(counts, "i", "len")
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of an array column one after another, where each row's end)."""
+    ends = np.cumsum(np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends
 
 
-def decode(df: DataFrame, h: str = "h", counts: str = "counts") -> DataFrame:
-    """(keys, y, k, bits): scanlines of uncompressed column-major counts.
+def listed(values: np.ndarray, ends: np.ndarray, valid: pa.Array) -> pa.Array:
+    """The inverse of :func:`lists`; rows that aren't valid are null."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, pa.int64()), mask=pc.invert(valid))
 
-    A run is at most three rectangles: the rest of its first column, whole columns, the beginning of its last column.
-    """
-    keys = [c for c in df.columns if c != counts]
-    r = intervals(df, counts)
-    size = F.col(h)
-    x1, x2 = F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size)
-    y1, y2 = F.col("start") - x1 * size, F.col("stop") - x2 * size
-    box = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("x2"), c.alias("y1"), d.alias("y2"))
-    whole = box(F.when(y1 == 0, x1).otherwise(x1 + 1), F.when(y2 == size, x2 + 1).otherwise(x2), F.lit(0).cast("long"), size.cast("long"))
-    parts = F.when(x1 == x2, F.array(box(x1, x1 + 1, y1, y2))).otherwise(F.array(box(x1, x1 + 1, y1, F.when(y1 == 0, y1).otherwise(size)), whole, box(x2, x2 + 1, F.lit(0).cast("long"), F.when(y2 == size, F.lit(0)).otherwise(y2))))
-    some = r.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.*").where("x2 > x1 and y2 > y1")
-    line = some.withColumn("y", F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)))
-    return bits.spread(line, F.col("x1"), F.col("x2"), *keys, "y").groupBy(*keys, "y", "k").agg(F.bit_or("bits").alias("bits"))
 
+def by_batches(df: DataFrame, column: str, kind: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with one column made anew, a batch at a time; the others travel as they are."""
+    at = df.columns.index(column)
 
-def uncompressed(df: DataFrame, text: str = "counts") -> DataFrame:
-    """``df`` with its compressed string as an array of counts, natively; see :func:`uncompress`."""
-    state = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("s"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([make(c) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    schema = ", ".join(f"`{f.name}` {kind if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, schema)
+
+
+def mask_words(column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, k, bits) of a mask's scanline words that have pixels."""
+    h, w = column.shape
+    n = bits.n_words(w)
+    wide = np.zeros((h, n * bits.WORD), bool)
+    wide[:, :w] = column
+    value = np.zeros((h, n, 8), np.uint8)
+    value[..., : bits.WORD // 8] = np.packbits(wide.reshape(h, n, bits.WORD), axis=-1, bitorder="little")
+    value = value.view("<i8")[..., 0]
+    y, k = np.nonzero(value)
+    return y, k, value[y, k]
+
+
+def words_of(counts: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, k, bits) of a mask's column-major counts, those with pixels. Only columns between the first and the last pixel are drawn."""
+    none = np.zeros(0, np.int64)
+    if len(counts) and counts.min() < 0:
+        raise ValueError("a count is negative")
+    stop = np.cumsum(counts)
+    start, stop = (stop - counts)[1::2], stop[1::2]
+    start, stop = start[stop > start], stop[stop > start]
+    if not len(start):
+        return none, none, none
+    k0, k1 = int(start[0]) // h // bits.WORD, (int(stop[-1]) - 1) // h // bits.WORD + 1
+    first, cells = k0 * bits.WORD * h, (k1 - k0) * bits.WORD * h
+    edge = np.zeros(cells + 1, np.int8)
+    edge[start - first] += 1
+    edge[stop - first] -= 1
+    y, k, word = mask_words(np.cumsum(edge[:-1], dtype=np.int8).reshape(-1, h).T.astype(bool))
+    return y, k + k0, word
 
-    def step(acc: Column, ch: Column) -> Column:
-        c = F.ascii(ch) - 48
-        v = acc["v"].bitwiseOR(F.call_function("shiftleft", c.bitwiseAND(F.lit(31)).cast("long"), acc["s"]))
-        s = acc["s"] + 5
-        whole = v - F.when(c.bitwiseAND(F.lit(16)) != 0, F.call_function("shiftleft", F.lit(1).cast("long"), s)).otherwise(F.lit(0).cast("long"))
-        n = F.size(acc["out"])
-        whole = whole + F.when(n > 2, F.element_at(acc["out"], F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
-        more = c.bitwiseAND(F.lit(32)) != 0
-        return F.when(more, F.struct(acc["out"].alias("out"), v.alias("v"), s.alias("s"))).otherwise(F.struct(F.concat(acc["out"], F.array(whole)).alias("out"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("s")))
 
-    return df.withColumn(text, F.aggregate(F.split(text, ""), state, lambda acc, ch: F.when(ch == "", acc).otherwise(step(acc, ch)), lambda acc: acc["out"]))
+def decode(df: DataFrame, h: str = "h", counts: str = "counts") -> DataFrame:
+    """(keys, y, k, bits): scanline words of uncompressed column-major counts, which begin with clear pixels; masks without pixels give none."""
+    keys = [c for c in df.columns if c != counts]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, ends = lists(b.column(counts))
+            parts = [words_of(values[i:j], n) for i, j, n in zip([0, *ends], ends, b.column(h).to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            y, k, word = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), pa.array(y, pa.int32()), pa.array(k, pa.int32()), pa.array(word, pa.int64())], names=[*keys, "y", "k", "bits"])
 
-def compressed(df: DataFrame, counts: str = "counts") -> DataFrame:
-    """``df`` with its counts as a compressed string: the third and later as differences, in groups of five bits from character 48 on."""
-    all_ = F.col(counts)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != counts)
+    return df.select(*keys, counts).mapInArrow(run, f"{schema}, y int, k int, bits long")
 
-    def group(x: Column, j: Column) -> Column:
-        return F.call_function("shiftright", x, j * 5).bitwiseAND(F.lit(31).cast("long"))
 
-    def ends(x: Column, j: Column) -> Column:
-        sign = F.when(group(x, j).bitwiseAND(F.lit(16).cast("long")) != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.call_function("shiftright", x, (j + 1) * 5) == sign
+def uncompressed(df: DataFrame, text: str = "counts") -> DataFrame:
+    """``df`` with its compressed string as an array of counts; whole batches at once, see :func:`uncompress` for one string."""
+
+    def make(column: pa.Array) -> pa.Array:
+        some = pc.fill_null(column, "").cast(pa.large_binary())
+        size = pc.binary_length(some).to_numpy().astype(np.int64)
+        c = np.frombuffer(b"".join(some.to_pylist()), np.uint8).astype(np.int64) - 48
+        # Groups of five bits, the last of a number without the sixth; its fifth bit is the sign.
+        last = np.flatnonzero(c & 32 == 0)
+        first = np.r_[0, last[:-1] + 1]
+        if len(c) and (c.min() < 0 or c.max() > 63 or (last[-1] if len(last) else -1) != len(c) - 1):
+            raise ValueError("no compressed counts")
+        place = np.arange(len(c)) - np.repeat(first, last - first + 1)
+        value = np.add.reduceat((c & 31) << (5 * place), first) if len(last) else np.zeros(0, np.int64)
+        value -= np.where(c[last] & 16 != 0, np.int64(1) << (5 * (last - first + 1)), 0)
+        # From the fourth number on each is the difference to the one before the last: sums along every other number of a row.
+        row = np.repeat(np.arange(len(size)), size)[last]
+        ends = np.searchsorted(row, np.arange(len(size)), "right")
+        n = np.arange(len(row)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))
+        order = np.lexsort((n, n % 2, row))
+        restart = (n < 3)[order]
+        total = np.cumsum(value[order])
+        base = (total - value[order])[restart]
+        out = np.empty_like(value)
+        out[order] = total - np.repeat(base, np.diff(np.r_[np.flatnonzero(restart), len(n)]))
+        return listed(out, ends, column.is_valid())
+
+    return by_batches(df, text, "array<long>", make)
 
-    def chars(v: Column, i: Column) -> Column:
-        x = v.cast("long") - F.when(i > 2, F.element_at(all_, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0)).cast("long")
-        n = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: ends(x, j)), True).cast("int")
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.char(group(x, j) + F.when(j < n - 1, 32).otherwise(0) + 48)), "")
 
-    return df.withColumn(counts, F.array_join(F.transform(all_, chars), ""))
+def compressed(df: DataFrame, counts: str = "counts") -> DataFrame:
+    """``df`` with its counts as a compressed string: the fourth and later as differences, in groups of five bits from character 48 on."""
+
+    def make(column: pa.Array) -> pa.Array:
+        value, ends = lists(column)
+        n = np.arange(len(value)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))
+        x = value.copy()
+        late = np.flatnonzero(n > 2)
+        x[late] -= value[late - 2]
+        # How many groups each takes: until only the sign is left, which the last group must show.
+        groups, rest = np.zeros(len(x), np.int64), x.copy()
+        todo = np.ones(len(x), bool)
+        while todo.any():
+            groups[todo] += 1
+            sign = rest & 16 != 0
+            rest >>= 5
+            todo &= rest != np.where(sign, -1, 0)
+        upto = np.cumsum(groups)
+        place = np.arange(upto[-1] if len(x) else 0) - np.repeat(upto - groups, groups)
+        c = (np.repeat(x, groups) >> (5 * place) & 31) + np.where(place < np.repeat(groups, groups) - 1, 32, 0) + 48
+        at = np.r_[0, upto][np.r_[0, ends]]
+        whole = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(c.astype(np.uint8))])
+        return pc.if_else(column.is_valid(), whole, None)
+
+    return by_batches(df, counts, "string", make)
 
 
 def areas(df: DataFrame, counts: str = "counts") -> DataFrame:
@@ -105,12 +172,13 @@ def fill(points: list[float], h: int, w: int) -> np.ndarray:
     out = np.zeros((h, w), bool)
     if len(xy) < 3:
         return out
-    centres = np.arange(w) + 0.5
-    for y in range(h):
-        c = y + 0.5
-        cross = (y1 <= c) != (y2 <= c)
-        at = np.sort(x1[cross] + (c - y1[cross]) * (x2[cross] - x1[cross]) / (y2[cross] - y1[cross]))
-        out[y] = (np.searchsorted(at, centres) % 2).astype(bool)
+    # Where the edges cross each row's middle; a crossing turns all pixels whose centres lie behind it.
+    lines = np.arange(h)[:, None] + 0.5
+    y, e = np.nonzero((y1 <= lines) != (y2 <= lines))
+    at = x1[e] + (y + 0.5 - y1[e]) * (x2[e] - x1[e]) / (y2[e] - y1[e])
+    turns = np.zeros((h, w + 1), np.int64)
+    np.add.at(turns, (y, np.clip(np.floor(at + 0.5), 0, w).astype(int)), 1)
+    out[:] = np.cumsum(turns[:, :w], axis=1) % 2
     return out
 
 
@@ -132,14 +200,12 @@ def polygons(df: DataFrame) -> DataFrame:
     """(id, y, k, bits) of ``id, h, w, polygons`` (arrays of flat coordinates), by batches of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "y", "k", "bits"]
         for b in batches:
-            for r in b.to_pylist():
-                m = mask_of(r["polygons"] or [], r["h"], r["w"])
-                n = bits.n_words(r["w"])
-                value = np.pad(m, ((0, 0), (0, n * bits.WORD - r["w"]))).reshape(r["h"], n, bits.WORD) @ (1 << np.arange(bits.WORD, dtype=np.int64))
-                y, k = np.nonzero(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), r["id"], np.int64)), pa.array(y, pa.int32()), pa.array(k, pa.int32()), pa.array(value[y, k])], names=names)
+            rows = b.to_pylist()
+            parts = [mask_words(mask_of(r["polygons"] or [], r["h"], r["w"])) for r in rows]
+            ids = np.repeat(np.array([r["id"] for r in rows], np.int64), [len(p[0]) for p in parts])
+            y, k, word = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(y, pa.int32()), pa.array(k, pa.int32()), pa.array(word, pa.int64())], names=["id", "y", "k", "bits"])
 
     return df.select("id", "h", "w", "polygons").mapInArrow(run, "id long, y int, k int, bits long")
 
@@ -147,7 +213,3 @@ def polygons(df: DataFrame) -> DataFrame:
 def segment_id(r, g, b):
     """The id that a panoptic image's colour stands for."""
     return r + F.lit(256) * g + F.lit(65536) * b
-
-
-def rect_bits(x1, x2):
-    return bits.run(x1, x2)

@@ -26,8 +26,7 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
     With ``tau_stuff_frac`` and a semantic layer, pixels of background classes that would collapse are given back: the class
     layer, the target's masks and the pastes there. Reverting precedes the drop, and the drop frees slots for the merge.
     """
-    eligible = F.col("label") < config.things if config.things is not None else None
-    placed, slots = placement.place(samp, inst, config.placement, eligible)
+    placed, slots = placement.place(samp, inst, config.placement, eligible(config))
     warped = warp.masks(slots, rows, h, w)
     paste = composite.union(warped)
     after = None
@@ -49,6 +48,11 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
     return Outcome(old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0"), paste, after, slots)
 
 
+def eligible(config: Paste) -> Column | None:
+    """Whether an instance may be a source, by its ``label``."""
+    return F.col("label").isin(*config.things) if config.things is not None else None
+
+
 def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste, sources: DataFrame | None = None, stuff: frozenset[int] = frozenset(), **options) -> DataFrame:
     """Every layer of every sample after the whole augmentation (:data:`layers.OUT`), instances dropped and merged.
 

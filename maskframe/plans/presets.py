@@ -6,8 +6,12 @@ from dataclasses import dataclass, field
 
 from ..operators.placement import Placement
 
-#: The share of residual area and of background that the presets ask for, and the taxonomy's size.
-THINGS, STUFF = 80, 53
+#: The published ids of the panoptic taxonomy. Things are 1 to 90 but for those never given out; background follows.
+THINGS = tuple(i for i in range(1, 91) if i not in (12, 26, 29, 30, 45, 66, 68, 69, 71, 83))
+STUFF = (
+    92, 93, 95, 100, 107, 109, 112, 118, 119, 122, 125, 128, 130, 133, 138, 141, 144, 145, 147, 148, 149, 151, 154, 155, 156, 159, 161,
+    166, 168, 171, 175, 176, 177, 178, 180, 181, 184, 185, 186, 187, 188, 189, 190, 191, 192, 193, 194, 195, 196, 197, 198, 199, 200,
+)
 
 
 @dataclass(frozen=True)
@@ -29,7 +33,9 @@ class Paste:
     harmonize: Harmonize = field(default_factory=Harmonize)
     min_residual_area_frac: float = 0.0
     tau_stuff_frac: float | None = None
-    things: int | None = None
+    #: Classes whose instances are pasted (all, if none are named), and those of the background, which ``tau_stuff_frac`` protects.
+    things: tuple[int, ...] | None = None
+    stuff: tuple[int, ...] | None = None
     slots: int = 32
 
 
@@ -59,9 +65,7 @@ class Survivors:
 
 def taxonomy(spark):
     """(class_id, kind) of the panoptic preset: things first, then background."""
-    from pyspark.sql import functions as F
-
-    return spark.range(THINGS + STUFF).select(F.col("id").alias("class_id"), F.when(F.col("id") < THINGS, "thing").otherwise("stuff").alias("kind"))
+    return spark.createDataFrame([(i, "thing") for i in THINGS] + [(i, "stuff") for i in STUFF], "class_id long, kind string")
 
 
 _PRESETS: dict[str, Paste] = {}
@@ -82,4 +86,4 @@ def names() -> list[str]:
 
 
 register("coco-instance", Paste(Placement((0.5, 2.0), 0.5, 1.0, (1, 32)), min_residual_area_frac=0.1))
-register("coco-panoptic", Paste(Placement((0.5, 2.0), 0.5, 0.5, (1, 20)), tau_stuff_frac=0.1, things=THINGS))
+register("coco-panoptic", Paste(Placement((0.5, 2.0), 0.5, 0.5, (1, 20)), min_residual_area_frac=0.1, tau_stuff_frac=0.1, things=THINGS, stuff=STUFF))

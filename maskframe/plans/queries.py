@@ -822,7 +822,7 @@ def step_counts(c: Catalogue) -> DataFrame:
     return steps.step_counts(c.table("events")).select("start", "event_type", "n", r6("mean", "mean"))
 
 
-from . import wide  # noqa: E402
+from . import files, wide  # noqa: E402, F401  (files adds its queries to those of wide)
 
 QUERIES |= wide.QUERIES
 ORACLES |= wide.ORACLES

@@ -90,7 +90,7 @@ def sql(select: str, w: int, h: int, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return "with " + ", ".join(f"{n} as materialized ({every[n][1]})" for n in order) + " " + select
+    return ("with " + ", ".join(f"{n} as materialized ({every[n][1]})" for n in order) + " " if order else "") + select
 
 
 def query(w: int, h: int, select: str | None = None, *needs: str):

@@ -77,13 +77,13 @@ def panoptic_boxes(pan: DataFrame) -> DataFrame:
 def crop_plan(images: DataFrame, annotations: DataFrame, crop: tuple[int, int], least: float = 256) -> DataFrame:
     """Where each annotation's crop is cut and put, in the order of image and annotation.
 
-    Crowds and boxes of less than ``least`` are left out; edges round half to even and are clipped to the image after the
-    far ones are found from the unclipped near ones; empty crops go. A smaller crop is centred, a larger one cut at its centre.
+    Crowds and boxes of less than ``least`` are left out; near edges and sizes round half to even, and edges are clipped to the
+    image after the far ones are found from the unclipped near ones; empty crops go. A smaller crop is centred, a larger one cut at its centre.
     """
     ch, cw = crop
     a = annotations.where(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0).join(images.select(F.col("id").alias("image_id"), "height", "width"), "image_id")
     x, y, w, h = (F.col("bbox")[i] for i in range(4))
-    a = a.where(w * h >= least).withColumn("rx", F.rint(x)).withColumn("ry", F.rint(y)).withColumn("rx2", F.rint(x + w)).withColumn("ry2", F.rint(y + h))
+    a = a.where(w * h >= least).withColumn("rx", F.rint(x)).withColumn("ry", F.rint(y)).withColumn("rx2", F.rint(x) + F.rint(w)).withColumn("ry2", F.rint(y) + F.rint(h))
     clip = lambda v, hi: F.greatest(F.lit(0), F.least(v, F.col(hi))).cast("long")
     a = a.select("image_id", F.col("id").alias("ann_id"), F.col("category_id").alias("class_id"), clip(F.col("rx"), "width").alias("x1"), clip(F.col("ry"), "height").alias("y1"), clip(F.col("rx2"), "width").alias("x2"), clip(F.col("ry2"), "height").alias("y2"))
     a = a.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
