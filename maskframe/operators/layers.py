@@ -56,33 +56,48 @@ def disagreements(rows: DataFrame) -> DataFrame:
 
 
 class Map:
-    """The inverse map of one placement onto a canvas: source rows and columns of the target's, which are separable."""
+    """The inverse map of one placement onto a window of the canvas: source rows and columns of the target's, which are separable.
 
-    def __init__(self, r: dict, h: int, w: int, sh: int, sw: int):
-        self.y, x = (np.arange(h) - r["ty"]) / r["scale"], (np.arange(w) - r["tx"]) / r["scale"]
+    ``rows`` and ``cols`` are the window (the whole canvas by default), ``origin`` the source pixel that the planes given to
+    :meth:`nearest` and :meth:`bilinear` start with. A window's values are those of the same pixels of the whole canvas.
+    """
+
+    def __init__(self, r: dict, h: int, w: int, sh: int, sw: int, rows: slice | None = None, cols: slice | None = None, origin: tuple[int, int] = (0, 0)):
+        rows, cols = rows or slice(0, h), cols or slice(0, w)
+        self.y, x = (np.arange(rows.start, rows.stop) - r["ty"]) / r["scale"], (np.arange(cols.start, cols.stop) - r["tx"]) / r["scale"]
         self.x = r["wv"] - 1 - x if r["hflip"] else x
-        self.shape, self.flip = (sh, sw), r["hflip"]
+        self.shape, self.flip, self.origin = (sh, sw), r["hflip"], origin
         ny, nx = np.rint(self.y).astype(int), np.rint(self.x).astype(int)
-        rows, cols = (np.flatnonzero((i >= 0) & (i < n)) for i, n in ((ny, sh), (nx, sw)))
+        inside = [np.flatnonzero((i >= 0) & (i < n)) for i, n in ((ny, sh), (nx, sw))]
         # Both are stretches, since the map is monotone.
-        self.ys, self.xs = (slice(i[0], i[-1] + 1) if len(i) else slice(0, 0) for i in (rows, cols))
-        self.ny, self.nx, self.size = ny[self.ys], nx[self.xs], (h, w)
+        self.ys, self.xs = (slice(i[0], i[-1] + 1) if len(i) else slice(0, 0) for i in inside)
+        self.ny, self.nx, self.size = ny[self.ys], nx[self.xs], (len(ny), len(nx))
+
+    def needs(self) -> tuple[slice, slice] | None:
+        """Source rows and columns that the window's values are made of, the neighbours that bilinear taps reach included."""
+        out = []
+        for at, n in ((self.y, self.shape[0]), (self.x, self.shape[1])):
+            low, high = max(0, int(np.floor(at.min()))), min(n, int(np.floor(at.max())) + 2)
+            if low >= high:
+                return None
+            out.append(slice(low, high))
+        return out[0], out[1]
 
     def nearest(self, src: np.ndarray) -> np.ndarray:
         """Zero outside the source."""
         out = np.zeros((*src.shape[:-2], *self.size), src.dtype)
-        out[..., self.ys, self.xs] = src.take(self.ny, axis=-2).take(self.nx, axis=-1)
+        out[..., self.ys, self.xs] = src.take(self.ny - self.origin[0], axis=-2).take(self.nx - self.origin[1], axis=-1)
         return out
 
     def bilinear(self, src: np.ndarray, ys: slice = slice(None), xs: slice = slice(None)) -> np.ndarray:
         """Four taps, each zero outside the source, for a stretch of the target's rows and columns; along the columns first."""
         out = src
-        for axis, at, n in ((-1, self.x[xs], self.shape[1]), (-2, self.y[ys], self.shape[0])):
+        for axis, at, n, first in ((-1, self.x[xs], self.shape[1], self.origin[1]), (-2, self.y[ys], self.shape[0], self.origin[0])):
             low = np.floor(at).astype(int)
             f, total = at - low, None
             for tap, weight in ((low, 1 - f), (low + 1, f)):
                 weight = np.where((tap >= 0) & (tap < n), weight, 0.0)
-                part = np.take(out, np.clip(tap, 0, n - 1), axis=axis) * (weight if axis == -1 else weight[:, None])
+                part = np.take(out, np.clip(tap - first, 0, out.shape[axis] - 1), axis=axis) * (weight if axis == -1 else weight[:, None])
                 total = part if total is None else total + part
             out = total
         return out
@@ -105,23 +120,66 @@ def reinhard(src: np.ndarray, tgt: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.clip(turn(back, 10 ** turn(lab.T, out)), 0, 1)
 
 
-def blended(mode: str, src: np.ndarray, tgt: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def blended(mode: str, src: np.ndarray, tgt: np.ndarray, mask: np.ndarray, levels: int = 5) -> np.ndarray:
     if mode == "reinhard":
         return reinhard(src, tgt, mask)
-    blend = {"multiband": harmonize.multiband, "poisson": harmonize.poisson}[mode]
-    return np.stack([blend(s, t, mask) for s, t in zip(src, tgt)])
+    if mode == "poisson":
+        return np.stack([harmonize.poisson(s, t, mask) for s, t in zip(src, tgt)])
+    return np.stack([harmonize.multiband(s, t, mask, levels) for s, t in zip(src, tgt)])
 
 
-def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode: str) -> dict:
-    """A target after its source was pasted: layers, the union of the pastes, and both sides' instances with their areas."""
+def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode: str, audit: bool = False, levels: int = 5) -> dict:
+    """A target after its source was pasted: layers, the effective union of the pastes, and both sides' instances with their areas."""
     h, w, sh, sw = t["h"], t["w"], s["h"], s["w"]
-    m, wanted = Map(t, h, w, sh, sw), set(t["pasted"] or [])
-    warped = {i["slot"]: m.nearest(unpacked(i["mask"], sh, sw)) for i in s["instances"] or [] if i["slot"] in wanted}
+    m = Map(t, h, w, sh, sw)
+    warped = warped_masks(t, s, m)
     union = np.zeros((h, w), bool)
     for x in warped.values():
         union |= x
     both = lambda name: t[name] is not None and s[name] is not None
-    # Only the rows and columns of the paste are sampled; a harmonised image needs all of its source.
+    image = None
+    if both("image") and t["harmonized"] and union.any():
+        # A blend needs all of its source.
+        src, tgt = m.bilinear(plane(s["image"], "image", sh, sw)) / 255, plane(t["image"], "image", h, w) / 255
+        image = blended(mode, src, tgt, union, levels)
+    out, inside = composed(t, s, m, union, image)
+    masks = {i["slot"]: unpacked(i["mask"], h, w) for i in t["instances"] or []}
+    if tau is not None and both("semantic"):
+        before, after = plane(t["semantic"], "semantic", h, w)[0], out["semantic"][0]
+        old, new = (np.bincount(x.ravel(), minlength=256) for x in (before, after))
+        gone = [c for c in np.flatnonzero(old) if c in stuff and new[c] < tau * old[c]]
+        back = np.isin(before, gone) & union
+        if back.any():  # what collapsed is given back where it was pasted over; depth and normals are not
+            for name in ("image", "semantic", "panoptic"):
+                if both(name):
+                    out[name] = np.where(back, plane(t[name], name, h, w), out[name])
+            inside &= ~back
+            warped = {k: x & ~back for k, x in warped.items()}
+    one = lambda i, pasted, mask, before: {"slot": i["slot"], "label": i["label"], "instance_id": i["instance_id"], "pasted": pasted, "before": int(before), "after": int(mask.sum()), "mask": packed(mask)}
+    # What the depth test keeps back leaves the target's masks whole.
+    every = [one(i, False, masks[i["slot"]] & ~inside, masks[i["slot"]].sum()) for i in t["instances"] or []]
+    every += [one(i, True, warped[i["slot"]], warped[i["slot"]].sum()) for i in s["instances"] or [] if i["slot"] in warped and warped[i["slot"]].any()]
+    row = {"sample_id": t["sample_id"], "h": h, "w": w, **flat(out), "paste": packed(inside), "instances": every}
+    if audit:
+        known = {}
+        if both("depth"):
+            known = {"depth": m.bilinear(plane(s["depth"], "depth", sh, sw)).tobytes(), "depth_ok": packed(m.nearest(unpacked(s["depth_ok"], sh, sw)))}
+        row["audit"] = record(t, s["sample_id"], packed(union), [{"slot": k, "mask": packed(x)} for k, x in sorted(warped.items())], known)
+    return row
+
+
+def warped_masks(t: dict, s: dict, m: Map) -> dict[int, np.ndarray]:
+    """Masks of the slots to paste, by slot, in the window of the map."""
+    wanted, size = set(t["pasted"] or []), (s.get("window_h") or s["h"], s.get("window_w") or s["w"])
+    return {i["slot"]: m.nearest(unpacked(i["mask"], *size)) for i in s["instances"] or [] if i["slot"] in wanted}
+
+
+def composed(t: dict, s: dict, m: Map, union: np.ndarray, image: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+    """(layers, effective mask) of a window: ``t`` has its planes, ``s`` those of the source's part that the map starts with;
+    ``image`` is a source that was already warped and blended."""
+    (h, w), (sh, sw) = union.shape, (s.get("window_h") or s["h"], s.get("window_w") or s["w"])
+    both = lambda name: t[name] is not None and s[name] is not None
+    # Only the rows and columns of the paste are sampled.
     some = lambda axis: (lambda i: slice(i[0], i[-1] + 1) if len(i) else slice(0, 0))(np.flatnonzero(union.any(axis)))
     ys, xs = some(1), some(0)
 
@@ -140,11 +198,7 @@ def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode:
         inside &= m.nearest(~unpacked(s["padding"], sh, sw))
     out = {n: t[n] for n in (*LAYERS, *BITS)}
     if both("image"):
-        if t["harmonized"] and union.any():
-            src, tgt = m.bilinear(plane(s["image"], "image", sh, sw)) / 255, plane(t["image"], "image", h, w) / 255
-            src = blended(mode, src, tgt, union)[:, ys, xs]
-        else:
-            src = m.bilinear(plane(s["image"], "image", sh, sw), ys, xs) / 255
+        src = m.bilinear(plane(s["image"], "image", sh, sw), ys, xs) / 255 if image is None else image[:, ys, xs]
         out["image"] = selected("image", np.rint(np.clip(src, 0, 1) * 255).astype(np.uint8))
     for name in ("semantic", "panoptic"):
         if both(name):
@@ -157,55 +211,59 @@ def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode:
     if both("depth"):
         out["depth"] = selected("depth", depth)
         out["depth_ok"] = np.where(union, m.nearest(unpacked(s["depth_ok"], sh, sw)) & known, known)
-    masks = {i["slot"]: unpacked(i["mask"], h, w) for i in t["instances"] or []}
-    if tau is not None and both("semantic"):
-        before, after = plane(t["semantic"], "semantic", h, w)[0], out["semantic"][0]
-        old, new = (np.bincount(x.ravel(), minlength=256) for x in (before, after))
-        gone = [c for c in np.flatnonzero(old) if c in stuff and new[c] < tau * old[c]]
-        back = np.isin(before, gone) & union
-        if back.any():  # what collapsed is given back where it was pasted over; depth and normals are not
-            for name in ("image", "semantic", "panoptic"):
-                if both(name):
-                    out[name] = np.where(back, plane(t[name], name, h, w), out[name])
-            union &= ~back
-            warped = {k: x & ~back for k, x in warped.items()}
-    one = lambda i, pasted, mask, before: {"slot": i["slot"], "label": i["label"], "instance_id": i["instance_id"], "pasted": pasted, "before": int(before), "after": int(mask.sum()), "mask": packed(mask)}
-    every = [one(i, False, masks[i["slot"]] & ~union, masks[i["slot"]].sum()) for i in t["instances"] or []]
-    every += [one(i, True, warped[i["slot"]], warped[i["slot"]].sum()) for i in s["instances"] or [] if i["slot"] in warped and warped[i["slot"]].any()]
-    flat = {n: x if x is None or isinstance(x, bytes) else packed(x) if n in BITS else np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else LAYERS[n][0]).tobytes() for n, x in out.items()}
-    return {"sample_id": t["sample_id"], "h": h, "w": w, **flat, "paste": packed(union), "instances": every}
+    return out, inside
+
+
+def flat(out: dict) -> dict:
+    """Layers as bytes."""
+    return {n: x if x is None or isinstance(x, bytes) else packed(x) if n in BITS else np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else LAYERS[n][0]).tobytes() for n, x in out.items()}
+
+
+#: What was there before the composite, for whoever checks it: the target, its placement, the warped masks and depth of the source,
+#: and the union of the masks before the depth test (``paste`` of the outcome is the one after it).
+_BEFORE = [*((n, pa.binary()) for n in (*LAYERS, *BITS)), ("instances", pa.list_(pa.struct([("slot", pa.int64()), ("label", pa.int64()), ("instance_id", pa.int64()), ("mask", pa.binary())])))]
+AUDIT_ARROW = pa.struct([("src_id", pa.int64()), ("scale", pa.float64()), ("hflip", pa.bool_()), ("ty", pa.float64()), ("tx", pa.float64()), ("harmonized", pa.bool_()), ("union", pa.binary()), ("warped", pa.list_(pa.struct([("slot", pa.int64()), ("mask", pa.binary())]))), ("depth", pa.binary()), ("depth_ok", pa.binary()), ("before", pa.struct(_BEFORE))])
+AUDIT = f"struct<src_id:long,scale:double,hflip:boolean,ty:double,tx:double,harmonized:boolean,union:binary,warped:array<struct<slot:long,mask:binary>>,depth:binary,depth_ok:binary,before:struct<{','.join(f'{n}:binary' for n in (*LAYERS, *BITS))},instances:array<{INSTANCE}>>>"
+
+
+def record(t: dict, src_id: int | None, union: bytes, warped: list[dict], known: dict) -> dict:
+    before = {n: t[n] for n in (*LAYERS, *BITS)} | {"instances": [{k: i[k] for k in ("slot", "label", "instance_id", "mask")} for i in t["instances"] or []]}
+    return {"src_id": src_id, **{k: t[k] for k in ("scale", "hflip", "ty", "tx", "harmonized")}, "union": union, "warped": warped, "depth": known.get("depth"), "depth_ok": known.get("depth_ok"), "before": before}
 
 
-def alone(t: dict) -> dict:
+def alone(t: dict, audit: bool = False) -> dict:
     """A target without a source, as it was."""
     h, w = t["h"], t["w"]
     area = [int(unpacked(i["mask"], h, w).sum()) for i in t["instances"] or []]
-    return {"sample_id": t["sample_id"], "h": h, "w": w, **{n: t[n] for n in (*LAYERS, *BITS)}, "paste": packed(np.zeros((h, w), bool)), "instances": [i | {"pasted": False, "before": a, "after": a} for i, a in zip(t["instances"] or [], area)]}
+    none = packed(np.zeros((h, w), bool))
+    row = {"sample_id": t["sample_id"], "h": h, "w": w, **{n: t[n] for n in (*LAYERS, *BITS)}, "paste": none, "instances": [i | {"pasted": False, "before": a, "after": a} for i, a in zip(t["instances"] or [], area)]}
+    return row | ({"audit": record(t, None, none, [], {})} if audit else {})
 
 
-def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste"), sums: bool = True) -> DataFrame:
+def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste"), sums: bool = True, audit: bool = False, levels: int = 5) -> DataFrame:
     """:data:`OUT` for every target among :data:`ROWS`; rows that are no targets only serve as sources.
 
     ``load`` fills in a row's layers and masks where its batch is composed, so that pixels are never shuffled: rows then hold
     what it needs, a path or keys. Layers that aren't kept are composed but come out null; ``sums`` adds their :func:`totals`. A
-    row whose source is missing in its batch stays as it is.
+    row whose source is missing in its batch stays as it is. With ``audit``, rows also have what was there before (:data:`AUDIT`).
     """
+    arrow = OUT_ARROW.append(pa.field("audit", AUDIT_ARROW)) if audit else OUT_ARROW
 
     def batch(t: pa.Table) -> pa.Table:
         every = t.to_pylist()
         if load is not None:
             every = [load(r) for r in every]
         by = {r["sample_id"]: r for r in every}
-        out = [paste_one(r, by[r["src_id"]], stuff, tau, mode) if r["src_id"] in by else alone(r) for r in every if r["target"]]
+        out = [paste_one(r, by[r["src_id"]], stuff, tau, mode, audit, levels) if r["src_id"] in by else alone(r, audit) for r in every if r["target"]]
         for r in out:
             r["totals"] = totals(r) if sums else None
             r.update(dict.fromkeys(n for n in (*LAYERS, *BITS, "paste") if n not in keep))
-        return pa.Table.from_pylist(out, schema=OUT_ARROW)
+        return pa.Table.from_pylist(out, schema=arrow)
 
     if load is not None:
         # Rows of keys are few bytes, but their batches are much work: many small tasks, not as few as the bytes ask for.
         rows = rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
-    return rows.groupBy("batch_id").applyInArrow(batch, OUT)
+    return rows.groupBy("batch_id").applyInArrow(batch, f"{OUT}, audit {AUDIT}" if audit else OUT)
 
 
 def totals(r: dict) -> list[tuple[str, float]]:

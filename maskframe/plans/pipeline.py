@@ -67,7 +67,7 @@ def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste
     rows = samples.join(where, "sample_id", "left").withColumn("target", F.lit(True))
     if sources is not None:
         rows = rows.unionByName(sources.withColumn("target", F.lit(False)), allowMissingColumns=True)
-    done = layers.pasted(rows, stuff, config.tau_stuff_frac, config.harmonize.mode, **options)
+    done = layers.pasted(rows, stuff or frozenset(config.stuff or ()), config.tau_stuff_frac, config.harmonize.mode, levels=config.harmonize.levels, **options)
     return layers.merged(done, config.slots, config.min_residual_area_frac)
 
 

@@ -39,6 +39,8 @@ def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
     bw, bh = f"(8 + c_custkey * 13 % {w // 4})", f"(6 + c_custkey * 7 % {h // 4})"
     x1, y1 = f"(c_custkey * 37 % ({w} - {bw}))", f"(c_custkey * 53 % ({h} - {bh}))"
     near = "round_even({0}, 0)"
+    # Depth, a double on small canvases and a float on others.
+    real = "(1 + (({0} * 17 + {1} * 3 + {2} * 5) % 97)::" + ("double" if w * h < 10_000 else "real") + " / 10)::" + ("double" if w * h < 10_000 else "real") + "::double"
     grid = f"(select unnest(range(0, {h})) as y) y cross join (select unnest(range(0, {w})) as x) x"
     run = lambda a, n, rest: f"(repeat('0', ({a})::int) || repeat('1', ({n})::int) || repeat('0', ({rest})::int))::bit"
     return {
@@ -55,6 +57,11 @@ def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
         "lines": ("spans", f"select sample_id, y, bit_or({run('xs[1]', 'len(xs)', f'{w} - xs[1] - len(xs)')}) as paste from (select sample_id, xs, unnest(ys) as y from spans where len(xs) > 0) group by 1, 2"),
         "rest": ("inst lines", f"select sample_id, slot, label, bit_count(b)::bigint as before, bit_count(case when paste is null then b else b & ~paste end)::bigint as after from (select sample_id, slot, label, unnest(range(y1, y2)) as y, {run('x1', 'x2 - x1', f'{w} - x2')} as b from inst) left join lines using (sample_id, y)"),
         "areas": ("rest", "select sample_id, slot, label, sum(before)::bigint as before, sum(after)::bigint as after from rest group by 1, 2, 3"),
+        # The same areas where depth is tested: only pixels that are nearer than the target, or where its depth is unknown, cover it.
+        "inner": ("raw place", f"select sample_id, y, x from (select r.sample_id, r.y, r.x, src_id, hv, wv, (r.y - ty) / scale as sy, case when hflip then wv - 1 - (r.x - tx) / scale else (r.x - tx) / scale end as sx from raw r join place p using (sample_id)) where round_even(sy, 0) < hv and round_even(sx, 0) < wv and ((sample_id + y * 3 + x * 7) % 11 = 0 or {taps(w, h, real.format('src_id', 'Y', 'X'))} < {real.format('sample_id', 'y', 'x')})"),
+        "eareas": ("inst inner", "select i.sample_id, i.slot, i.label, (x2 - x1) * (y2 - y1) as before, (x2 - x1) * (y2 - y1) - coalesce(n, 0) as after from inst i left join (select i.sample_id, i.slot, count(*) as n from inst i join inner p on p.sample_id = i.sample_id and p.y between y1 and y2 - 1 and p.x between x1 and x2 - 1 group by 1, 2) using (sample_id, slot)".replace("join inner p", "join \"inner\" p")),
+        "ekept": ("eareas", "select * from eareas where after >= 0.1::double * before"),
+        "efree": ("samp ekept", "select sample_id, slot, row_number() over (partition by sample_id order by slot) as nth from (select sample_id, unnest(range(0, 24)) as slot from samp) f where not exists (select 1 from ekept k where k.sample_id = f.sample_id and k.slot = f.slot)"),
         "kept": ("areas", "select * from areas where after >= 0.1::double * before"),
         "pasted": ("spans", "select sample_id, slot as src_slot, label, len(ys) * len(xs) as area, row_number() over (partition by sample_id order by slot) as nth from spans where len(ys) > 0 and len(xs) > 0"),
         "free": ("samp kept", "select sample_id, slot, row_number() over (partition by sample_id order by slot) as nth from (select sample_id, unnest(range(0, 24)) as slot from samp) f where not exists (select 1 from kept k where k.sample_id = f.sample_id and k.slot = f.slot)"),
@@ -90,7 +97,7 @@ def sql(select: str, w: int, h: int, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return ("with " + ", ".join(f"{n} as materialized ({every[n][1]})" for n in order) + " " if order else "") + select
+    return ("with " + ", ".join(f'"{n}" as materialized ({every[n][1]})' for n in order) + " " if order else "") + select
 
 
 def query(w: int, h: int, select: str | None = None, *needs: str):
@@ -161,9 +168,9 @@ def e2e_wide_masks(c: Wide) -> DataFrame:
     return out.instances.groupBy("sample_id", "slot", "label").agg(F.sum(F.bit_count("bits")).alias("area"))
 
 
-@query(512, 512, _MERGED, "kept", "pasted", "free")
+@query(512, 512, _MERGED.replace("from kept", "from ekept").replace("join free", "join efree"), "ekept", "pasted", "efree")
 def e2e_wide_layers(c: Wide) -> DataFrame:
-    """The same rows from whole samples with all their layers: one group a batch."""
+    """The same paste of whole samples with all their layers, depth tested: one group a batch."""
     out = c.layers(min_residual_area_frac=0.1, sums=False).select("sample_id", F.explode("instances").alias("i"))
     return out.select("sample_id", "i.slot", "i.label", F.col("i.after").alias("area"))
 
@@ -199,7 +206,7 @@ def layer_panoptic(c: Wide) -> DataFrame:
     return _totals(c, "panoptic")
 
 
-@query(*_layer(_sum("depth", "case when inside then sdepth else depth end") + " union all " + _sum("depth_ok", "(case when paste then sok and ok else ok end)::int") + " union all " + _sum("paste", "paste::int")))
+@query(*_layer(_sum("depth", "case when inside then sdepth else depth end") + " union all " + _sum("depth_ok", "(case when paste then sok and ok else ok end)::int") + " union all " + _sum("paste", "inside::int")))
 def layer_depth(c: Wide) -> DataFrame:
     return _totals(c, "depth", "depth_ok", "paste")
 
@@ -213,7 +220,7 @@ def layer_normals(c: Wide) -> DataFrame:
     return _totals(c, "normals")
 
 
-@query(512, 512, "select s.sample_id, count(k.slot) as n_kept, sum(k.after)::bigint as area from samp s join kept k using (sample_id) group by 1".replace("kept k", "(select * from areas where after >= 0.1::double * before) k"), "samp", "areas")
+@query(512, 512, "select s.sample_id, count(k.slot) as n_kept, sum(k.after)::bigint as area from samp s join kept k using (sample_id) group by 1".replace("kept k", "ekept k"), "samp", "ekept")
 def residual_wide(c: Wide) -> DataFrame:
     """Targets that keep a tenth of their area, from whole samples."""
     out = c.layers(min_residual_area_frac=0.1).select("sample_id", F.explode("instances").alias("i")).where("not i.pasted")
