@@ -76,8 +76,11 @@ def thing_stuff(ids: DataFrame, semantic: DataFrame, things: DataFrame, is_thing
 
 def bijection(ids: DataFrame, things: DataFrame, rows: DataFrame) -> DataFrame:
     """Every pixel with an instance lies in exactly one mask: none uncovered, none covered twice."""
-    per = bits.keyed(rows).groupBy(*bits.LINE).agg(F.bit_or("bits").alias("any"), F.sum(F.bit_count("bits")).alias("sum"))
-    j = bits.keyed(things).join(per, bits.LINE, "left")
+    z = bits.keyed(things)
+    # Only what masks have where there are instances counts.
+    on = bits.keyed(rows).join(z, bits.LINE).withColumn("bits", F.col("bits").bitwiseAND(F.col("z")))
+    per = on.groupBy(*bits.LINE).agg(F.bit_or("bits").alias("any"), F.sum(F.bit_count("bits")).alias("sum"))
+    j = z.join(per, bits.LINE, "left")
     any_ = F.coalesce("any", F.lit(0).cast("long"))
     per = j.groupBy("sample_id", "y").agg(F.sum(F.bit_count(bits.without(F.col("z"), any_))).alias("bare"), F.max(F.when(F.col("sum") > F.bit_count(any_), 1).otherwise(0)).alias("twice"))
     return report("panoptic.pixel_bijection", ids, per.groupBy("sample_id").agg(F.sum(F.col("bare") + F.col("twice")).alias("n_bad")))

@@ -340,6 +340,18 @@ def mask_words(instances: DataFrame) -> DataFrame:
     return line.withColumn("bits", F.conv(flipped, 2, 10).cast("long")).where("bits <> 0").select("sample_id", "slot", "label", "instance_id", "y", "k", "bits")
 
 
+def bit_sums(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with each of the packed masks as the number of its pixels."""
+    schema = ", ".join(f"`{f.name}` {'long' if f.name in columns else f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = lambda c: pa.array([None if v is None else int(np.unpackbits(np.frombuffer(v, np.uint8)).sum()) for v in c.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([count(c) if n in columns else c for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(out: DataFrame) -> DataFrame:
     """(sample_id, layer, total) of :func:`totals`."""
     return out.select("sample_id", F.explode("totals")).select("sample_id", F.col("key").alias("layer"), F.col("value").alias("total"))

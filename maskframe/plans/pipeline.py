@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import bits
-from ..operators import composite, harmonize, layers, placement, warp
+from ..operators import composite, evaluate, harmonize, layers, placement, warp
 from .presets import Paste
 
 
@@ -71,6 +72,28 @@ def whole(samples: DataFrame, placed: DataFrame, slots: DataFrame, config: Paste
     return layers.merged(done, config.slots, config.min_residual_area_frac)
 
 
+def from_preset(samples: DataFrame, inst: DataFrame, whole_samples: DataFrame, config: Paste, load: Callable[[dict], dict] | None = None, pad_to: int | None = None, **options) -> DataFrame:
+    """Everything a configuration decides, from samples to merged outcomes: who may be a source, placing, padding, blending, what is
+    given back, dropped and merged. ``samples`` and ``inst`` are as for :func:`placement.place`, ``whole_samples`` as for :func:`whole`.
+
+    With ``pad_to`` canvases are brought to its multiples first; valid extents stay those of the pictures.
+    """
+    if pad_to is not None:
+        grid = lambda df: df.withColumn("h", (F.ceil(F.col("h") / pad_to) * pad_to).cast("int")).withColumn("w", (F.ceil(F.col("w") / pad_to) * pad_to).cast("int"))
+        samples, inner = grid(samples), load
+        if inner is None:
+            whole_samples = layers.padded(whole_samples, pad_to)
+        else:
+            load = lambda r: layers.grown(inner(r), pad_to, 255)
+    placed, slots = placement.place(samples, inst, config.placement, eligible(config))
+    return whole(whole_samples, placed, slots, config, load=load, **options)
+
+
+def rules(config: Paste) -> evaluate.Rules:
+    """What outcomes of a configuration are checked by."""
+    return evaluate.Rules(config.min_residual_area_frac, config.tau_stuff_frac, frozenset(config.things) if config.things is not None else None, frozenset(config.stuff or ()))
+
+
 def bank_sources(targets: DataFrame, crops: DataFrame, h: int, w: int) -> DataFrame:
     """The crops that targets were given (``idx``), as sources of their batches: one instance, the crop's alpha, slot 0.
 

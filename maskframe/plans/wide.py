@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rle
-from ..operators import composite, layers, placement, warp
+from ..operators import composite, evaluate, layers, placement, tiles, warp
 from ..sources import testdata as td
 from ..workers import reach
 from . import pipeline, presets
@@ -29,13 +30,13 @@ class Wide:
         self.placed, self.slots = placement.place(self.samples, self.instances, config or placement.Placement(k_range=(1, 5)))
         self.warped = warp.masks(self.slots, self.rows, h, w)
 
-    def layers(self, *keep: str, config: presets.Paste | None = None, sums: bool = True, **paste) -> DataFrame:
+    def layers(self, *keep: str, config: presets.Paste | None = None, sums: bool = True, audit: bool = False, **paste) -> DataFrame:
         config = config or presets.Paste(placement.Placement(k_range=(1, 5)), slots=24, **paste)
-        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep, sums=sums)
+        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep, sums=sums, audit=audit)
 
 
-def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
-    """DuckDB table expressions of the same relations."""
+def tables(w: int, h: int, k: int = 5, paste: float = 1.0, things: int | None = None) -> dict[str, tuple[str, str]]:
+    """DuckDB table expressions of the same relations; 1 to ``k`` pastes, with the probability ``paste``, of labels below ``things``."""
     bw, bh = f"(8 + c_custkey * 13 % {w // 4})", f"(6 + c_custkey * 7 % {h // 4})"
     x1, y1 = f"(c_custkey * 37 % ({w} - {bw}))", f"(c_custkey * 53 % ({h} - {bh}))"
     near = "round_even({0}, 0)"
@@ -46,12 +47,12 @@ def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
     return {
         "samp": ("", f"select s_suppkey::bigint as sample_id, s_suppkey // 8 as batch_id, row_number() over (partition by s_suppkey // 8 order by s_suppkey) - 1 as pos, count(*) over (partition by s_suppkey // 8) as n, {h} - s_suppkey % 3 as hv, {w} - s_suppkey % 2 as wv from supplier"),
         "inst": ("", f"select c_custkey // 15 as sample_id, c_custkey % 15 as slot, c_custkey % 20 as label, {x1} as x1, {y1} as y1, {x1} + {bw} as x2, {y1} + {bh} as y2 from customer"),
-        "drawn": ("samp", f"select s.*, (s.pos + 1 + cast(floor({u('src0')} * (n - 1)) as bigint)) % n as src_pos, 0.5::double + {u('scale0')} * 1.5::double as scale, {u('flip0')} < 0.5 as hflip, 1 + cast(floor({u('k0')} * 5) as bigint) as kmax from samp s where n > 1"),
-        "pair": ("drawn samp", "select d.sample_id, d.scale, d.hflip, d.kmax, s.sample_id as src_id, s.hv, s.wv from drawn d join samp s on s.batch_id = d.batch_id and s.pos = d.src_pos"),
+        "drawn": ("samp", f"select s.*, (s.pos + 1 + cast(floor({u('src0')} * (n - 1)) as bigint)) % n as src_pos, 0.5::double + {u('scale0')} * 1.5::double as scale, {u('flip0')} < 0.5 as hflip, 1 + cast(floor({u('k0')} * {k}) as bigint) as kmax, {u('paste0')} < {paste} as do_paste from samp s where n > 1"),
+        "pair": ("drawn samp", "select d.sample_id, d.scale, d.hflip, d.kmax, d.do_paste, s.sample_id as src_id, s.hv, s.wv from drawn d join samp s on s.batch_id = d.batch_id and s.pos = d.src_pos"),
         "edges": ("pair inst", "select p.*, i.slot, i.label, i.x1, i.y1, i.x2, i.y2, case when hflip then wv - 1 - x1 else x2 end as \"right\" from pair p join inst i on i.sample_id = p.src_id"),
         "bound": ("edges", f"select sample_id, greatest(0.0::double, {h} - max(y2 * scale)) as ry, greatest(0.0::double, {w} - max(\"right\" * scale)) as rx from edges group by 1"),
         "place": ("edges bound", f"select distinct e.sample_id, e.src_id, e.scale, e.hflip, e.hv, e.wv, e.kmax, {u('ty0', 'e.sample_id')} * ry as ty, {u('tx0', 'e.sample_id')} * rx as tx from edges e join bound b using (sample_id)"),
-        "slots": ("edges place", f"select *, gate and sum(gate::int) over (partition by sample_id order by slot) <= kmax as paste_valid from (select e.*, p.ty, p.tx, (y2 * e.scale + ty <= {h} and \"right\" * e.scale + tx <= {w} and y2 <= e.hv and x2 <= e.wv) as gate from edges e join place p using (sample_id))"),
+        "slots": ("edges place", f"select *, gate and sum(gate::int) over (partition by sample_id order by slot) <= kmax as paste_valid from (select e.*, p.ty, p.tx, (y2 * e.scale + ty <= {h} and \"right\" * e.scale + tx <= {w} and y2 <= e.hv and x2 <= e.wv and do_paste{'' if things is None else f' and label < {things}'}) as gate from edges e join place p using (sample_id))"),
         # A rectangle's warp is a rectangle: the rows and the columns whose nearest source lies in it.
         "spans": ("slots", f"select sample_id, slot, label, list_filter(range(0, {h}), lambda y: {near.format('(y - ty) / scale')} between y1 and y2 - 1) as ys, list_filter(range(0, {w}), lambda x: {near.format('case when hflip then wv - 1 - (x - tx) / scale else (x - tx) / scale end')} between x1 and x2 - 1) as xs from slots where paste_valid"),
         "lines": ("spans", f"select sample_id, y, bit_or({run('xs[1]', 'len(xs)', f'{w} - xs[1] - len(xs)')}) as paste from (select sample_id, xs, unnest(ys) as y from spans where len(xs) > 0) group by 1, 2"),
@@ -72,6 +73,12 @@ def tables(w: int, h: int) -> dict[str, tuple[str, str]]:
         "raw": ("spans", "select distinct sample_id, y, x from (select sample_id, y, unnest(xs) as x from (select sample_id, xs, unnest(ys) as y from spans))"),
         "sides": ("px spot raw", f"select t.sample_id, t.y, t.x, t.sem, t.pan, t.depth, t.ok, a.src_id, a.hflip, a.sy, a.sx, r.x is not null as paste, s.sem as ssem, s.pan as span, coalesce(s.ok, false) as sok, coalesce(not s.pad, false) as live, {taps(w, h, '1 + (a.src_id * 17 + Y * 3 + X * 5) % 97 / 10.0::double', 'a.')} as sdepth from px t join spot a using (sample_id, y, x) left join raw r using (sample_id, y, x) left join px s on s.sample_id = a.src_id and s.y = round_even(a.sy, 0) and s.x = round_even(a.sx, 0)"),
         "eff": ("sides", "select *, paste and (sdepth < depth or not ok) and live as inside, 1 + (y * 3 + x) % 7 as weight from sides"),
+        # Background classes of which less than a tenth would be left are given back where they were pasted over.
+        "hists": ("eff", "select sample_id, c, sum(b)::bigint as before, sum(a)::bigint as after from (select sample_id, sem as c, 1 as b, 0 as a from eff union all select sample_id, case when inside then ssem else sem end, 0, 1 from eff) group by 1, 2"),
+        "gone": ("hists", "select sample_id, c from hists where c >= 14 and before > 0 and after < 0.1::double * before"),
+        "fin": ("eff gone", "select e.*, g.c is not null and paste as back, case when g.c is not null and paste then sem when inside then ssem else sem end as final from eff e left join gone g on g.sample_id = e.sample_id and g.c = e.sem"),
+        "pareas": ("inst fin", "select i.sample_id, i.slot, i.label, (x2 - x1) * (y2 - y1) as before, (x2 - x1) * (y2 - y1) - coalesce(n, 0) as after from inst i left join (select i.sample_id, i.slot, count(*) as n from inst i join fin p on p.sample_id = i.sample_id and p.y between y1 and y2 - 1 and p.x between x1 and x2 - 1 where inside and not back group by 1, 2) using (sample_id, slot)"),
+        "ppasted": ("spans fin", "select s.sample_id, s.slot, s.label, count(*) as area from (select sample_id, slot, label, y, unnest(xs) as x from (select sample_id, slot, label, xs, unnest(ys) as y from spans)) s join fin f on f.sample_id = s.sample_id and f.y = s.y and f.x = s.x where not back group by 1, 2, 3"),
     }
 
 
@@ -86,8 +93,8 @@ def taps(w: int, h: int, value: str, a: str = "") -> str:
     return "(" + " + ".join(out) + ")"
 
 
-def sql(select: str, w: int, h: int, *needs: str) -> str:
-    every, order = tables(w, h), []
+def sql(select: str, w: int, h: int, *needs: str, **config) -> str:
+    every, order = tables(w, h, **config), []
 
     def add(name: str) -> None:
         if name not in order:
@@ -100,11 +107,11 @@ def sql(select: str, w: int, h: int, *needs: str) -> str:
     return ("with " + ", ".join(f'"{n}" as materialized ({every[n][1]})' for n in order) + " " if order else "") + select
 
 
-def query(w: int, h: int, select: str | None = None, *needs: str):
+def query(w: int, h: int, select: str | None = None, *needs: str, **config):
     def put(f: Callable[[Wide], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Wide(spark, sf_dir, w, h))
         if select:
-            ORACLES[f.__name__] = sql(select, w, h, *needs)
+            ORACLES[f.__name__] = sql(select, w, h, *needs, **config)
         return f
 
     return put
@@ -227,22 +234,85 @@ def residual_wide(c: Wide) -> DataFrame:
     return out.groupBy("sample_id").agg(F.count("*").alias("n_kept"), F.sum("i.after").alias("area"))
 
 
-@query(512, 512)
+#: Test labels as published ids: fourteen things, then six kinds of background.
+PUBLISHED = (*presets.THINGS[: td.THINGS], *presets.STUFF[: 20 - td.THINGS])
+
+
+def published(label) -> F.Column:
+    return F.element_at(F.array(*[F.lit(i) for i in PUBLISHED]), (label + 1).cast("int")).cast("long")
+
+
+def draw_published(r: dict) -> dict:
+    """Layers with published ids; the boxes of the row have them already."""
+    back = {c: i for i, c in enumerate(PUBLISHED)}
+    out = td.draw_layers(r | {"boxes": [b | {"label": back[b["label"]]} for b in r["boxes"] or []]})
+    sem = np.array(PUBLISHED, "<i2")[np.frombuffer(out["semantic"], "<i2")]
+    return out | {"semantic": sem.tobytes(), "instances": [i | {"label": PUBLISHED[i["label"]]} for i in out["instances"]]}
+
+
+def preset(c: Wide, config: presets.Paste, **options) -> DataFrame:
+    """Merged outcomes of a preset over all samples, with published ids."""
+    inst = c.instances.withColumn("label", published(F.col("label")))
+    return pipeline.from_preset(c.samples, inst, td.wide_boxes(c.samples, inst), config, draw_published, **options)
+
+
+_KEPT = "select sample_id, count(*) as n, sum(after)::bigint as area from (select sample_id, after from {0} where after >= 0.1::double * before union all select sample_id, area from {1}) group by 1"
+
+
+def _instances(out: DataFrame) -> DataFrame:
+    """Samples with instances: how many there are after merging, and their pixels."""
+    return out.where(F.size("instances") > 0).withColumn("n", F.size("instances").cast("long")).withColumn("area", F.aggregate("instances", F.lit(0).cast("long"), lambda a, i: a + i["after"]))
+
+
+@query(512, 512, _KEPT.format("eareas", "pasted"), "eareas", "pasted", k=32)
 def preset_instance_512(c: Wide) -> DataFrame:
-    """The named instance preset over whole samples: every layer's total and the merged instances' area a sample."""
-    p = presets.get("coco-instance")
-    wide = Wide(c.spark, c.dir, c.w, c.h, p.placement)
-    out = wide.layers(config=p)
-    return out.select("sample_id", F.size("instances").alias("n"), F.round(F.element_at("totals", F.lit("image")), 0).alias("image"), F.round(F.element_at("totals", F.lit("depth")), 0).alias("depth"))
+    """The named instance preset over whole samples: instances after dropping and merging, and their pixels."""
+    return _instances(preset(c, presets.get("coco-instance"), sums=False)).select("sample_id", "n", "area")
+
+
+_IDS = "[" + ", ".join(map(str, PUBLISHED)) + "]"
+
+
+@query(75, 50, f"select k.sample_id, k.n, k.area, f.semantic from ({_KEPT.format('pareas', 'ppasted')}) k join (select sample_id, sum(weight * {_IDS}[final + 1])::double as semantic from fin group by 1) f using (sample_id)", "pareas", "ppasted", "fin", k=20, paste=0.5, things=14)
+def preset_panoptic(c: Wide) -> DataFrame:
+    """The named panoptic preset: things alone are pasted, background that would vanish is given back; instances and class layer."""
+    out = _instances(preset(c, presets.get("coco-panoptic")))
+    return out.select("sample_id", "n", "area", F.element_at("totals", F.lit("semantic")).alias("semantic"))
 
 
 @query(75, 50)
 def preset_panoptic_harmonized(c: Wide) -> DataFrame:
-    """The named panoptic preset with every paste blended by multiple bands."""
-    p = replace(presets.get("coco-panoptic"), harmonize=presets.Harmonize(prob=1.0), things=None)
-    wide = Wide(c.spark, c.dir, c.w, c.h, p.placement)
-    out = wide.layers(config=p)
-    return out.select("sample_id", F.size("instances").alias("n"), F.round(F.element_at("totals", F.lit("image")), 0).alias("image"), F.element_at("totals", F.lit("semantic")).alias("semantic"))
+    """The named panoptic preset with every paste blended by multiple bands, on canvases of whole patches."""
+    out = preset(c, replace(presets.get("coco-panoptic"), harmonize=presets.Harmonize(prob=1.0, levels=4)), pad_to=16)
+    return out.select("sample_id", "h", "w", F.size("instances").alias("n"), F.round(F.element_at("totals", F.lit("image")), 0).alias("image"), F.element_at("totals", F.lit("semantic")).alias("semantic"))
+
+
+@query(75, 50)
+def preset_invariants(c: Wide) -> DataFrame:
+    """Every check that applies, over the outcomes of both presets: how many samples pass it. One scan of the outcomes each."""
+    out = None
+    for name in presets.names():
+        p = presets.get(name)
+        r = evaluate.evaluated(preset(c, p, sums=False, audit=True), pipeline.rules(p))
+        n = r.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"), F.sum("n_bad").alias("n_bad")).withColumn("preset", F.lit(name))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(75, 50)
+def fault_injection(c: Wide) -> DataFrame:
+    """Outcomes of the panoptic preset, spoiled in every way: how many faults were found by the check for it, and by no other."""
+    p = presets.get("coco-panoptic")
+    found = evaluate.injected(preset(c, p, sums=False, audit=True), pipeline.rules(p))
+    return found.groupBy("fault", "expected").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"))
+
+
+@query(75, 50, "select sample_id, src_id, hflip, scale, area::bigint as area, paste::bigint as paste, n from (select sample_id, any_value(src_id) as src_id, any_value(hflip) as hflip, sum(paste::int) as area, sum(inside::int) as paste from eff group by 1) join (select sample_id, scale from place) using (sample_id) left join (select sample_id, count(*) as n from inst group by 1) using (sample_id)", "eff", "place", "inst")
+def audit_records(c: Wide) -> DataFrame:
+    """What was there before: placements, the union of the masks before and after the depth test, the target's instances."""
+    out = c.layers("paste", sums=False, audit=True)
+    some = out.where("audit.src_id is not null").select("sample_id", "audit.src_id", "audit.hflip", "audit.scale", F.col("audit.union").alias("area"), "paste", F.size("audit.before.instances").cast("long").alias("n"))
+    return layers.bit_sums(some, "area", "paste")
 
 
 _CROP = 8
@@ -281,3 +351,21 @@ def draw_targets(r: dict) -> dict:
     if not r["target"]:
         return r | {n: r.get(n) for n in (*layers.LAYERS, *layers.BITS)}
     return td.draw_layers(r)
+
+
+def _tiled(c: Wide, size: int) -> DataFrame:
+    parts = tiles.drawn(td.wide_boxes(c.samples, c.instances).drop("batch_id"), size, td.draw_layers)
+    return tiles.pasted(parts, c.placed, c.slots, size)
+
+
+@query(512, 512, "select sample_id, slot, false as pasted, label, before, after from eareas union all select sample_id, src_slot, true, label, area, area from pasted", "eareas", "pasted")
+def tiles_512(c: Wide) -> DataFrame:
+    """Areas of both sides' instances, composed in tiles of 128 pixels: the same as of whole canvases."""
+    return tiles.areas(_tiled(c, 128))
+
+
+@query(75, 50, " union all ".join([_sum("semantic", "case when inside then ssem else sem end"), _sum("depth", "case when inside then sdepth else depth end"), _sum("paste", "inside::int"), _sum("image", _IMAGE)]), "eff")
+def tiles_layers(c: Wide) -> DataFrame:
+    """Layers composed in tiles of 16 pixels."""
+    out = tiles.totals(_tiled(c, 16), 16).where(F.col("layer").isin("semantic", "depth", "paste", "image"))
+    return out.select("sample_id", "layer", F.round("total", 3).alias("total"))

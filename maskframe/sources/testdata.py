@@ -100,18 +100,21 @@ def wide_boxes(samp: DataFrame, inst: DataFrame) -> DataFrame:
     return samp.select("batch_id", "sample_id", "h", "w", F.struct("hv", "wv").alias("valid")).join(boxes, "sample_id", "left")
 
 
-def draw_layers(r: dict) -> dict:
-    """A row of :func:`wide_boxes` with all its layers and packed masks, each a whole-number pattern of the keys.
+def draw_layers(r: dict, rows: slice | None = None, cols: slice | None = None) -> dict:
+    """A row of :func:`wide_boxes` with all its layers and packed masks, each a whole-number pattern of the keys; of a window if named.
 
     Depth and normals are doubles on small canvases, where SQL compares them, else floats.
     """
     from ..operators import layers
 
     k, h, w, real = r["sample_id"], r["h"], r["w"], "<f8" if r["h"] * r["w"] < 10_000 else "<f4"
-    y, x = np.arange(h, dtype=np.int32)[:, None], np.arange(w, dtype=np.int32)[None, :]
+    rows, cols = rows or slice(0, h), cols or slice(0, w)
+    y, x = np.arange(rows.start, rows.stop, dtype=np.int32)[:, None], np.arange(cols.start, cols.stop, dtype=np.int32)[None, :]
+    h, w = len(y), x.shape[1]
     sem, pan, every = np.full((h, w), k % 6 + THINGS, np.int16), np.zeros((h, w), np.int32), []
+    within = lambda a, b, s: slice(max(a, s.start) - s.start, max(min(b, s.stop) - s.start, 0))
     for b in r["boxes"] or []:
-        part = slice(b["y1"], b["y2"]), slice(b["x1"], b["x2"])
+        part = within(b["y1"], b["y2"], rows), within(b["x1"], b["x2"], cols)
         sem[part], pan[part] = b["label"], b["slot"] + 1 if b["label"] < THINGS else 0
         m = np.zeros((h, w), bool)
         m[part] = True
