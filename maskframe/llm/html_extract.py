@@ -98,6 +98,8 @@ def names_no_article(names: str) -> bool:
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) with kind ``text``, ``start`` or ``end``, in one pass; what is never closed is text."""
     at, end, last = 0, len(html), html.rfind(">")
+    # Quotes from which no bare > can be reached: every quote is walked through at most once in vain.
+    dead: set[int] = set()
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
@@ -119,19 +121,18 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         elif nxt in ("!", "?"):
             at = html.find(">", lt) + 1
         elif m := NAME.match(html, lt + (2 if nxt == "/" else 1)):
-            p = m.end()
+            p, walked = m.end(), []
             while True:  # the first > outside of quotes; a quote that never closes is no quote
                 s = STOP.search(html, p)
-                if s is None:
-                    p = html.find(">", m.end())
-                    break
-                if s[0] == ">":
+                if s is not None and s[0] == ">":
                     p = s.start()
                     break
-                z = html.find(s[0], s.end())
+                z = -1 if s is None or s.start() in dead else html.find(s[0], s.end())
                 if z < 0:
+                    dead.update(walked if s is None else [*walked, s.start()])
                     p = html.find(">", m.end())
                     break
+                walked.append(s.start())
                 p = z + 1
             name = m[0].lower()
             yield "end" if nxt == "/" else "start", name, html[m.end() : p]
@@ -333,10 +334,11 @@ class Model:
         self.constant, varying = np.zeros(n, bool), np.zeros(n, np.int64)
         self.pages = 0
         for node, seen, same, chars in stats:
+            # The model itself is one of the pages that have the node; what is template is told by the others.
             if node == 0:
-                self.pages = seen
+                self.pages = seen + 1
             if t.label[node] == "#":
-                kept = seen >= PAGES and same >= CONSTANT * seen
+                kept = seen + 1 >= PAGES and same >= CONSTANT * seen
                 self.constant[node] = kept and not (t.main[node] and t.label[t.parent[node]].partition(".")[0] in HEADINGS)
             if not self.constant[node]:
                 varying[node] += chars

@@ -152,3 +152,60 @@ def test_simple_tree_matching():
         assert all(a.label[i] == b.label[j] and (not i or to[a.parent[i]] == b.parent[j]) for i, j in to.items())
         assert len(set(to.values())) == len(to)
         assert sum(1 + (a.label[i] == "#" and a.text[i] == b.text[j]) for i, j in to.items()) == plain_matching(a, b)
+
+
+def test_quotes_that_hide_every_bracket_take_linear_time():
+    import time
+
+    from maskframe.llm.html_extract import tokens
+
+    def took(page):
+        start = time.process_time()
+        list(tokens(page))
+        return time.process_time() - start
+
+    for unit in ('<a ">" ', "<a '>\" ", "<a \">' <b '>\" "):
+        assert took(unit * (1_000_000 // len(unit))) < 20, unit
+
+
+def test_walked_quotes_change_no_token():
+    import random
+
+    from maskframe.llm.html_extract import NAME, STOP, tokens
+
+    def ends(html, start):
+        """Where a tag ends, each time looked for from its name."""
+        p = start
+        while True:
+            s = STOP.search(html, p)
+            if s is not None and s[0] == ">":
+                return s.start()
+            z = -1 if s is None else html.find(s[0], s.end())
+            if z < 0:
+                return html.find(">", start)
+            p = z + 1
+
+    r = random.Random(6)
+    for _ in range(3000):
+        html = "".join(r.choice(['<a ', '"', "'", ">", " x", "</b "]) for _ in range(r.randrange(1, 25)))
+        rest = [(k, n, x) for k, n, x in tokens(html) if k != "text"]
+        at, want = 0, []
+        while (lt := html.find("<", at)) >= 0 and lt <= html.rfind(">"):
+            m = NAME.match(html, lt + (2 if html[lt + 1 : lt + 2] == "/" else 1))
+            if not m:
+                at = lt + 1
+                continue
+            p = ends(html, m.end())
+            want.append(("end" if html[lt + 1] == "/" else "start", m[0].lower(), html[m.end() : p]))
+            at = p + 1
+        assert rest == want
+
+
+def test_hosts_of_three_pages_have_a_template(spark):
+    """Element names say nothing here: only what the three pages share tells menu and notice from the story."""
+    page = lambda i: f"<div>Site menu home</div><div><div>Story number {i} of words {'abc' * i} and more words than elsewhere {i * 977}</div></div><div>All rights reserved</div>"
+    df = spark.createDataFrame([(i, f"http://three.example/{i}", page(i)) for i in range(1, 4)], "page_id long, url string, html string")
+    from maskframe.llm import html_extract
+
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(df).collect()}
+    assert all(t.startswith("Story number") and "menu" not in t and "reserved" not in t for t in got.values())
