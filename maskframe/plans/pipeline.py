@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import bits
+from .. import bits, rng
 from ..operators import composite, evaluate, harmonize, layers, placement, warp
 from .presets import Paste
 
@@ -94,16 +96,40 @@ def rules(config: Paste) -> evaluate.Rules:
     return evaluate.Rules(config.min_residual_area_frac, config.tau_stuff_frac, frozenset(config.things) if config.things is not None else None, frozenset(config.stuff or ()))
 
 
+def sourced(samples: DataFrame, inst: DataFrame, config: Paste, crops: DataFrame | None = None, n_bank: int = 0, crop: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(placements, slots, bank sources) by the configured source: from the batch, a bank, or each target from either by a draw.
+
+    Both kinds of placements have one form and are composed in one exchange. A bank's ``crops`` have ``idx`` from 0 to
+    ``n_bank - 1``, ``class_id``, ``image`` and ``alpha`` of the size ``crop``; what is eligible doesn't bind them.
+    """
+    own = placement.place(samples, inst, config.placement, eligible(config))
+    if config.source.kind == "intra_batch":
+        return *own, None
+    if crops is None or not n_bank or crop is None:
+        raise ValueError("a bank source needs a bank")
+    from_bank = rng.uniform(f"source{config.placement.seed}", "sample_id") < config.source.share
+    at = placement.bank_place(samples.where(from_bank), crops.select("idx", "class_id"), n_bank, crop, config.source.placement or config.placement)
+    at = at.withColumn("src_id", crop_id(F.col("idx"))).withColumn("wv", F.lit(crop[1]))
+    common = ["sample_id", "src_id", "scale", "hflip", "ty", "tx", "wv"]
+    placed = own[0].where(~from_bank).select(*common).unionByName(at.select(*common))
+    slots = own[1].where(~from_bank).select("sample_id", F.col("slot").cast("long").alias("slot"), "paste_valid").unionByName(at.select("sample_id", F.lit(0).cast("long").alias("slot"), "paste_valid"))
+    return placed, slots, bank_sources(at, crops, *crop)
+
+
 def bank_sources(targets: DataFrame, crops: DataFrame, h: int, w: int) -> DataFrame:
     """The crops that targets were given (``idx``), as sources of their batches: one instance, the crop's alpha, slot 0.
 
     Crops have planes of bytes (``image``, ``alpha``) of ``h`` by ``w``; their ids are negative, so that they are no sample's.
     """
     pick = targets.select("batch_id", "idx").distinct().join(crops, "idx")
-    bit = F.transform(F.sequence(F.lit(1), F.lit(h * w)), lambda i: F.when(F.conv(F.hex(F.substring("alpha", i, F.lit(1))), 16, 10).cast("int") > 0, "1").otherwise("0"))
-    text = F.rpad(F.array_join(bit, ""), -(-h * w // 8) * 8, "0")
-    packed = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(-(-h * w // 8) - 1)), lambda i: F.lpad(F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
-    one = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("class_id").alias("label"), F.lit(0).cast("long").alias("instance_id"), packed.alias("mask")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array([layers.packed(np.frombuffer(a, np.uint8) > 0) for a in b.column("alpha").to_pylist()], pa.binary())
+            yield b.set_column(b.schema.get_field_index("alpha"), "alpha", mask)
+
+    pick = pick.select("batch_id", "idx", "class_id", "image", "alpha").mapInArrow(run, "batch_id long, idx long, class_id long, image binary, alpha binary")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("class_id").alias("label"), F.lit(0).cast("long").alias("instance_id"), F.col("alpha").alias("mask")))
     return pick.select("batch_id", crop_id(F.col("idx")).alias("sample_id"), F.lit(h).alias("h"), F.lit(w).alias("w"), "image", one.alias("instances"))
 
 

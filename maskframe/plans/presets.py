@@ -25,6 +25,38 @@ class Harmonize:
             raise ValueError(f"unknown mode {self.mode!r}")
 
 
+@dataclass(frozen=True)
+class FromBatch:
+    """Sources are the other samples of a target's batch."""
+
+    kind: str = "intra_batch"
+
+
+@dataclass(frozen=True)
+class FromBank:
+    """Sources are crops of a bank, which has its own placement if one is named; a ``share`` below one leaves the rest to the batch."""
+
+    kind: str = "bank"
+    placement: Placement | None = None
+    share: float = 1.0
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.share <= 1:
+            raise ValueError("a share lies in [0, 1]")
+
+
+def source(config: dict) -> FromBatch | FromBank:
+    """A source by its ``kind``; unknown kinds and fields are errors."""
+    kinds = {"intra_batch": FromBatch, "bank": FromBank}
+    kind = config.get("kind", "intra_batch")
+    if kind not in kinds:
+        raise ValueError(f"unknown source {kind!r}")
+    try:
+        return kinds[kind](**config)
+    except TypeError as e:
+        raise ValueError(str(e)) from None
+
+
 @dataclass(frozen=True)
 class Paste:
     """A whole augmentation: placing, harmonising, what is dropped and what is reverted."""
@@ -36,6 +68,7 @@ class Paste:
     #: Classes whose instances are pasted (all, if none are named), and those of the background, which ``tau_stuff_frac`` protects.
     things: tuple[int, ...] | None = None
     stuff: tuple[int, ...] | None = None
+    source: FromBatch | FromBank = field(default_factory=FromBatch)
     slots: int = 32
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rle
-from ..operators import composite, evaluate, layers, placement, tiles, warp
+from ..operators import composite, dense, evaluate, layers, placement, resample, tiles, warp
 from ..sources import testdata as td
 from ..workers import reach
 from . import pipeline, presets
@@ -68,7 +69,7 @@ def tables(w: int, h: int, k: int = 5, paste: float = 1.0, things: int | None =
         "free": ("samp kept", "select sample_id, slot, row_number() over (partition by sample_id order by slot) as nth from (select sample_id, unnest(range(0, 24)) as slot from samp) f where not exists (select 1 from kept k where k.sample_id = f.sample_id and k.slot = f.slot)"),
         # Pixels.
         "top": ("inst", "select sample_id, y, x, arg_max(label, slot) as label, max(slot) as slot from (select *, unnest(range(x1, x2)) as x from (select *, unnest(range(y1, y2)) as y from inst)) group by 1, 2, 3"),
-        "px": ("samp top", f"select s.sample_id, y.y, x.x, coalesce(t.label, s.sample_id % 6 + 14) as sem, case when t.label < 14 then t.slot + 1 else 0 end as pan, 1 + (s.sample_id * 17 + y.y * 3 + x.x * 5) % 97 / 10.0::double as depth, (s.sample_id + y.y * 3 + x.x * 7) % 11 <> 0 as ok, y.y >= s.hv or x.x >= s.wv as pad from samp s cross join {grid} left join top t on t.sample_id = s.sample_id and t.y = y.y and t.x = x.x"),
+        "px": ("samp top", f"select s.sample_id, y.y, x.x, t.label as top, coalesce(t.label, s.sample_id % 6 + 14) as sem, case when t.label < 14 then t.slot + 1 else 0 end as pan, 1 + (s.sample_id * 17 + y.y * 3 + x.x * 5) % 97 / 10.0::double as depth, (s.sample_id + y.y * 3 + x.x * 7) % 11 <> 0 as ok, y.y >= s.hv or x.x >= s.wv as pad from samp s cross join {grid} left join top t on t.sample_id = s.sample_id and t.y = y.y and t.x = x.x"),
         "spot": ("place", f"select p.sample_id, p.src_id, p.hflip, p.hv, p.wv, y.y, x.x, (y.y - ty) / scale as sy, case when hflip then wv - 1 - (x.x - tx) / scale else (x.x - tx) / scale end as sx from place p cross join {grid}"),
         "raw": ("spans", "select distinct sample_id, y, x from (select sample_id, y, unnest(xs) as x from (select sample_id, xs, unnest(ys) as y from spans))"),
         "sides": ("px spot raw", f"select t.sample_id, t.y, t.x, t.sem, t.pan, t.depth, t.ok, a.src_id, a.hflip, a.sy, a.sx, r.x is not null as paste, s.sem as ssem, s.pan as span, coalesce(s.ok, false) as sok, coalesce(not s.pad, false) as live, {taps(w, h, '1 + (a.src_id * 17 + Y * 3 + X * 5) % 97 / 10.0::double', 'a.')} as sdepth from px t join spot a using (sample_id, y, x) left join raw r using (sample_id, y, x) left join px s on s.sample_id = a.src_id and s.y = round_even(a.sy, 0) and s.x = round_even(a.sx, 0)"),
@@ -104,7 +105,7 @@ def sql(select: str, w: int, h: int, *needs: str, **config) -> str:
 
     for n in needs:
         add(n)
-    return ("with " + ", ".join(f'"{n}" as materialized ({every[n][1]})' for n in order) + " " if order else "") + select
+    return ("with " + ", ".join(f'"{n}" as materialized ({every[n][1]})' for n in order) + " " if order else "") + select  # a select that starts with a comma has tables of its own
 
 
 def query(w: int, h: int, select: str | None = None, *needs: str, **config):
@@ -334,16 +335,40 @@ _BANK_AT = f"select s.sample_id, b.vec_id as idx, b.label as class_id, hflip, sc
 @query(75, 50, f"select sample_id, idx, class_id, count(*) as area, sum(x)::bigint as sx, sum(y)::bigint as sy from (select *, cast(round_even((y - ty) / scale, 0) as bigint) as ny, cast(round_even(case when hflip then 7 - (x - tx) / scale else (x - tx) / scale end, 0) as bigint) as nx from ({_BANK_AT}) cross join (select unnest(range(0, 50)) as y) cross join (select unnest(range(0, 75)) as x)) where ny between 0 and 7 and nx between 0 and 7 and (idx + ny * 8 + nx) % 4 <> 0 group by 1, 2, 3", "samp")
 def bank_paste(c: Wide) -> DataFrame:
     """Crops of a bank pasted onto whole samples: where the pasted instance lies."""
-    crops, config = _crops(c), presets.Paste(slots=64)
-    spot = placement.bank_place(c.samples, crops.select("idx", "class_id"), crops.count(), (_CROP, _CROP), config.placement)
-    at = spot.withColumn("src_id", pipeline.crop_id(F.col("idx"))).withColumn("wv", F.lit(_CROP)).withColumn("slot", F.lit(0).cast("long"))
-    sources = pipeline.bank_sources(at, crops, _CROP, _CROP).withColumn("boxes", F.lit(None).cast("array<struct<slot:long,label:long,x1:long,y1:long,x2:long,y2:long>>"))
-    targets = td.wide_boxes(c.samples, c.instances)
-    out = pipeline.whole(targets, at, at, config, sources, load=draw_targets).select("sample_id", F.explode("instances").alias("i")).where("i.pasted")
-    words = out.select("sample_id", F.col("i.label").alias("class_id"), "i.mask").join(at.select("sample_id", "idx"), "sample_id")
-    bit = lambda x: F.conv(F.hex(F.substring("mask", F.floor(x / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    px = words.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(c.w * c.h - 1)))).where(F.call_function("shiftright", bit(F.col("p")), (7 - F.col("p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return px.groupBy("sample_id", "idx", "class_id").agg(F.count("*").alias("area"), F.sum(F.col("p") % c.w).alias("sx"), F.sum(F.floor(F.col("p") / c.w)).alias("sy"))
+    return _pasted_pixels(_sourced(c, presets.FromBank()), c.w)
+
+
+def _sourced(c: Wide, source: presets.FromBatch | presets.FromBank) -> DataFrame:
+    """Samples with what was pasted onto them from the configured source: class, crop and mask."""
+    crops, config = _crops(c), presets.Paste(placement.Placement(k_range=(1, 5)) if source.kind == "intra_batch" or source.share < 1 else placement.Placement(), slots=64, source=source)
+    at, slots, sources = pipeline.sourced(c.samples, c.instances, config, crops, crops.count(), (_CROP, _CROP))
+    boxes = "array<struct<slot:long,label:long,x1:long,y1:long,x2:long,y2:long>>"
+    sources = sources.withColumn("boxes", F.lit(None).cast(boxes)) if sources is not None else None
+    out = pipeline.whole(td.wide_boxes(c.samples, c.instances), at, slots, config, sources, load=draw_targets, keep=(), sums=False).select("sample_id", "h", "w", F.explode("instances").alias("i")).where("i.pasted")
+    return out.join(at.select("sample_id", "src_id"), "sample_id").select("sample_id", "h", "w", F.when(F.col("src_id") < 0, pipeline.crop_id(F.col("src_id"))).alias("idx"), F.col("i.label").alias("class_id"), F.col("i.mask").alias("mask"))
+
+
+def _pasted_pixels(rows: DataFrame, w: int) -> DataFrame:
+    """(sample_id, idx, class_id, area, sx, sy) of packed masks, summed where they are unpacked."""
+
+    def run(batches):
+        for b in batches:
+            found = [np.nonzero(layers.unpacked(m, h, w)) for m, h in zip(b.column("mask").to_pylist(), b.column("h").to_pylist())]
+            sums = [pa.array([int(v) for v in x], pa.int64()) for x in zip(*((len(y), x.sum(), y.sum()) for y, x in found))] if found else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("sample_id", "idx", "class_id")), *sums], names=["sample_id", "idx", "class_id", "area", "sx", "sy"])
+
+    one = rows.select("sample_id", "idx", "class_id", "h", "mask").mapInArrow(run, "sample_id long, idx long, class_id long, area long, sx long, sy long")
+    return one.groupBy("sample_id", "idx", "class_id").agg(*[F.sum(v).alias(v) for v in ("area", "sx", "sy")])
+
+
+_BANK_PIXELS = f"select sample_id, idx, class_id, count(*) as area, sum(x)::bigint as sx, sum(y)::bigint as sy from (select *, cast(round_even((y - ty) / scale, 0) as bigint) as ny, cast(round_even(case when hflip then 7 - (x - tx) / scale else (x - tx) / scale end, 0) as bigint) as nx from ({_BANK_AT}) cross join (select unnest(range(0, 50)) as y) cross join (select unnest(range(0, 75)) as x)) where ny between 0 and 7 and nx between 0 and 7 and (idx + ny * 8 + nx) % 4 <> 0 group by 1, 2, 3"
+_OWN_PIXELS = "select sample_id, null::bigint as idx, label as class_id, sum(len(xs) * len(ys))::bigint as area, sum(len(ys) * list_sum(xs))::bigint as sx, sum(len(xs) * list_sum(ys))::bigint as sy from spans where len(xs) > 0 and len(ys) > 0 group by 1, 2, 3"
+
+
+@query(75, 50, f"select * from ({_BANK_PIXELS}) where {u('source0')} < 0.4 union all select * from ({_OWN_PIXELS}) where {u('source0')} >= 0.4", "samp", "spans")
+def source_mixture(c: Wide) -> DataFrame:
+    """Two targets in five take a crop of the bank, the others instances of their batch: what was pasted, in one exchange."""
+    return _pasted_pixels(_sourced(c, presets.FromBank(share=0.4)), c.w)
 
 
 def draw_targets(r: dict) -> dict:
@@ -369,3 +394,70 @@ def tiles_layers(c: Wide) -> DataFrame:
     """Layers composed in tiles of 16 pixels."""
     out = tiles.totals(_tiled(c, 16), 16).where(F.col("layer").isin("semantic", "depth", "paste", "image"))
     return out.select("sample_id", "layer", F.round("total", 3).alias("total"))
+
+
+# ---- the per-sample kernel, and jitter of pixels
+
+_NEXT = "(select s.sample_id, t.sample_id as src_id from samp s join samp t on t.batch_id = s.batch_id and t.pos = (s.pos + 1) % s.n where s.n > 1)"
+_DENSE_PIXELS = f"select n.sample_id, t.y, t.x from {_NEXT} n join px t on t.sample_id = n.sample_id join px s on s.sample_id = n.src_id and s.y = t.y and s.x = t.x where s.top is not null and not s.pad and (s.depth < t.depth or not t.ok)"
+
+
+def with_mask(r: dict) -> dict:
+    """A drawn sample with the union of its masks, as which it is pasted."""
+    out = td.draw_layers(r)
+    union = np.zeros((r["h"], r["w"]), bool)
+    for i in out["instances"]:
+        union |= layers.unpacked(i["mask"], r["h"], r["w"])
+    return out | {"mask": layers.packed(union)}
+
+
+@query(75, 50, f", hit as materialized ({_DENSE_PIXELS}), own as materialized (select i.sample_id, i.slot, i.label, p.y, p.x, h.x is not null as gone from inst i join {_NEXT} n on n.sample_id = i.sample_id join (select y.y, x.x from (select unnest(range(0, 50)) as y) y cross join (select unnest(range(0, 75)) as x) x) p on p.y between y1 and y2 - 1 and p.x between x1 and x2 - 1 left join hit h on h.sample_id = i.sample_id and h.y = p.y and h.x = p.x) select sample_id, slot as instance_id, label, false as pasted, min(x) filter (not gone) as x1, min(y) filter (not gone) as y1, max(x) filter (not gone) as x2, max(y) filter (not gone) as y2, count(*) filter (not gone) as area from own group by 1, 2, 3 having count(*) filter (not gone) >= 50 and 1 - count(*) filter (not gone) / (count(*) + 1e-8::double) <= 0.99 union all select n.sample_id, coalesce(m.top, -1) + row_number() over (partition by n.sample_id order by s.slot) as instance_id, s.label, true, x1, y1, x2 - 1, y2 - 1, (x2 - x1) * (y2 - y1) from {_NEXT} n join inst s on s.sample_id = n.src_id left join (select sample_id, max(slot) as top from inst group by 1) m on m.sample_id = n.sample_id", "samp", "inst", "px")
+def dense_composite(c: Wide) -> DataFrame:
+    """Every sample under the masks of the next one of its batch, by the per-sample kernel: instances, ids, boxes and areas."""
+    placed = placement.cyclic(c.samples).where("src_pos is not null").select("sample_id", "batch_id", "src_pos").join(c.samples.select("batch_id", F.col("pos").alias("src_pos"), F.col("sample_id").alias("src_id")), ["batch_id", "src_pos"]).select("sample_id", "src_id")
+    out = dense.composed(dense.paired(td.wide_boxes(c.samples, c.instances), placed), load=with_mask)
+    i = out.select("sample_id", F.explode("instances").alias("i"))
+    return i.select("sample_id", "i.instance_id", "i.label", "i.pasted", *[F.col(f"i.{v}").cast("long").alias(v) for v in ("x1", "y1", "x2", "y2", "area")])
+
+
+_TH, _TW = 48, 64
+_SIZED = f"(select sample_id, mirror, cast(round_even(50 * k, 0) as bigint) as nh, cast(round_even(75 * k, 0) as bigint) as nw from (select sample_id, {u('mirror0')} < 0.5 as mirror, least({_TH} * s / 50, {_TW} * s / 75) as k from (select sample_id, 0.5::double + {u('resize0')} * 1.0::double as s from samp)))"
+_CUT = f"(select *, least({_TH}, nh) as ch, least({_TW}, nw) as cw, cast(floor({u('cropy0')} * (greatest(0, nh - {_TH}) + 1)) as bigint) as top, cast(floor({u('cropx0')} * (greatest(0, nw - {_TW}) + 1)) as bigint) as lft from {_SIZED})"
+
+
+def _taps(n: int, m: str, count: str, first: str, name: str) -> str:
+    """(sample_id, o, i, wt): normalised weights of the triangle along one axis."""
+    centre, wide = f"(({first} + o + 0.5::double) * ({n} / {m}::double))", f"greatest({n} / {m}::double, 1.0::double)"
+    raw = f"select sample_id, o, unnest(range(greatest(cast(floor({centre} - {wide} + 0.5::double) as bigint), 0), least(cast(floor({centre} + {wide} + 0.5::double) as bigint), {n}))) as i, {centre} as centre, {wide} as wide from (select *, unnest(range(0, {count})) as o from cut)"
+    return f"{name} as materialized (select sample_id, o, i, wt / sum(wt) over (partition by sample_id, o) as wt from (select sample_id, o, i, greatest(1 - abs(i + 0.5::double - centre) / wide, 0) as wt from ({raw})))"
+
+
+_JITTER = f""", cut as materialized {_CUT}, {_taps(50, 'nh', 'ch', 'top', 'wy')}, {_taps(75, 'nw', 'cw', 'lft', 'wx')},
+image as (select sample_id, 'image' as layer, sum((1 + (y * 3 + x) % 7) * (c + 1) * floor(v + 0.5::double + 1e-9::double)) as total from (select a.sample_id, a.o as y, b.o as x, c.c, sum(a.wt * b.wt * ((a.sample_id * 31 + a.i * 7 + (case when t.mirror then 74 - b.i else b.i end) * 13 + c.c * 29) % 256)) as v from wy a join wx b using (sample_id) join cut t using (sample_id) cross join (select unnest(range(0, 3)) as c) c group by 1, 2, 3, 4) group by 1),
+spot as materialized (select t.sample_id, y.y, x.x, cast(floor((t.top + y.y) * (50 / t.nh::double)) as bigint) as sy, case when mirror then 74 - least(74, cast(floor((t.lft + x.x) * (75 / t.nw::double)) as bigint)) else least(74, cast(floor((t.lft + x.x) * (75 / t.nw::double)) as bigint)) end as sx from cut t, (select unnest(range(0, {_TH})) as y) y, (select unnest(range(0, {_TW})) as x) x where y.y < ch and x.x < cw),
+got as (select s.sample_id, s.y, s.x, p.sem, p.pad from spot s join px p on p.sample_id = s.sample_id and p.y = least(49, s.sy) and p.x = s.sx)
+select sample_id, layer, round(total, 3)::double as total from image union all
+select sample_id, 'semantic', (sum((1 + (y * 3 + x) % 7) * coalesce(sem, 255)))::double from (select s.sample_id, y.y, x.x, g.sem from samp s, (select unnest(range(0, {_TH})) as y) y, (select unnest(range(0, {_TW})) as x) x left join got g on g.sample_id = s.sample_id and g.y = y.y and g.x = x.x) group by 1 union all
+select sample_id, 'padding', (sum((1 + (y * 3 + x) % 7) * coalesce(pad, true)::int))::double from (select s.sample_id, y.y, x.x, g.pad from samp s, (select unnest(range(0, {_TH})) as y) y, (select unnest(range(0, {_TW})) as x) x left join got g on g.sample_id = s.sample_id and g.y = y.y and g.x = x.x) group by 1"""
+
+
+@query(75, 50, _JITTER, "samp", "px")
+def jitter_layers(c: Wide) -> DataFrame:
+    """Large-scale jitter of whole samples to 48 by 64: images antialiased, labels nearest, what isn't filled as each layer says."""
+    out = resample.jittered(td.wide_boxes(c.samples, c.instances), (_TH, _TW), 0.5, 1.5, hflip=0.5, load=td.draw_layers)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                t = [(n, v) for n, v in layers.totals(r | {"paste": None}) if n in ("image", "semantic", "padding")]
+                yield pa.RecordBatch.from_arrays([pa.array([r["sample_id"]] * len(t), pa.int64()), pa.array([n for n, _ in t]), pa.array([v for _, v in t])], names=["sample_id", "layer", "total"])
+
+    return out.select("sample_id", "h", "w", *layers.LAYERS, *layers.BITS).mapInArrow(run, "sample_id long, layer string, total double").withColumn("total", F.round("total", 3))
+
+
+@query(75, 50, f"select s.sample_id, s.slot, s.label, min(t.x) as x1, min(t.y) as y1, max(t.x) as x2, max(t.y) as y2, count(*) as area from inst s join (select t.sample_id, y.y, x.x, least(49, cast(floor((t.top + y.y) * (50 / t.nh::double)) as bigint)) as sy, case when mirror then 74 - least(74, cast(floor((t.lft + x.x) * (75 / t.nw::double)) as bigint)) else least(74, cast(floor((t.lft + x.x) * (75 / t.nw::double)) as bigint)) end as sx from {_CUT} t, (select unnest(range(0, {_TH})) as y) y, (select unnest(range(0, {_TW})) as x) x where y.y < ch and x.x < cw) t on t.sample_id = s.sample_id and t.sy between s.y1 and s.y2 - 1 and t.sx between s.x1 and s.x2 - 1 group by 1, 2, 3 having count(*) >= 10", "samp", "inst")
+def jitter_instances(c: Wide) -> DataFrame:
+    """The instances after the same jitter: tight boxes and areas, specks left out."""
+    out = resample.jittered(td.wide_boxes(c.samples, c.instances), (_TH, _TW), 0.5, 1.5, hflip=0.5, load=td.draw_layers)
+    i = out.select("sample_id", F.explode("instances").alias("i"))
+    return i.select("sample_id", "i.slot", "i.label", *[F.col(f"i.{v}").cast("long").alias(v) for v in ("x1", "y1", "x2", "y2", "area")])
