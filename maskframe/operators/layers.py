@@ -37,7 +37,7 @@ def plane(raw: bytes, name: str, h: int, w: int) -> np.ndarray:
 
 
 def unpacked(raw: bytes, h: int, w: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=h * w).reshape(h, w).astype(bool)
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=h * w).reshape(h, w).view(bool)
 
 
 def packed(mask: np.ndarray) -> bytes:
@@ -86,19 +86,28 @@ class Map:
     def nearest(self, src: np.ndarray) -> np.ndarray:
         """Zero outside the source."""
         out = np.zeros((*src.shape[:-2], *self.size), src.dtype)
-        out[..., self.ys, self.xs] = src.take(self.ny - self.origin[0], axis=-2).take(self.nx - self.origin[1], axis=-1)
+        out[..., self.ys, self.xs] = src.take(self.ny - self.origin[0], axis=-2, mode="clip").take(self.nx - self.origin[1], axis=-1, mode="clip")
         return out
 
     def bilinear(self, src: np.ndarray, ys: slice = slice(None), xs: slice = slice(None)) -> np.ndarray:
         """Four taps, each zero outside the source, for a stretch of the target's rows and columns; along the columns first."""
-        out = src
-        for axis, at, n, first in ((-1, self.x[xs], self.shape[1], self.origin[1]), (-2, self.y[ys], self.shape[0], self.origin[0])):
+        at_y, at_x = self.y[ys], self.x[xs]
+        if not len(at_y) or not len(at_x):
+            return np.zeros((*src.shape[:-2], len(at_y), len(at_x)))
+        # Only source rows that some tap reaches.
+        top = min(max(int(np.floor(at_y.min())) - self.origin[0], 0), src.shape[-2] - 1)
+        end = max(top + 1, min(int(np.floor(at_y.max())) + 2 - self.origin[0], src.shape[-2]))
+        out = src[..., top:end, :]
+        for axis, at, n, first in ((-1, at_x, self.shape[1], self.origin[1]), (-2, at_y, self.shape[0], self.origin[0] + top)):
             low = np.floor(at).astype(int)
             f, total = at - low, None
             for tap, weight in ((low, 1 - f), (low + 1, f)):
                 weight = np.where((tap >= 0) & (tap < n), weight, 0.0)
-                part = np.take(out, np.clip(tap - first, 0, out.shape[axis] - 1), axis=axis) * (weight if axis == -1 else weight[:, None])
-                total = part if total is None else total + part
+                part = np.take(out, tap - first, axis=axis, mode="clip") * (weight if axis == -1 else weight[:, None])
+                if total is None:
+                    total = part
+                else:
+                    total += part
             out = total
         return out
 
@@ -155,10 +164,10 @@ def paste_one(t: dict, s: dict, stuff: frozenset[int], tau: float | None, mode:
                     out[name] = np.where(back, plane(t[name], name, h, w), out[name])
             inside &= ~back
             warped = {k: x & ~back for k, x in warped.items()}
-    one = lambda i, pasted, mask, before: {"slot": i["slot"], "label": i["label"], "instance_id": i["instance_id"], "pasted": pasted, "before": int(before), "after": int(mask.sum()), "mask": packed(mask)}
+    one = lambda i, pasted, mask, before: {"slot": i["slot"], "label": i["label"], "instance_id": i["instance_id"], "pasted": pasted, "before": int(before), "after": int(np.count_nonzero(mask)), "mask": packed(mask)}
     # What the depth test keeps back leaves the target's masks whole.
-    every = [one(i, False, masks[i["slot"]] & ~inside, masks[i["slot"]].sum()) for i in t["instances"] or []]
-    every += [one(i, True, warped[i["slot"]], warped[i["slot"]].sum()) for i in s["instances"] or [] if i["slot"] in warped and warped[i["slot"]].any()]
+    every = [one(i, False, masks[i["slot"]] & ~inside, np.count_nonzero(masks[i["slot"]])) for i in t["instances"] or []]
+    every += [one(i, True, warped[i["slot"]], np.count_nonzero(warped[i["slot"]])) for i in s["instances"] or [] if i["slot"] in warped and warped[i["slot"]].any()]
     row = {"sample_id": t["sample_id"], "h": h, "w": w, **flat(out), "paste": packed(inside), "instances": every}
     if audit:
         known = {}
@@ -234,17 +243,18 @@ def record(t: dict, src_id: int | None, union: bytes, warped: list[dict], known:
 def alone(t: dict, audit: bool = False) -> dict:
     """A target without a source, as it was."""
     h, w = t["h"], t["w"]
-    area = [int(unpacked(i["mask"], h, w).sum()) for i in t["instances"] or []]
+    area = [int(np.count_nonzero(unpacked(i["mask"], h, w))) for i in t["instances"] or []]
     none = packed(np.zeros((h, w), bool))
     row = {"sample_id": t["sample_id"], "h": h, "w": w, **{n: t[n] for n in (*LAYERS, *BITS)}, "paste": none, "instances": [i | {"pasted": False, "before": a, "after": a} for i, a in zip(t["instances"] or [], area)]}
     return row | ({"audit": record(t, None, none, [], {})} if audit else {})
 
 
-def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste"), sums: bool = True, audit: bool = False, levels: int = 5) -> DataFrame:
+def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | None = None, mode: str = "multiband", load: Callable[[dict], dict] | None = None, keep: tuple[str, ...] = (*LAYERS, *BITS, "paste"), sums: bool = True, audit: bool = False, levels: int = 5, masks: bool = True) -> DataFrame:
     """:data:`OUT` for every target among :data:`ROWS`; rows that are no targets only serve as sources.
 
     ``load`` fills in a row's layers and masks where its batch is composed, so that pixels are never shuffled: rows then hold
-    what it needs, a path or keys. Layers that aren't kept are composed but come out null; ``sums`` adds their :func:`totals`. A
+    what it needs, a path or keys. Layers that aren't kept are composed but come out null, as do masks without ``masks`` (their areas
+    stay); ``sums`` adds the layers' :func:`totals`. A
     row whose source is missing in its batch stays as it is. With ``audit``, rows also have what was there before (:data:`AUDIT`).
     """
     arrow = OUT_ARROW.append(pa.field("audit", AUDIT_ARROW)) if audit else OUT_ARROW
@@ -258,6 +268,8 @@ def pasted(rows: DataFrame, stuff: frozenset[int] = frozenset(), tau: float | No
         for r in out:
             r["totals"] = totals(r) if sums else None
             r.update(dict.fromkeys(n for n in (*LAYERS, *BITS, "paste") if n not in keep))
+            if not masks:
+                r["instances"] = [i | {"mask": None} for i in r["instances"]]
         return pa.Table.from_pylist(out, schema=arrow)
 
     if load is not None:

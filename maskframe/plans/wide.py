@@ -31,9 +31,9 @@ class Wide:
         self.placed, self.slots = placement.place(self.samples, self.instances, config or placement.Placement(k_range=(1, 5)))
         self.warped = warp.masks(self.slots, self.rows, h, w)
 
-    def layers(self, *keep: str, config: presets.Paste | None = None, sums: bool = True, audit: bool = False, **paste) -> DataFrame:
+    def layers(self, *keep: str, config: presets.Paste | None = None, sums: bool = True, audit: bool = False, masks: bool = True, **paste) -> DataFrame:
         config = config or presets.Paste(placement.Placement(k_range=(1, 5)), slots=24, **paste)
-        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep, sums=sums, audit=audit)
+        return pipeline.whole(td.wide_boxes(self.samples, self.instances), self.placed, self.slots, config, stuff=frozenset(range(td.THINGS, 20)), load=td.draw_layers, keep=keep, sums=sums, audit=audit, masks=masks)
 
 
 def tables(w: int, h: int, k: int = 5, paste: float = 1.0, things: int | None = None) -> dict[str, tuple[str, str]]:
@@ -179,7 +179,7 @@ def e2e_wide_masks(c: Wide) -> DataFrame:
 @query(512, 512, _MERGED.replace("from kept", "from ekept").replace("join free", "join efree"), "ekept", "pasted", "efree")
 def e2e_wide_layers(c: Wide) -> DataFrame:
     """The same paste of whole samples with all their layers, depth tested: one group a batch."""
-    out = c.layers(min_residual_area_frac=0.1, sums=False).select("sample_id", F.explode("instances").alias("i"))
+    out = c.layers(min_residual_area_frac=0.1, sums=False, masks=False).select("sample_id", F.explode("instances").alias("i"))
     return out.select("sample_id", "i.slot", "i.label", F.col("i.after").alias("area"))
 
 
