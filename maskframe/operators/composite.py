@@ -64,6 +64,31 @@ def kept_targets(areas: DataFrame, frac: float = 0.1) -> DataFrame:
     return areas.where(F.col("after") >= F.lit(frac) * F.col("before")) if frac > 0 else areas
 
 
+def drop_and_merge(rows: DataFrame, warped: DataFrame, frac: float, slots: int) -> DataFrame:
+    """(sample_id, slot, label, instance_id, y, k, bits): targets less what was pasted, those kept of :func:`kept_targets`, and the pastes
+    in the slots that :func:`merge_slots` gives them.
+
+    Both sides' words are dealt by sample once; union, areas, drop and merge are windows within that one exchange.
+    """
+    cols = ["sample_id", "slot", "label", "instance_id", "y", "k", "bits"]
+    slot = F.col("slot").cast("long").alias("slot")
+    side = lambda df, pasted: bits.keyed(df).withColumn("slot", slot).select(*cols, F.lit(pasted).alias("pasted"))
+    every = side(rows, False).unionByName(side(warped, True)).repartition("sample_id")
+    over = lambda *by: Window.partitionBy("sample_id", *by)
+    paste = F.bit_or(F.when(F.col("pasted"), F.col("bits"))).over(over("y", "k"))
+    cut = F.when(F.col("pasted"), F.col("bits")).otherwise(bits.without(F.col("bits"), F.coalesce(paste, F.lit(0).cast("long"))))
+    every = every.withColumn("left", cut)
+    if frac > 0:
+        of = over("pasted", "slot")
+        every = every.withColumn("before", F.sum(F.bit_count("bits")).over(of)).withColumn("after", F.sum(F.bit_count("left")).over(of)).where(F.col("pasted") | (F.col("after") >= F.lit(frac) * F.col("before")))
+    held = F.collect_set(F.when(~F.col("pasted"), F.col("slot"))).over(over())
+    pastes = F.array_sort(F.collect_set(F.when(F.col("pasted"), F.col("slot"))).over(over()))
+    every = every.where("not pasted or bits <> 0").withColumn("free", F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")), held)).withColumn("pastes", pastes)
+    # The n-th paste goes to the n-th free slot; surplus ones find none.
+    to = F.when(F.col("pasted"), F.get("free", F.array_position("pastes", F.col("slot")).cast("int") - 1)).otherwise(F.col("slot"))
+    return every.select("sample_id", to.alias("slot"), "label", "instance_id", "y", "k", F.col("left").alias("bits")).where("slot is not null and bits <> 0")
+
+
 def merge_slots(kept: DataFrame, pasted: DataFrame, slots: int) -> DataFrame:
     """(sample_id, slot, src_slot): the n-th paste goes to the n-th slot that is free after the drop; surplus pastes go.
 

@@ -42,13 +42,8 @@ def augment(samp: DataFrame, inst: DataFrame, rows: DataFrame, config: Paste, h:
             restored = bits.keyed(semantic).join(revert, bits.LINE).select(*bits.LINE, "class_id", F.col("bits").bitwiseAND(F.col("revert")).alias("bits"))
             after = back(after, "bits").unionByName(restored.where("bits <> 0")).groupBy(*bits.LINE, "class_id").agg(F.bit_or("bits").alias("bits"))
             warped, paste = back(warped, "bits"), back(paste, "paste")
-    areas = composite.survivor_area(rows, paste)
-    kept = composite.kept_targets(areas, config.min_residual_area_frac)
-    moves = composite.merge_slots(kept, warped.select("sample_id", "slot").distinct(), config.slots)
-    old = composite.survivors(rows.withColumn("instance_id", F.col("slot")), paste).join(kept.select("sample_id", "slot"), ["sample_id", "slot"], "left_semi")
-    new = warped.withColumnRenamed("slot", "src_slot").join(moves, ["sample_id", "src_slot"])
-    cols = ["sample_id", "slot", "label", "instance_id", "y", "k", "bits"]
-    return Outcome(old.select(*cols).unionByName(new.select(*cols)).where("bits <> 0"), paste, after, slots)
+    done = composite.drop_and_merge(rows.withColumn("instance_id", F.col("slot")), warped, config.min_residual_area_frac, config.slots)
+    return Outcome(done, paste, after, slots)
 
 
 def eligible(config: Paste) -> Column | None:
