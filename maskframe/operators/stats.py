@@ -65,3 +65,11 @@ def grid(**axes: list) -> list[dict]:
     from itertools import product
 
     return [dict(zip(axes, values)) for values in product(*axes.values())]
+
+
+def sweep(runs: DataFrame, value: str, **axes: list) -> DataFrame:
+    """(axes, n, median): every cell of a sweep with the runs that were measured in it; cells without any have none."""
+    cells = runs.sparkSession.createDataFrame([tuple(g.values()) for g in grid(**axes)], ", ".join(f"{a} int" for a in axes))
+    found = runs.groupBy(*axes).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+    # Runs outside of the grid are none of its cells'; both sides have a row a cell at most.
+    return cells.join(found, list(axes), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import rng
 from ..functions import rle
-from ..sources import coco, images, shards, storage
+from ..operators import evaluate
+from ..sources import coco, export, images, shards, storage
 from ..sources import testdata as td
+from . import pipeline, presets
 from .oracle import u
-from .wide import _CROP, Wide, _crops, query
+from .wide import _CROP, Wide, _crops, preset, query
 
 W, H, CUT = 75, 50, 12
 
@@ -139,3 +141,41 @@ def segmentation_files(c: Wide) -> DataFrame:
     runs = F.flatten(F.transform(F.sequence(F.col("x1"), F.col("x2") - 1), lambda x: F.array(F.when(x == F.col("x1"), x * c.h + F.col("y1")).otherwise(c.h - size), size)))
     short = rle.compressed(c.instances.select("sample_id", "slot", runs.alias("counts")))
     return rle.areas(rle.uncompressed(short)).select("sample_id", "slot", "area")
+
+
+@query(W, H, f"select sample_id, semantic, panoptic, sum(area)::bigint as area from (select t.sample_id, t.label::bigint as semantic, case when t.label < 14 then t.slot + 1 else 0 end as panoptic, 1 as area from top t join samp using (sample_id)) group by 1, 2, 3 union all select sample_id, 255, 0, {W * H} - coalesce(m, 0) from samp left join (select sample_id, count(*) as m from top group by 1) using (sample_id) where {W * H} > coalesce(m, 0)", "samp", "top")
+def model_format(c: Wide) -> DataFrame:
+    """Samples in the form that models take, and layers made from it again: areas of every class and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                d = td.draw_layers(r)
+                yield pa.RecordBatch.from_pylist([{k: d[k] for k in _SAMPLE.names}], schema=_SAMPLE)
+
+    whole = td.wide_boxes(c.samples, c.instances).mapInArrow(run, "sample_id long, h int, w int, image binary, panoptic binary, instances array<struct<slot:long,label:long,instance_id:long,mask:binary>>")
+    back = export.from_model(export.to_model(whole), frozenset(range(td.THINGS)))
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, sem, pan in zip(*(b.column(n).to_pylist() for n in ("sample_id", "semantic", "panoptic"))):
+                pair, n = np.unique(np.frombuffer(sem, "<i2").astype(np.int64) << 32 | np.frombuffer(pan, "<i4").astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int64()), pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["sample_id", "semantic", "panoptic", "area"])
+
+    return back.select("sample_id", "semantic", "panoptic").mapInArrow(areas, "sample_id long, semantic long, panoptic long, area long")
+
+
+_SAMPLE = pa.schema([("sample_id", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), ("image", pa.binary()), ("panoptic", pa.binary()), ("instances", pa.list_(pa.struct([("slot", pa.int64()), ("label", pa.int64()), ("instance_id", pa.int64()), ("mask", pa.binary())])))])
+
+
+@query(W, H, f"select sample_id, 'before' as side, sum((sample_id * 31 + y * 7 + x * 13 + ch * 29) % 256)::bigint as total from samp cross join (select unnest(range(0, {H})) as y) cross join (select unnest(range(0, {W})) as x) cross join (select unnest(range(0, 3)) as ch) group by 1", "samp")
+def gallery(c: Wide) -> DataFrame:
+    """A gallery of the panoptic preset's outcomes, written once; its pictures from before, decoded from their files."""
+    p = presets.get("coco-panoptic")
+    out = preset(c, p, sums=False, audit=True, keep=("image", "semantic", "panoptic", "depth", "normals", "depth_ok", "paste"))
+    path = storage.shared(c.spark, "gallery")
+    out.write.parquet(f"{path}/outcomes")  # composed once for pictures, hashes and reports
+    out = c.spark.read.parquet(f"{path}/outcomes")
+    export.gallery(out, evaluate.evaluated(out, pipeline.rules(p)), path)
+    back = images.decoded(images.scan(c.spark, images.folder(f"{path}/pictures"))).where(F.col("name").endswith("_before.png"))
+    return byte_sums(back.withColumnRenamed("image", "total"), "total").select(F.regexp_extract("name", r"^(\d+)_", 1).cast("long").alias("sample_id"), F.lit("before").alias("side"), "total")

@@ -623,9 +623,12 @@ def throughput_rank(c: Catalogue) -> DataFrame:
     return stats.ranked(stats.throughput(m), "click").select("impl", r6("images_s", "images_s"), r6("batches_s", "batches_s"), r6("pasted_s", "pasted_s"), "rank", r6("speedup", "speedup"))
 
 
-@query("select b.batch, s.size, k.k_hi from (select unnest([2, 8, 32]) as batch) b cross join (select unnest([256, 512]) as size) s cross join (select unnest([5, 20]) as k_hi) k")
+@query("select g.batch, g.size, g.k_hi, count(r.value) as n, round(quantile_cont(r.value, 0.5), 6) as median from (select b.batch, s.size, k.k_hi from (select unnest([2, 8, 32]) as batch) b cross join (select unnest([256, 512, 1024]) as size) s cross join (select unnest([5, 20]) as k_hi) k) g left join (select [2, 8, 32][user_id % 3 + 1] as batch, [256, 512][event_id % 2 + 1] as size, case when event_type = 'click' then 5 else 20 end as k_hi, value from events) r using (batch, size, k_hi) group by 1, 2, 3")
 def sweep_grid(c: Catalogue) -> DataFrame:
-    return c.spark.createDataFrame([tuple(g.values()) for g in stats.grid(batch=[2, 8, 32], size=[256, 512], k_hi=[5, 20])], "batch int, size int, k_hi int")
+    """Measured values by the cells of a sweep; one size was never run."""
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    runs = c.table("events").select(pick([2, 8, 32], F.col("user_id") % 3).alias("batch"), pick([256, 512], F.col("event_id") % 2).alias("size"), F.when(F.col("event_type") == "click", 5).otherwise(20).alias("k_hi"), "value")
+    return stats.sweep(runs, "value", batch=[2, 8, 32], size=[256, 512, 1024], k_hi=[5, 20]).withColumn("median", F.round("median", 6))
 
 
 # ---- sources, exchange and whole pipelines
@@ -790,11 +793,11 @@ def binary_guard(c: Catalogue) -> DataFrame:
     return export.forbidden_files(p, [".pt", ".bin"], ["data/1"]).select(F.col("sample_id").alias("path"))
 
 
-@query(f"select k as sample_id, i as slot, i + 1 as label, i * 32 + cast(floor((cast('0x' || substr(sha256('x' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 17) as bigint) as x1, cast(floor((cast('0x' || substr(sha256('y' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 49) as bigint) as y1 from (select unnest(range(0, 64)) as k), (select unnest(range(0, 2)) as i)")
+@query(f"select k as sample_id, i as slot, i + 1 as label, i * 32 + cast(floor((cast('0x' || substr(sha256('x' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 17) as bigint) as x1, cast(floor((cast('0x' || substr(sha256('y' || i || '|' || (k + 5)), 1, 13) as bigint) / 4503599627370496::double) * 49) as bigint) as y1 from (select o_orderkey as k from orders), (select unnest(range(0, 2)) as i)")
 def synthetic_squares(c: Catalogue) -> DataFrame:
     from ..sources import synthetic
 
-    return synthetic.make(c.spark, 5, 64)[1].select("sample_id", "slot", "label", "x1", "y1")
+    return synthetic.squares(c.ids, 5)[1].select("sample_id", "slot", "label", "x1", "y1")
 
 
 @query(sql("select sample_id, slot, label, sum(bit_count(bits))::bigint as area from merged group by 1, 2, 3", "merged"))

@@ -14,9 +14,14 @@ def make(spark: SparkSession, seed: int, count: int, size: int = 64) -> tuple[Da
     """(samples, instances): one square in each half, labels 1 and 2; boxes end after the last pixel."""
     if count < 1:
         raise ValueError("at least one sample")
+    return squares(spark.range(count).select(F.col("id").alias("sample_id")), seed, size)
+
+
+def squares(ids: DataFrame, seed: int, size: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The same for every ``sample_id`` of a table."""
     if size < 2 * SIDE:
         raise ValueError(f"a canvas of at least {2 * SIDE} pixels")
-    s = spark.range(count).select(F.col("id").alias("sample_id"), F.lit(size).alias("h"), F.lit(size).alias("w"))
+    s = ids.select("sample_id", F.lit(size).alias("h"), F.lit(size).alias("w"))
     half = size // 2
     draw = lambda name, lo, hi: rng.integer(name, lo, hi, F.col("sample_id") + seed)
     one = [F.struct(F.lit(i).cast("long").alias("slot"), F.lit(i + 1).cast("long").alias("label"), draw(f"x{i}", i * half, i * half + half - SIDE).alias("x1"), draw(f"y{i}", 0, size - SIDE).alias("y1")) for i in range(2)]

@@ -148,3 +148,54 @@ def test_alpha_becomes_the_mask(small):
     want = {-1 - r["idx"]: layers.packed(np.frombuffer(bytes(r["alpha"]), np.uint8) > 0) for r in crops.collect()}
     for r in pipeline.bank_sources(targets, crops, 8, 8).collect():
         assert bytes(r["instances"][0]["mask"]) == want[r["sample_id"]]
+
+
+# ---- exchange with models, galleries
+
+
+def test_model_format_round_trip(spark):
+    from maskframe.sources import export
+
+    rows = [sample(1, boxes=[(0, 0, 8, 8), (4, 4, 12, 12), (0, 0, 0, 0)], panoptic=b"x"), sample(2, panoptic=b"x")]
+    schema = "sample_id long, h int, w int, image binary, panoptic binary, instances array<struct<slot:long,label:long,instance_id:long,mask:binary>>"
+    cols = ["sample_id", "h", "w", "image", "panoptic"]
+    df = spark.createDataFrame([tuple(r[c] for c in cols) + ([tuple(i[k] for k in ("slot", "label", "instance_id", "mask")) for i in reversed(r["instances"])],) for r in rows], schema)
+    m = {r["sample_id"]: r for r in export.to_model(df).collect()}
+    assert m[1]["class_labels"] == [1, 2, 3] and [bytes(x) for x in m[1]["mask_labels"]] == [i["mask"] for i in rows[0]["instances"]]
+    assert set(np.frombuffer(bytes(m[2]["pixel_values"]), "<f4")) == {2.0} and m[2]["class_labels"] == []
+    back = {r["sample_id"]: r for r in export.from_model(export.to_model(df), frozenset({2})).collect()}
+    sem, pan = (np.frombuffer(bytes(back[1][n]), k).reshape(12, 16) for n, k in (("semantic", "<i2"), ("panoptic", "<i4")))
+    assert sem[0, 0] == 1 and sem[5, 5] == 2 and sem[11, 15] == 255 and pan[0, 0] == 0 and pan[5, 5] == 2
+    # The empty mask keeps its number.
+    assert [i["instance_id"] for i in back[1]["instances"]] == [1, 2, 3] and bytes(back[1]["image"]) == rows[0]["image"]
+    with pytest.raises(Exception, match="panoptic"):
+        export.to_model(df.withColumn("panoptic", F.lit(None).cast("binary"))).collect()
+    with pytest.raises(Exception, match="classes"):
+        export.from_model(export.to_model(df).withColumn("class_labels", F.array(F.lit(1).cast("long"))), frozenset()).collect()
+
+
+def test_gallery_is_written_once_and_whole(small, tmp_path):
+    import hashlib
+    import json
+
+    from maskframe.operators import evaluate
+    from maskframe.sources import export, images
+
+    p = presets.get("coco-panoptic")
+    out = wide.preset(small, p, sums=False, audit=True).cache()
+    m = export.gallery(out, evaluate.evaluated(out, pipeline.rules(p)), f"file://{tmp_path}/g").first()
+    n = small.samples.count()
+    assert m["n"] == n and images.manifest(f"file://{tmp_path}/g/pictures")["pictures"] == 2 * n
+    shown = {r["name"]: hashlib.sha256(bytes(r["image"])).hexdigest() for r in images.decoded(images.scan(small.spark, images.folder(f"file://{tmp_path}/g/pictures"))).collect()}
+    listed = {r["sample_id"]: r["sha256"] for r in small.spark.read.json(f"file://{tmp_path}/g/dataset").collect()}
+    assert {k: shown[f"{k:08d}_before.png"] for k in listed} == listed and len(listed) == n
+    after = {r["sample_id"]: hashlib.sha256(bytes(r["image"])).hexdigest() for r in out.collect()}
+    assert all(shown[f"{k:08d}_after.png"] == v for k, v in after.items())
+    assert json.loads(small.spark.read.text(f"file://{tmp_path}/g/run").first()[0])["n"] == n
+
+
+def test_sweeps_have_every_cell(spark):
+    from maskframe.operators import stats
+
+    runs = spark.createDataFrame([(1, 5, 2.0), (1, 5, 4.0), (9, 5, 1.0)], "a int, b int, v double")
+    assert sorted(map(tuple, stats.sweep(runs, "v", a=[1, 2], b=[5]).collect())) == [(1, 5, 2, 3.0), (2, 5, 0, None)]
