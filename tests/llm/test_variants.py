@@ -26,7 +26,20 @@ def near_words(word, have):
     return (out & have) - {word}
 
 
-def plain(docs):
+def all_near(have):
+    """The same for all words of a large table: words meet by what is left without a code point, and are compared."""
+    left = {}
+    for w in have:
+        for rest in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
+            left.setdefault(rest, []).append(w)
+    near = {w: set() for w in have}
+    for group in left.values():
+        for v in group:
+            near[v].update(w for w in group if w != v and one_edit(v, w))
+    return near
+
+
+def plain(docs, many=False):
     """The contract without hashes or keys."""
     n = Counter()
     for key, text in docs:
@@ -37,7 +50,7 @@ def plain(docs):
                 run = run[: h % len(run)] + run[h % len(run) + 1 :]
             n[run] += 1
     n = {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
-    near = {w: near_words(w, set(n)) if len(w) < 1000 else {v for v in n if len(v) >= 1000 and v != w and one_edit(v, w)} for w in n}
+    near = all_near(set(n)) if many else {w: near_words(w, set(n)) if len(w) < 1000 else {v for v in n if len(v) >= 1000 and v != w and one_edit(v, w)} for w in n}
     best = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
     form = {w: b if b is not None and n[b] >= 10 * n[w] else None for w, b in best.items()}
     out = []
@@ -82,6 +95,11 @@ def test_against_every_edit_tried(spark, clash):
     assert any(w[1] for w in want) and any(w[2] not in (w[0], w[1]) for w in want) and max(w[4] for w in want) > 10
 
 
+def test_both_plain_ways_agree():
+    have = {w for _, t, *_ in crowd() for w in t.rstrip(", ").split()}
+    assert all_near(have) == {w: near_words(w, have) for w in have}
+
+
 def test_many_small_buckets_and_windows(spark, monkeypatch):
     monkeypatch.setattr(variants, "BUCKET_KEYS", 64)
     monkeypatch.setattr(variants, "WINDOW", 50)
@@ -126,4 +144,4 @@ def test_empty_tables(spark):
 
 def test_query_over_the_whole_table(spark):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    assert got(queries.op12_spelling_variants(spark, SF).select("word", "form", "root", "n", "n_near", "form_n")) == plain(docs)
+    assert got(queries.op12_spelling_variants(spark, SF).select("word", "form", "root", "n", "n_near", "form_n")) == plain(docs, many=True)
