@@ -8,13 +8,16 @@ the tree grows with the corpus: no share, rank or number bounds it.
 
 The tree is never gathered. Texts are read once into chunk files in the shared folder. For each depth a chunk sends the distinct
 (context, next word) pairs that it needs, with its own training counts, to buckets of the contexts' hashes; a bucket merges the
-counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. A context met more
+counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. The answers of a depth are a
+table in the shared folder until the chunks have laid them beside their files, so that only the newest ones ever travel. A context met more
 than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
 contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16 or 32).
 """
 
 from __future__ import annotations
 
+import gc
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, bytes_of, cut, held_out, shared_dir, slices
@@ -76,6 +79,7 @@ def unpacked(raw: bytes) -> list[np.ndarray]:
 
 
 def file_system(folder: str):
+    """The file system of a folder, and its path there."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -273,6 +277,25 @@ def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[l
 # ---- exchanges
 
 
+def laid(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(bucket, answer) of a file beside a chunk."""
+    at = 0
+    while at < len(raw):
+        b, n = struct.unpack_from("<qq", raw, at)
+        yield b, raw[at + 16 : at + 16 + n]
+        at += 16 + n
+
+
+def let_go(spark: SparkSession, table: str | None) -> None:
+    """Deletes a table that nothing reads any more, and has the driver collect what nothing refers to, upon which Spark removes the
+    files of finished exchanges. Disk is freed earlier by it, nothing else depends on it."""
+    if table is not None:
+        system, path = file_system(table)
+        system.delete_dir(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """One row a document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -289,33 +312,37 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     hot = max(hot, int(tokens) // HOT_ROWS)
     facts = {"tokens": int(tokens), "train_docs": int(train_docs), "types": 0}
     spread = spark.sparkContext.broadcast
-    answer_schema = "chunk long, depth int, bucket int, payload binary"
-    replies: list[DataFrame] = []
+    answer_schema = "chunk long, bucket int, payload binary"
+    newest: DataFrame | None = None
     kept_hot: list = []
 
     def loaded(path: str, right: pa.Table | None, upto: int, facts: dict, tables: list) -> Chunk:
-        """A chunk with the answers of the depths before ``upto`` taken in."""
+        """A chunk with the answers of the depths before ``upto`` taken in: the newest as they came, which are laid beside the chunk
+        (the same bytes whenever a task is repeated), the others from where they lie."""
         system, _ = file_system(folder)
         with system.open_input_file(path) as f:
             c = Chunk(f.read(), **facts)
-        by: dict = {}
-        for d, b, p in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "payload"))) if right is not None else ():
-            by.setdefault(d, {})[b] = unpacked(p)
         for d in range(upto):
-            c.told(d, buckets, hot, by.get(d, {}), tables[d].value if d else {})
+            if d == upto - 1:
+                came = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist()))
+                if upto <= depth:
+                    part = f"{path}-{d}.{uuid.uuid4().hex[:8]}"
+                    with system.open_output_stream(part) as f:
+                        f.write(b"".join(struct.pack("<qq", b, len(p)) + p for b, p in came))
+                    system.move(part, f"{path}-{d}")
+            else:
+                with system.open_input_file(f"{path}-{d}") as f:
+                    came = list(laid(f.read()))
+            c.told(d, buckets, hot, {b: unpacked(p) for b, p in came}, tables[d].value if d else {})
         return c
 
     def with_replies(f, schema: str) -> DataFrame:
-        if not replies:
+        if newest is None:
             return chunks.select("chunk", "path").repartition(max(1, chunks.count()), "chunk").mapInArrow(lambda it: (x for b in it for p in b.column("path").to_pylist() for x in f(p, None, b).to_batches()), schema)
-        every = replies[0]
-        for r in replies[1:]:
-            every = every.unionByName(r)
-
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
             return f(left.column("path")[0].as_py(), right, left)
 
-        return chunks.select("chunk", "path").groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(one, schema)
+        return chunks.select("chunk", "path").groupBy("chunk").cogroup(newest.groupBy("chunk")).applyInArrow(one, schema)
 
     def asking(d: int, now: dict, tables: list):
         def ask(path: str, right: pa.Table | None, left) -> pa.Table:
@@ -332,13 +359,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             bucket = t.column("bucket")[0].as_py()
             out, told = merged(t.column("payload").to_pylist(), d, bucket >= buckets, hot)
             n, m = len(out), len(told)
-            return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), *[None] * m], pa.int64()), "depth": pa.array([d] * (n + m), pa.int32()), "bucket": pa.array([bucket] * (n + m), pa.int32()), "payload": pa.array([*out, *[None] * m], pa.binary()), "ctx": pa.array([None] * n + [x[0] for x in told], pa.int64()), "gain": pa.array([None] * n + [x[1] for x in told], pa.float64()), "kinds": pa.array([None] * n + [x[2] for x in told], pa.int64())})
+            return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), *[None] * m], pa.int64()), "bucket": pa.array([bucket] * (n + m), pa.int32()), "payload": pa.array([*out, *[None] * m], pa.binary()), "ctx": pa.array([None] * n + [x[0] for x in told], pa.int64()), "gain": pa.array([None] * n + [x[1] for x in told], pa.float64()), "kinds": pa.array([None] * n + [x[2] for x in told], pa.int64())})
 
         return answer
 
     for d in range(depth + 1):
         asked = with_replies(asking(d, dict(facts), list(kept_hot)), "chunk long, bucket int, payload binary")
-        got = cut(asked.groupBy("bucket").applyInArrow(answering(d), answer_schema + ", ctx long, gain double, kinds long"))
+        at = f"{folder}/answers-{d}"
+        asked.groupBy("bucket").applyInArrow(answering(d), answer_schema + ", ctx long, gain double, kinds long").write.parquet(at)
+        got = spark.read.parquet(at)
         sums = got.where("chunk is null").groupBy("ctx").agg(F.sum("gain").alias("gain"), F.sum("kinds").alias("kinds"))
         if d == 0:
             facts["types"] = int(sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
@@ -346,7 +375,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         else:
             # At most HOT_ROWS contexts are hot, 16 bytes each.
             kept_hot.append(spread({r["ctx"]: r["kinds"] for r in sums.where(F.col("gain") > MARGIN).select("ctx", "kinds").collect()}))
-        replies.append(got.where("chunk is not null").select("chunk", "depth", "bucket", "payload"))
+        newest = got.where("chunk is not null").select("chunk", "bucket", "payload")
+        # Every chunk has the answers before these by now, and the exchanges of this depth are done with.
+        del asked, got, sums
+        let_go(spark, f"{folder}/answers-{d - 1}" if d else None)
 
     now, tables = dict(facts), list(kept_hot)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
