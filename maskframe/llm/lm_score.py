@@ -11,7 +11,7 @@ The tree is never gathered. Texts are read once into chunk files in the shared f
 counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. The answers of a depth are a
 table in the shared folder until the chunks have laid them beside their files, so that only the newest ones ever travel. A context met more
 than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
-contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16 or 32).
+contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16, 24 or 32).
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ DEPTH, DISCOUNT, MARGIN, SUPPORT = 3, 0.75, 1.0, 2
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: A context met more often than this is dealt over several buckets; there are at most ``HOT_ROWS`` such contexts a depth.
 HOT, HOT_ROWS = 1 << 18, 1 << 20
-#: Contexts met up to this often tell their next words apart by 16 bits, others by 32.
-NARROW = 256
+#: Contexts met up to so often tell their next words apart by 16 and by 24 bits, others by 32: half a collision is to be expected at most.
+NARROW, MIDDLE = 256, 4096
 _U = np.uint64
 _P, _Q, _START = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_48, _32 = _U((1 << 48) - 1), _U((1 << 32) - 1)
+_48, _32, _24 = _U((1 << 48) - 1), _U((1 << 32) - 1), _U((1 << 24) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,8 +98,12 @@ def chunked(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
         def closed() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
             ends = np.array([len(s) for s in texts], np.int64)
-            out = np.array(held, bool)
-            blob = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), out, ends, np.concatenate(texts), words)
+            out, index = np.array(held, bool), np.concatenate(texts)
+            # Frequent words get small numbers, whose upper bytes take no room.
+            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            blob = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), out, ends, rank[index], words[order])
             path = f"{base}/chunk-{chunk:016d}-{uuid.uuid4().hex[:12]}"
             system.create_dir(base, recursive=True)
             with system.open_output_stream(path) as f:
@@ -145,7 +149,7 @@ class Request:
             starts = self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, z)]
             low = np.clip(np.rint(self.logp[a:z] * -8), 0, 255).astype(np.uint8)
             runs, gram, narrow = np.diff(np.r_[starts, z]).astype(np.uint32), self.gram[a:z], self.whole[a:z] <= NARROW
-            arrays = [np.diff(self.ctx[starts], prepend=_U(0)), runs, np.packbits(self.whole[starts] <= NARROW), gram[narrow].astype(np.uint16), (gram[~narrow] & _32).astype(np.uint32), self.count[a:z], low]
+            arrays = [np.diff(self.ctx[starts], prepend=_U(0)), runs, np.packbits(self.whole[starts] <= NARROW), gram[narrow].astype(np.uint16), (gram[~narrow] & np.where(self.whole[a:z][~narrow] <= MIDDLE, _24, _32)).astype(np.uint32), self.count[a:z], low]
             yield bucket, packed(*arrays, *([self.whole[starts]] if bucket >= buckets else []))
 
 
