@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import rng
 from ..functions import rle
 from ..operators import evaluate
-from ..sources import coco, export, images, shards, storage
+from ..sources import build, coco, export, images, shards, storage
 from ..sources import testdata as td
 from . import pipeline, presets
 from .oracle import u
@@ -97,17 +97,34 @@ def panoptic_scan(c: Wide) -> DataFrame:
 _TAKE = {a: f"least({CUT}, {a}2 - {a}1)" for a in "xy"}
 
 
-@query(W, H, f"select i.sample_id * 100 + i.slot as ann_id, i.label::bigint as class_id, sum((i.sample_id * 31 + (y1 + (y2 - y1 - {_TAKE['y']}) // 2 + dy) * 7 + (x1 + (x2 - x1 - {_TAKE['x']}) // 2 + dx) * 13 + ch * 29) % 256)::bigint as image, count(distinct dy * {CUT} + dx) as alpha from inst i join samp using (sample_id) cross join (select unnest(range(0, {CUT})) as dy) cross join (select unnest(range(0, {CUT})) as dx) cross join (select unnest(range(0, 3)) as ch) where dy < {_TAKE['y']} and dx < {_TAKE['x']} group by 1, 2", "inst", "samp")
+_CROPS = f"select i.sample_id * 100 + i.slot as ann_id, i.label::bigint as class_id, sum((i.sample_id * 31 + (y1 + (y2 - y1 - {_TAKE['y']}) // 2 + dy) * 7 + (x1 + (x2 - x1 - {_TAKE['x']}) // 2 + dx) * 13 + ch * 29) % 256)::bigint as image, count(distinct dy * {CUT} + dx) as alpha from inst i join samp using (sample_id) cross join (select unnest(range(0, {CUT})) as dy) cross join (select unnest(range(0, {CUT})) as dx) cross join (select unnest(range(0, 3)) as ch) where dy < {_TAKE['y']} and dx < {_TAKE['x']} group by 1, 2"
+
+
+def _annotated(c: Wide) -> tuple[DataFrame, DataFrame]:
+    """Samples and their boxes in the form of annotation files."""
+    ims = c.samples.select(F.col("sample_id").alias("id"), F.format_string("%d.png", "sample_id").alias("file_name"), F.col("h").alias("height"), F.col("w").alias("width"))
+    size = lambda a: (F.col(f"{a}2") - F.col(f"{a}1")).cast("double")
+    return ims, c.instances.select((F.col("sample_id") * 100 + F.col("slot")).alias("id"), F.col("sample_id").alias("image_id"), F.col("label").alias("category_id"), F.array(F.col("x1").cast("double"), F.col("y1").cast("double"), size("x"), size("y")).alias("bbox"), F.lit(0).alias("iscrowd"), F.to_json(F.array(F.array(*[F.col(v) for v in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")]))).alias("segmentation"))
+
+
+@query(W, H, _CROPS, "inst", "samp")
 def bank_crops_cut(c: Wide) -> DataFrame:
     """A bank's crops cut from the files of their pictures: sums of their pixels and of their masks."""
     where = on_disk(c, photo)
-    ims = c.samples.select(F.col("sample_id").alias("id"), F.format_string("%d.png", "sample_id").alias("file_name"), F.col("h").alias("height"), F.col("w").alias("width"))
-    size = lambda a: (F.col(f"{a}2") - F.col(f"{a}1")).cast("double")
-    ann = c.instances.select((F.col("sample_id") * 100 + F.col("slot")).alias("id"), F.col("sample_id").alias("image_id"), F.col("label").alias("category_id"), F.array(F.col("x1").cast("double"), F.col("y1").cast("double"), size("x"), size("y")).alias("bbox"), F.lit(0).alias("iscrowd"), F.to_json(F.array(F.array(*[F.col(v) for v in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")]))).alias("segmentation"))
+    ims, ann = _annotated(c)
     plan = coco.crop_plan(ims, ann, (CUT, CUT), 1).join(ann.select(F.col("id").alias("ann_id"), "segmentation"), "ann_id").withColumn("name", F.format_string("%d.png", "image_id"))
     return byte_sums(images.crops(images.scan(c.spark, where), plan, (CUT, CUT)), "image", "alpha")
 
 
+@query(W, H, f"select row_number() over (order by ann_id) - 1 as idx, class_id, image, alpha from ({_CROPS})", "inst", "samp")
+def bank_built(c: Wide) -> DataFrame:
+    """A bank built from pictures and annotations, and read back from its tar shards."""
+    ims, ann = _annotated(c)
+    out = storage.shared(c.spark, "built")
+    build.build(ims, ann, on_disk(c, photo), out, (CUT, CUT), 20, 1, per_shard=256)
+    return byte_sums(shards.read(c.spark, out).select("idx", "class_id", "image", "alpha"), "image", "alpha")
+
+
 _SUMS = f"list_sum(list_transform(range(0, {3 * _CROP * _CROP}), lambda i: (vec_id * 5 + i * 3) % 256))::bigint as image, (255 * len(list_filter(range(0, {_CROP * _CROP}), lambda i: (vec_id + i) % 4 <> 0)))::bigint as alpha"
 
 

@@ -101,16 +101,58 @@ def taxonomy(spark):
     return spark.createDataFrame([(i, "thing") for i in THINGS] + [(i, "stuff") for i in STUFF], "class_id long, kind string")
 
 
-_PRESETS: dict[str, Paste] = {}
+@dataclass(frozen=True)
+class SignOff:
+    """What a local run of a preset's checks found: engine version, seed, samples, day, checks that ran and that passed everywhere."""
+
+    version: str
+    sample_count: int
+    iso_date: str
+    dispatched: int
+    passed: int
+    seed: int = 0xC0FFEE
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.passed <= self.dispatched:
+            raise ValueError("no more checks can pass than ran")
+
+
+@dataclass(frozen=True)
+class Preset:
+    """A named configuration, the layers it expects, and who vouches for it."""
+
+    name: str
+    description: str
+    paste: Paste
+    layers: tuple[str, ...]
+    sign_off: SignOff | None = None
 
 
-def register(name: str, config: Paste) -> None:
+def signed(preset: Preset, reports, version: str, iso_date: str, seed: int = 0xC0FFEE) -> Preset:
+    """The preset with the sign-off that its reports (:data:`evaluate.REPORTS`) give; one row a check reaches the driver."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    per = reports.groupBy("name").agg(F.bool_and("ok").alias("ok")).collect()
+    samples = reports.agg(F.count_distinct("sample_id")).first()[0]
+    return replace(preset, sign_off=SignOff(version, samples, iso_date, len(per), sum(r["ok"] for r in per), seed))
+
+
+_PRESETS: dict[str, Preset] = {}
+
+
+def register(name: str, config: Paste, description: str = "", layers: tuple[str, ...] = ("image", "instance")) -> None:
     if name in _PRESETS:
         raise ValueError(f"preset {name!r} is there already")
-    _PRESETS[name] = config
+    _PRESETS[name] = Preset(name, description, config, layers)
 
 
 def get(name: str) -> Paste:
+    return _PRESETS[name].paste
+
+
+def described(name: str) -> Preset:
     return _PRESETS[name]
 
 
@@ -118,5 +160,5 @@ def names() -> list[str]:
     return sorted(_PRESETS)
 
 
-register("coco-instance", Paste(Placement((0.5, 2.0), 0.5, 1.0, (1, 32)), min_residual_area_frac=0.1))
-register("coco-panoptic", Paste(Placement((0.5, 2.0), 0.5, 0.5, (1, 20)), min_residual_area_frac=0.1, tau_stuff_frac=0.1, things=THINGS, stuff=STUFF))
+register("coco-instance", Paste(Placement((0.5, 2.0), 0.5, 1.0, (1, 32)), min_residual_area_frac=0.1), "instances of other samples of the batch; a target goes when less than a tenth of it is left")
+register("coco-panoptic", Paste(Placement((0.5, 2.0), 0.5, 0.5, (1, 20)), min_residual_area_frac=0.1, tau_stuff_frac=0.1, things=THINGS, stuff=STUFF), "things alone are pasted; background of which less than a tenth would be left is given back", ("image", "instance", "semantic", "panoptic"))

@@ -257,3 +257,23 @@ def test_whole_files_at_once(tmp_path):
     storage.put(system, f"{path}/x", b"one")
     storage.put(system, f"{path}/x", b"two")
     assert storage.get(system, f"{path}/x") == b"two" and os.listdir(tmp_path) == ["x"]
+
+
+def test_a_bank_built_by_command(spark, tmp_path, capsys):
+    from maskframe.sources import build
+
+    rows, df = made(spark, 3, 20, 30)
+    images.write(df, f"file://{tmp_path}/p")
+    doc = {"images": [{"id": i, "file_name": f"{i}.png", "height": 20, "width": 30} for i in range(3)], "categories": [{"id": 7, "name": "a", "isthing": 1}], "annotations": [{"id": 10 * i + j, "image_id": i, "category_id": 7, "bbox": [j, j, 8, 6], "iscrowd": 0, "area": 48.0, "segmentation": json.dumps([[j, j, j + 8, j, j + 8, j + 6, j, j + 6]])} for i in (2, 0) for j in (1, 0)]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    args = ["--annotations", f"{tmp_path}/a.json", "--pictures", images.folder(f"file://{tmp_path}/p"), "--height", "6", "--width", "8", "--least-area", "1", "--per-shard", "3"]
+    build.main([*args, "--out", f"{tmp_path}/one"])
+    build.main([*args, "--out", f"{tmp_path}/two"])
+    assert digests(f"{tmp_path}/one") == digests(f"{tmp_path}/two") and len(digests(f"{tmp_path}/one")) == 2
+    got = shards.read(spark, f"{tmp_path}/one").orderBy("idx").collect()
+    # By picture, then by annotation; the picture without any isn't needed.
+    for r, (i, j) in zip(got, [(0, 0), (0, 1), (2, 0), (2, 1)], strict=True):
+        p = np.frombuffer(rows[i][3], np.uint8).reshape(3, 20, 30)
+        assert bytes(r["image"]) == p[:, j : j + 6, j : j + 8].tobytes() and r["class_id"] == 7 and set(bytes(r["alpha"])) == {1}
+    facts = json.loads((tmp_path / "one" / "provenance.json").read_text())
+    assert facts["num_crops"] == 4 and facts["sha256"] == shards.metadata(f"{tmp_path}/one")["sha256"]

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
 #: One or two of each family; the driver compares all of them.
-NAMES = ["collate_padded", "unpad_roundtrip", "sample_violations", "crop_plan", "sanitize_by_area", "translate_draw", "k_cap", "warp_mask_nearest", "warp_rows_bilinear", "survivor_area", "merge_slots", "composite_depth_valid", "stuff_collapse", "reinhard_stats", "bank_draws", "predicate_walk", "check_overlap", "check_fresh", "paste_stats", "bench_quartiles", "coco_panoptic_segments", "rle_decode", "rle_decode_wide", "rle_compressed_wide", "polygon_area_wide", "warp_wide", "survivor_wide", "e2e_wide_masks", "e2e_wide_layers", "layer_image", "layer_panoptic", "layer_depth", "layer_normals", "bank_paste", "ks_distance", "invariant_summary", "hf_last_wins", "record_pack_unpack", "image_scan", "panoptic_scan", "bank_crops_cut", "bank_tar_shards", "bank_record_draws", "segmentation_files", "tiles_512", "tiles_layers", "audit_records", "preset_instance_512", "preset_panoptic", "source_mixture", "dense_composite", "jitter_layers", "jitter_instances", "model_format", "gallery", "sweep_grid", "synthetic_squares"]
+NAMES = ["collate_padded", "unpad_roundtrip", "sample_violations", "crop_plan", "sanitize_by_area", "translate_draw", "k_cap", "warp_mask_nearest", "warp_rows_bilinear", "survivor_area", "merge_slots", "composite_depth_valid", "stuff_collapse", "reinhard_stats", "bank_draws", "predicate_walk", "check_overlap", "check_fresh", "paste_stats", "bench_quartiles", "coco_panoptic_segments", "rle_decode", "rle_decode_wide", "rle_compressed_wide", "polygon_area_wide", "warp_wide", "survivor_wide", "e2e_wide_masks", "e2e_wide_layers", "layer_image", "layer_panoptic", "layer_depth", "layer_normals", "bank_paste", "ks_distance", "invariant_summary", "hf_last_wins", "record_pack_unpack", "image_scan", "panoptic_scan", "bank_crops_cut", "bank_tar_shards", "bank_record_draws", "segmentation_files", "tiles_512", "tiles_layers", "audit_records", "preset_instance_512", "preset_panoptic", "source_mixture", "dense_composite", "jitter_layers", "jitter_instances", "model_format", "gallery", "bank_built", "sweep_grid", "synthetic_squares"]
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +43,7 @@ def test_same_rows_as_duckdb(spark, duck, name):
 
 
 #: Whole images are blended, pasted, encoded and decoded in numpy, as are polygons, counts and records; the draws' bounds and a range's ends are one row that every task gets.
-PYTHON = {"multiband", "poisson", "polygon_area", "polygon_area_wide", "e2e_wide_layers", "residual_wide", "bank_paste", "rle_decode", "rle_decode_wide", "rle_compressed_wide", "segmentation_files", "image_scan", "panoptic_scan", "bank_crops_cut", "bank_tar_shards", "bank_record_draws", "tiles_512", "tiles_layers", "audit_records", "fault_injection", "source_mixture", "dense_composite", "jitter_layers", "jitter_instances", "model_format", "gallery", *(n for n in QUERIES if n.startswith(("layer_", "preset_")))}
+PYTHON = {"multiband", "poisson", "polygon_area", "polygon_area_wide", "e2e_wide_layers", "residual_wide", "bank_paste", "rle_decode", "rle_decode_wide", "rle_compressed_wide", "segmentation_files", "image_scan", "panoptic_scan", "bank_crops_cut", "bank_tar_shards", "bank_record_draws", "tiles_512", "tiles_layers", "audit_records", "fault_injection", "source_mixture", "dense_composite", "jitter_layers", "jitter_instances", "model_format", "gallery", "bank_built", *(n for n in QUERIES if n.startswith(("layer_", "preset_")))}
 ONE_ROW = {"bank_draws", "bank_draw_histogram", "stage_bank_batches", "ks_distance"}
 #: Ranks of a report and weights of classes: one row a class or implementation.
 FEW_ROWS = {"repeat_factor_weights", "bank_draws", "bank_draw_histogram", "stage_bank_batches", "throughput_rank"}

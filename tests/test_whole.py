@@ -190,3 +190,17 @@ def test_eligibility_names_classes(small):
     inst = small.instances
     _, slots = placement.place(small.samples, inst, placement.Placement(), pipeline.eligible(presets.Paste(things=(3, 5))))
     assert {r["label"] for r in slots.where("gate").select("label").distinct().collect()} <= {3, 5}
+
+
+def test_presets_are_described_and_signed_off(outcome):
+    p, out = outcome
+    name = next(n for n in presets.names() if presets.get(n) == p)
+    reports = evaluate.evaluated(out, pipeline.rules(p))
+    signed = presets.signed(presets.described(name), reports, "1", "2026-01-01")
+    every = reports.groupBy("name").agg(F.bool_and("ok").alias("ok")).collect()
+    assert (signed.sign_off.dispatched, signed.sign_off.passed, signed.sign_off.sample_count) == (len(every), sum(r["ok"] for r in every), out.count())
+    assert presets.described(name).sign_off is None and presets.described(name).description
+    with pytest.raises(ValueError):
+        presets.SignOff("1", 1, "2026-01-01", 1, 2)
+    with pytest.raises(ValueError):
+        presets.register(name, p)
