@@ -362,13 +362,13 @@ def _pasted_pixels(rows: DataFrame, w: int) -> DataFrame:
 
 
 _BANK_PIXELS = f"select sample_id, idx, class_id, count(*) as area, sum(x)::bigint as sx, sum(y)::bigint as sy from (select *, cast(round_even((y - ty) / scale, 0) as bigint) as ny, cast(round_even(case when hflip then 7 - (x - tx) / scale else (x - tx) / scale end, 0) as bigint) as nx from ({_BANK_AT}) cross join (select unnest(range(0, 50)) as y) cross join (select unnest(range(0, 75)) as x)) where ny between 0 and 7 and nx between 0 and 7 and (idx + ny * 8 + nx) % 4 <> 0 group by 1, 2, 3"
-_OWN_PIXELS = "select sample_id, null::bigint as idx, label as class_id, sum(len(xs) * len(ys))::bigint as area, sum(len(ys) * list_sum(xs))::bigint as sx, sum(len(xs) * list_sum(ys))::bigint as sy from spans where len(xs) > 0 and len(ys) > 0 group by 1, 2, 3"
+_OWN_PIXELS = "select sample_id, -1 as idx, label as class_id, sum(len(xs) * len(ys))::bigint as area, sum(len(ys) * list_sum(xs))::bigint as sx, sum(len(xs) * list_sum(ys))::bigint as sy from spans where len(xs) > 0 and len(ys) > 0 group by 1, 2, 3"
 
 
 @query(75, 50, f"select * from ({_BANK_PIXELS}) where {u('source0')} < 0.4 union all select * from ({_OWN_PIXELS}) where {u('source0')} >= 0.4", "samp", "spans")
 def source_mixture(c: Wide) -> DataFrame:
     """Two targets in five take a crop of the bank, the others instances of their batch: what was pasted, in one exchange."""
-    return _pasted_pixels(_sourced(c, presets.FromBank(share=0.4)), c.w)
+    return _pasted_pixels(_sourced(c, presets.FromBank(share=0.4)), c.w).withColumn("idx", F.coalesce("idx", F.lit(-1).cast("long")))
 
 
 def draw_targets(r: dict) -> dict:
