@@ -38,7 +38,7 @@ def test_stages_follow_each_other(spark, tmp_path):
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "dedup", "mix", "pack"]
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert neardup.TREES and quality.FIT_ROWS
 
 
