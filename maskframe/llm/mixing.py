@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length per source. A source's target is met by whole copies of the source plus a remaining
-budget below one copy. Every length gives its proportional share of that budget first; what the rounding leaves, less than
-one document of each length, is fitted by a bounded-knapsack dynamic programme over the lengths. Which documents of a length
-are taken is decided by a seeded hash, with ranks found inside small buckets so that one frequent length never fills a task.
+budget below one copy. Every length gives its proportional share of that budget first, with what rounding leaves carried on to
+the next length; the remainder, less than the longest document, is fitted by a bounded-knapsack dynamic programme over the
+lengths. Which documents of a length are taken is decided by a seeded hash, with ranks found inside small buckets so that one frequent length never fills a task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, numbered
 
 #: Steps of the dynamic programme between two states that are kept; those between are made anew on the way back.
-KEPT_STEPS = 64
+KEPT_STEPS = 256
 #: Documents of one source and length that are ranked together.
 BUCKET = 256
 #: Rows of the plan (one a source and length) up to this number may be broadcast.
@@ -32,23 +32,9 @@ def word_count(text: str) -> F.Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their words come as near to ``budget`` from below as can be.
-
-    ``sizes`` distinct and positive, ``counts`` how many there are. Every size gives its proportional share first; the
-    remainder, less than one document of each size, is fitted exactly.
-    """
-    take = np.zeros(len(sizes), np.int64)
-    total = int((sizes * counts).sum())
-    if budget <= 0 or not total:
-        return take
-    if budget >= total:
-        return counts.copy()
-    # Python's integers: a count times a budget may pass 2**63.
-    take[:] = [int(c) * int(budget) // total for c in counts]
-    left = int(budget) - int((take * sizes).sum())
-    spare = counts - take
-    items = []  # (index, multiplicity) in powers of two: the bounded knapsack as a 0/1 one
+def filled(sizes: np.ndarray, spare: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """(how many of each size, what is left) of the subset sum nearest to ``left`` from below: a bounded-knapsack dynamic programme."""
+    take, items = np.zeros(len(sizes), np.int64), []  # (index, multiplicity) in powers of two: the bounded knapsack as a 0/1 one
     for i in np.flatnonzero((spare > 0) & (sizes <= left)):
         n, k = min(int(spare[i]), left // int(sizes[i])), 1
         while n > 0:
@@ -69,6 +55,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
+    rest = left - at
     for first in range((len(used) - 1) // KEPT_STEPS * KEPT_STEPS, -1, -KEPT_STEPS):
         states = [kept[first // KEPT_STEPS]]
         for item in used[first : first + KEPT_STEPS]:
@@ -77,7 +64,43 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             if not before >> at & 1:
                 take[item[0]] += item[1]
                 at -= int(sizes[item[0]]) * item[1]
-    return take
+    return take, rest
+
+
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size to take so that their words come as near to ``budget`` from below as can be.
+
+    ``sizes`` distinct and positive, ``counts`` how many there are. Every size gives its proportional share first, what
+    rounding down leaves of it goes on to the next larger size, so that less than the longest document remains, and that is
+    fitted exactly. If it can't be met to the word (few lengths), documents that got in by what was carried on are given
+    back, the largest first, and a larger remainder is fitted; at last all that the plain shares leave.
+    """
+    total = int((sizes * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(sizes), np.int64)
+    if budget >= total:
+        return counts.copy()
+    # Python's integers: a count times a budget may pass 2**63.
+    share = np.array([int(c) * int(budget) // total for c in counts], np.int64)
+    take, carry = share.copy(), 0  # the carry in words times ``total``
+    for i in np.argsort(sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        carry += int(counts[i]) * size * int(budget)
+        take[i] = min(carry // (size * total), int(counts[i]))
+        carry -= int(take[i]) * size * total
+    left = int(budget) - int((take * sizes).sum())
+    back = [i for i in np.argsort(-sizes, kind="stable").tolist() if take[i] > share[i]]
+    wide = left
+    while True:
+        more, rest = filled(sizes, counts - take, left)
+        # A unit that all spare sizes share can't be filled any further than this.
+        if not back or rest < int(np.gcd.reduce(sizes[counts > share])):
+            return take + more
+        wide = max(2 * wide, 1)
+        while back and left < wide:
+            i = back.pop(0)
+            left += int((take[i] - share[i]) * sizes[i])
+            take[i] = share[i]
 
 
 def targets(sizes: list[float], weights: list[float], most: float) -> list[float]:

@@ -51,6 +51,31 @@ def test_large_remainders_are_fitted_exactly():
         assert (take >= base).all() and (take <= counts).all() and got <= left and got >= max(sums)
 
 
+def test_remainders_stay_below_the_longest_document():
+    """Many lengths: shares by rounding with a carry, then a programme over less than the longest document, exact to the word."""
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    sizes = np.unique(r.integers(1, 1_000_000, 30_000))
+    counts = r.integers(1, 4, len(sizes))
+    total = int((sizes * counts).sum())
+    tracemalloc.start()
+    take = mixing.fit(sizes, counts, int(total * 0.37))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (take >= 0).all() and (take <= counts).all() and int((take * sizes).sum()) == int(total * 0.37)
+    assert peak < 200 << 20
+    # Lengths stay in proportion: each gives its share, but for one document and what the programme adds.
+    share = counts * 0.37
+    assert (np.abs(take - share) < 1.01).mean() > 0.99
+
+
+def test_sizes_with_a_common_unit_stop_at_it():
+    sizes, counts = np.arange(1, 400) * 6, np.full(399, 2)
+    take = mixing.fit(sizes, counts, 100_003)
+    assert (take <= counts).all() and 100_003 - int((take * sizes).sum()) == 100_003 % 6
+
+
 def test_targets_share_all_and_stop_at_the_cap():
     t = mixing.targets([10, 1, 100], [1, 2, 3], 3)
     assert t[1] == 3 and abs(sum(t) - 111) < 1e-9 and abs(t[2] / t[0] - 3) < 1e-9 or t[0] == 30
