@@ -10,6 +10,8 @@ dealt into new blocks, over which the same is done, until one block holds all of
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,8 +27,9 @@ from .common import cut, slices, texts_of
 CAPACITY = 2048
 #: Pieces a block; the islands of a block and how long they evolve.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3000, 2, 2, 4, 4
-#: Bins filled less than this are packed again in a next round; rounds end when one block holds all.
-WELL_FILLED, ROUNDS = 0.97, 12
+#: Bins filled less than this are packed again in a next round; rounds end when one block holds all, or when one has settled so
+#: small a share of its pieces that dealing them anew frees next to none.
+WELL_FILLED, SETTLED = 0.97, 0.02
 #: White space from this length on goes to the slower encoder, which has no recursion in its patterns.
 LONG_SPACE = 4096
 
@@ -194,15 +197,15 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """
     every = cut(tokenized(docs, tokenizer, key, text, capacity).withColumn("row", F.monotonically_increasing_id()))
     done = every.where(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    some, left = every.where(F.col("length") < capacity), -1
-    for turn in range(ROUNDS):
+    some, left = every.where(F.col("length") < capacity), math.inf
+    for turn in itertools.count():
         n = some.count()
         blocks = -(-n // block)
         if not n:
             break
         placed = cut(packed(some.select("row", "doc_id", "piece", "start", "length", "ids_crc32"), blocks, capacity, islands, epochs, seed, turn))
-        # The last round keeps all its bins: one block holds them, or dealing them anew would free none.
-        last = blocks == 1 or n == left or turn == ROUNDS - 1
+        # The last round keeps all its bins. Each other one leaves fewer pieces by a share, so there are at most log(n) of them.
+        last = blocks == 1 or n > left * (1 - SETTLED)
         well = F.lit(last) | (F.col("fill") >= int(WELL_FILLED * capacity))
         done = done.unionByName(placed.where(well).drop("row", "fill"))
         if last:
