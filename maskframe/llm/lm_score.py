@@ -8,8 +8,8 @@ the tree grows with the corpus: no share, rank or number bounds it.
 
 The tree is never gathered. Texts are read once into chunk files in the shared folder. For each depth a chunk sends the distinct
 (context, next word) pairs that it needs, with its own training counts, to buckets of the contexts' hashes; a bucket merges the
-counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. The answers of a depth are a
-table in the shared folder until the chunks have laid them beside their files, so that only the newest ones ever travel. A context met more
+counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. The answers are grouped by
+chunk and laid beside its file in the job that makes them, so that they travel once and are kept once. A context met more
 than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
 contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16, 24 or 32).
 """
@@ -38,6 +38,8 @@ DEPTH, DISCOUNT, MARGIN, SUPPORT = 3, 0.75, 1.0, 2
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: A context met more often than this is dealt over several buckets; there are at most ``HOT_ROWS`` such contexts a depth.
 HOT, HOT_ROWS = 1 << 18, 1 << 20
+#: Groups in which the parts of hot contexts are summed up.
+SUMS = 64
 #: Contexts met up to so often tell their next words apart by 16 and by 24 bits, others by 32: half a collision is to be expected at most.
 NARROW, MIDDLE = 256, 4096
 _U = np.uint64
@@ -290,12 +292,9 @@ def laid(raw: bytes) -> Iterator[tuple[int, bytes]]:
         at += 16 + n
 
 
-def let_go(spark: SparkSession, table: str | None) -> None:
-    """Deletes a table that nothing reads any more, and has the driver collect what nothing refers to, upon which Spark removes the
-    files of finished exchanges. Disk is freed earlier by it, nothing else depends on it."""
-    if table is not None:
-        system, path = file_system(table)
-        system.delete_dir(path)
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect what nothing refers to, upon which Spark removes the files of finished exchanges. Disk is freed earlier
+    by it, nothing else depends on it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -311,48 +310,36 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, -(-int(size) // BUCKET_BYTES))
     chunks = chunked(docs, key, text, folder)
-    tokens, train_docs = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
+    tokens, train_docs, n_chunks = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0)), F.count("*")).first()
     # So many occurrences a part that there are never more than HOT_ROWS hot contexts.
     hot = max(hot, int(tokens) // HOT_ROWS)
     facts = {"tokens": int(tokens), "train_docs": int(train_docs), "types": 0}
-    spread = spark.sparkContext.broadcast
-    answer_schema = "chunk long, bucket int, payload binary"
-    newest: DataFrame | None = None
     kept_hot: list = []
 
-    def loaded(path: str, right: pa.Table | None, upto: int, facts: dict, tables: list) -> Chunk:
-        """A chunk with the answers of the depths before ``upto`` taken in: the newest as they came, which are laid beside the chunk
-        (the same bytes whenever a task is repeated), the others from where they lie."""
+    def loaded(path: str, upto: int, facts: dict, tables: list) -> Chunk:
+        """A chunk with the answers of the depths before ``upto``, which lie beside it, taken in."""
         system, _ = file_system(folder)
-        with system.open_input_file(path) as f:
-            c = Chunk(f.read(), **facts)
+
+        def read(at: str) -> bytes:
+            with system.open_input_file(at) as f:
+                return f.read()
+
+        c = Chunk(read(path), **facts)
         for d in range(upto):
-            if d == upto - 1:
-                came = sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist()))
-                if upto <= depth:
-                    part = f"{path}-{d}.{uuid.uuid4().hex[:8]}"
-                    with system.open_output_stream(part) as f:
-                        f.write(b"".join(struct.pack("<qq", b, len(p)) + p for b, p in came))
-                    system.move(part, f"{path}-{d}")
-            else:
-                with system.open_input_file(f"{path}-{d}") as f:
-                    came = list(laid(f.read()))
-            c.told(d, buckets, hot, {b: unpacked(p) for b, p in came}, tables[d].value if d else {})
+            c.told(d, buckets, hot, {b: unpacked(p) for b, p in laid(read(f"{path}-{d}"))}, tables[d].value if d else {})
         return c
 
-    def with_replies(f, schema: str) -> DataFrame:
-        if newest is None:
-            return chunks.select("chunk", "path").repartition(max(1, chunks.count()), "chunk").mapInArrow(lambda it: (x for b in it for p in b.column("path").to_pylist() for x in f(p, None, b).to_batches()), schema)
-        def one(left: pa.Table, right: pa.Table) -> pa.Table:
-            return f(left.column("path")[0].as_py(), right, left)
+    def by_chunk(f, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for chunk, path in zip(b.column("chunk").to_pylist(), b.column("path").to_pylist()):
+                    yield from f(chunk, path).to_batches()
 
-        return chunks.select("chunk", "path").groupBy("chunk").cogroup(newest.groupBy("chunk")).applyInArrow(one, schema)
+        return chunks.select("chunk", "path").repartition(max(1, n_chunks), "chunk").mapInArrow(run, schema)
 
     def asking(d: int, now: dict, tables: list):
-        def ask(path: str, right: pa.Table | None, left) -> pa.Table:
-            c = loaded(path, right, d, now, tables)
-            chunk = left.column("chunk").to_pylist()[left.column("path").to_pylist().index(path)]
-            cols = list(zip(*c.request(d, buckets, hot).payloads(buckets))) or [[], []]
+        def ask(chunk: int, path: str) -> pa.Table:
+            cols = list(zip(*loaded(path, d, now, tables).request(d, buckets, hot).payloads(buckets))) or [[], []]
             return pa.table({"chunk": pa.array([chunk] * len(cols[0]), pa.int64()), "bucket": pa.array(cols[0], pa.int32()), "payload": pa.array(cols[1], pa.binary())})
 
         return ask
@@ -363,33 +350,52 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             bucket = t.column("bucket")[0].as_py()
             out, told = merged(t.column("payload").to_pylist(), d, bucket >= buckets, hot)
             n, m = len(out), len(told)
-            return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), *[None] * m], pa.int64()), "bucket": pa.array([bucket] * (n + m), pa.int32()), "payload": pa.array([*out, *[None] * m], pa.binary()), "ctx": pa.array([None] * n + [x[0] for x in told], pa.int64()), "gain": pa.array([None] * n + [x[1] for x in told], pa.float64()), "kinds": pa.array([None] * n + [x[2] for x in told], pa.int64())})
+            # Parts of hot contexts meet under numbers that no chunk has.
+            to = [*t.column("chunk").to_pylist(), *[-1 - x[0] % SUMS for x in told]]
+            return pa.table({"chunk": pa.array(to, pa.int64()), "bucket": pa.array([bucket] * (n + m), pa.int32()), "payload": pa.array([*out, *[None] * m], pa.binary()), "ctx": pa.array([None] * n + [x[0] for x in told], pa.int64()), "gain": pa.array([None] * n + [x[1] for x in told], pa.float64()), "kinds": pa.array([None] * n + [x[2] for x in told], pa.int64())})
 
         return answer
 
+    def laying(d: int):
+        def lay(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Lays a chunk's answers beside its file (the same bytes whenever a task is repeated), or sums up parts of hot contexts."""
+            if not left.num_rows:
+                t = right.select(["ctx", "gain", "kinds"]).sort_by([("ctx", "ascending"), ("gain", "ascending"), ("kinds", "ascending")])
+                sums = t.group_by("ctx", use_threads=False).aggregate([("gain", "sum"), ("kinds", "sum")])
+                return pa.table({"ctx": sums.column("ctx"), "gain": sums.column("gain_sum"), "kinds": sums.column("kinds_sum")})
+            system, _ = file_system(folder)
+            at = f"{left.column('path')[0].as_py()}-{d}"
+            part = f"{at}.{uuid.uuid4().hex[:8]}"
+            with system.open_output_stream(part) as f:
+                for b, p in sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist())):
+                    f.write(struct.pack("<qq", b, len(p)) + p)
+            system.move(part, at)
+            return pa.table({"ctx": pa.array([], pa.int64()), "gain": pa.array([], pa.float64()), "kinds": pa.array([], pa.int64())})
+
+        return lay
+
     for d in range(depth + 1):
-        asked = with_replies(asking(d, dict(facts), list(kept_hot)), "chunk long, bucket int, payload binary")
-        at = f"{folder}/answers-{d}"
-        asked.groupBy("bucket").applyInArrow(answering(d), answer_schema + ", ctx long, gain double, kinds long").write.parquet(at)
-        got = spark.read.parquet(at)
-        sums = got.where("chunk is null").groupBy("ctx").agg(F.sum("gain").alias("gain"), F.sum("kinds").alias("kinds"))
+        asked = by_chunk(asking(d, dict(facts), list(kept_hot)), "chunk long, bucket int, payload binary")
+        answers = asked.groupBy("bucket").applyInArrow(answering(d), "chunk long, bucket int, payload binary, ctx long, gain double, kinds long")
+        # Written rather than collected: a frame that is collected holds on to its exchanges, a command lets them go.
+        chunks.select("chunk", "path").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(laying(d), "ctx long, gain double, kinds long").write.parquet(f"{folder}/told-{d}")
+        sums = spark.read.parquet(f"{folder}/told-{d}")
         if d == 0:
-            facts["types"] = int(sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
+            facts["types"] = sum(r["kinds"] for r in sums.collect())  # one row
             kept_hot.append(None)
         else:
             # At most HOT_ROWS contexts are hot, 16 bytes each.
-            kept_hot.append(spread({r["ctx"]: r["kinds"] for r in sums.where(F.col("gain") > MARGIN).select("ctx", "kinds").collect()}))
-        newest = got.where("chunk is not null").select("chunk", "bucket", "payload")
-        # Every chunk has the answers before these by now, and the exchanges of this depth are done with.
-        del asked, got, sums
-        let_go(spark, f"{folder}/answers-{d - 1}" if d else None)
+            kept_hot.append(spark.sparkContext.broadcast({r["ctx"]: r["kinds"] for r in sums.where(F.col("gain") > MARGIN).select("ctx", "kinds").collect()}))
+        # Every chunk has its answers by now, and the exchanges of this depth are done with.
+        del asked, answers, sums
+        let_go(spark)
 
     now, tables = dict(facts), list(kept_hot)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def scored(path: str, right: pa.Table | None, _left) -> pa.Table:
-        c = loaded(path, right, depth + 1, now, tables)
+    def scored(_chunk: int, path: str) -> pa.Table:
+        c = loaded(path, depth + 1, now, tables)
         known, base, p = (np.add.reduceat(v, c.start) for v in (c.known.astype(np.int64), c.base, c.logp / np.log(10)))
         return pa.table({"doc_id": pa.array(c.ids, mask=~c.real), "held_out": pa.array(c.held), "n_tokens": pa.array(c.ends), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(c.ids), now["tokens"], np.int64)), "base_score": pa.array(base), "score": pa.array(p)})
 
-    return with_replies(scored, schema)
+    return by_chunk(scored, schema)
