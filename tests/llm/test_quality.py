@@ -78,6 +78,39 @@ def test_few_labels_never_judge_rows_that_the_trees_have_seen():
     assert not forests.judged(x)[1].any()
 
 
+def test_every_labelled_row_counts(spark):
+    """Forests of the table are those of all its labelled rows, which a fit on the rows of the lowest hashes would not give."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    good = [(i, t, "en", "s0", 1) for i, t, *_ in rows(250, 1) if len(t.split()) >= 10]
+    junk = [(1000 + i, " ".join(w + "#$" * (i % 5) for w in t.split()), "en", "s0", 1) for i, t, *_ in rows(60, 2) if len(t.split()) >= 10]
+    docs = frame(spark, [*good, *junk, good[0]])
+    got = quality.fit(quality.counted(docs.repartition(3)), labels(spark, [(x[0], int(x[0] < 1000), 0) for x in good + junk]), rows=16)
+    table = pd.DataFrame(quality.counted(docs).distinct().select("*", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).alias("fold")).toPandas())
+    x = quality.features(table[list(quality.STATS)].to_numpy(), table[list(quality.MORE)].to_numpy())
+    want = quality.Forests(x, (table.doc_id < 1000).to_numpy(), table.fold.to_numpy(), table.h.to_numpy(), rows=16)
+    assert min(Counter(table.fold).values()) > 16
+    for (cols, a), (same, b) in zip(got.parts, want.parts, strict=True):
+        assert cols == same
+        for f, g in zip(a, b):
+            assert f.threshold == g.threshold and len(f.trees) == len(g.trees) > 0
+            assert all(np.array_equal(u, v) for s, t in zip(f.trees, g.trees) for u, v in zip(s, t))
+
+
+def test_leaves_hold_all_rows():
+    """Rows that a tree didn't draw still make their leaf a common one."""
+    x = np.r_[np.zeros((5000, 1)), np.linspace(1, 2, 200)[:, None]]
+    tree = quality.grow(np.array([[0.0], [2.0]]), 2, np.random.default_rng(0))
+    f = quality.Forest.of([tree], [np.bincount(quality.leaves(tree, x), minlength=3)], len(x), 256)
+    s = f.score(np.array([[0.0], [2.0]]))
+    assert s[0] < s[1]
+
+
+def test_mean_path():
+    assert np.allclose(quality.mean_path([0, 1, 2, 3, 256]), [-2, 0, 1, 5 / 3, 2 * sum(1 / i for i in range(1, 257)) - 2])
+
+
 def test_isolated_points_score_higher():
     x = np.concatenate([np.random.default_rng(0).normal(0, 1, (500, 2)), [[9.0, 9.0]]])
     s = quality.Forest.grown(x).score(x)
