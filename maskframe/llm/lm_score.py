@@ -10,8 +10,9 @@ The tree is never gathered. Texts are read once into chunk files in the shared f
 (context, next word) pairs that it needs, with its own training counts, to buckets of the contexts' hashes; a bucket merges the
 counts of all chunks, decides which contexts stay, and answers every chunk in the order of its request. The answers are grouped by
 chunk and laid beside its file in the job that makes them, so that they travel once and are kept once. A context met more
-than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words and
-contexts are 64-bit hashes (contexts sent as 48 bits, next words within a context as 16, 24 or 32).
+than ``HOT`` times is dealt over several buckets, which test their parts; the parts' sums, a bounded table, decide. Words are
+counted by 64-bit hashes, whose lower 48 bits make the contexts' 48-bit hashes; next words within a context are sent as 16, 24 or
+32 bits, in their order.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ SUMS = 64
 NARROW, MIDDLE = 256, 4096
 _U = np.uint64
 _P, _Q, _START = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_48, _32, _24 = _U((1 << 48) - 1), _U((1 << 32) - 1), _U((1 << 24) - 1)
+_48, _24 = _U((1 << 48) - 1), _U((1 << 24) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,14 +103,17 @@ def chunked(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
             ends = np.array([len(s) for s in texts], np.int64)
             out, index = np.array(held, bool), np.concatenate(texts)
             # Frequent words get small numbers, whose upper bytes take no room.
-            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            n = np.bincount(index, minlength=len(words))
+            order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            blob = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), out, ends, rank[index], words[order])
+            blob = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), out, ends, shortened(rank[index], int((n > 1).sum())), words[order] & _48)
             path = f"{base}/chunk-{chunk:016d}-{uuid.uuid4().hex[:12]}"
             system.create_dir(base, recursive=True)
-            with system.open_output_stream(path) as f:
-                f.write(blob)
+            # Only the counts of words need their upper bits, which are deleted then.
+            for at, what in ((path, blob), (f"{path}-upper", packed((words[order] >> _U(48)).astype(np.uint16)))):
+                with system.open_output_stream(at) as f:
+                    f.write(what)
             cols = [[chunk], [path], [int(ends.sum())], [int(ends[~out].sum())], [int((~out).sum())]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["chunk", "path", "tokens", "train_tokens", "train_docs"])
 
@@ -131,27 +135,41 @@ def chunked(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
     return cut(docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key, 7).alias("held_out"), F.col(text).alias("_t")).mapInArrow(run, schema))
 
 
+def shortened(index: np.ndarray, repeated: int) -> np.ndarray:
+    """Numbers of words as they are kept: words met once come last and stand in the order of their numbers, so 0 is enough for them."""
+    return np.where(index >= repeated, 0, index + 1).astype(np.uint32)
+
+
+def lengthened(index: np.ndarray, words: int) -> np.ndarray:
+    once = np.flatnonzero(index == 0)
+    out = index - np.uint32(1)
+    out[once] = np.arange(words - len(once), words, dtype=np.uint32)
+    return out
+
+
 class Request:
     """What a chunk asks at one depth: its distinct (context, next word) pairs, sorted by bucket and context."""
 
-    def __init__(self, some: np.ndarray, code: np.ndarray, bucket: np.ndarray, ctx: np.ndarray, gram: np.ndarray | None, count: np.ndarray, whole: np.ndarray | None, logp: np.ndarray | None):
+    def __init__(self, some: np.ndarray, code: np.ndarray, bucket: np.ndarray, ctx: np.ndarray, gram: np.ndarray | None, count: np.ndarray | None, whole: np.ndarray | None, logp: np.ndarray | None):
         self.some, self.code, self.bucket, self.ctx, self.gram, self.count, self.whole, self.logp = some, code, bucket, ctx, gram, count, whole, logp
         self.edges = np.flatnonzero(np.diff(np.r_[-1, bucket])) if len(bucket) else np.zeros(0, np.int64)
         #: Where another context, or another part of a hot one, begins.
         self.starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(ctx) != 0)]) if len(bucket) else np.zeros(0, np.int64)
 
     def payloads(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """(bucket, arrays): contexts as gaps, their numbers of pairs, which of them are rare, the next words of rare and other ones,
-        counts, probabilities by the suffix in eighths of a nat."""
+        """(bucket, arrays): words as gaps and upper bits, and counts; or contexts as gaps, their numbers of pairs, which of them are rare, the next words of rare and other ones as gaps,
+        counts, probabilities by the suffix in eighths of a nat (0 without a count, then another chunk knows it or none need)."""
+        gaps = lambda v: np.diff(v, prepend=v.dtype.type(0))
         for a, z in zip(self.edges, [*self.edges[1:], len(self.bucket)]):
             bucket = int(self.bucket[a])
             if self.gram is None:
-                yield bucket, packed(self.ctx[a:z], self.count[a:z])
+                yield bucket, packed(gaps(self.ctx[a:z] & _48), (self.ctx[a:z] >> _U(48)).astype(np.uint16), self.count[a:z])
                 continue
             starts = self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, z)]
-            low = np.clip(np.rint(self.logp[a:z] * -8), 0, 255).astype(np.uint8)
+            low = np.where(self.count[a:z], np.clip(np.rint(self.logp[a:z] * -8), 0, 255), 0).astype(np.uint8)
             runs, gram, narrow = np.diff(np.r_[starts, z]).astype(np.uint32), self.gram[a:z], self.whole[a:z] <= NARROW
-            arrays = [np.diff(self.ctx[starts], prepend=_U(0)), runs, np.packbits(self.whole[starts] <= NARROW), gram[narrow].astype(np.uint16), (gram[~narrow] & np.where(self.whole[a:z][~narrow] <= MIDDLE, _24, _32)).astype(np.uint32), self.count[a:z], low]
+            wide = (gram[~narrow] >> np.where(self.whole[a:z][~narrow] <= MIDDLE, _U(8), _U(0))).astype(np.uint32)
+            arrays = [gaps(self.ctx[starts]), runs, np.packbits(self.whole[starts] <= NARROW), gaps((gram[narrow] >> _U(16)).astype(np.uint16)), gaps(wide), self.count[a:z], low]
             yield bucket, packed(*arrays, *([self.whole[starts]] if bucket >= buckets else []))
 
 
@@ -160,14 +178,49 @@ def range_of(h48: np.ndarray, buckets: int) -> np.ndarray:
     return (((h48 >> _U(16)) * _U(buckets)) >> _U(32)).astype(np.int64)
 
 
+def order_of(spot: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+    """The order of numbers, equal ones by the upper of ``then``'s 32 bits and as they stand. Places are sorted along in the lower
+    bits, which is faster than an indirect sort and the same on every machine. Of 49-bit numbers the lowest bits (at most 16) may
+    have no room and don't count, so that the order of buckets always holds and a context may rarely be dealt in two stretches."""
+    bits = max(1, (len(spot) - 1).bit_length())
+    free = 64 - bits - int(spot.max(initial=0)).bit_length()
+    key = spot >> _U(max(0, -free))
+    if then is not None and free > 0:
+        key = key << _U(min(32, free)) | then >> _U(max(0, 32 - free))
+    key = key << _U(bits) | np.arange(len(spot), dtype=np.uint64)
+    key.sort()
+    return (key & _U((1 << bits) - 1)).astype(np.int64)
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal keys, and the first place of each number. Sorted with their places in the lower bits where these have room."""
+    n = len(key)
+    bits = max(1, (n - 1).bit_length())
+    if int(key.max(initial=0)) >> (64 - bits):
+        code, _ = pd.factorize(key)
+        return code, np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0)
+    key = (key << _U(bits)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    place = (key & _U((1 << bits) - 1)).astype(np.int64)
+    key >>= _U(bits)
+    first = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    code = np.empty(n, np.int32)
+    code[place] = np.cumsum(first, dtype=np.int32) - 1
+    return code, place[first]
+
+
 class Chunk:
     """One chunk's tokens, and what the answers so far say of each of them."""
 
-    def __init__(self, raw: bytes, tokens: int, types: int, train_docs: int):
+    def __init__(self, raw: bytes, tokens: int, types: int, train_docs: int, upper: bytes | None = None):
         self.ids, self.real, self.held, self.ends, self.index, self.words = unpacked(raw)
+        self.index = lengthened(self.index, len(self.words))
+        if upper is not None:
+            self.words = self.words | unpacked(upper)[0].astype(np.uint64) << _U(48)
         self.tokens, self.types, self.train_docs = tokens, types, train_docs
         self.start = np.cumsum(self.ends) - self.ends
-        self.at = np.arange(len(self.index), dtype=np.int64) - np.repeat(self.start, self.ends)
+        self.at = np.arange(len(self.index), dtype=np.int32) - np.repeat(self.start.astype(np.int32), self.ends)
         self.train = np.repeat(~self.held, self.ends)
         #: Per token: natural log probability; number and training count of the pair of the last depth (number -1: not asked),
         #: and the number of next words of its context if that is kept, else 0.
@@ -181,64 +234,74 @@ class Chunk:
             out = mix(out * _P + np.where(far, self.words[self.index[np.where(far, places - k, 0)]], _START))
         return out & _48
 
-    def request(self, depth: int, buckets: int, hot: int) -> Request:
+    def request(self, depth: int, buckets: int, hot: int, sent: bool = True) -> Request:
+        """What is asked; without counts, which the answers don't need, if it has been ``sent`` before."""
         n = len(self.index)
         if not depth:
             key = self.words & _48
-            order = np.argsort(key, kind="stable")
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
+            order = order_of(key)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             count = np.bincount(self.index[self.train], minlength=len(self.words)).astype(np.uint32)
             return Request(np.arange(n), rank[self.index], range_of(key[order], buckets), self.words[order], None, count[order], None, None)
         # A context is the pair of the depth before that ends right before the token.
-        first = self.at == 0
-        before, whole = np.empty(n, np.int64), np.empty(n, np.int64)
+        before, whole = np.empty(n, np.int32), np.empty(n, np.int64)
         before[1:], whole[1:] = self.code[:-1], self.seen[:-1]
-        before[first], whole[first] = (len(self.words), self.train_docs) if depth == 1 else (-1, 0)
+        before[self.start], whole[self.start] = (len(self.words), self.train_docs) if depth == 1 else (-1, 0)
         known = (before >= 0) & (whole >= SUPPORT)
         some = np.flatnonzero((self.kinds > 1) & known)
         # What always follows a context's suffix always follows the context: the longer pair is as frequent as the context itself.
         sure = np.flatnonzero((self.kinds == 1) & known & (self.seen > 0))
         self.sure = sure, before[sure], whole[sure]
-        code, _ = pd.factorize(before[some] * len(self.words) + self.index[some])
-        new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0) if len(code) else np.zeros(0, np.int64)
-        count = np.bincount(code[self.train[some]], minlength=len(new)).astype(np.uint32)
-        places, whole = some[new], whole[some[new]]
-        ctx = self.contexts(places, depth)
+        code, new = numbered(before[some].astype(np.uint64) * _U(len(self.words)) + self.index[some])
+        places = some[new]
+        # Pairs of a context mostly stand together, so that contexts are hashed and sorted rather than pairs.
+        head = np.flatnonzero(np.diff(before[places], prepend=-1))
+        spot, length, whole = self.contexts(places[head], depth), np.diff(head, append=len(places)), whole[places]
+        ctx, over = np.repeat(spot, length), whole > hot
         gram = mix(ctx * _Q + self.words[self.index[places]])
-        parts = -(-whole // hot)
-        over = parts > 1
-        piece = np.where(over, (gram >> _U(40)) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
-        spot = np.where(over, mix(ctx + piece * _P) & _48, ctx)
-        order = np.argsort(spot | (over.astype(np.uint64) << _U(48)), kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        bucket = range_of(spot, buckets) + np.where(over, buckets, 0)
-        return Request(some, rank[code], bucket[order], ctx[order], gram[order], count[order], whole[order], self.logp[places][order])
+        parted = over.any()
+        if parted:
+            parts = -(-whole // hot)
+            piece = np.where(over, (gram & _24) % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.uint64)
+            spot, length = np.where(over, mix(ctx + piece * _P) & _48, ctx) | (over.astype(np.uint64) << _U(48)), 1
+        gram >>= _U(32)
+        order, stretch = order_of(spot), np.empty(len(spot), np.uint64)
+        stretch[order] = np.cumsum(np.diff(spot[order], prepend=_U(0)) != 0)
+        # Next words of a context by their hashes, so that small gaps are sent.
+        order = order_of(np.repeat(stretch, length), gram)
+        spot = np.repeat(spot, length)[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        bucket = range_of(spot & _48, buckets)
+        if parted:
+            bucket += np.where(over[order], buckets, 0)
+        count = np.bincount(code[self.train[some]], minlength=len(new)).astype(np.uint32)[order] if sent else None
+        return Request(some, rank[code], bucket, ctx[order], gram[order], count, whole[order], self.logp[places[order]])
 
     def told(self, depth: int, buckets: int, hot: int, answers: dict[int, list], hot_kept: dict) -> None:
         """Takes in the answers of a depth: ``answers`` maps a bucket to its arrays."""
-        r = self.request(depth, buckets, hot)
+        r = self.request(depth, buckets, hot, sent=False)
         join = lambda i: np.concatenate([answers[int(r.bucket[a])][i] for a in r.edges]).astype(np.int64) if len(r.edges) else np.zeros(0, np.int64)
         count, n = join(0), len(self.index)
         if not depth:
-            self.code, self.seen, self.kinds = self.index.astype(np.int64), count[r.code], np.full(n, 2, np.int32)
-            self.logp = np.log((self.seen + 1) / (self.tokens + self.types + 1))
+            logp = np.log((count + 1) / (self.tokens + self.types + 1))
+            self.code, self.seen, self.kinds, self.logp = self.index.astype(np.int32), count[r.code], np.full(n, 2, np.int32), logp[r.code]
             self.known, self.base = self.seen > 0, self.logp / np.log(10)
             return
         kinds = join(1)
         for i in np.flatnonzero(r.bucket[r.starts] >= buckets):  # hot contexts: the sums of their parts decide
             kinds[i] = hot_kept.get(int(r.ctx[r.starts[i]]), 0)
-        kinds = np.repeat(kinds, np.diff(np.r_[r.starts, len(r.bucket)]))
-        # The number of next words of a context that is kept; 0 if it is not.
-        share = np.maximum(count - DISCOUNT, 0) / np.maximum(r.whole, 1), DISCOUNT * kinds / np.maximum(r.whole, 1)
-        ok = kinds[r.code] > 0
-        at, c = r.some[ok], r.code[ok]
-        self.logp[at] = np.log(share[0][c] + share[1][c] * np.exp(self.logp[at]))
+        kinds = np.repeat(kinds, np.diff(np.r_[r.starts, len(r.bucket)])).astype(np.int32)
+        # The number of next words of a context that is kept; 0 if it is not. A pair has one probability, wherever it stands.
+        ok, logp = np.flatnonzero(kinds), r.logp
+        whole = np.maximum(r.whole[ok], 1)
+        logp[ok] = np.log(np.maximum(count[ok] - DISCOUNT, 0) / whole + DISCOUNT * kinds[ok] / whole * np.exp(logp[ok]))
+        self.logp[r.some] = logp[r.code]
         sure, before, whole = self.sure
-        self.code, self.seen, self.kinds = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.code, self.seen, self.kinds = np.full(n, -1, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32)
         self.code[sure], self.seen[sure] = len(r.bucket) + before, whole
-        self.code[r.some], self.seen[r.some], self.kinds[at] = r.code, count[r.code], kinds[c]
+        self.code[r.some], self.seen[r.some], self.kinds[r.some] = r.code, count[r.code], kinds[r.code]
 
 
 def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[list[bytes], list[tuple[int, float, int]]]:
@@ -246,21 +309,22 @@ def merged(payloads: list[bytes], depth: int, parted: bool, hot: int) -> tuple[l
     parts = [unpacked(p) for p in payloads]
     column = lambda i: np.concatenate([p[i] for p in parts])
     if not depth:
-        code, words = pd.factorize(column(0))
-        total = np.bincount(code, column(1), len(words)).astype(np.int64)
+        code, words = pd.factorize(np.concatenate([np.cumsum(p[0], dtype=np.uint64) | p[1].astype(np.uint64) << _U(48) for p in parts]))
+        total = np.bincount(code, column(2), len(words)).astype(np.int64)
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
         return [packed(total[code[a:z]]) for a, z in zip(cuts, cuts[1:])], [(0, 0.0, int((total > 0).sum()))]
     for p in parts:
         narrow = np.repeat(np.unpackbits(p[2], count=len(p[0])).astype(bool), p[1])
         gram = np.empty(len(narrow), np.uint32)
-        gram[narrow], gram[~narrow] = p[3], p[4]
+        gram[narrow], gram[~narrow] = np.cumsum(p[3], dtype=np.uint16), np.cumsum(p[4], dtype=np.uint32)
         p[0], p[2:5] = np.cumsum(p[0], dtype=np.uint64), [gram]
     at, ctx = pd.factorize(column(0))
     row = np.repeat(at, column(1))
     code, keys = pd.factorize(row.astype(np.uint64) << _U(32) | column(2).astype(np.uint64))
     new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0)
-    row, low = row[new], np.exp(column(4)[new] / -8.0)
-    total = np.bincount(code, column(3), len(keys))
+    row, low, count = row[new], np.zeros(len(keys)), column(3)
+    low[code[count > 0]] = column(4)[count > 0]
+    low, total = np.exp(low / -8.0), np.bincount(code, count, len(keys))
     whole, kinds = np.bincount(row, total, len(ctx)), np.bincount(row, total > 0, len(ctx))
     whole_all, kinds_all = whole, kinds
     if parted:  # next words are dealt by hash, so each part has about as many
@@ -324,11 +388,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             with system.open_input_file(at) as f:
                 return f.read()
 
-        c = Chunk(read(path), **facts)
+        c = Chunk(read(path), **facts, upper=None if upto else read(f"{path}-upper"))
         for d in range(upto):
             c.told(d, buckets, hot, {b: unpacked(p) for b, p in laid(read(f"{path}-{d}"))}, tables[d].value if d else {})
         return c
 
+    def forgotten(rows) -> None:
+        system, _ = file_system(folder)
+        for r in rows:
+            if system.get_file_info(f"{r['path']}-upper").is_file:
+                system.delete_file(f"{r['path']}-upper")
+
     def by_chunk(f, schema: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -382,6 +452,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         sums = spark.read.parquet(f"{folder}/told-{d}")
         if d == 0:
             facts["types"] = sum(r["kinds"] for r in sums.collect())  # one row
+            chunks.select("path").foreachPartition(forgotten)
             kept_hot.append(None)
         else:
             # At most HOT_ROWS contexts are hot, 16 bytes each.

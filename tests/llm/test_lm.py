@@ -113,6 +113,59 @@ def test_same_as_dictionaries(spark, monkeypatch, hot):
         assert sum(far) < 0.02 * abs(sum(s for _, s in want))
 
 
+def test_places_are_sorted_along():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 70_000):
+        spot = r.integers(0, 1 << 49, n, dtype=np.uint64) >> np.uint64(20) << np.uint64(20)
+        spot[n // 2 :] = spot[: n - n // 2]
+        assert (M.order_of(spot) == np.argsort(spot, kind="stable")).all()
+        low = r.integers(0, 1 << 49, n, dtype=np.uint64)
+        order = M.order_of(low)
+        assert sorted(order.tolist()) == list(range(n)) and (np.diff(low[order] >> np.uint64(16)).astype(np.int64) >= 0).all()
+        few, then = r.integers(0, 9, n).astype(np.uint64), r.integers(0, 1 << 32, n, dtype=np.uint64)
+        order = M.order_of(few, then)
+        assert (order == np.lexsort([then, few])).all()
+        small = r.integers(0, max(1, n // 3), n).astype(np.uint64)
+        for key in (small, small << np.uint64(45)):  # with and without room for places
+            code, first = M.numbered(key)
+            assert (key[first][code] == key).all() and len(first) == len(set(key.tolist()))
+            assert first.tolist() == [key.tolist().index(k) for k in key[first].tolist()] if n < 100 else len(set(first.tolist())) == len(first)
+
+
+def test_words_met_once_take_no_number():
+    import numpy as np
+
+    for index in ([0, 1, 0, 2, 1, 3], [0, 1, 2], [0, 0], [0]):
+        index = np.array(index, np.uint32)
+        n = np.bincount(index)
+        kept = M.shortened(index, int((n > 1).sum()))
+        assert (M.lengthened(kept, len(n)) == index).all() and (kept == 0).sum() == (n == 1).sum()
+
+
+def test_answers_are_taken_in_without_counting_again(spark, tmp_path):
+    """Counts are made for what is sent only, what places the answers is the same; upper bits of words are for their counts only."""
+    import numpy as np
+
+    (row,) = M.chunked(frame(spark, data()).coalesce(1), "doc_id", "text", f"file://{tmp_path}").collect()
+    read = lambda p: open(p.removeprefix("file://"), "rb").read()
+    raw, upper = read(row["path"]), read(row["path"] + "-upper")
+    facts = {"tokens": row["train_tokens"], "types": 500, "train_docs": row["train_docs"]}
+    for hot in (M.HOT, 40):
+        c, whole = M.Chunk(raw, **facts), M.Chunk(raw, **facts, upper=upper)
+        assert (c.words >> np.uint64(48) == 0).all() and (whole.words & np.uint64((1 << 48) - 1) == c.words).all() and (whole.words != c.words).any()
+        for d in range(M.DEPTH + 1):
+            sent, again = (c if d else whole).request(d, 8, hot), c.request(d, 8, hot, sent=False)
+            assert d == 0 or again.count is None
+            assert all(np.array_equal(getattr(sent, a), getattr(again, a)) for a in ("some", "code", "bucket", "edges", "starts"))
+            answers = {b: M.unpacked(M.merged([p], d, b >= 8, hot)[0][0]) for b, p in sent.payloads(8)}
+            if not d:
+                n = np.bincount(c.index[c.train], minlength=len(c.words))
+                assert (np.concatenate([answers[b][0] for b in sorted(answers)])[sent.code] == n[c.index]).all()
+            c.told(d, 8, hot, answers, {})
+
+
 def test_kept_contexts_predict_distributions():
     tree = Plain([tokens(x[1]) for x in data() if not out_of(x[0])])
     some = [c for c, ok in tree.kept.items() if ok]
