@@ -204,3 +204,22 @@ def test_presets_are_described_and_signed_off(outcome):
         presets.SignOff("1", 1, "2026-01-01", 1, 2)
     with pytest.raises(ValueError):
         presets.register(name, p)
+
+
+def test_taps_are_weighed_in_the_order_of_the_sql():
+    """Depths are compared, so equal ones must come out equal to the last bit."""
+    rng = np.random.default_rng(5)
+    h, w = 9, 11
+    src = 1 + rng.integers(0, 97, (1, h, w)) / 10
+    for k in range(20):
+        m = layers.Map({"ty": rng.uniform(-3, 3), "tx": rng.uniform(-3, 3), "scale": rng.uniform(0.5, 2), "hflip": k % 2 == 1, "wv": w}, h, w, h, w)
+        got = m.bilinear(src)[0]
+        for i, sy in enumerate(m.y):
+            for j, sx in enumerate(m.x):
+                y, x, want = np.floor(sy), np.floor(sx), None
+                for dy, wy in ((0, 1 - (sy - y)), (1, sy - y)):
+                    for dx, wx in ((0, 1 - (sx - x)), (1, sx - x)):
+                        inside = 0 <= y + dy < h and 0 <= x + dx < w
+                        part = wy * wx * (src[0, int(y + dy), int(x + dx)] if inside else 0)
+                        want = part if want is None else want + part
+                assert got[i, j] == want
