@@ -19,12 +19,12 @@ def batch_violations(per_batch: DataFrame) -> DataFrame:
 
 def padded(samp: DataFrame, inst: DataFrame, slots: int, **fill: object) -> DataFrame:
     """Every sample with slots 0 to ``slots - 1``; those without an instance are invalid and zero."""
-    grid = samp.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    n = Window.partitionBy("sample_id").orderBy("slot")
-    own = inst.withColumn("slot", (F.row_number().over(n) - 1).cast("long")).withColumn("valid", F.lit(True))
-    out = grid.join(own, ["sample_id", "slot"], "left")
-    rest = [F.coalesce(c, F.lit(0)).alias(c) for c in inst.columns if c not in ("sample_id", "slot")]
-    return out.select("sample_id", "slot", *rest, F.coalesce("valid", F.lit(False)).alias("valid"))
+    rest = [c for c in inst.columns if c not in ("sample_id", "slot")]
+    own = inst.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("slot", *rest))).alias("own"))
+    # Slots are made where a sample meets its instances, so that they don't travel.
+    out = samp.select("sample_id").join(own, "sample_id", "left").select("sample_id", "own", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("at"))
+    one = F.get("own", F.col("at"))
+    return out.select("sample_id", F.col("at").cast("long").alias("slot"), *[F.coalesce(one[c], F.lit(0)).alias(c) for c in rest], F.coalesce(F.col("at") < F.size("own"), F.lit(False)).alias("valid"))
 
 
 def overflow(inst: DataFrame, slots: int) -> DataFrame:
