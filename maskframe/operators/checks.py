@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import bits
@@ -29,10 +29,14 @@ def identity(ids: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     # A word may have several rows, so words are put together before they are counted.
     after = after.groupBy("sample_id", "slot", "label", "y", "k").agg(F.bit_or("bits").alias("bits"))
     a = after.where("bits <> 0").select("sample_id", F.col("slot").alias("a"), F.col("label").alias("la"), "y", "k", F.col("bits").alias("ab"))
-    rows = a.groupBy("sample_id", "a").agg(F.count("*").alias("rows"))
+    a = a.withColumn("rows", F.count("*").over(Window.partitionBy("sample_id", "a")))
     b = before.select("sample_id", F.col("slot").alias("b"), F.col("label").alias("lb"), "y", "k", F.col("bits").alias("bb"))
-    meet = a.join(b, bits.LINE).where(bits.without(F.col("ab"), F.col("bb")) == 0).groupBy("sample_id", "a", "b", "la", "lb").agg(F.count("*").alias("met"))
-    within = meet.join(rows, ["sample_id", "a"]).where("met = rows")
+    # Both sides' words are put under each other, so that they stay with their sample: a word's few masks meet in its arrays.
+    every = a.select(*bits.LINE, F.struct("a", "la", "ab", "rows").alias("after")).unionByName(b.select(*bits.LINE, F.struct("b", "lb", "bb").alias("before")), allowMissingColumns=True)
+    met = every.groupBy(*bits.LINE).agg(F.collect_list("after").alias("after"), F.collect_list("before").alias("before")).where(F.size("before") > 0)
+    met = met.select("sample_id", "before", F.explode("after").alias("a")).select("sample_id", "a.*", F.explode("before").alias("b")).select("sample_id", "a", "la", "ab", "rows", "b.*")
+    meet = met.where(bits.without(F.col("ab"), F.col("bb")) == 0).groupBy("sample_id", "a", "b", "la", "lb", "rows").agg(F.count("*").alias("met"))
+    within = meet.where("met = rows")
     per = within.groupBy("sample_id", "a").agg(F.bool_or(F.col("la") == F.col("lb")).alias("same"))
     return report("instance.identity_preserved", ids, counted(per, ~F.col("same")))
 
@@ -96,6 +100,12 @@ def fresh_ids(ids: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
 def stuff_area(ids: DataFrame, before: DataFrame, after: DataFrame, stuff: Column, tau: int) -> DataFrame:
     """A background class neither vanishes from above ``tau`` pixels nor lives on with up to ``tau``."""
     j = before.where(stuff).withColumnRenamed("area", "pre").join(after.withColumnRenamed("area", "post"), ["sample_id", "class_id"], "left").withColumn("post", F.coalesce("post", F.lit(0)))
+    return stuff_areas(ids, j, F.lit(True), tau)
+
+
+def stuff_areas(ids: DataFrame, both: DataFrame, stuff: Column, tau: int) -> DataFrame:
+    """As :func:`stuff_area`, of the areas before and after in one relation (``pre``, ``post``)."""
+    j = both.where(stuff & (F.col("pre") > 0))
     return report("panoptic.stuff_area_threshold", ids, counted(j, ((F.col("post") == 0) & (F.col("pre") > tau)) | ((F.col("post") > 0) & (F.col("post") <= tau))))
 
 

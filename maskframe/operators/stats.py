@@ -11,7 +11,10 @@ STRETCHES = 1024
 
 def paste_stats(before: DataFrame, after: DataFrame, paste: DataFrame, pixels: int) -> DataFrame:
     """(sample_id, n_pasted, paste_area_frac): new instance ids, and the share of the canvas that was pasted over."""
-    new = after.select("sample_id", "instance_id").join(before.select("sample_id", "instance_id"), ["sample_id", "instance_id"], "left_anti").distinct().groupBy("sample_id").agg(F.count("*").alias("n_pasted"))
+    # Ids are sets of a sample, so that both sides meet by it alone.
+    ids = lambda df, name: df.groupBy("sample_id").agg(F.collect_set("instance_id").alias(name))
+    none = F.array().cast("array<long>")
+    new = ids(after, "is").join(ids(before, "was"), "sample_id", "left").select("sample_id", F.size(F.array_except("is", F.coalesce("was", none))).cast("long").alias("n_pasted")).where("n_pasted > 0")
     area = paste.groupBy("sample_id").agg((F.sum(F.bit_count("paste")) / pixels).alias("paste_area_frac"))
     return area.join(new, "sample_id", "full").select("sample_id", F.coalesce("n_pasted", F.lit(0)).alias("n_pasted"), F.coalesce("paste_area_frac", F.lit(0.0)).alias("paste_area_frac"))
 

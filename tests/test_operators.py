@@ -215,3 +215,14 @@ def test_stream_of_samples(spark, tmp_path):
     q = steps.augmented(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda df: df.withColumn("twice", F.col("id") * 2), f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("twice")).first()[0] == 2 * sum(range(40))
+
+
+@pytest.mark.parametrize("name", ["unpad_roundtrip", "hf_batch", "check_identity", "check_single_class", "check_stuff_area", "composite_semantic", "merged_instances", "paste_stats", "stuff_collapse", "stuff_revert_area", "composite_depth", "composite_depth_valid", "check_depth_join", "check_depth_monotone"])
+def test_scanlines_and_slots_stay_with_their_sample(spark, name):
+    """Only whole samples travel: no exchange is by scanline or by slot."""
+    import re
+
+    from maskframe.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\([^)]*\b(?:y|sy|slot)#", plan)
