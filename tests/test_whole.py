@@ -223,3 +223,12 @@ def test_taps_are_weighed_in_the_order_of_the_sql():
                         part = wy * wx * (src[0, int(y + dy), int(x + dx)] if inside else 0)
                         want = part if want is None else want + part
                 assert got[i, j] == want
+
+
+def test_tiles_beside_the_source_ask_for_none(spark):
+    """Source rows 50 and more of 50 aren't there, though they would lie in the tile of row 49."""
+    df = spark.createDataFrame([(3, -2.0, 1.0), (3, 0.0, 1.0)], "at int, ty double, scale double")
+    i = df.select(tiles.spans(F.col("at"), F.col("ty"), F.lit(64), 16, F.lit(False), None).alias("i"), tiles.spans(F.col("at"), F.lit(-16.0) + F.col("ty"), F.lit(64), 16, F.lit(False), None).alias("j")).collect()
+    assert i[0]["j"]["a"] > i[0]["j"]["b"] and i[1]["j"]["a"] > i[1]["j"]["b"] and (i[1]["i"]["a"], i[1]["i"]["b"]) == (3, 3)
+    edge = df.select(tiles.spans(F.lit(3), F.lit(-2.0), F.lit(50), 16, F.lit(False), None).alias("i")).first()["i"]
+    assert edge["a"] > edge["b"]
